@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules, sharding
+from . import bpe, decontaminate, quality_rules, secret_scan, sharding, token_counts
 from .common import table
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -14,14 +15,26 @@ def op3_sharding(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_bpe(spark, sf_dir):
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_decontaminate(spark, sf_dir):
     out = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_secret_scan(spark, sf_dir):
+    return secret_scan.digests(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
 def op10_quality_rules(spark, sf_dir):
     out = quality_rules.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op7_decontaminate, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_sharding, op4_bpe, op7_decontaminate, op8_secret_scan, op9_token_counts, op10_quality_rules)}
