@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, quality_rules, secret_scan, sharding, token_counts
+from . import bpe, decontaminate, language_id, near_dedup, quality_rules, secret_scan, sharding, token_counts
 from .common import table
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -24,6 +24,10 @@ def op5_language_id(spark, sf_dir):
     return language_id.identify(docs, language_id.train(docs))
 
 
+def op6_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2, per_hundred=80)
+
+
 def op7_decontaminate(spark, sf_dir):
     out = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -42,4 +46,4 @@ def op10_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_bpe, op5_language_id, op7_decontaminate, op8_secret_scan, op9_token_counts, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_sharding, op4_bpe, op5_language_id, op6_near_dedup, op7_decontaminate, op8_secret_scan, op9_token_counts, op10_quality_rules)}
