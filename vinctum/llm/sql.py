@@ -6,6 +6,20 @@ from .quality_rules import STOP_WORDS
 
 _A2Z = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP1 = rf"""
+WITH raw AS (SELECT doc_id, string_split({_A2Z}, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i - 1 AS line, list_sort(list_distinct(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+'))) AS w FROM raw, range(1, len(ls) + 1) t(i)),
+c AS (SELECT w, min((doc_id, line)) AS first, len(w) AS n FROM l WHERE len(w) >= 5 GROUP BY w),
+t AS (SELECT first, n, unnest(w) AS tok FROM c),
+df AS (SELECT tok, count(*) AS df FROM t GROUP BY tok),
+p AS (SELECT first, n, tok FROM t JOIN df USING (tok) QUALIFY row_number() OVER (PARTITION BY first ORDER BY df, tok) <= n - ceil(0.8 * n - 1e-9) + 1),
+cand AS (SELECT DISTINCT a.first AS x, b.first AS y FROM p a JOIN p b ON a.tok = b.tok AND b.first < a.first AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+v AS (SELECT DISTINCT x FROM (SELECT x, len(list_intersect(a.w, b.w)) AS m, a.n + b.n AS s FROM cand JOIN c a ON a.first = x JOIN c b ON b.first = y) WHERE 100 * m >= 80 * (s - m)),
+gone AS (SELECT l.doc_id, l.line FROM l JOIN c USING (w) LEFT JOIN v ON v.x = c.first WHERE v.x IS NOT NULL OR (l.doc_id, l.line) > c.first),
+g AS (SELECT doc_id, count(*) AS n, string_agg(line::VARCHAR, ',' ORDER BY line) AS s FROM gone GROUP BY doc_id)
+SELECT doc_id, CASE WHEN ls = [''] THEN 0 ELSE len(ls) END::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(g.s, '') AS removed_lines FROM raw LEFT JOIN g USING (doc_id)
+"""
+
 OP3 = """
 WITH bits AS (SELECT i, i AS c0 FROM range(256) t(i)),
 tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM bits)),
@@ -47,4 +61,4 @@ judged AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_
   NOT base_failed AND n_symbols / n_words <= 0.3 AND word_chars / n_words BETWEEN 1.5 AND 30 AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AND (n_words < 60 OR stops / n_words >= 0.01) AS kept FROM m3)"""
 OP10 = f"WITH {_MEASURED.format(docs='documents')} SELECT * FROM judged"
 
-ORACLE_SQL = {"op3_sharding": OP3, "op7_decontaminate": OP7, "op10_quality_rules": OP10}
+ORACLE_SQL = {"op1_line_dedup": OP1, "op3_sharding": OP3, "op7_decontaminate": OP7, "op10_quality_rules": OP10}
