@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, near_dedup, quality_rules, secret_scan, sharding, token_counts
+from . import bpe, decontaminate, language_id, line_dedup, near_dedup, pii, quality_rules, secret_scan, sharding, token_counts
 from .common import table
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -14,6 +14,14 @@ def op1_line_dedup(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+#: In production the key comes from the cluster's secret store; a fixed one makes the registered query repeatable.
+PII_KEY = "vinctum-demo-key"
+
+
+def op2_pii(spark, sf_dir):
+    return pii.replace_pii(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op3_sharding(spark, sf_dir):
     out = sharding.assign_shards(table(spark, sf_dir, "documents"), n_shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -50,4 +58,4 @@ def op10_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_sharding, op4_bpe, op5_language_id, op6_near_dedup, op7_decontaminate, op8_secret_scan, op9_token_counts, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_sharding, op4_bpe, op5_language_id, op6_near_dedup, op7_decontaminate, op8_secret_scan, op9_token_counts, op10_quality_rules)}
