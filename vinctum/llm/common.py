@@ -48,3 +48,25 @@ def words_of(col, separators: str = SPACE_CLASS, trim: str = SPACE_CHARS):
     """
     bare = F.btrim(F.coalesce(col, F.lit("")), F.lit(trim))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, separators))
+
+
+def fenced_where(df: DataFrame, condition: str) -> DataFrame:
+    """Filter on computed columns without their expressions being copied into the filter.
+
+    The optimizer moves a filter below a projection by substitution, which would multiply expressions that build on
+    each other; it doesn't move one that also needs a partition id.
+    """
+    return df.withColumn("_fence", F.spark_partition_id()).where(f"({condition}) AND _fence >= 0").drop("_fence")
+
+
+def by_size(df: DataFrame, name: str, max_rows: int, weight=None) -> DataFrame:
+    """A written copy of df, marked for broadcast if it has at most max_rows rows (or weight in all); beyond it joins shuffle."""
+    df = materialize(df, name)
+    n = df.agg(F.coalesce(F.sum(F.lit(1) if weight is None else weight), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def without(docs: DataFrame, ids: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """The rows of docs whose doc_id isn't in the one column of ids; rows without doc_id stay."""
+    gone = by_size(ids.toDF("_gone").distinct(), "gone", max_rows)
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

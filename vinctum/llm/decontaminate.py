@@ -7,7 +7,8 @@ its places) probe the set of the items' t-grams; each hit is then verified word
 at most w - t words to both sides. Runs of w or more equal words are the hit spans: no window is missed.
 
 Null texts have no words. A doc_id that occurs in several rows gives one row: its largest word count and the union of hits.
-Items without words are never hit. An empty benchmark or table gives rows without hits, or none.
+Items without words are never hit. Rows without doc_id are reported as one and never removed.
+An empty benchmark or table gives rows without hits, or none.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_ALNUM_CLASS, ascii_lower, words_of
+from .common import NON_ALNUM_CLASS, ascii_lower, without, words_of
 
 WINDOW = 13
 #: The items' t-grams are broadcast up to this many rows (about 100 MB); beyond it the probe is a shuffled hash join.
@@ -99,11 +100,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """The input's columns. remove='document' drops contaminated rows; 'span' cuts the hit words, with what follows each, out of every text."""
     found = report(docs, benchmark, n).select(F.col("doc_id").alias("_id"), "contaminated", "spans", "n_hit")
     if remove == "document":
-        return docs.join(found.where("contaminated").select("_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+        return without(docs, found.where("contaminated").select("_id"))
     if remove != "span":
         raise ValueError("remove is 'document' or 'span'")
-    hit = found.where("n_hit > 0").select("_id", "spans")
-    joined = docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    hit = found.where("n_hit > 0 AND _id IS NOT NULL").select("_id", "spans")
+    joined = docs.join(hit, docs["doc_id"] == F.col("_id"), "left")
     pieces = r"regexp_extract_all(text, '(?s)[0-9A-Za-z[^\\x00-\\x7F]]+[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*', 0)"
     lead = r"regexp_extract(text, '^[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*', 0)"
     kept = f"concat({lead}, array_join(filter({pieces}, (x, i) -> NOT exists(spans, v -> i >= v.s AND i < v.e)), ''))"

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import Memo, slices
-from .common import materialize
+from .common import by_size, materialize
 
 MIN_WORDS = 5
 PER_HUNDRED = 80
@@ -37,6 +37,8 @@ MEMO_WORDS = 200_000
 #: Candidates verified at first per class and posting list.
 FIRST_ROUND = 4
 BROADCAST_IDS = 1_000_000
+#: Removed lines are broadcast to the rewrite up to this number (4 bytes each, 8 more counted per document).
+BROADCAST_LINES = 8_000_000
 
 
 def line_sets(text: str | None) -> list[list[bytes]]:
@@ -264,6 +266,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """The input's columns with removed lines cut out of the texts; n_chars follows. A text of which no word is left goes as a whole, if lines were removed from it."""
     lost = removed_lines(docs, **options).withColumnRenamed("doc_id", "_id").withColumnRenamed("removed", "_removed")
+    lost = by_size(lost, "removed", BROADCAST_LINES, F.size("_removed") + 8)
     joined = docs.join(lost, docs["doc_id"] == lost["_id"], "left")
     kept = F.expr("CASE WHEN _removed IS NULL THEN text ELSE array_join(filter(split(text, '\n'), (x, i) -> NOT array_contains(_removed, i)), '\n') END")
     joined = joined.withColumn("_text", kept).where("_removed IS NULL OR _text RLIKE '[^ \\t-\\r]'")

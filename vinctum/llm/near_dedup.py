@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import setsketch
 from .arrow import Memo, slices
-from .common import materialize
+from .common import materialize, without
 from .graph import components
 
 BAND_ROWS = 6
@@ -185,5 +185,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_hundred: int = 80, broadcas
 
 def keep_one(docs: DataFrame, k: int = 5, per_hundred: int = 80) -> DataFrame:
     """The input without the documents that another one of their component stands for."""
-    gone = near_duplicates(docs, k, per_hundred).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return without(docs, near_duplicates(docs, k, per_hundred).where("NOT kept").select("doc_id"))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, words_of
+from .common import SPACE_CLASS, fenced_where, words_of
 
 #: Runs without one of the symbols # * $ % & | < >
 NO_SYMBOL = "[^#*$%&|<>]+"
@@ -94,4 +94,4 @@ def keep(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """The rows that pass, with the input's columns."""
     # metrics are taken from a copy of the text, so that columns of the same names survive
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
-    return judge(boxed, rules, "_text").where("kept").select("_row.*")
+    return fenced_where(judge(boxed, rules, "_text"), "kept").select("_row.*")
