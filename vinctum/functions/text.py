@@ -84,7 +84,7 @@ def artifact_text(title, markdown, html, json) -> Column:
     """The title and the first of markdown, stripped html and json that is given."""
     body = F.coalesce(blank_to_null(markdown), F.when(blank_to_null(html).isNotNull(), strip_tags(html)), blank_to_null(json))
     title = F.coalesce(c(title), F.lit(""))
-    return F.when(body.isNull(), title).otherwise(F.trim(F.concat(title, F.lit("\n"), body)))
+    return F.when(body.isNull(), title).otherwise(F.trim(F.concat(title, F.lit("\n"), body), F.lit(" \t\r\n")))
 
 
 def record_text(*parts, default: str = "sin datos") -> Column:
