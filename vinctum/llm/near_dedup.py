@@ -34,6 +34,8 @@ BANDS = setsketch.M // BAND_ROWS
 MEMO_WORDS = 200_000
 #: Ids of texts to verify are broadcast up to this number (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Pairs whose registers are compared at once.
+PAIR_BLOCK = 8192
 _P = np.uint64(0x9E3779B185EBCA87)
 
 
@@ -115,30 +117,48 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, per_hundred: int, broad
 
 
 def _across(members: DataFrame, per_hundred: int) -> DataFrame:
-    """members (key, comp, rep, n, regs): pairs of one bucket in different components that the registers allow, but those with the least member."""
+    """members (key, comp, rep, n, regs): pairs of one bucket in different components that the registers allow."""
+
+    def judged(xs: list, ys: list):
+        """Many pairs at once: (rep, n, regs) of both sides."""
+        (ra, na, a), (rb, nb, b) = ([np.concatenate(c) for c in zip(*side)] for side in (xs, ys))
+        near = np.flatnonzero((a == b).sum(1) >= (per_hundred / 100 - 0.2) * setsketch.M)  # far below what may_reach lets pass
+        a, b = a[near], b[near]
+        ok = near[setsketch.may_reach((a > b).sum(1), (a < b).sum(1), na[near].astype(float), nb[near].astype(float), per_hundred / 100)]
+        if len(ok):
+            yield pa.RecordBatch.from_arrays([pa.array(ra[ok]), pa.array(rb[ok])], names=["a", "b"])
 
     def pairs(rep, comp, n, regs):
+        """Blocks of pairs of one bucket, each pair once, the lesser id first."""
         order = np.argsort(rep, kind="stable")
         rep, comp, n, regs = rep[order], comp[order], n[order], regs[order]
-        for i in range(1, len(rep) - 1):
+        for i in range(len(rep) - 1):
             js = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
             js = js[100 * np.minimum(n[js], n[i]) >= per_hundred * np.maximum(n[js], n[i])]
-            for at in range(0, len(js), 4096):
-                j = js[at : at + 4096]
-                ok = setsketch.may_reach((regs[i] > regs[j]).sum(1), (regs[i] < regs[j]).sum(1), np.full(len(j), float(n[i])), n[j].astype(float), per_hundred / 100)
-                if ok.any():
-                    yield np.full(int(ok.sum()), rep[i]), rep[j[ok]]
+            for at in range(0, len(js), PAIR_BLOCK):
+                j = js[at : at + PAIR_BLOCK]
+                same = np.full(len(j), i)
+                yield (rep[same], n[same], regs[same]), (rep[j], n[j], regs[j])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
+        xs, ys, size = [], [], 0
 
         def flush():
+            nonlocal size
             if held:
                 t = pa.Table.from_batches(held)
-                regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), "<u2").reshape(t.num_rows, -1)
-                for a, b in pairs(t.column("rep").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(), regs):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
                 held.clear()
+                regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), "<u2").reshape(t.num_rows, -1)
+                for x, y in pairs(t.column("rep").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(), regs):
+                    xs.append(x)
+                    ys.append(y)
+                    size += len(x[0])
+                    if size >= PAIR_BLOCK:
+                        size = 0
+                        yield from judged(xs, ys)
+                        xs.clear()
+                        ys.clear()
 
         last = None
         for batch in batches:
@@ -151,6 +171,8 @@ def _across(members: DataFrame, per_hundred: int) -> DataFrame:
                         last = keys[s]
                     held.append(batch.slice(s, e - s))
         yield from flush()
+        if xs:
+            yield from judged(xs, ys)
 
     return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
