@@ -5,9 +5,10 @@ with fewer words the whole sequence is the one shingle. Documents are linked at
 `per_hundred` / 100 or more.
 
 Equal sets are one class from the start, so copies cost one row each. Class members meet in 42 bands of 6 registers (a pair at 0.8
-misses all of them with a chance below 1 in 300,000). In a bucket each member is paired with the least one;
-pairs that the likelihood allows are verified on the full sets of both texts. Where a bucket still holds several components, its remaining
-pairs across components are put to the likelihood and verified too, so no link between components is lost to the star.
+misses all of them with a chance below 1 in 300,000). A class is first paired with one least member of its buckets, then
+with one of each other component that it meets; pairs that the likelihood allows are verified on the full sets of both texts. Where a bucket
+still holds several components, its remaining pairs across components are put to the likelihood and verified too, so no link
+between components is lost to these stars, while a group of n copies costs about n pairs.
 
 Null, empty and blank texts have no shingle: linked with nothing, their own component, kept. Rows without doc_id: the
 same, with a null component. Repeated rows are in one component, each repeated row is returned.
@@ -185,19 +186,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_hundred: int = 80, broadcas
     reps = materialize(with_set.groupBy("set_hash", "n", "regs").agg(F.min("doc_id").alias("rep")), "classes")
     bands = reps.select("rep", F.explode(F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(regs, {2 * BAND_ROWS * i + 1}, {2 * BAND_ROWS})")) for i in range(BANDS)])).alias("key"))
     shared = bands.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("size")).where("center < last").drop("last")
-    buckets = materialize(bands.join(shared, "key"), "buckets")
-    stars = buckets.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    candidates = materialize(_allowed(stars, reps, per_hundred), "candidates")
-    links = materialize(_verified(candidates, docs, k, per_hundred, broadcast_ids), "links")
+    buckets = materialize(bands.join(shared.drop("size"), "key"), "buckets")
+    stars = materialize(buckets.where("rep <> center").select("center", "rep").distinct(), "stars")
+
+    def confirm(pairs: DataFrame, name: str) -> DataFrame:
+        return materialize(_verified(materialize(pairs, f"{name}-candidates"), docs, k, per_hundred, broadcast_ids), name)
+
+    def component_of(df: DataFrame, col: str, comps: DataFrame) -> DataFrame:
+        c = comps.select(F.col("id").alias(col), F.col("component").alias(f"{col}_comp"))
+        return df.join(c, col, "left").withColumn(f"{col}_comp", F.coalesce(f"{col}_comp", col))
+
+    # first one center per class: most of a large group of copies hangs together by that
+    first = stars.groupBy("rep").agg(F.min("center").alias("a")).select("a", F.col("rep").alias("b"))
+    links = confirm(_allowed(first, reps, per_hundred), "links1")
     comps = components(links)
-    # buckets of three or more that still hold several components: equal buckets of different bands are looked at once
-    placed = buckets.where("size > 2").join(comps, buckets["rep"] == comps["id"], "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    # then one center per class and other component
+    apart = component_of(component_of(stars, "rep", comps), "center", comps).where("rep_comp <> center_comp")
+    second = apart.groupBy("rep", "center_comp").agg(F.min("center").alias("a")).select("a", F.col("rep").alias("b"))
+    second = second.join(first, ["a", "b"], "left_anti")
+    more = confirm(_allowed(second, reps, per_hundred), "links2")
+    if more.limit(1).count():
+        links = materialize(links.unionByName(more), "links12")
+        comps = components(links)
+    # buckets that still hold several components, whole; equal buckets of different bands are looked at once
+    placed = component_of(buckets.select("key", "rep"), "rep", comps).withColumnRenamed("rep_comp", "comp")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members"), F.count(F.lit(1)).alias("size")).where("c0 < c1")
     mixed = mixed.groupBy("members", "size").agg(F.min("key").alias("key")).select("key")
     members = placed.join(mixed, "key").join(reps.select("rep", "n", "regs"), "rep").select("key", "comp", "rep", "n", "regs")
-    more = materialize(_across(members, per_hundred), "across")
-    if more.limit(1).count():
-        links = materialize(links.unionByName(_verified(more, docs, k, per_hundred, broadcast_ids)), "all-links")
+    tested = first.unionByName(second)
+    rest = confirm(_across(members, per_hundred).join(tested, ["a", "b"], "left_anti"), "links3")
+    if rest.limit(1).count():
+        links = materialize(links.unionByName(rest), "links123")
         comps = components(links)
     classes = reps.select("set_hash", "rep").join(comps, reps["rep"] == comps["id"], "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n", "set_hash").join(classes, "set_hash", "left")
