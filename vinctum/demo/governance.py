@@ -1,5 +1,37 @@
+"""Queries of governance."""
+
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from vinctum.operators import govern as G
+from vinctum.operators import matching
+
 from .views import Registry
 
 Q = Registry()
+_REV = "rev AS (SELECT event_id AS review_id, 'm' || (event_id % 300) AS match_id, CASE event_id % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rejected' ELSE 'note' END AS decision, ts AS seen FROM events)"
+
+
+@Q("apply_reviews", "events", sql=f"WITH {_REV}, last AS (SELECT match_id, decision FROM rev WHERE decision IN ('confirmed', 'rejected') QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY seen DESC, review_id DESC) = 1), c AS (SELECT DISTINCT 'm' || (event_id % 310) AS id FROM events) SELECT id, coalesce(decision, 'in_review') AS status FROM c LEFT JOIN last ON match_id = id")
+def apply_reviews(e):
+    """Only reviews set a status."""
+    reviews = e.select(F.col("event_id").alias("review_id"), F.concat(F.lit("m"), (F.col("event_id") % 300).cast("string")).alias("match_id"), F.when(F.col("event_id") % 4 == 0, "confirmed").when(F.col("event_id") % 4 == 1, "rejected").otherwise("note").alias("decision"), F.col("ts").alias("at"), F.col("user_id").alias("reviewer"))
+    cands = e.select(F.concat(F.lit("m"), (F.col("event_id") % 310).cast("string")).alias("id")).distinct().withColumn("status", F.lit("in_review"))
+    return G.apply_reviews(cands, reviews)[0]
+
+
+Q("secure_read", "v_sites", sql="SELECT k, lat FROM v_sites")(lambda s: G.secure_read(s, "reviewer", "sites", "2024-01-01").select("k", "lat"))
+Q("chat_view", "conversations", sql="SELECT conv_id, turn, 'Persona ' || a AS alias FROM (SELECT conv_id, turn, role FROM conversations) JOIN (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn), role) AS a FROM conversations GROUP BY conv_id, role) USING (conv_id, role)")(
+    lambda c: G.safe_view(G.chat_view(c, "conv_id", "role", "turn"), ("text",)))
+_V = ("v_consents", "v_artifacts", "v_jobs", "v_events", "v_lineage")
+_HIT = "hit AS (SELECT id FROM v_artifacts WHERE consent_id = 'c6' AND purged IS NULL), reach AS (SELECT id FROM v_events WHERE artifact IN (SELECT id FROM hit) UNION SELECT event FROM v_lineage WHERE artifact IN (SELECT id FROM hit))"
+Q("revoke_counts", *_V, sql=f"WITH {_HIT} SELECT (SELECT count(*) FROM hit) AS purged, (SELECT count(*) FROM v_jobs WHERE status <> 'failed' AND artifact IN (SELECT id FROM hit)) AS failed_jobs, (SELECT count(*) FROM v_events WHERE review <> 'hidden' AND id IN (SELECT id FROM reach)) AS hidden_events, 'asked' AS reason")(
+    lambda c, a, j, e, li: G.revoke(c, a, j, e, li, "c6", "2024-02-01", "asked")["counts"])
+Q("revoke_events", *_V, sql=f"WITH {_HIT} SELECT id, CASE WHEN id IN (SELECT id FROM reach) THEN 'hidden' ELSE review END AS review FROM v_events")(lambda c, a, j, e, li: G.revoke(c, a, j, e, li, "c6", "2024-02-01", "asked")["events"].select("id", "review"))
+Q("events_of", "v_artifacts", "v_events", "v_lineage", sql="SELECT id FROM v_events WHERE artifact IN (SELECT id FROM v_artifacts WHERE run_id = 'run1') OR id IN (SELECT event FROM v_lineage WHERE artifact IN (SELECT id FROM v_artifacts WHERE run_id = 'run1'))")(
+    lambda a, e, li: matching.events_of(a.where("run_id = 'run1'"), e, li))
+Q("attach_lineage", "v_lineage", sql="SELECT event, artifact, CASE WHEN artifact % 4 = 0 THEN 'changed' ELSE role END AS role FROM v_lineage")(lambda li: G.attach_lineage(li, li.where("artifact % 4 = 0").withColumn("role", F.lit("changed"))))
+Q("consent_in_force", "v_consents", sql="SELECT id FROM v_consents WHERE granted <= date '2024-01-20' AND (expires IS NULL OR expires > date '2024-01-20')")(lambda c: G.in_force(c, "2024-01-20", "granted", "expires").select("id"))
+Q("expired_artifacts", "v_artifacts", sql="SELECT id, fetched + retention_days AS expires FROM v_artifacts WHERE fetched + retention_days <= date '2024-03-01' AND purged IS NULL")(lambda a: G.expired(a, "2024-03-01").select("id", "expires"))
+Q("publishable", "v_events", sql="SELECT estado, municipio, kind, count(*) AS n FROM v_events WHERE confidence >= 0.5 AND review = 'approved' AND privacy = 'public' GROUP BY ALL HAVING count(*) >= 1")(lambda e: G.publishable(e, k=1, confident=0.5))

@@ -13,17 +13,17 @@ from .views import Registry
 Q = Registry()
 
 
-@Q("search_people", "v_personas", sql="""WITH hit AS (SELECT id_victimadirecta AS id FROM v_personas WHERE contains(lower(estado), 'an') AND upper(sexo) = 'MUJER' AND (contains(lower(nombre), '00') OR contains(lower(apellido), '00')))
+@Q("search_people", "v_personas", sql="""WITH hit AS (SELECT id_victimadirecta AS id FROM v_personas WHERE contains(lower(estado), 'an') AND upper(sexo) = 'MUJER' AND (contains(lower(nombre), '1') OR contains(lower(apellido), '1')))
 SELECT id, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY id LIMIT 24 OFFSET 3""")
 def search_people(p):
     """F1."""
-    page, total = S.search_people(p, ["nombre", "apellido"], "id_victimadirecta", state="an", sex="mujer", q="00", offset=3)
+    page, total = S.search_people(p, ["nombre", "apellido"], "id_victimadirecta", state="an", sex="mujer", q="1", offset=3)
     return page.select(F.col("id_victimadirecta").alias("id")).join(F.broadcast(total))
 
 
 Q("search_records", "v_records", sql="SELECT id FROM v_records WHERE record_type = 'missing' AND contains(lower(raw_description), 'rosa') ORDER BY id LIMIT 20")(lambda r: S.search_records(r, q="Rosa", record_type="missing").select("id"))
-Q("search_pages", "pages", sql="SELECT page_id, row_number() OVER (ORDER BY page_id)::INT AS rank, substr(html, 1, 160) AS description FROM (SELECT * FROM pages WHERE contains(lower(url), 'mirror') OR contains(lower(html), 'error') OR contains(lower(html), 'mirror') ORDER BY page_id LIMIT 10)")(
-    lambda p: S.search_pages(p.withColumn("both", F.concat("html", F.lit(" "))).where(F.lower("html").rlike("error|mirror") | F.lower("url").contains("mirror")), "url", "html", "").select("page_id", "rank", "description"))
+Q("search_pages", "pages", sql="SELECT page_id, row_number() OVER (ORDER BY page_id)::INT AS rank, substr(html, 1, 160) AS description FROM (SELECT * FROM pages WHERE contains(lower(url), '/fr') OR contains(lower(html), 'est le') ORDER BY page_id LIMIT 10)")(
+    lambda p: S.search_pages(p.withColumn("both", F.concat_ws("|", F.when(F.lower("url").contains("/fr"), "est le"), "html")), "both", "html", "EST LE").select("page_id", "rank", "description"))
 Q("having_mark", "v_personas", sql="SELECT id_victimadirecta AS id FROM v_personas WHERE list_contains(list_transform(string_split(sana_particular, '<br>'), lambda x: trim(x)), 'LUNAR EN CUELLO')")(
     lambda p: S.having_mark(p.withColumn("marks", parse_marks("sana_particular")), "marks", "LUNAR EN CUELLO").select(F.col("id_victimadirecta").alias("id")))
 Q("fetchable", "v_personas", sql="SELECT id_victimadirecta AS id FROM v_personas WHERE fecha_hechos IS NOT NULL AND extranjero <> 'SIN DATO'")(

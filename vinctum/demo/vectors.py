@@ -1,5 +1,128 @@
+"""Queries of vectors, clusters and streams."""
+
 from __future__ import annotations
 
-from .views import Registry
+from pyspark.sql import functions as F
+
+from vinctum.functions import clean as C
+from vinctum.functions.text import tokens_ascii
+from vinctum.operators import aggregate as A
+from vinctum.operators import vectors as V
+from vinctum.sources.files import scratch
+from vinctum.streaming import feeds
+
+from .aggregates import AGED
+from .views import Registry, load
 
 Q = Registry()
+
+
+def people(r):
+    return r.withColumns({"age": C.age_at("nacimiento", "fecha"), "year": F.year("fecha"), "month": F.month("fecha")})
+
+
+_FNV = "list_reduce(list_prepend({seed}::BIGINT, list_transform(range(1, length({t}) + 1), lambda i: ascii(substr({t}, i, 1))::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+
+
+@Q("vectorize", "v_registry", sql=f"""
+WITH {AGED}, h AS (SELECT id, age, sexo, year(fecha) AS y, month(fecha) AS m, {_FNV.format(seed=2166136261 ^ 11, t="('EST|' || entidad)")} AS he, {_FNV.format(seed=2166136261 ^ 23, t="('MUN|' || cve_ent || '|' || municipio)")} AS hm FROM aged)
+SELECT id, round(coalesce((age - 31.9::DOUBLE) / 14.5::DOUBLE, 0) + CASE sexo WHEN 'HOMBRE' THEN 2 WHEN 'MUJER' THEN 3 ELSE 4 END + 5 * (y - 1964) / 62.0::DOUBLE + 6 * sin(2 * pi() * m / 12) + 7 * cos(2 * pi() * m / 12) + (8 + he % 32) * CASE WHEN (he >> 1) & 1 = 1 THEN 1 ELSE -1 END + (40 + hm % 64) * CASE WHEN (hm >> 1) & 1 = 1 THEN 1 ELSE -1 END, 6) AS digest, 103 AS dims FROM h""")
+def vectorize(r):
+    """The digest is the sum of place times value."""
+    v = V.vectorize(people(r))
+    return v.select("id", F.round(F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6).alias("digest"), F.size("vec").alias("dims"))
+
+
+_COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
+Q("cosine_to_first", "embeddings", sql=f"SELECT b.vec_id, round({_COS}, 6) AS similarity FROM embeddings b JOIN embeddings a ON a.vec_id = b.vec_id - b.vec_id % 10")(
+    lambda e: e.join(e.select(F.col("vec_id").alias("first"), F.col("embedding").alias("v")), F.col("vec_id") - F.col("vec_id") % 10 == F.col("first")).select("vec_id", F.round(V.cosine("embedding", "v"), 6).alias("similarity")))
+Q("normalized_length", "embeddings", sql="SELECT vec_id, 1.0::DOUBLE AS length FROM embeddings")(lambda e: e.select("vec_id", F.round(V.dot(V.l2_normalize(F.col("embedding")), V.l2_normalize(F.col("embedding"))), 6).alias("length")))
+
+
+def _vecs(e):
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+Q("retrieve", "embeddings", sql=f"SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 12) DESC, b.vec_id)::INT AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 QUALIFY rank <= 50")(
+    lambda e: V.retrieve(_vecs(e.where("vec_id % 100 = 0")), _vecs(e), 50).select("query_id", "id", "rank"))
+Q("similar_above", "embeddings", sql=f"SELECT query_id, id, round(s, 6) AS similarity FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COS} AS s FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(s, 12) DESC, b.vec_id) <= 10) WHERE s >= 0.5")(
+    lambda e: V.retrieve(_vecs(e.where("vec_id % 100 = 0")), _vecs(e), 10, threshold=0.5).select("query_id", "id", F.round("similarity", 6).alias("similarity")))
+
+
+@Q("greedy_duplicates", "v_registry")
+def greedy_duplicates(r):
+    """E3, per municipality."""
+    v = V.vectorize(people(r)).withColumn("block", F.concat_ws("|", "cve_ent", "municipio"))
+    return V.greedy_duplicates(v, "block").select("block", "seed", "size", F.round("similarity", 6).alias("similarity"))
+
+
+@Q("window_clusters", "events")
+def window_clusters(e):
+    """E4 over days per user."""
+    days = e.select("user_id", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).alias("day"))
+    return V.window_clusters(days, ["user_id"], "day", max_span=2)
+
+
+@Q("cluster_rollup", "v_registry")
+def cluster_rollup(r):
+    """A10 over the clusters of young adults, in months."""
+    young = people(r).where("age BETWEEN 18 AND 29").withColumn("m", F.col("year") * 12 + F.col("month"))
+    c = V.window_clusters(young, ["cve_ent", "municipio"], "m", max_span=6)
+    return A.cluster_rollup(c.withColumn("municipio", F.concat_ws("|", "cve_ent", "municipio")))
+
+
+@Q("embedding_backfill", "documents", sql="SELECT doc_id AS id, 64 AS dims FROM documents")
+def embedding_backfill(d):
+    """Documents without a vector get one."""
+    records = d.select(F.col("doc_id").alias("id"), tokens_ascii("text").alias("tokens"))
+    have = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.array_repeat(F.lit(0.0), 64).alias("vec"))
+    return V.backfill(records, have, V.hash_embedder(64)).select("id", F.size("vec").alias("dims"))
+
+
+def _finish(query, spark, out, schema):
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(out)
+
+
+def live_match(spark, sf_dir):
+    """Suppliers arrive as bodies."""
+    out, state = scratch(spark, "live"), scratch(spark, "live-state")
+    stream = feeds.read_table_stream(spark, sf_dir, "supplier")
+    bodies = stream.select(F.concat(F.lit("C"), F.col("s_suppkey").cast("string")).alias("codigo"), F.when(F.col("s_suppkey") % 2 == 0, "HOMBRE").otherwise("MUJER").alias("sexo"), (20 + F.col("s_suppkey") % 40).cast("int").alias("edad_min"), (26 + F.col("s_suppkey") % 40).cast("int").alias("edad_max"), F.lit(170).alias("estatura_cm"), F.lit("TATUAJE ROSA ROJA EN MANO DERECHO").alias("sana_particular"), F.lit("FRANCE").alias("estado"), F.lit("1999-07-10").alias("fecha_hallazgo"))
+    q = feeds.live_match(bodies, load(spark, sf_dir, "v_personas"), out, state)
+    return _finish(q, spark, f"{out}/*", "b_id string, p_id string, score double, rank int").select("b_id", "p_id", "score", "rank")
+
+
+def case_feed(spark, sf_dir):
+    """One event type, each id once."""
+    out, state = scratch(spark, "feed"), scratch(spark, "feed-state")
+    s = feeds.case_feed(feeds.read_table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts", "event_type = 'error'")
+    q = s.select("event_id", "user_id").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    return _finish(q, spark, out, "event_id long, user_id long")
+
+
+def notifications(spark, sf_dir):
+    """X3."""
+    out, state = scratch(spark, "notes"), scratch(spark, "notes-state")
+    events = load(spark, sf_dir, "events")
+    links = events.select((F.col("user_id") % 50).alias("case_id"), F.col("user_id")).distinct()
+    s = feeds.read_table_stream(spark, sf_dir, "events").withColumn("case_id", F.col("event_id") % 50)
+    q = feeds.notify(s, links, {"click": "nueva coincidencia", "error": "nueva evidencia", "view": "nuevo mensaje"}, out, state)
+    return _finish(q, spark, f"{out}/*", "case_id long, kind string, text string, user_id long").groupBy("case_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def refresh_contents(spark, sf_dir):
+    """X4."""
+    out, state = scratch(spark, "fresh"), scratch(spark, "fresh-state")
+    pages = load(spark, sf_dir, "pages")
+    seen = pages.where("page_id % 3 = 0").select(F.sha2("html", 256).alias("content_hash")).distinct()
+    s = feeds.read_table_stream(spark, sf_dir, "pages").withColumn("content_hash", F.sha2("html", 256))
+    return _finish(feeds.refresh(s, seen, out, state), spark, f"{out}/*", "page_id long, content_hash string").select("content_hash")
+
+
+Q.queries |= {f.__name__: f for f in (live_match, case_feed, notifications, refresh_contents)}
+Q.oracles |= {
+    "case_feed": "SELECT DISTINCT event_id, user_id FROM events WHERE event_type = 'error'",
+    "notifications": "WITH l AS (SELECT DISTINCT user_id % 50 AS case_id, user_id FROM events) SELECT case_id, event_type AS kind, count(*) AS n FROM (SELECT event_id % 50 AS case_id, event_type FROM events WHERE event_type IN ('click', 'error', 'view')) JOIN l USING (case_id) GROUP BY ALL",
+    "refresh_contents": "SELECT DISTINCT sha256(html) AS content_hash FROM pages WHERE sha256(html) NOT IN (SELECT sha256(html) FROM pages WHERE page_id % 3 = 0)",
+}
