@@ -7,8 +7,8 @@ Lines of fewer than `min_words` distinct words are never compared and stay.
 
 Equal sets are one class with one first place. Rarity comes from a fixed number of counters that cover every word of
 every text; any fixed order gives the same result, a good one only spares work. A class is posted under the rarest words of its prefix;
-words counted once are left out, as nobody can share them. For each later class of a posting list the
-most alike earlier ones that pass the filters are verified; where a class had more of them and none was confirmed, a second round verifies all.
+words counted once are left out, as nobody can share them. For each later class the most alike
+earlier one that passes the filters is verified; where it had others and that one isn't confirmed, a second round verifies them all.
 
 Null and empty texts have no lines to compare. Rows without doc_id are never compared and stay. Rows that repeat a doc_id count as
 one text's lines place by place. Columns other than doc_id, text and n_chars pass through.
@@ -21,109 +21,161 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import Memo, slices
+from .arrow import slices
 from .common import by_size, materialize
+from .setsketch import mix
 
 MIN_WORDS = 5
 PER_HUNDRED = 80
-#: Counters of word rarity, as a power of two; the driver and each Python worker hold them in 2 bytes each.
-RARITY_BITS = 22
+#: Counters of word rarity, as a power of two; the driver and each Python worker hold them in one byte each.
+RARITY_BITS = 24
 _SLICE = 1 << 16
-MEMO_WORDS = 200_000
-#: Candidates verified at first per class and posting list.
-FIRST_ROUND = 4
+#: Texts are turned to words in slices of about this many bytes.
+SLICE_BYTES = 2 << 20
 BROADCAST_IDS = 1_000_000
 #: Removed lines are broadcast to the rewrite up to this number (4 bytes each, 8 more counted per document).
 BROADCAST_LINES = 8_000_000
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_P = 0x9E3779B97F4A7C15
+_P_INVERSE = pow(_P, -1, 1 << 64)
+
+
+class Words:
+    """Words of many texts at once: 64-bit hashes by prefix sums over the bytes, without a Python object per word."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up))
+            steps = np.full((2, size + 1), 1, np.uint64)
+            steps[0, 1:], steps[1, 1:] = _P, _P_INVERSE
+            self.up, self.down = np.cumprod(steps, axis=1)
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per word: hash, number of its text, number of its line in the text."""
+        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        self._powers(len(data) + 1)
+        space = _SPACE[data]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        edge = edge if space[0] else np.concatenate([[0], edge])
+        begin, end = edge[::2], edge[1::2]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=sums[1:])
+        h = mix((sums[end] - sums[begin]) * self.down[begin])
+        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+        text = np.searchsorted(starts, begin, side="right") - 1
+        ends_before = np.concatenate([[0], np.cumsum(data == 10)])
+        return h, text, ends_before[begin] - ends_before[starts[text]]
+
+
+def byte_slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    for batch in batches:
+        texts = batch.column(text).cast(pa.large_binary()).to_pylist()
+        at, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t or b"")
+            if size >= SLICE_BYTES or i == len(texts) - 1:
+                yield batch.slice(at, i + 1 - at), [x or b"" for x in texts[at : i + 1]]
+                at, size = i + 1, 0
 
 
 def line_sets(text: str | None) -> list[list[bytes]]:
     return [line.split() for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
 
 
+def _level(counts: np.ndarray) -> np.ndarray:
+    """A byte that grows with the count: exact to 32, then eight steps per doubling."""
+    return np.where(counts <= 32, counts, np.minimum(255, 32 + np.log2(np.maximum(counts, 1) / 32) * 8)).astype(np.uint8)
+
+
 def _rarity(docs: DataFrame, bits: int) -> np.ndarray:
-    """How often the words of each counter occur in all texts, cut off at 65535."""
+    """For each counter the level of how often its words occur in all texts."""
+    schema = "slice int, places binary, counts binary"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(lambda w: xxhash.xxh3_64_intdigest(w) & ((1 << bits) - 1), MEMO_WORDS)
-        total = np.zeros(1 << bits, np.int32)
-        for part in slices(batches):
-            codes = [c for t in part.column(0).to_pylist() if t for c in map(memo.__getitem__, t.encode("utf-8", "surrogatepass").lower().split())]
-            np.add.at(total, np.array(codes, np.int64), 1)
-        yield from parts(np.minimum(total, 65535).astype("<u2"))
+    def pack(i: int, x: np.ndarray) -> tuple:
+        at = np.flatnonzero(x)
+        return i, at.astype("<u2").tobytes(), x[at].astype("<i8").tobytes()
 
-    def parts(total: np.ndarray):
-        cuts = [(i, total[i * _SLICE : (i + 1) * _SLICE]) for i in range(-(-len(total) // _SLICE))]
-        cuts = [(i, x) for i, x in cuts if x.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in cuts], pa.int32()), pa.array([x.tobytes() for _, x in cuts], pa.binary())], names=["slice", "counts"])
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["slice", "places", "counts"])
 
-    def add(batches):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, total = Words(), np.zeros(1 << bits, np.int32)
+        for _, texts in byte_slices(batches, 0):
+            h, _, _ = words.of(texts)
+            place, n = np.unique((h & np.uint64((1 << bits) - 1)).astype(np.int64), return_counts=True)
+            total[place] += n.astype(np.int32)
+        cuts = total.reshape(-1, min(_SLICE, 1 << bits))
+        rows = [pack(i, x) for i, x in enumerate(cuts) if x.any()]
+        if rows:
+            yield batch(rows)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(raw, "<u2").astype(np.int64)
-                sums[i] = sums[i] + x if i in sums else x
+            for i, at, n in zip(*(b.column(c).to_pylist() for c in range(3))):
+                sums.setdefault(i, np.zeros(_SLICE, np.int64))[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 65535).astype("<u2").tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_level(x).tobytes() for x in sums.values()], pa.binary())], names=["slice", "levels"])
 
-    schema = "slice int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema).collect()  # 2 bytes a counter
-    out = np.zeros(1 << bits, np.uint16)
+    # one byte a counter reaches the driver
+    rows = docs.select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(add, "slice int, levels binary").collect()
+    out = np.zeros((max(1, (1 << bits) // _SLICE), min(_SLICE, 1 << bits)), np.uint8)
     for r in rows:
-        x = np.frombuffer(r["counts"], "<u2")
-        out[r["slice"] * _SLICE : r["slice"] * _SLICE + len(x)] = x
-    return out
+        out[r["slice"]] = np.frombuffer(r["levels"], np.uint8)[: out.shape[1]]
+    return out.reshape(-1)
 
 
 def _signatures(docs: DataFrame, min_words: int, per_hundred: int, bits: int) -> DataFrame:
-    """Per document and class of its lines: doc_id, lines (their places), set_hash, n, prefix (word hashes by rarity, 0 where nobody else has the word), b0, b1."""
+    """Per document and class of its lines: doc_id, lines (their places), set_hash, n, prefix (word hashes by rarity, 0 where nobody else has the word), b0, b1.
+
+    b0 and b1 are 128 bits, each the parity of the words that fall on it: bits that differ between two sets bound their symmetric difference.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_rarity(docs, bits))
     schema = "doc_id long, lines array<int>, set_hash binary, n int, prefix array<int>, b0 long, b1 long"
     kinds = [pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64()]
     names = ["doc_id", "lines", "set_hash", "n", "prefix", "b0", "b1"]
 
-    def run(batches):
-        rarity, memo = shared.value, Memo(xxhash.xxh3_64_intdigest, MEMO_WORDS)
-        low = np.uint64((1 << 48) - 1)
-        for part in slices(batches):
-            owner, place, words, sizes = [], [], [], []
-            for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                for i, w in enumerate(line_sets(t)):
-                    if len(w) >= min_words:
-                        owner.append(d)
-                        place.append(i)
-                        sizes.append(len(w))
-                        words += w
-            if not sizes:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity, words = shared.value, Words()
+        low, zero = np.uint64((1 << 56) - 1), np.uint64(0)
+        for part, texts in byte_slices(batches, 1):
+            ids = part.column(0).to_pylist()
+            h, text, line = words.of(texts)
+            if not len(h):
                 continue
-            h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-            line = np.repeat(np.arange(len(sizes)), sizes)
+            new = np.concatenate([[True], (text[1:] != text[:-1]) | (line[1:] != line[:-1])])
+            of = np.cumsum(new) - 1  # number of the line among lines with words
+            owner, place = text[new], line[new]
             rare = rarity[(h & np.uint64((1 << bits) - 1)).astype(np.int64)]
-            key = (rare.astype(np.uint64) << np.uint64(48)) | (h & low)
-            order = np.lexsort((key, line))
-            h, key, line, rare = h[order], key[order], line[order], rare[order]
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])])
-            h, line, rare = h[new], line[new], rare[new]
-            n = np.bincount(line, minlength=len(sizes))
+            key = (rare.astype(np.uint64) << np.uint64(56)) | (h & low)
+            order = np.lexsort((key, of))
+            h, key, of, rare = h[order], key[order], of[order], rare[order]
+            once = np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])])
+            h, of, rare = h[once], of[once], rare[once]
+            n = np.bincount(of, minlength=len(owner))
             begin = np.cumsum(n) - n
-            bit = (h >> np.uint64(40)) & np.uint64(127)
+            bit = (h >> np.uint64(32)) & np.uint64(127)
             one = np.uint64(1) << (bit & np.uint64(63))
-            b0 = np.bitwise_or.reduceat(np.where(bit < 64, one, np.uint64(0)), begin).view(np.int64)
-            b1 = np.bitwise_or.reduceat(np.where(bit >= 64, one, np.uint64(0)), begin).view(np.int64)
+            b0, b1 = (np.bitwise_xor.reduceat(np.where(side, one, zero), begin).view(np.int64) for side in (bit < 64, bit >= 64))
             posted = np.where(rare <= 1, np.uint32(0), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32)
             length = n - (per_hundred * n + 99) // 100 + 1
             out: dict[tuple, list] = {}
-            for i in np.flatnonzero(n >= min_words):
-                s = begin[i]
-                k = owner[i], blake2b(h[s : s + n[i]].tobytes(), digest_size=16).digest()
+            raw = h.tobytes()
+            for i in np.flatnonzero(n >= min_words).tolist():
+                s = int(begin[i])
+                k = int(owner[i]), blake2b(raw[8 * s : 8 * (s + int(n[i]))], digest_size=16).digest()
                 if k in out:
-                    out[k][1].append(place[i])
+                    out[k][1].append(int(place[i]))
                 else:
-                    out[k] = [owner[i], [place[i]], k[1], n[i], posted[s : s + length[i]], b0[i], b1[i]]
+                    out[k] = [ids[k[0]], [int(place[i])], k[1], int(n[i]), posted[s : s + int(length[i])], int(b0[i]), int(b1[i])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out.values()), kinds)], names=names)
 
@@ -131,11 +183,15 @@ def _signatures(docs: DataFrame, min_words: int, per_hundred: int, bits: int) ->
     return rows.mapInArrow(run, schema)
 
 
-def _pairs(postings: DataFrame, per_hundred: int, first_round: int | None) -> DataFrame:
-    """postings (token, doc, line, n, pos, b0, b1[, asked]) -> pairs (later, earlier) that pass, and whether the later one has more in the list."""
+def _pairs(postings: DataFrame, per_hundred: int, best_only: bool) -> DataFrame:
+    """postings (token, doc, line, n, pos, b0, b1[, asked]) -> pairs (x later, y earlier) that pass the filters.
+
+    best_only: per later class the most alike earlier one of all its lists, and whether it had others (`more`). Else all pairs
+    whose later class is asked for. Lists are read from sorted rows; pairs of one distance in the list are judged together.
+    """
     t = per_hundred / 100
     asked = "asked" in postings.columns
-    names = ["x_doc", "x_line", "y_doc", "y_line", "more"]
+    names = ["x_doc", "x_line", "y_doc", "y_line", "score", "more"]
 
     def found(cols: dict[str, np.ndarray]):
         # within a list rows are sorted by place, so i is earlier than i + d
@@ -164,15 +220,13 @@ def _pairs(postings: DataFrame, per_hundred: int, first_round: int | None) -> Da
             return None
         x, y, score = np.concatenate(xs), np.concatenate(ys), np.concatenate(scores)
         more = np.zeros(len(x), bool)
-        if first_round is not None and len(x):
+        if best_only and len(x):
             order = np.lexsort((y, score, x))
-            x, y = x[order], y[order]
+            x, y, score = x[order], y[order], score[order]
             begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-            size = np.diff(np.append(begin, len(x)))
-            nth = np.arange(len(x)) - np.repeat(begin, size)
-            keep = nth < first_round
-            x, y, more = x[keep], y[keep], np.repeat(size > first_round, size)[keep]
-        return pa.RecordBatch.from_arrays([pa.array(cols["doc"][x]), pa.array(cols["line"][x]), pa.array(cols["doc"][y]), pa.array(cols["line"][y]), pa.array(more)], names=names)
+            more = np.diff(np.append(begin, len(x))) > 1
+            x, y, score = x[begin], y[begin], score[begin]
+        return pa.RecordBatch.from_arrays([pa.array(cols["doc"][x]), pa.array(cols["line"][x]), pa.array(cols["doc"][y]), pa.array(cols["line"][y]), pa.array(score), pa.array(more)], names=names)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -198,8 +252,13 @@ def _pairs(postings: DataFrame, per_hundred: int, first_round: int | None) -> Da
                 yield out
 
     dealt = postings.repartition("token").sortWithinPartitions("token", "doc", "line")
-    pairs = dealt.mapInArrow(run, "x_doc long, x_line int, y_doc long, y_line int, more boolean")
-    return pairs.groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.max("more").alias("more"))
+    pairs = dealt.mapInArrow(run, "x_doc long, x_line int, y_doc long, y_line int, score double, more boolean")
+    if not best_only:
+        return pairs.select("x_doc", "x_line", "y_doc", "y_line").distinct()
+    # an order of plain numbers decides: score, then place; ties of the first two are one document's lines
+    y = F.struct("score", "y_doc", "y_line")
+    best = pairs.groupBy("x_doc", "x_line").agg(F.min(y).alias("y"), F.max(y).alias("z"), F.bool_or("more").alias("more"))
+    return best.select("x_doc", "x_line", "y.y_doc", "y.y_line", (F.col("more") | (F.col("y.y_doc") != F.col("z.y_doc")) | (F.col("y.y_line") != F.col("z.y_line"))).alias("more"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, per_hundred: int, broadcast_ids: int) -> DataFrame:
@@ -228,24 +287,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, per_hundred: int, broadcast_ids
     return both.mapInArrow(run, "x_doc long, x_line int, y_doc long, y_line int")
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, per_hundred: int = PER_HUNDRED, rarity_bits: int = RARITY_BITS, first_round: int = FIRST_ROUND, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, per_hundred: int = PER_HUNDRED, rarity_bits: int = RARITY_BITS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """doc_id, removed array<int> (sorted places of removed lines), for documents that lose a line."""
     sig = materialize(_signatures(docs, min_words, per_hundred, rarity_bits), "lines")
     first = F.array_min("lines")
-    whole = sig.groupBy("set_hash", "n", "prefix", "b0", "b1").agg(F.min("doc_id").alias("doc"), F.min_by(first, "doc_id").alias("line"))
 
-    def posted(classes: DataFrame) -> DataFrame:
-        return classes.select("doc", "line", "n", "b0", "b1", F.posexplode("prefix").alias("pos", "token")).where("token <> 0").select("token", "doc", "line", "n", "pos", "b0", "b1")
+    def classes(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("set_hash", "n", "prefix", "b0", "b1").agg(F.min("doc_id").alias("doc"), F.min_by(first, "doc_id").alias("line"))
+
+    def posted(rows: DataFrame) -> DataFrame:
+        return rows.select("doc", "line", "n", "b0", "b1", F.posexplode("prefix").alias("pos", "token")).where("token <> 0").select("token", "doc", "line", "n", "pos", "b0", "b1")
 
-    pairs = materialize(_pairs(posted(whole), per_hundred, first_round), "line-pairs")
+    pairs = materialize(_pairs(posted(classes(sig)), per_hundred, True), "line-pairs")
     matched = materialize(_verified(pairs, docs, per_hundred, broadcast_ids), "line-matches").select("x_doc", "x_line").distinct()
-    open_ = materialize(pairs.where("more").select("x_doc", "x_line").distinct().join(matched, ["x_doc", "x_line"], "left_anti"), "line-open")
-    if open_.limit(1).count():
-        postings = posted(whole)
-        asked = postings.join(open_.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"), F.lit(True).alias("asked")), ["doc", "line"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-        lists = asked.where("asked").select("token").distinct()
-        rest = _pairs(asked.join(lists, "token", "left_semi").select("token", "doc", "line", "n", "pos", "b0", "b1", "asked"), per_hundred, None)
-        rest = materialize(rest.join(pairs, ["x_doc", "x_line", "y_doc", "y_line"], "left_anti"), "line-pairs-2")
+    left = materialize(pairs.where("more").select("x_doc", "x_line").join(matched, ["x_doc", "x_line"], "left_anti"), "line-open")
+    if left.limit(1).count():
+        # the second round reads only rows that share a prefix word with a class that is still open
+        opened = F.col("doc_id") == F.col("x_doc")
+        mine = sig.join(left, opened & F.array_contains("lines", F.col("x_line")), "left_semi")
+        tokens = by_size(mine.select(F.explode("prefix").alias("w")).where("w <> 0").distinct(), "line-tokens", broadcast_ids)
+        near = posted(sig.select(F.col("doc_id").alias("doc"), first.alias("line"), "n", "b0", "b1", "prefix", "set_hash")).join(tokens.withColumnRenamed("w", "token"), "token", "left_semi")
+        own = classes(sig).select("doc", "line")
+        near = near.join(own, ["doc", "line"], "left_semi")
+        asked = near.join(left.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"), F.lit(True).alias("asked")), ["doc", "line"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        rest = materialize(_pairs(asked, per_hundred, False).join(pairs, ["x_doc", "x_line", "y_doc", "y_line"], "left_anti"), "line-pairs-2")
         matched = matched.unionByName(_verified(rest, docs, per_hundred, broadcast_ids).select("x_doc", "x_line").distinct())
     firsts = sig.groupBy("set_hash").agg(F.min("doc_id").alias("x_doc"), F.min_by(first, "doc_id").alias("x_line"))
     classes = firsts.join(matched.withColumn("later", F.lit(True)), ["x_doc", "x_line"], "left")
