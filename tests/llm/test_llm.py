@@ -1,0 +1,398 @@
+"""The ten operators and the pipeline against SQL, public libraries and brute force, and their edge cases."""
+
+import base64
+import json
+import random
+import zlib
+from collections import Counter, defaultdict
+from hashlib import sha256
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from vinctum.llm import bpe, decontaminate, language_id, line_dedup, near_dedup, pii, quality_rules, secret_scan, setsketch, sharding, token_counts
+from vinctum.llm.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall())
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and blank texts, repeated rows, a long text."""
+    long = " ".join(f"w{i % 977} of the" for i in range(40_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n\t ", "en", "s", 4), (4, "one", "en", "s", 3), (5, "one", "en", "s", 3), (5, "one", "en", "s", 3), (None, "a b c d e f g", "fr", None, 13), (7, long, "en", "s", len(long)), (8, "Größe ÉCOLE naïve ñandú 日本 😀", "de", "s", 9)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_gives_the_rows_of_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = QUERIES[name](spark, SF)
+    cur = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    cols = sorted(names)
+    assert sorted(repr([r[c] for c in cols]) for r in df.collect()) == sorted(repr([r[names.index(c)] for c in cols]) for r in cur.fetchall())
+
+
+# --- every operator takes every odd table
+
+
+def _all(docs, bench):
+    yield "op1", line_dedup.report(docs), True
+    yield "op1 texts", line_dedup.dedup_lines(docs), False
+    yield "op2", pii.replace_pii(docs, "k"), True
+    yield "op3", sharding.assign_shards(docs), True
+    yield "op4", bpe.encode_digests(docs, WORD), True
+    yield "op5", language_id.identify(docs, language_id.train(docs, epochs=2)), True
+    yield "op6", near_dedup.near_duplicates(docs, k=2), True
+    yield "op7", decontaminate.report(docs, bench), False
+    yield "op8", secret_scan.digests(docs), True
+    yield "op9", token_counts.count_tokens(docs, BYTE), True
+    yield "op10", quality_rules.judge(docs), True
+
+
+def test_odd_rows_are_all_answered(spark, odd):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").unionByName(spark.createDataFrame([(None, "x y"), (999, None), (998, "")], "item_id long, text string"))
+    for name, out, each in _all(odd.withColumn("size", F.lit(1)).withColumn("n_words", F.lit("clash")).withColumn("kept", F.lit("clash")), bench):
+        n = out.count()
+        assert n == 9 if each else n > 0, name
+
+
+def test_empty_tables(spark, empty):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    for name, out, _ in _all(empty, bench):
+        assert out.count() == 0, name
+
+
+# --- 1 line dedup
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(60)]
+    base = [[rng.choice(vocab) for _ in range(rng.randint(3, 30))] for _ in range(25)]
+    rows = []
+    for d in range(40):
+        lines = []
+        for _ in range(rng.randint(1, 8)):
+            line = list(rng.choice(base))
+            for _ in range(rng.choice([0, 0, 1, 2, 5])):
+                line[rng.randrange(len(line))] = rng.choice(vocab)
+            lines.append(" ".join(line).upper() if rng.random() < 0.1 else " ".join(line))
+        rows.append((d, "\n".join(lines), "en", "s", 0))
+    seen, want = [], defaultdict(list)
+    for d, t, *_ in rows:
+        for i, line in enumerate(t.lower().split("\n")):
+            s = set(line.split())
+            if len(s) >= 5:
+                if any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                    want[d].append(i)
+                seen.append(s)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.removed for r in line_dedup.removed_lines(df).collect()}
+    assert got == dict(want)
+    kept = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    for d, t, *_ in rows:
+        left = [x for i, x in enumerate(t.split("\n")) if i not in want[d]]
+        assert (d in kept) == bool(left)
+        if left:
+            assert kept[d].text == "\n".join(left)
+
+
+# --- 2 surrogates
+
+
+def test_surrogates_keep_type_format_and_identity(spark):
+    rows = [(1, "Mail a.b@x.org and a.b@x.org, call +1 (599) 555-3756, card 4111 1111 1111 1111. Mr. John Smith met Frau Anna Smith; Mr. Smith left. IP 10.2.3.4"), (2, "Again a.b@x.org; господин Иван Петров; 4999999999999999")]
+    out = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    t = out[1].text
+    for real in ("a.b@x.org", "555-3756", "4111 1111", "John", "Anna", "Smith", "10.2.3.4"):
+        assert real not in t and real not in out[2].text
+    mails = [w.strip(",;") for w in (t + " " + out[2].text).split() if "@" in w]
+    assert len(mails) == 3 and len(set(mails)) == 1 and mails[0].endswith(".org")
+    card = t.split("card ")[1][:19]
+    digits = [int(c) for c in reversed(card) if c.isdigit()]
+    assert card[0] == "4" and card[4] == " " and sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+    names = t.split("Mr. ")
+    assert names[1].split()[1] == names[2].split()[0] == t.split("Frau ")[1].split()[1].strip(";")  # one surname
+    assert "+1 (" in t and out[1].n_entities == 8
+    assert all("Ѐ" <= c <= "ӿ" for c in out[2].text.split("господин ")[1].split(";")[0].replace(" ", ""))
+
+
+def test_surrogates_are_distinct_and_no_real_entity(spark, docs):
+    ents = pii.entities(docs).withColumn("s", F.expr(pii.surrogate_sql("kind", "entity", "0", "k")))
+    fixed = pii.exceptions(docs, "k").withColumnRenamed("surrogate", "s2")
+    final = ents.join(fixed, ["kind", "entity"], "left").withColumn("s", F.coalesce("s2", "s")).collect()
+    real = {(r.kind, r.entity) for r in final}
+    assert len({(r.kind, r.s) for r in final}) == len(final) and not real & {(r.kind, r.s) for r in final}
+
+
+def test_colliding_surrogates_draw_again(spark):
+    rows = [(i, f"Mr. {chr(65 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676)}o wrote.") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.exceptions(df, "k").count() > 0
+    out = [r.text for r in pii.replace_pii(df, "k").collect()]
+    assert len(set(out)) == len({t for _, t in rows})
+
+
+# --- 3 sharding
+
+
+def test_shards_are_contiguous_and_balanced(spark, docs):
+    rows = sorted((r.doc_id, r["size"], r.shard, r.slot) for r in sharding.assign_shards(docs, 8, n_blocks=7).collect())
+    total, longest = sum(r[1] for r in rows), max(r[1] for r in rows)
+    assert [r[2] for r in rows] == sorted(r[2] for r in rows)
+    for k in range(8):
+        mine = [r for r in rows if r[2] == k]
+        assert [r[3] for r in mine] == list(range(len(mine))) and abs(sum(r[1] for r in mine) - total / 8) <= longest
+
+
+# --- 4, 9 tokenizers
+
+
+def _strange(n=1500, seed=3):
+    rng = random.Random(seed)
+    pools = ["abcdefgh '", "aAbBΣσςİéÉ ", "\x1c\x85\xa0　\n\t  a1", "日本語１２½Ⅷ", "éä́o", "<|endoftext|>", "<|startoftext|>", "'s't're'LL", "!!!***&&", "0123456789", "😀👍🏽‍", "theringtionly", "ẞßſKÅΩ", "\x00\x01_-"]
+    return ["".join(rng.choice([rng.choice(pools), rng.choice(rng.choice(pools))]) for _ in range(rng.randint(0, 60))) for _ in range(n)] + ["a" * 1000, "ab" * 700, "the" * 500 + "*" * 900, ""]
+
+
+def test_bpe_is_the_library(texts):
+    import tokenizers
+
+    t, w = tokenizers.Tokenizer.from_file(WORD), bpe.WordTokenizer(WORD, memo_words=500)
+    for x in [*texts.values(), *_strange()]:
+        ids = t.encode(x, add_special_tokens=False).ids
+        assert w.encode(x) == ids and w.decode(ids) == t.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_query_digests(spark, texts):
+    w = bpe.WordTokenizer(WORD)
+    for r in QUERIES["op4_bpe"](spark, SF).collect():
+        ids = w.encode(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(w.decode(ids).encode()).hexdigest())
+
+
+def test_transducer_counts_are_the_library(texts):
+    import tokenizers
+
+    t, c = tokenizers.Tokenizer.from_file(BYTE), token_counts.Counter(BYTE, memo_words=500, max_arcs=5000)
+    for x in [*texts.values(), *_strange()]:
+        n = len(t.encode(x, add_special_tokens=False).ids)
+        assert c.count(x) == n
+        for size in (1, 7, 50):
+            if 0 < len(x) < 200:
+                assert c.total([c.state_map(x[i : i + size]) for i in range(0, len(x), size)]) == n
+
+
+def test_chunks_of_long_texts_are_put_together(spark, docs):
+    a = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, BYTE).collect()}
+    b = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, BYTE, chunk_chars=100).collect()}
+    assert a == b
+
+
+# --- 5 language identification
+
+
+def test_languages_of_held_out_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = QUERIES["op5_language_id"](spark, "/root/testdata/sf0.01").where("held_out").join(rows.select("doc_id", "lang"), "doc_id").collect()
+    right = sum(r.lang == r.lang_pred for r in out)
+    assert len(out) > 150 and right / len(out) > 0.97 and all(0 <= r.score <= 1 for r in out)
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in out)
+
+
+def test_code_switched_words_and_marginals(texts):
+    rows = duckdb.sql("SELECT text, lang FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()
+    crf = language_id.fit(rows[:400])
+    tag = language_id.Tagger(crf)
+    en, fr = (next(t for t, g in rows[400:] if g == lang and len(t) > 400).split()[:20] for lang in ("en", "fr"))
+    got = [g for _, g, _ in tag.words(" ".join(en + fr))]
+    assert sum(g == "en" for g in got[:20]) >= 17 and sum(g == "fr" for g in got[-20:]) >= 17
+    assert tag.predict(["", "123 !!", "\n"]) == ([language_id.UNKNOWN] * 3, [0.0] * 3)
+
+
+def test_forward_backward_against_enumeration():
+    rng = np.random.default_rng(2)
+    crf = language_id.Crf(["a", "b"], np.zeros((1 << language_id.BITS, 2), np.float32), rng.normal(size=(2, 2)), rng.normal(size=2))
+    emit = rng.normal(size=(1, 4, 2))
+    gamma, moves, norm = crf.marginals(emit, np.array([4]))
+    paths = [[(p >> i) & 1 for i in range(4)] for p in range(16)]
+    w = np.exp([crf.start[p[0]] + sum(emit[0, t, s] for t, s in enumerate(p)) + sum(crf.moves[a, b] for a, b in zip(p, p[1:])) for p in paths])
+    want = np.array([[sum(x for x, p in zip(w, paths) if p[t] == s) for s in (0, 1)] for t in range(4)]) / w.sum()
+    assert np.allclose(gamma[0], want) and np.isclose(norm[0], np.log(w.sum())) and np.isclose(moves.sum(), 3)
+
+
+# --- 6 near duplicates
+
+
+def _components(sets):
+    inv, parent = defaultdict(list), {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in sets.items():
+        for j, n in Counter(j for x in s for j in inv[x]).items():
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+        for x in s:
+            inv[x].append(i)
+    return {i: find(i) for i in sets}
+
+
+def test_components_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: near_dedup.shingle_set(r.text, 2) for r in docs.collect()}
+    want = _components(sets)
+    for r in near_dedup.near_duplicates(docs, k=2).collect():
+        assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
+
+
+def test_chains_of_near_copies(spark):
+    rng = random.Random(1)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    rows, d = [], 0
+    for _ in range(12):
+        t = [word() for _ in range(200)]
+        for _ in range(12):  # each a little further from the first
+            for _ in range(4):
+                t[rng.randrange(200)] = word()
+            rows.append((d, " ".join(t)))
+            d += 1
+    rng.shuffle(rows)
+    sets = {i: near_dedup.shingle_set(t, 2) for i, t in rows}
+    want = _components(dict(sorted(sets.items())))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, k=2, broadcast_ids=1).collect()}
+    assert got == want
+
+
+def test_registers_merge_and_estimate():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    one = lambda e: setsketch.sketch(e, np.zeros(len(e), np.int64), np.array([len(e)]))[0]
+    assert (np.maximum(one(x[:600]), one(x[300:])) == one(x)).all()
+    assert abs((one(x[:600]) == one(x[300:])).mean() - 1 / 3) < 0.12
+
+
+# --- 7 decontamination
+
+
+def test_spans_are_cut_and_short_items_hit(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    rows = [(1, "Before, " + item.upper() + "! after"), (2, " ".join(item.split()[:12])), (3, "say Short Item here"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "short, item"), (3, "")], "item_id long, text string")
+    r = {x.doc_id: x for x in decontaminate.report(docs, bench).collect()}
+    assert (r[1].n_words, r[1].n_hit, r[1]["items"]) == (22, 20, ["1"]) and r[1].contaminated
+    assert r[2].n_hit == 0 and r[3].n_hit == 2 and r[4].n_words == 0
+    assert r == {x.doc_id: x for x in decontaminate.find_hits(docs, bench, broadcast_limit=0).transform(lambda h: decontaminate.report(docs, bench)).collect()}
+    cut = {x.doc_id: x.text for x in decontaminate.decontaminate(docs, bench, remove="span").collect()}
+    assert cut[1] == "Before, after" and cut[3] == "say here" and cut[2] == rows[1][1] and cut[4] is None
+    assert sorted(x.doc_id for x in decontaminate.decontaminate(docs, bench).collect()) == [2, 4]
+
+
+# --- 8 secrets
+
+
+def _der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82, n >> 8, n & 255])) + body
+
+
+def test_structures_are_confirmed_and_lookalikes_are_not():
+    num = lambda n: _der(2, b"\x01" * n)
+    key = _der(0x30, _der(2, b"\x00"), *[num(20)] * 8)
+    b64 = base64.b64encode(key).decode()
+    seg = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
+    jwt = f"{seg({'alg': 'HS256'})}.{seg({'sub': 1})}.{base64.urlsafe_b64encode(b'x' * 32).decode().rstrip('=')}"
+    kinds = lambda t: [k for k, _, _ in secret_scan.scan(t)]
+    assert kinds(f"key {b64} end") == ["der"] and kinds(key.hex()) == ["hex", "der"]
+    assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{b64}\n-----END RSA PRIVATE KEY-----") == ["pem"]
+    assert kinds(f"auth {jwt}") == ["jwt"]
+    assert kinds(f"key {b64[:-8]}AAAAAAAA end") == [] or kinds(base64.b64encode(key[:-3]).decode()) == []
+    assert kinds(f"{seg({'alg': 'none'})}.{seg({})}.{'A' * 43}") == [] and kinds("eyJhbGci.eyJhbGci.eyJhbGci") == []
+    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (b"pub" * 9, b"priv" * 9))
+    assert kinds(base64.b64encode(ssh).decode()) == ["openssh"]
+
+
+def test_base_spans_are_leftmost_and_dropped_ones_use_text_up():
+    t = 'Password: "abcdefghijkl" token=short API-KEY apikey = 123456789012 AKIAABCDEFGHIJKLMN AKIASHORT ſecret=abcdefghijklmn 😀 0123456789abcdef'
+    got = [(k, t[s:e]) for k, s, e in secret_scan.scan(t)]
+    assert got == [("assign", 'Password: "abcdefghijkl'), ("assign", "apikey = 123456789012"), ("access", "AKIAABCDEFGHIJKLMN"), ("hex", "0123456789abcdef")]
+
+
+# --- 10 quality rules
+
+
+def test_kept_rows_keep_their_columns(spark):
+    good = "The cat sat on the mat and the dog was with it in the sun of the day."
+    df = spark.createDataFrame([(1, good, "a"), (2, "too short", "b"), (3, "one two three four five " * 6, "c"), (4, "### $$$ *** " * 5, "d")], "doc_id long, text string, kept string")
+    out = quality_rules.keep(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(1, good, "a")]
+
+
+# --- pipeline
+
+
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline
+
+    sf = SF
+    con = duckdb.connect()
+    rows = con.execute(f"SELECT doc_id, text FROM '{sf}/documents.parquet' ORDER BY doc_id").fetchall()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    ok = {d for d, kept in con.execute(f"SELECT doc_id, kept FROM ({ORACLE_SQL['op10_quality_rules']})").fetchall() if kept}
+    seen, stage2 = [], []
+    for d, t in rows:
+        if d in ok:
+            left, cut = [], False
+            for line in t.split("\n"):
+                s = set(line.encode().lower().split())
+                twin = len(s) >= 5 and any(100 * len(s & o) >= 80 * len(s | o) for o in seen)
+                if len(s) >= 5:
+                    seen.append(s)
+                cut |= twin
+                if not twin:
+                    left.append(line)
+            if not cut or "".join(left).split():
+                stage2.append((d, "\n".join(left)))
+    sets = {d: near_dedup.shingle_set(t, 5) for d, t in stage2}
+    comp = _components(sets)
+    stage3 = [(d, t) for d, t in stage2 if comp[d] == d]
+    con.execute("DROP VIEW documents")
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", stage3)
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{sf}/benchmark.parquet'")
+    bad = {d for d, c in con.execute(f"SELECT doc_id, contaminated FROM ({ORACLE_SQL['op7_decontaminate']})").fetchall() if c}
+    w = bpe.WordTokenizer(WORD)
+    want = {d: len(w.encode(t)) for d, t in stage3 if d not in bad}
+    assert {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, sf).collect()} == want
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near dedup", "decontamination", "bpe"]
