@@ -7,7 +7,7 @@ with fewer words the whole sequence is the one shingle. Documents are linked at
 Equal sets are one class from the start, so copies cost one row each. Class members meet in 42 bands of 6 registers (a pair at 0.8
 misses all of them with a chance below 1 in 300,000). A class is first paired with one least member of its buckets, then
 with one of each other component that it meets; pairs that the likelihood allows are verified on the full sets of both texts. Where a bucket
-still holds several components, its remaining pairs across components are put to the likelihood and verified too, so no link
+still holds several components, all its pairs across components are put to the likelihood and verified where the bucket is, so no link
 between components is lost to these stars, while a group of n copies costs about n pairs.
 
 Null, empty and blank texts have no shingle: linked with nothing, their own component, kept. Rows without doc_id: the
@@ -35,8 +35,8 @@ BANDS = setsketch.M // BAND_ROWS
 MEMO_WORDS = 200_000
 #: Ids of texts to verify are broadcast up to this number (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Pairs whose registers are compared at once.
-PAIR_BLOCK = 8192
+#: Classes of a bucket that one task compares with each other; larger buckets are split into blocks.
+BUCKET_ROWS = 4000
 _P = np.uint64(0x9E3779B185EBCA87)
 
 
@@ -117,65 +117,86 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, per_hundred: int, broad
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def _sets(reps: DataFrame, docs: DataFrame, k: int, broadcast_ids: int) -> DataFrame:
+    """(rep, shingles): the sorted 64-bit hashes of the full sets of the given classes."""
+    few = reps.limit(broadcast_ids + 1).count() <= broadcast_ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(reps) if few else reps, "rep", "left_semi")
+
+    def run(batches):
+        memo = Memo(xxhash.xxh3_64_intdigest, MEMO_WORDS)
+        for part in slices(batches):
+            sets = [shingle_hashes(np.fromiter(map(memo.__getitem__, words(t)), np.uint64), k).tobytes() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+
+    return texts.mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"])
+
+
 def _across(members: DataFrame, per_hundred: int) -> DataFrame:
-    """members (key, comp, rep, n, regs): pairs of one bucket in different components that the registers allow."""
-
-    def judged(xs: list, ys: list):
-        """Many pairs at once: (rep, n, regs) of both sides."""
-        (ra, na, a), (rb, nb, b) = ([np.concatenate(c) for c in zip(*side)] for side in (xs, ys))
-        near = np.flatnonzero((a == b).sum(1) >= (per_hundred / 100 - 0.2) * setsketch.M)  # far below what may_reach lets pass
-        a, b = a[near], b[near]
-        ok = near[setsketch.may_reach((a > b).sum(1), (a < b).sum(1), na[near].astype(float), nb[near].astype(float), per_hundred / 100)]
-        if len(ok):
-            yield pa.RecordBatch.from_arrays([pa.array(ra[ok]), pa.array(rb[ok])], names=["a", "b"])
-
-    def pairs(rep, comp, n, regs):
-        """Blocks of pairs of one bucket, each pair once, the lesser id first."""
-        order = np.argsort(rep, kind="stable")
-        rep, comp, n, regs = rep[order], comp[order], n[order], regs[order]
-        for i in range(len(rep) - 1):
-            js = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-            js = js[100 * np.minimum(n[js], n[i]) >= per_hundred * np.maximum(n[js], n[i])]
-            for at in range(0, len(js), PAIR_BLOCK):
-                j = js[at : at + PAIR_BLOCK]
-                same = np.full(len(j), i)
-                yield (rep[same], n[same], regs[same]), (rep[j], n[j], regs[j])
+    """members (key, i, j, band, block, comp, rep, n, regs, shingles) -> links (a, b) between components of one bucket, verified on the full sets.
+
+    A part (i, j) of a bucket holds its blocks i and j. A row is compared with all rows of other components that it may reach; a link
+    joins the components for the rest of the part, so links found are fewer than components, however many pairs there are.
+    """
+    t = per_hundred / 100
+
+    def links(rows: pa.Table):
+        order = np.argsort(rows.column("rep").to_numpy(), kind="stable")
+        rep, n, block = (rows.column(c).to_numpy()[order] for c in ("rep", "n", "block"))
+        comp = np.unique(rows.column("comp").to_numpy()[order], return_inverse=True)[1]
+        regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), "<u2").reshape(rows.num_rows, -1)[order]
+        raw = rows.column("shingles").to_pylist()
+        sets = [np.frombuffer(raw[o], np.uint64) for o in order]
+        band = rows.column("band")[0].as_py()
+        split = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+        for x in range(len(rep) - 1):
+            ok = (comp[x + 1 :] != comp[x]) & (100 * np.minimum(n[x + 1 :], n[x]) >= per_hundred * np.maximum(n[x + 1 :], n[x]))
+            if split:
+                ok &= block[x + 1 :] != block[x]
+            ys = np.flatnonzero(ok) + x + 1
+            if not len(ys):
+                continue
+            alike = regs[ys] == regs[x]
+            same = alike.sum(1)
+            first = alike.reshape(len(ys), BANDS, BAND_ROWS).all(2).argmax(1) == band
+            near = first & (same >= (t - 0.2) * setsketch.M)  # far below what may_reach lets pass
+            ys, same = ys[near], same[near]
+            if not len(ys):
+                continue
+            more = (regs[x] > regs[ys]).sum(1)
+            fit = setsketch.may_reach(more, setsketch.M - same - more, np.full(len(ys), float(n[x])), n[ys].astype(float), t)
+            ys = ys[fit][np.argsort(-same[fit], kind="stable")]
+            for y in ys.tolist():
+                if comp[y] == comp[x]:
+                    continue
+                a, b = (sets[x], sets[y]) if len(sets[x]) <= len(sets[y]) else (sets[y], sets[x])
+                common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                if 100 * common >= per_hundred * (len(a) + len(b) - common):
+                    comp[comp == comp[y]] = comp[x]
+                    yield int(rep[x]), int(rep[y])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        xs, ys, size = [], [], 0
 
         def flush():
-            nonlocal size
             if held:
-                t = pa.Table.from_batches(held)
+                found = list(links(pa.Table.from_batches(held)))
                 held.clear()
-                regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), "<u2").reshape(t.num_rows, -1)
-                for x, y in pairs(t.column("rep").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(), regs):
-                    xs.append(x)
-                    ys.append(y)
-                    size += len(x[0])
-                    if size >= PAIR_BLOCK:
-                        size = 0
-                        yield from judged(xs, ys)
-                        xs.clear()
-                        ys.clear()
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
         last = None
         for batch in batches:
-            keys = batch.column("key").to_numpy()
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+            part = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
+            cuts = [0, *(np.flatnonzero((part[:, 1:] != part[:, :-1]).any(axis=0)) + 1), batch.num_rows]
             for s, e in zip(cuts, cuts[1:]):
                 if e > s:
-                    if keys[s] != last:
+                    if last != (now := tuple(part[:, s])):
                         yield from flush()
-                        last = keys[s]
+                        last = now
                     held.append(batch.slice(s, e - s))
         yield from flush()
-        if xs:
-            yield from judged(xs, ys)
 
-    return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, per_hundred: int = 80, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -184,7 +205,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_hundred: int = 80, broadcas
     with_set = rows.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
     # one row per distinct set; registers are the same for all of them
     reps = materialize(with_set.groupBy("set_hash", "n", "regs").agg(F.min("doc_id").alias("rep")), "classes")
-    bands = reps.select("rep", F.explode(F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(regs, {2 * BAND_ROWS * i + 1}, {2 * BAND_ROWS})")) for i in range(BANDS)])).alias("key"))
+    bands = reps.select("rep", F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(regs, {2 * BAND_ROWS * i + 1}, {2 * BAND_ROWS})")) for i in range(BANDS)])).alias("band", "key"))
     shared = bands.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("size")).where("center < last").drop("last")
     buckets = materialize(bands.join(shared.drop("size"), "key"), "buckets")
     stars = materialize(buckets.where("rep <> center").select("center", "rep").distinct(), "stars")
@@ -208,13 +229,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_hundred: int = 80, broadcas
     if more.limit(1).count():
         links = materialize(links.unionByName(more), "links12")
         comps = components(links)
-    # buckets that still hold several components, whole; equal buckets of different bands are looked at once
-    placed = component_of(buckets.select("key", "rep"), "rep", comps).withColumnRenamed("rep_comp", "comp")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members"), F.count(F.lit(1)).alias("size")).where("c0 < c1")
-    mixed = mixed.groupBy("members", "size").agg(F.min("key").alias("key")).select("key")
-    members = placed.join(mixed, "key").join(reps.select("rep", "n", "regs"), "rep").select("key", "comp", "rep", "n", "regs")
-    tested = first.unionByName(second)
-    rest = confirm(_across(members, per_hundred).join(tested, ["a", "b"], "left_anti"), "links3")
+    # buckets that still hold several components, whole; a pair is looked at in the first band that it shares
+    placed = component_of(buckets.select("key", "band", "rep"), "rep", comps).withColumnRenamed("rep_comp", "comp")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 < c1").select("key", "size")
+    inside = materialize(placed.join(mixed, "key"), "mixed")
+    sets = _sets(inside.select("rep").distinct(), docs, k, broadcast_ids)
+    # a large bucket is split into blocks; each pair of blocks is a part of its own
+    blocks = F.ceil(F.col("size") / BUCKET_ROWS).cast("long")
+    members = inside.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    members = members.join(reps.select("rep", "n", "regs"), "rep").join(sets, "rep")
+    members = members.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "comp", "rep", "n", "regs", "shingles")
+    rest = materialize(_across(members, per_hundred), "links3")
     if rest.limit(1).count():
         links = materialize(links.unionByName(rest), "links123")
         comps = components(links)

@@ -76,7 +76,7 @@ def may_reach(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
     same = M - more - less
     best = np.full(len(u), -np.inf)
     at = np.zeros(len(u))
-    for step in np.linspace(0, 1, 65):
+    for step in np.linspace(0, 1, 33):
         j = step * most
         value = _likelihood(j, u, v, more, less, same)
         better = value > best
