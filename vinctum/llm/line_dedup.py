@@ -31,10 +31,10 @@ from .setsketch import mix
 MIN_WORDS = 5
 PER_HUNDRED = 80
 #: Counters of word rarity, as a power of two; the driver and each Python worker hold them in one byte each.
-RARITY_BITS = 24
+RARITY_BITS = 23
 _SLICE = 1 << 16
 #: Texts are turned to words in slices of about this many bytes.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 BROADCAST_IDS = 1_000_000
 #: Removed lines are broadcast to the rewrite up to this number (4 bytes each, 8 more counted per document).
 BROADCAST_LINES = 8_000_000
