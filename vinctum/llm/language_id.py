@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .arrow import slices
+from .setsketch import mix
 
 CHAIN = 128
 SAMPLE_DOCS = 150
@@ -34,7 +35,11 @@ TRAIN_WORDS = 300_000
 EPOCHS = 40
 BITS = 16
 MEMO_WORDS = 200_000
+#: New words whose features are hashed together; bounds the memory of a worker.
+WORDS_AT_ONCE = 20_000
 UNKNOWN = "und"
+_P = 0x9E3779B97F4A7C15
+_P_INVERSE = pow(_P, -1, 1 << 64)
 
 
 def letters(token: str) -> str:
@@ -51,20 +56,34 @@ class Crf:
     start: np.ndarray  # log
     lexicon: dict[str, str] = field(default_factory=dict)  # word to the languages that know it
 
-    def features(self, word: str) -> list[int]:
-        w, mask = f"^{word[:40]}$", (1 << BITS) - 1
-        keys = ["w" + word[:40], "k" + self.lexicon.get(word, "")]
-        keys += [f"p{w[:k]}" for k in (2, 3, 4)] + [f"s{w[-k:]}" for k in (2, 3, 4)]
-        keys += [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)]
-        return [zlib.crc32(k.encode()) & mask for k in keys]
+    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the word, feature) of all words at once: hashes of substrings by prefix sums over the letters."""
+        codes = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le", "surrogatepass"), np.uint32)
+        n, last = len(codes), np.flatnonzero(codes == ord("$"))
+        first = np.concatenate([[0], last[:-1] + 1])
+        up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, p, np.uint64)])) for p in (_P, _P_INVERSE))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes.astype(np.uint64) * up[:n])])
+        number = np.arange(len(words))
+        inner = codes != ord("$")
+        two = np.flatnonzero(inner)
+        three = two[inner[two + 1]]
+        of = np.cumsum(codes == ord("^")) - 1
+        spans = [(number, first + 1, last)]
+        spans += [(number, first, np.minimum(first + k, last + 1)) for k in (2, 3, 4)] + [(number, np.maximum(last + 1 - k, first), last + 1) for k in (2, 3, 4)]
+        spans += [(of[two], two, two + 2), (of[three], three, three + 3)]
+        out = [mix((sums[e] - sums[s]) * down[s] + np.uint64(kind)) for kind, (_, s, e) in enumerate(spans, 1)]
+        known = np.fromiter((zlib.crc32(self.lexicon.get(w, "").encode()) for w in words), np.uint64, len(words))
+        mask = np.uint64((1 << BITS) - 1)
+        return np.concatenate([*(w for w, _, _ in spans), number]), (np.concatenate([*out, mix(known)]) & mask).astype(np.int64)
 
     def emissions(self, words: list[str]) -> np.ndarray:
+        k = len(self.langs)
         if not words:
-            return np.zeros((0, len(self.langs)), np.float32)
-        lists = [self.features(w) for w in words]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum()))
-        return np.add.reduceat(self.weights[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+            return np.zeros((0, k), np.float32)
+        if len(words) > WORDS_AT_ONCE:
+            return np.concatenate([self.emissions(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)])
+        owner, feature = self.features(words)
+        return np.stack([np.bincount(owner, self.weights[feature, c], len(words)) for c in range(k)], axis=1).astype(np.float32)
 
     def marginals(self, emit: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """emit: chains by places by languages, chains sorted by size, longest first; marginals of words, expected moves, log norms."""
@@ -140,11 +159,7 @@ def fit(rows: list[tuple[str, str]], train_words: int = TRAIN_WORDS, epochs: int
     labels = np.array([c for c, p in parts for _ in p])
     ids: dict[str, int] = {}
     codes = np.array([ids.setdefault(w, len(ids)) for w in words])
-    # words that were met once stand for unknown ones: their own feature and lexicon entry say nothing
-    lists = [crf.features(w) for w in ids]
-    sizes = np.array([len(x) for x in lists])
-    flat = np.array([i for x in lists for i in x])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    owner, flat = crf.features(list(ids))
     block = np.arange(len(codes)) // CHAIN
     grid, lengths, _ = to_chains(np.arange(len(codes)), block)
     inside = np.arange(grid.shape[1])[None, :] < lengths[:, None]
@@ -156,13 +171,13 @@ def fit(rows: list[tuple[str, str]], train_words: int = TRAIN_WORDS, epochs: int
     params = [crf.weights, crf.moves, crf.start]
     m1, m2 = [np.zeros_like(p, dtype=np.float64) for p in params], [np.zeros_like(p, dtype=np.float64) for p in params]
     for step in range(1, epochs + 1):
-        emit = np.add.reduceat(crf.weights[flat], starts, axis=0)[codes]
+        emit = np.stack([np.bincount(owner, crf.weights[flat, c], len(ids)) for c in range(k)], axis=1)[codes]
         gamma, expected, _ = crf.marginals(emit[grid].astype(np.float64), lengths)
         rest = np.zeros((len(codes), k))
         rest[grid[inside]] = gamma[inside]
         rest[np.arange(len(codes)), labels] -= 1
         per_word = np.stack([np.bincount(codes, rest[:, c], len(ids)) for c in range(k)], axis=1)
-        g = np.stack([np.bincount(flat, np.repeat(per_word[:, c], sizes), 1 << BITS) for c in range(k)], axis=1)
+        g = np.stack([np.bincount(flat, per_word[owner, c], 1 << BITS) for c in range(k)], axis=1)
         grads = [g / len(codes) + 1e-7 * crf.weights, (expected - seen_moves) / len(codes), (gamma[:, 0].sum(axis=0) - seen_start) / len(codes)]
         for p, d, a, b in zip(params, grads, m1, m2):
             a += 0.1 * (d - a)
