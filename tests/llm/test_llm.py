@@ -122,6 +122,23 @@ def test_line_dedup_against_brute_force(spark):
             assert kept[d].text == "\n".join(left)
 
 
+def test_short_lines_are_compared_without_a_floor(spark):
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(7)]
+    rows = [(d, "\n".join(" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(1, 3))), "en", "s", 0) for d in range(60)]
+    rows += [(60, "Share this article\na b c d", "en", "s", 0), (61, "share THIS article\nx x x y", "en", "s", 0), (62, "e a b c d\ny x\n\n", "en", "s", 0)]
+    seen, want = [], defaultdict(list)
+    for d, t, *_ in rows:
+        for i, line in enumerate(t.lower().split("\n")):
+            if s := set(line.split()):
+                if any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                    want[d].append(i)
+                seen.append(s)
+    got = {r.doc_id: r.removed for r in line_dedup.removed_lines(spark.createDataFrame(rows, SCHEMA), min_words=1).collect()}
+    assert got == dict(want) and got[61] == [0] and got[62] == [0, 1]
+    assert QUERIES["op1_line_dedup_all"](spark, SF).where("n_removed > 0").count() >= QUERIES["op1_line_dedup"](spark, SF).where("n_removed > 0").count()
+
+
 # --- 2 surrogates
 
 

@@ -3,10 +3,11 @@
 A line (text between \\n) is its set of distinct words: runs of anything but ASCII white space, A-Z lower-cased. Lines match at a
 Jaccard similarity of `per_hundred` / 100 or more. Order is by doc_id, then by place in the text. A line is removed if any
 earlier line matches it, whether or not that one is itself removed; so a later copy always goes and a first one always stays.
-Lines of fewer than `min_words` distinct words are never compared and stay.
+Lines of fewer than `min_words` distinct words are never compared and stay; with min_words=1 every line that has a word is compared.
 
 Equal sets are one class with one first place. Rarity comes from a fixed number of counters that cover every word of
-every text; any fixed order gives the same result, a good one only spares work. A class is posted under the rarest words of its prefix;
+every text; any fixed order gives the same result, a good one only spares work. A class is posted under the rarest words of its prefix,
+unless it is so short that only an equal set can match it (up to 3 words at 0.8; 4 words match 5);
 words counted once are left out, as nobody can share them. For each later class the most alike
 earlier one that passes the filters is verified; where it had others and that one isn't confirmed, a second round verifies them all.
 
@@ -166,7 +167,8 @@ def _signatures(docs: DataFrame, min_words: int, per_hundred: int, bits: int) ->
             one = np.uint64(1) << (bit & np.uint64(63))
             b0, b1 = (np.bitwise_xor.reduceat(np.where(side, one, zero), begin).view(np.int64) for side in (bit < 64, bit >= 64))
             posted = np.where(rare <= 1, np.uint32(0), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32)
-            length = n - (per_hundred * n + 99) // 100 + 1
+            # where one more word is too many only equal sets match, and these are one class
+            length = np.where(100 * n < per_hundred * (n + 1), 0, n - (per_hundred * n + 99) // 100 + 1)
             out: dict[tuple, list] = {}
             raw = h.tobytes()
             for i in np.flatnonzero(n >= min_words).tolist():

@@ -14,6 +14,11 @@ def op1_line_dedup(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op1_line_dedup_all(spark, sf_dir):
+    """Operator 1 without the floor of words a line; the SQL of op1_line_dedup has one."""
+    return line_dedup.report(table(spark, sf_dir, "documents"), min_words=1)
+
+
 #: In production the key comes from the cluster's secret store; a fixed one makes the registered query repeatable.
 PII_KEY = "vinctum-demo-key"
 
@@ -58,4 +63,4 @@ def op10_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_sharding, op4_bpe, op5_language_id, op6_near_dedup, op7_decontaminate, op8_secret_scan, op9_token_counts, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_sharding, op4_bpe, op5_language_id, op6_near_dedup, op7_decontaminate, op8_secret_scan, op9_token_counts, op10_quality_rules, op1_line_dedup_all)}

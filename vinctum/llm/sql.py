@@ -61,4 +61,7 @@ judged AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_
   NOT base_failed AND n_symbols / n_words <= 0.3 AND word_chars / n_words BETWEEN 1.5 AND 30 AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AND (n_words < 60 OR stops / n_words >= 0.01) AS kept FROM m3)"""
 OP10 = f"WITH {_MEASURED.format(docs='documents')} SELECT * FROM judged"
 
-ORACLE_SQL = {"op1_line_dedup": OP1, "op3_sharding": OP3, "op7_decontaminate": OP7, "op10_quality_rules": OP10}
+#: Every line with a word: the floor is 1.
+OP1_ALL = OP1.replace("WHERE len(w) >= 5", "WHERE len(w) >= 1")
+
+ORACLE_SQL = {"op1_line_dedup": OP1, "op1_line_dedup_all": OP1_ALL, "op3_sharding": OP3, "op7_decontaminate": OP7, "op10_quality_rules": OP10}
