@@ -159,6 +159,17 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert all("Ѐ" <= c <= "ӿ" for c in out[2].text.split("господин ")[1].split(";")[0].replace(" ", ""))
 
 
+def test_untitled_mentions_take_the_surrogates_of_the_titled_one(spark):
+    rows = [(1, "Smith came. Dr. Jane Smith's dog ran. Smith said so; Jane Smith left, Smithson and smith stay. Smith@x.org"), (2, "Mr. John Ronald Smith met Ronald, Smith and Jane."), (3, "Smith is here.")]
+    out = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    a = out[1].text.split()
+    jane, smith = a[3], a[4].removesuffix("'s")
+    assert a[0] == smith and a[7] == smith and (a[10], a[11]) == (jane, smith) and "Smithson and smith stay." in out[1].text
+    assert (out[1].n_entities, out[1].n_name, out[1].n_email) == (5, 4, 1) and "Smith@" not in out[1].text
+    b = out[2].text.replace(",", "").split()
+    assert b[3] == smith and b[5:7] == [b[2], smith] and b[8] == "Jane." and out[2].n_entities == 3 and out[3].text == rows[2][1]
+
+
 def test_surrogates_are_distinct_and_no_real_entity(spark, docs):
     ents = pii.entities(docs).withColumn("s", F.expr(pii.surrogate_sql("kind", "entity", "0", "k")))
     fixed = pii.exceptions(docs, "k").withColumnRenamed("surrogate", "s2")

@@ -1,7 +1,8 @@
 """Surrogates for personal data: keyed, type-consistent, distinct and the same at every mention; DataFrame functions only.
 
 Found by pattern: e-mail addresses, IPv4 addresses, telephone numbers, card-like numbers of 13 to 19 digits, social security numbers, and
-names after a title (up to two capitalised words; names without a title are not looked for). A surrogate is drawn from a keyed
+names after a title (all capitalised words that follow it). Words of a name that was found so are replaced at every other mention in the
+same text too, with or without a title; names that have no title anywhere in their text are not looked for. A surrogate is drawn from a keyed
 hash of type and entity, character by character: digits, capitals and small letters stay what they are, in Latin,
 Cyrillic or Greek script; punctuation, e-mail top-level domains, dialling codes and cards' first digits stay; valid card check
 digits stay valid. Name words are mapped one by one, so that a later mention by surname alone agrees with the full name; given
@@ -39,10 +40,13 @@ IP = rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.[
 SSN = rf"{_W}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_N}"
 CARD = rf"{_W}(?:[0-9]{{4}}[ -]){{3}}[0-9]{{1,7}}{_N}|{_W}[0-9]{{13,19}}{_N}"
 PHONE = rf"(?<![\p{{L}}\p{{N}}+])\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,4}}(?:[ .-]?[0-9]{{2,4}}){{1,4}}{_N}|\([0-9]{{3}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}{_N}|{_W}[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}}{_N}"
-NAME = rf"{_W}(?:{_TITLES})\.? \p{{Lu}}[\p{{Ll}}'’-]+(?: \p{{Lu}}[\p{{Ll}}'’-]+)?{_N}"
+#: A possessive ending is not part of the word.
+_WORD = r"\p{Lu}[\p{Ll}'’-]*\p{Ll}(?<!['’]s)"
+NAME = rf"{_W}(?:{_TITLES})\.? {_WORD}(?: {_WORD})*{_N}"
 ANY = f"{EMAIL}|{IP}|{SSN}|{CARD}|{PHONE}|{NAME}"
 #: A text without any of these has no entity.
 _QUICK = rf"[0-9@]|{_W}(?:{_TITLES})\.? \p{{Lu}}"
+_TITLED = rf"^(?:{_TITLES})\.? "
 _ROUNDS = 40
 BROADCAST_ROWS = 100_000
 
@@ -60,11 +64,11 @@ def _kind(m: str) -> str:
 
 
 def _units(m: str) -> str:
-    """The entities of a match: itself, or the words of a name with their roles."""
+    """The entities of a match: itself, or the words of a titled name with their roles."""
     title = f"regexp_extract({m}, {_q(f'^({_TITLES})')}, 1)"
     role = f"CASE WHEN {title} IN ({', '.join(map(_q, MALE))}) THEN 'given_m' WHEN {title} IN ({', '.join(map(_q, FEMALE))}) THEN 'given_f' ELSE 'given_n' END"
-    names = f"slice(split({m}, ' '), 2, 2)"
-    return f"CASE WHEN {_kind(m)} = 'name' THEN transform({names}, (w, k) -> named_struct('kind', CASE WHEN k = 0 AND size({names}) = 2 THEN {role} ELSE 'surname' END, 'entity', w)) ELSE array(named_struct('kind', {_kind(m)}, 'entity', {m})) END"
+    names = f"slice(split({m}, ' '), 2, size(split({m}, ' ')))"
+    return f"CASE WHEN {_kind(m)} = 'name' THEN transform({names}, (w, k) -> named_struct('kind', CASE WHEN k = 0 AND size({names}) > 1 THEN {role} ELSE 'surname' END, 'entity', w)) ELSE array(named_struct('kind', {_kind(m)}, 'entity', {m})) END"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -117,6 +121,17 @@ def _matches(text: str) -> str:
     return f"CASE WHEN {text} RLIKE {_q(_QUICK)} THEN regexp_extract_all({text}, {_q(ANY)}, 0) ELSE cast(array() as array<string>) END"
 
 
+def _people(m: str) -> str:
+    """The name words of a text's titled matches."""
+    return f"array_distinct(flatten(transform(filter({m}, x -> {_kind('x')} = 'name'), x -> {_units('x')})))"
+
+
+def _mention(m: str, people: str) -> str:
+    """The entities of a match of the second pass: the words of an untitled mention are those found after a title, the first found first."""
+    known = f"transform(split({m}, ' '), w -> get(filter({people}, p -> p.entity = w), 0))"
+    return f"CASE WHEN {_kind(m)} = 'name' AND NOT {m} RLIKE {_q(_TITLED)} THEN {known} ELSE {_units(m)} END"
+
+
 def entities(docs: DataFrame) -> DataFrame:
     """Distinct (kind, entity) of the whole table."""
     found = docs.select(F.expr(_matches("text")).alias("m")).where(F.size("m") > 0)
@@ -152,20 +167,23 @@ def exceptions(docs: DataFrame, key: str) -> DataFrame:
 def replace_pii(docs: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, text with surrogates, n_entities (mentions), and mentions by type, for every row."""
     other = materialize(exceptions(docs, key), "exceptions")
-    rows = docs.select("doc_id", "text", F.expr(_matches("text")).alias("m"))
+    rows = docs.select("doc_id", "text", F.expr(_matches("text")).alias("titled")).withColumn("people", F.expr(_people("titled")))
+    words = "array_join(transform(people, p -> p.entity), '|')"
+    rows = rows.withColumn("pattern", F.expr(f"CASE WHEN size(people) > 0 THEN concat({_q(f'{ANY}|{_W}(?:')}, {words}, ')(?: (?:', {words}, {_q(f')(?![\\p{{L}}\\p{{N}}]))*{_N}')}) END"))
+    rows = rows.withColumn("m", F.expr("CASE WHEN size(people) > 0 THEN regexp_extract_all(text, pattern, 0) ELSE titled END"))
     if other.limit(1).count():
         # which rows mention an entity that drew again: a map per row
         n = other.count()
-        units = rows.where(F.size("m") > 0).select("doc_id", F.inline(F.expr(f"array_distinct(flatten(transform(m, x -> {_units('x')})))")))
+        units = rows.where(F.size("titled") > 0).select("doc_id", F.inline(F.expr(f"array_distinct(flatten(transform(titled, x -> {_units('x')})))")))
         used = units.join(F.broadcast(other) if n <= broadcast_rows else other, ["kind", "entity"])
         maps = materialize(used.distinct().groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "entity"), "surrogate"))).alias("fix")), "fixes")
         rows = rows.join(F.broadcast(maps) if maps.count() <= broadcast_rows else maps, "doc_id", "left")
         one = f"coalesce(try_element_at(fix, concat_ws('|', u.kind, u.entity)), {surrogate_sql('u.kind', 'u.entity', '0', key)})"
     else:
         one = surrogate_sql("u.kind", "u.entity", "0", key)
-    title = f"regexp_extract(x, {_q(f'^(?:{_TITLES})\\.? ')}, 0)"
-    new = f"transform(m, x -> concat({title}, array_join(transform({_units('x')}, u -> {one}), ' ')))"
-    gaps = f"split(text, {_q(ANY)}, -1)"
+    title = f"regexp_extract(x, {_q(_TITLED)}, 0)"
+    new = f"transform(m, x -> concat({title}, array_join(transform({_mention('x', 'people')}, u -> {one}), ' ')))"
+    gaps = f"CASE WHEN size(people) > 0 THEN split(text, pattern, -1) ELSE split(text, {_q(ANY)}, -1) END"
     text = "CASE WHEN size(m) = 0 THEN text ELSE concat(array_join(transform(new, (x, i) -> concat(get(gaps, i), x)), ''), get(gaps, size(new))) END"
     kinds = F.expr(f"transform(m, x -> {_kind('x')})")
     counts = [F.expr(f"cast(size(filter(kinds, k -> k = '{t}')) as long)").alias(f"n_{t}") for t in TYPES]
