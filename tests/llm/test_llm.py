@@ -186,6 +186,20 @@ def test_colliding_surrogates_draw_again(spark):
     assert len(set(out)) == len({t for _, t in rows})
 
 
+def test_surrogates_outgrow_formats_whose_space_is_used_up(spark):
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}@{b}.com" for a in abc for b in abc]  # every address of this format is real
+    df = spark.createDataFrame(list(enumerate(mails)), "doc_id long, text string")
+    new = {r.text for r in pii.replace_pii(df, "k").collect()}
+    assert len(new) == len(mails) and not new & set(mails) and all(x.endswith(".com") for x in new)
+    kinds = {"email": "a@b.com", "ip": "10.2.3.4", "phone": "+12345", "card": "4111111111111111", "ssn": "123-45-6789", "given_m": "Jo", "surname": "Петров"}
+    rows = spark.createDataFrame(list(kinds.items()), "kind string, entity string")
+    for r in rows.select("kind", "entity", *[F.expr(pii.surrogate_sql("kind", "entity", "9", "k", g)).alias(f"s{g}") for g in (0, 1, 3)]).collect():
+        assert len(r.s0) < len(r.s1) < len(r.s3) and r.s0 != r.entity
+        if r.kind == "card":
+            assert all(sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(s)))) % 10 == 0 for s in (r.s0, r.s1, r.s3))
+
+
 # --- 3 sharding
 
 

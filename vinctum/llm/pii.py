@@ -9,13 +9,17 @@ digits stay valid. Name words are mapped one by one, so that a later mention by
 names end as the title's gender asks. The draw needs no table, so most texts are rewritten in one projection.
 
 Collision checks run over the distinct entities of the whole corpus: where a surrogate equals another entity's, or is itself
-a real entity, the entity draws again until it is distinct. Only texts with such an entity need a join.
+a real entity, the entity draws again until it is distinct. From draw _GROW_AFTER on each draw is longer by a syllable, letter or group of
+digits, so the space outgrows any number of entities and a distinct surrogate always comes; such surrogates keep their type, but not their length (an address
+takes a port, a number another group of digits). Only texts with such an entity need a join.
 
 Null texts stay null and have no entities. Rows are independent; rows that repeat a doc_id are treated alike.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +51,8 @@ ANY = f"{EMAIL}|{IP}|{SSN}|{CARD}|{PHONE}|{NAME}"
 #: A text without any of these has no entity.
 _QUICK = rf"[0-9@]|{_W}(?:{_TITLES})\.? \p{{Lu}}"
 _TITLED = rf"^(?:{_TITLES})\.? "
-_ROUNDS = 40
+#: Draws of the entity's own length before the space grows.
+_GROW_AFTER = 8
 BROADCAST_ROWS = 100_000
 
 
@@ -95,25 +100,36 @@ def _luhn(text: str) -> str:
     return f"aggregate(transform({digits}, (d, i) -> CASE WHEN i % 2 = 0 THEN d WHEN d > 4 THEN 2 * d - 9 ELSE 2 * d END), 0, (a, d) -> a + d)"
 
 
-def _name(entity: str, kind: str) -> str:
+def _more(chars: str, end: int, begin: int = 0) -> str:
+    """Further characters drawn from the end of h, as SQL arguments."""
+    return ", ".join(f"substr({_q(chars)}, {_byte(str(63 - k % 32))} % {len(chars)} + 1, 1)" for k in range(begin, end))
+
+
+def _name(entity: str, kind: str, grow: int = 0) -> str:
     def build(syllables, endings):
         syl = _array(syllables)
+        further = "".join(f"{syl}[{_byte(str(63 - k % 32))} % {len(syllables)}], " for k in range(grow))
         end = "CASE " + " ".join(f"WHEN {kind} = {_q(k)} THEN {_array(v)}[{_byte('9')} % {len(v)}]" for k, v in endings.items()) + " END"
-        return f"concat(initcap({syl}[{_byte('0')} * 256 + {_byte('1')} - ({_byte('0')} * 256 + {_byte('1')}) div {len(syllables)} * {len(syllables)}]), {syl}[{_byte('2')} % {len(syllables)}], {syl}[{_byte('3')} % {len(syllables)}], {end})"
+        return f"concat(initcap({syl}[{_byte('0')} * 256 + {_byte('1')} - ({_byte('0')} * 256 + {_byte('1')}) div {len(syllables)} * {len(syllables)}]), {syl}[{_byte('2')} % {len(syllables)}], {syl}[{_byte('3')} % {len(syllables)}], {further}{end})"
 
     return f"CASE WHEN {entity} RLIKE {_q('\\p{IsCyrillic}')} THEN {build(CYRILLIC, CYRILLIC_ENDINGS)} ELSE {build(SYLLABLES, ENDINGS)} END"
 
 
-def surrogate_sql(kind: str, entity: str, draw: str, key: str) -> str:
-    """SQL of the draw-th surrogate of an entity."""
-    email = f"concat({_mapped(f"regexp_extract({entity}, '(?s)^(.*)[.][^.]*$', 1)")}, regexp_extract({entity}, '[.][^.]*$', 0))"
-    ip = f"array_join(transform(split({entity}, '[.]'), (o, i) -> string({_byte('i')} % 254 + 1)), '.')"
+def surrogate_sql(kind: str, entity: str, draw: str, key: str, grow: int = 0) -> str:
+    """SQL of the draw-th surrogate of an entity, longer by `grow` syllables, letters or groups of digits."""
+    letters = f"concat({_more('abcdefghijklmnopqrstuvwxyz', grow)}), " if grow else ""
+    digits = f"concat({_more('0123456789', grow)})" if grow else "''"
+    pairs = ", ".join(f"concat('-', {_more('0123456789', 2 * k + 2, 2 * k)})" for k in range(grow))
+    group = f"concat({pairs})" if grow else "''"
+    port = f"concat(':', {_more('123456789', grow + 2)})" if grow else "''"
+    email = f"concat({letters}{_mapped(f"regexp_extract({entity}, '(?s)^(.*)[.][^.]*$', 1)")}, regexp_extract({entity}, '[.][^.]*$', 0))"
+    ip = f"concat(array_join(transform(split({entity}, '[.]'), (o, i) -> string({_byte('i')} % 254 + 1)), '.'), {port})"
     code = f"regexp_extract({entity}, '^[+][0-9]{{1,3}}(?=[^0-9])', 0)"
-    phone = f"concat({code}, {_mapped(f'substr({entity}, length({code}) + 1)')})"
-    drawn = f"concat(left({entity}, 1), {_mapped(f'substr({entity}, 2)')})"
-    checked = _let(f"concat(left({drawn}, length({entity}) - 1), '0')", "z", f"concat(left(z, length(z) - 1), string((10 - {_luhn('z')} % 10) % 10))")
+    phone = f"concat({code}, {_mapped(f'substr({entity}, length({code}) + 1)')}, {group})"
+    drawn = f"concat(left({entity}, 1), {_mapped(f'substr({entity}, 2)')}, {digits})"
+    checked = _let(f"concat(left({drawn}, length({entity}) + {grow - 1}), '0')", "z", f"concat(left(z, length(z) - 1), string((10 - {_luhn('z')} % 10) % 10))")
     card = f"CASE WHEN {_luhn(entity)} % 10 = 0 THEN {checked} ELSE {drawn} END"
-    body = f"CASE WHEN {kind} = 'email' THEN {email} WHEN {kind} = 'ip' THEN {ip} WHEN {kind} = 'phone' THEN {phone} WHEN {kind} = 'card' THEN {card} WHEN {kind} = 'ssn' THEN {_mapped(entity)} ELSE {_name(entity, kind)} END"
+    body = f"CASE WHEN {kind} = 'email' THEN {email} WHEN {kind} = 'ip' THEN {ip} WHEN {kind} = 'phone' THEN {phone} WHEN {kind} = 'card' THEN {card} WHEN {kind} = 'ssn' THEN concat({_mapped(entity)}, {group}) ELSE {_name(entity, kind, grow)} END"
     return _let(f"sha2(concat_ws('|', {_q(key)}, {kind}, {entity}, string({draw})), 512)", "h", body)
 
 
@@ -140,13 +156,13 @@ def entities(docs: DataFrame) -> DataFrame:
 
 def exceptions(docs: DataFrame, key: str) -> DataFrame:
     """(kind, entity, surrogate) of those whose first draw collides, with a draw that does not."""
-    draw = lambda df, n: df.withColumn("surrogate", F.expr(surrogate_sql("kind", "entity", str(n), key)))
+    draw = lambda df, n: df.withColumn("surrogate", F.expr(surrogate_sql("kind", "entity", str(n), key, max(0, n - _GROW_AFTER + 1))))
     all_ = materialize(draw(entities(docs), 0), "entities")
     real = all_.select("kind", F.col("entity").alias("surrogate"))
     nth = Window.partitionBy("kind", "surrogate").orderBy("entity")
     done, settled = None, None
     left = all_
-    for n in range(_ROUNDS):
+    for n in count():
         if n:
             left = draw(left.select("kind", "entity"), n)
         clash = left.withColumn("nth", F.row_number().over(nth)).join(real.withColumn("is_real", F.lit(True)), ["kind", "surrogate"], "left")
@@ -161,7 +177,6 @@ def exceptions(docs: DataFrame, key: str) -> DataFrame:
         left = clash.where("again").select("kind", "entity")
         if not left.limit(1).count():
             return done if done is not None else all_.limit(0)
-    raise ValueError(f"some entities found no distinct surrogate in {_ROUNDS} draws")
 
 
 def replace_pii(docs: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
