@@ -96,7 +96,7 @@ def live_match(spark, sf_dir):
 def case_feed(spark, sf_dir):
     """One event type, each id once."""
     out, state = scratch(spark, "feed"), scratch(spark, "feed-state")
-    s = feeds.case_feed(feeds.read_table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts", "event_type = 'error'")
+    s = feeds.case_feed(feeds.read_table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "event_type = 'error'")
     q = s.select("event_id", "user_id").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     return _finish(q, spark, out, "event_id long, user_id long")
 

@@ -26,9 +26,9 @@ def live_match(bodies: DataFrame, personas: DataFrame, out: str, checkpoint: str
     return bodies.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def case_feed(stream: DataFrame, id_col: str, ts: str, keep: str, late: str = "1 hour") -> DataFrame:
-    """Rows of one case, each id once even when the source replays; the watermark bounds the state."""
-    return stream.where(keep).withWatermark(ts, late).dropDuplicatesWithinWatermark([id_col])
+def case_feed(stream: DataFrame, id_col: str, keep: str) -> DataFrame:
+    """Rows of one case, each id once even when the source replays, however late; the state holds every id of the case."""
+    return stream.where(keep).dropDuplicates([id_col])
 
 
 def notify(stream: DataFrame, links: DataFrame, kinds: dict[str, str], out: str, checkpoint: str):
@@ -45,9 +45,14 @@ def notify(stream: DataFrame, links: DataFrame, kinds: dict[str, str], out: str,
 
 
 def refresh(stream: DataFrame, seen: DataFrame, out: str, checkpoint: str):
-    """New contents only: rows whose hash is neither in `seen` nor earlier in the batch."""
+    """New contents only: rows whose hash is neither in `seen` nor earlier in the batch nor written by an earlier epoch."""
 
     def emit(batch: DataFrame, epoch: int) -> None:
-        pending(batch.dropDuplicates(["content_hash"]), seen, ["content_hash"]).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        new = pending(batch.dropDuplicates(["content_hash"]), seen, ["content_hash"])
+        if epoch:
+            # a repeated epoch must not see its own rows
+            before = batch.sparkSession.read.schema("content_hash string, epoch long").parquet(out).where(F.col("epoch") < epoch)
+            new = pending(new, before, ["content_hash"])
+        new.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
