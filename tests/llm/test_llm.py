@@ -385,6 +385,22 @@ def test_structures_are_confirmed_and_lookalikes_are_not():
     assert kinds(base64.b64encode(ssh).decode()) == ["openssh"]
 
 
+def test_keys_are_decoded_in_every_encoding():
+    nums = [_der(2, b"\x01" + bytes([251, 239, 190] * 7))] * 7
+    keys = [_der(0x30, _der(2, b"\x00"), *nums, _der(2, b"\x01" * n)) for n in (20, 21, 22)]  # all paddings
+    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (b"pub" * 9, b"priv" * 9))
+    wrap = lambda s, end="\n": end.join(s[i : i + 64] for i in range(0, len(s), 64))
+    for raw, kind in (*((k, "der") for k in keys), (ssh, "openssh")):
+        std, url = base64.b64encode(raw).decode(), base64.urlsafe_b64encode(raw).decode()
+        mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(raw.hex()))
+        for x in (std, url, wrap(std), wrap(url), wrap(std, "\r\n"), wrap(std, "\\n"), raw.hex(), raw.hex().upper(), mixed, wrap(mixed), url.rstrip("=")):
+            for t in (x, f"key: {x} end", f"Look\n{x}\nNothing more here\n", f"{wrap('MAAA' + 'x' * 124)}\n{x}"):
+                got = [(k, t[s:e]) for k, s, e in secret_scan.scan(t) if k in ("der", "openssh")]
+                assert got == [(kind, x)], (kind, t)
+        for cut in (wrap(std[:-8]), raw.hex().upper()[:-2]):
+            assert not [k for k, _, _ in secret_scan.scan(cut) if k in ("der", "openssh")]
+
+
 def test_base_spans_are_leftmost_and_dropped_ones_use_text_up():
     t = 'Password: "abcdefghijkl" token=short API-KEY apikey = 123456789012 AKIAABCDEFGHIJKLMN AKIASHORT ſecret=abcdefghijklmn 😀 0123456789abcdef'
     got = [(k, t[s:e]) for k, s, e in secret_scan.scan(t)]
