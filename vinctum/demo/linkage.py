@@ -113,6 +113,7 @@ def block_reason(p, b):
     return B.block_reason(pairs).groupBy(F.coalesce("block_reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+Q("block_reason_all", "v_personas", "v_cuerpos", sql=f"WITH {TIDY} SELECT reason, count(*)::BIGINT AS n FROM (SELECT coalesce({_REASON}, 'ok') AS reason FROM p, b) GROUP BY reason")(lambda p, b: B.reason_counts(p, b))
 Q("candidate_pairs_b", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT p_id, b_id FROM ok")(lambda p, b: B.candidate_pairs(p, b).select("p_id", "b_id"))
 Q("score_pair_b", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT b_id, p_id, score, tier, s_marks, s_height, s_age, s_geo, s_temporal, n_con::BIGINT AS n_con FROM res")(
     lambda p, b: B.score_pair_b(B.candidate_pairs(p, b)).select("b_id", "p_id", "score", "tier", "s_marks", "s_height", "s_age", "s_geo", "s_temporal", F.size("contradictions").cast("long").alias("n_con")))

@@ -37,6 +37,14 @@ def block_reason(pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFram
     return pairs.withColumn("block_reason", F.expr(reason_sql(cfg)))
 
 
+def reason_counts(personas: DataFrame, bodies: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """(reason, n) over all pairs of both tables, 'ok' where nothing blocks; from the distinct keys of both sides with their counts, so rows are never paired."""
+    p = tidy_personas(personas).groupBy("p_sex", "p_date", "p_age").agg(F.count(F.lit(1)).alias("p_n"))
+    b = tidy_bodies(bodies).groupBy("b_sex", "b_date", "b_lo", "b_hi").agg(F.count(F.lit(1)).alias("b_n"))
+    reason = F.coalesce("block_reason", F.lit("ok")).alias("reason")
+    return block_reason(p.crossJoin(b), cfg).groupBy(reason).agg(F.sum(F.col("p_n") * F.col("b_n")).alias("n"))
+
+
 def candidate_pairs(personas: DataFrame, bodies: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """Tidy pairs that nothing blocks, by a hash join on sex and a ten-year age step, with the rest as a residual."""
     p, b = tidy_personas(personas), tidy_bodies(bodies)

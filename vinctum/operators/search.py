@@ -66,3 +66,19 @@ def similar_names(df: DataFrame, name: str, q: str, min_sim: float) -> DataFrame
     a, b = trigrams(F.col(name)), trigrams(F.lit(q))
     sim = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
     return df.withColumn("similarity", sim).where(F.col("similarity") >= min_sim)
+
+
+def similar_pairs(df: DataFrame, id_col: str, name: str, queries: str, min_sim: float) -> DataFrame:
+    """(query_id, id, similarity) of the rows that `queries` selects against all rows, by trigram sets with a Jaccard similarity of min_sim or more.
+
+    Each set is posted under its rarest trigrams only: sets that are similar share one of them.
+    """
+    rows = df.where(F.col(name).isNotNull()).select(F.col(id_col).alias("id"), trigrams(F.col(name)).alias("g"), F.coalesce(F.expr(queries), F.lit(False)).alias("asks"))
+    one = rows.select("id", "asks", F.size("g").alias("n"), F.explode("g").alias("t"))
+    df_ = one.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    ordered = one.join(df_, "t").groupBy("id", "asks", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))  # a name's trigrams
+    posted = ordered.select("id", "asks", "n", F.explode(F.expr(f"slice(o, 1, cast(n - ceil({min_sim}D * n - 1e-9D) + 1 as int))")).alias("x")).select("id", "asks", "n", "x.t")
+    q = posted.where("asks").select(F.col("id").alias("query_id"), F.col("n").alias("m"), "t")
+    near = q.join(posted.drop("asks"), "t").where(f"least(n, m) >= {min_sim}D * greatest(n, m) - 1e-9D").select("query_id", "id").distinct()
+    both = near.join(rows.select(F.col("id").alias("query_id"), F.col("g").alias("a")), "query_id").join(rows.select("id", F.col("g").alias("b")), "id")
+    return both.select("query_id", "id", (F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).alias("similarity")).where(F.col("similarity") >= min_sim)
