@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vinctum.operators import tables as T
 from vinctum.sources import files
+from vinctum.sources.scratch import scratch
 
 from .views import Registry
 
@@ -76,7 +77,7 @@ def assemble_counts(e):
 @Q("registry_csv", "v_registry", sql="SELECT id, sexo, entidad, strftime(fecha, '%Y-%m-%d') AS fecha FROM v_registry")
 def registry_csv(r):
     """Trimmed strings by column name."""
-    path = files.scratch(r.sparkSession, "csv")
+    path = scratch(r.sparkSession, "csv")
     r.select("id", F.concat(F.lit(" "), "sexo").alias("sexo"), "entidad", F.col("fecha").cast("string").alias("fecha")).write.option("header", True).csv(path)
     return files.read_registry(r.sparkSession, path, "id string, sexo string, entidad string, fecha string")
 
@@ -84,7 +85,7 @@ def registry_csv(r):
 @Q("nested_json", "nation", sql="SELECT n_name AS name, n_regionkey::BIGINT AS region FROM nation")
 def nested_json(n):
     """One document whose result.data.data holds the records."""
-    path = files.scratch(n.sparkSession, "json")
+    path = scratch(n.sparkSession, "json")
     doc = n.agg(F.struct(F.struct(F.struct(F.collect_list(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("region"))).alias("data")).alias("data")).alias("result")).alias("x"))  # 25 nations
     doc.select("x.*").write.json(path)
     return files.read_nested(n.sparkSession, path, "result.data.data", "result struct<data:struct<data:array<struct<name:string,region:bigint>>>>")
@@ -93,7 +94,7 @@ def nested_json(n):
 @Q("jsonl_dropping_bad_lines", "events", sql="SELECT event_id, user_id FROM events WHERE event_id % 10 <> 0")
 def jsonl_dropping_bad_lines(e):
     """S3: broken lines are skipped."""
-    path = files.scratch(e.sparkSession, "jsonl")
+    path = scratch(e.sparkSession, "jsonl")
     e.select(F.when(F.col("event_id") % 10 == 0, '{"event_id": ').otherwise(F.to_json(F.struct("event_id", "user_id"))).alias("value")).write.text(path)
     return files.read_jsonl(e.sparkSession, path, "event_id long, user_id long")
 
@@ -108,7 +109,7 @@ def features_scan(r):
 @Q("geojson", "v_sites", sql="SELECT count(*) AS n FROM v_sites WHERE lat IS NOT NULL AND lng IS NOT NULL")
 def geojson(s):
     """K2: one feature per line, written and read back."""
-    path = files.scratch(s.sparkSession, "geojson")
+    path = scratch(s.sparkSession, "geojson")
     files.to_geojson(s, "lng", "lat", ["entidad", "region"]).write.text(path)
     back = s.sparkSession.read.json(path, schema="type string, geometry struct<type:string,coordinates:array<double>>, properties map<string,string>")
     return back.where("type = 'Feature' AND size(geometry.coordinates) = 2").agg(F.count(F.lit(1)).alias("n"))

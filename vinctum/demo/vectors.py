@@ -8,7 +8,7 @@ from vinctum.functions import clean as C
 from vinctum.functions.text import tokens_ascii
 from vinctum.operators import aggregate as A
 from vinctum.operators import vectors as V
-from vinctum.sources.files import scratch
+from vinctum.sources.scratch import scratch
 from vinctum.streaming import feeds
 
 from .aggregates import AGED
