@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 #: ASCII white space, as a trim set and as a Java character class.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[ \t-\r]+"
@@ -20,20 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared spark.checkpoint.dir; a local one is set only if the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="vinctum-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/vinctum-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back, so that a lost executor costs no recomputation."""
-    path = f"{scratch_dir(df.sparkSession)}-{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have, one for each of `names`."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        new = f"_{name}"
+        while new.lower() in taken:
+            new = f"_{new}"
+        taken.add(new)
+        out.append(new)
+    return out
 
 
 def ascii_lower(col):
@@ -68,5 +64,6 @@ def by_size(df: DataFrame, name: str, max_rows: int, weight=None) -> DataFrame:
 
 def without(docs: DataFrame, ids: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """The rows of docs whose doc_id isn't in the one column of ids; rows without doc_id stay."""
-    gone = by_size(ids.toDF("_gone").distinct(), "gone", max_rows)
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    name = fresh(docs, "gone")[0]
+    gone = by_size(ids.toDF(name).distinct(), "gone", max_rows)
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")

@@ -1,24 +1,25 @@
 """Line dedup by an exact set-similarity join: rarity order, prefix, positional, length and bitmap filters, verified Jaccard.
 
 A line (text between \\n) is its set of distinct words: runs of anything but ASCII white space, A-Z lower-cased. Lines match at a
-Jaccard similarity of `per_hundred` / 100 or more. Order is by doc_id, then by place in the text. A line is removed if any
-earlier line matches it, whether or not that one is itself removed; so a later copy always goes and a first one always stays.
-Lines of fewer than `min_words` distinct words are never compared and stay; with min_words=1 every line that has a word is compared.
-
-Equal sets are one class with one first place. Rarity comes from a fixed number of counters that cover every word of
-every text; any fixed order gives the same result, a good one only spares work. A class is posted under the rarest words of its prefix,
-unless it is so short that only an equal set can match it (up to 3 words at 0.8; 4 words match 5);
-words counted once are left out, as nobody can share them. For each later class the most alike
-earlier one that passes the filters is verified; where it had others and that one isn't confirmed, a second round verifies them all.
-
-Null and empty texts have no lines to compare. Rows without doc_id are never compared and stay. Rows that repeat a doc_id count as
-one text's lines place by place. Columns other than doc_id, text and n_chars pass through.
+Jaccard similarity of `per_hundred` / 100 or more. Order is by doc_id, then by place in the text, then by a hash of the text. A line is
+removed if any earlier line matches it, whether or not that one is itself removed; so a later copy always goes and a first one always
+stays. Every line with a word is compared (`min_words` can raise that).
+
+Equal sets are one class with one first place; classes are numbered in the order of these places. Rarity comes from a fixed
+number of counters that cover every word of every text; any fixed order gives the same result, a good one only spares work. A class is
+posted under the rarest words of its prefix, unless it is so short that only an equal set can match it (up to 3 words at 0.8;
+4 words match 5); words counted once are left out, as nobody can share them. Postings travel packed, a bucket of words at a time. A list
+of more than LIST_ROWS postings is dealt in blocks, each pair of blocks to a part of its own. Of each later class a list gives the BEST
+most alike earlier ones that pass the filters, and these are verified; a class that had more in a list, none of them confirmed,
+is asked for in a second round that verifies all of its candidates.
+
+Null and empty texts have no lines to compare. Rows without doc_id are never compared and stay. Rows that share a doc_id are
+texts of their own; rows equal in doc_id and text are one text and lose the same lines. Columns other than doc_id, text and n_chars pass through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from hashlib import blake2b
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import slices
-from .common import by_size, materialize
+from .common import by_size, fresh, materialize
 from .setsketch import mix
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 PER_HUNDRED = 80
 #: Counters of word rarity, as a power of two; the driver and each Python worker hold them in one byte each.
 RARITY_BITS = 23
@@ -37,8 +38,14 @@ _SLICE = 1 << 16
 #: Texts are turned to words in slices of about this many bytes.
 SLICE_BYTES = 512 << 10
 BROADCAST_IDS = 1_000_000
-#: Removed lines are broadcast to the rewrite up to this number (4 bytes each, 8 more counted per document).
+#: Removed lines are broadcast to the rewrite up to this number (4 bytes each, 16 more counted per document).
 BROADCAST_LINES = 8_000_000
+#: Earlier candidates of a class that one list gives to verification.
+BEST = 4
+#: Postings of a word that are compared in one place; longer lists are dealt in blocks.
+LIST_ROWS = 20_000
+#: Postings of a bucket, on average, and those that a task gathers before it sends them.
+BUCKET_ROWS, SEND_ROWS = 400_000, 1_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -96,27 +103,23 @@ def _level(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= 32, counts, np.minimum(255, 32 + np.log2(np.maximum(counts, 1) / 32) * 8)).astype(np.uint8)
 
 
-def _rarity(docs: DataFrame, bits: int) -> np.ndarray:
-    """For each counter the level of how often its words occur in all texts."""
-    schema = "slice int, places binary, counts binary"
-
-    def pack(i: int, x: np.ndarray) -> tuple:
-        at = np.flatnonzero(x)
-        return i, at.astype("<u2").tobytes(), x[at].astype("<i8").tobytes()
+def _counted(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, give: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(slice, value): counters of the hashes' low `bits` bits over all rows, _SLICE of them a row, each row as give() has it."""
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["slice", "places", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = Words(), np.zeros(1 << bits, np.int32)
-        for _, texts in byte_slices(batches, 0):
-            h, _, _ = words.of(texts)
+        total = np.zeros(1 << bits, np.int64)
+        for h in hashes(batches):
             place, n = np.unique((h & np.uint64((1 << bits) - 1)).astype(np.int64), return_counts=True)
-            total[place] += n.astype(np.int32)
-        cuts = total.reshape(-1, min(_SLICE, 1 << bits))
-        rows = [pack(i, x) for i, x in enumerate(cuts) if x.any()]
+            total[place] += n
+        rows = []
+        for i, x in enumerate(total.reshape(-1, min(_SLICE, 1 << bits))):
+            if len(at := np.flatnonzero(x)):
+                rows.append((i, at.astype("<u2").tobytes(), x[at].astype("<i8").tobytes()))
         if rows:
-            yield batch(rows)
+            yield pack(rows)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -124,31 +127,39 @@ def _rarity(docs: DataFrame, bits: int) -> np.ndarray:
             for i, at, n in zip(*(b.column(c).to_pylist() for c in range(3))):
                 sums.setdefault(i, np.zeros(_SLICE, np.int64))[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_level(x).tobytes() for x in sums.values()], pa.binary())], names=["slice", "levels"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([give(x) for x in sums.values()], pa.binary())], names=["slice", "value"])
+
+    return df.mapInArrow(count, "slice int, places binary, counts binary").repartition("slice").mapInArrow(add, "slice int, value binary")
+
+
+def _rarity(docs: DataFrame, bits: int) -> np.ndarray:
+    """For each counter the level of how often its words occur in all texts; one byte a counter reaches the driver."""
+
+    def hashes(batches):
+        words = Words()
+        for _, texts in byte_slices(batches, 0):
+            yield words.of(texts)[0]
 
-    # one byte a counter reaches the driver
-    rows = docs.select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(add, "slice int, levels binary").collect()
     out = np.zeros((max(1, (1 << bits) // _SLICE), min(_SLICE, 1 << bits)), np.uint8)
-    for r in rows:
-        out[r["slice"]] = np.frombuffer(r["levels"], np.uint8)[: out.shape[1]]
+    for r in _counted(docs.select("text"), hashes, bits, lambda x: _level(x).tobytes()).collect():
+        out[r["slice"]] = np.frombuffer(r["value"], np.uint8)[: out.shape[1]]
     return out.reshape(-1)
 
 
 def _signatures(docs: DataFrame, min_words: int, per_hundred: int, bits: int) -> DataFrame:
-    """Per document and class of its lines: doc_id, lines (their places), set_hash, n, prefix (word hashes by rarity, 0 where nobody else has the word), b0, b1.
+    """Per text and class of its lines: doc, version (a hash of the text), lines (their places), h0, h1, n, prefix (word hashes by rarity, 0 where nobody else has the word), b0, b1.
 
-    b0 and b1 are 128 bits, each the parity of the words that fall on it: bits that differ between two sets bound their symmetric difference.
+    h0 and h1 are two sums over independent hashes of the distinct words. b0 and b1 are 128 bits, each the parity of the words that
+    fall on it: bits that differ between two sets bound their symmetric difference.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_rarity(docs, bits))
-    schema = "doc_id long, lines array<int>, set_hash binary, n int, prefix array<int>, b0 long, b1 long"
-    kinds = [pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64()]
-    names = ["doc_id", "lines", "set_hash", "n", "prefix", "b0", "b1"]
+    schema = "doc long, version long, lines array<int>, h0 long, h1 long, n int, prefix array<int>, b0 long, b1 long"
+    names = ["doc", "version", "lines", "h0", "h1", "n", "prefix", "b0", "b1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity, words = shared.value, Words()
-        low, zero = np.uint64((1 << 56) - 1), np.uint64(0)
-        for part, texts in byte_slices(batches, 1):
-            ids = part.column(0).to_pylist()
+        zero = np.uint64(0)
+        for part, texts in byte_slices(batches, 2):
             h, text, line = words.of(texts)
             if not len(h):
                 continue
@@ -156,126 +167,235 @@ def _signatures(docs: DataFrame, min_words: int, per_hundred: int, bits: int) ->
             of = np.cumsum(new) - 1  # number of the line among lines with words
             owner, place = text[new], line[new]
             rare = rarity[(h & np.uint64((1 << bits) - 1)).astype(np.int64)]
-            key = (rare.astype(np.uint64) << np.uint64(56)) | (h & low)
-            order = np.lexsort((key, of))
-            h, key, of, rare = h[order], key[order], of[order], rare[order]
-            once = np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])])
+            # by line, rarity and hash: in one key, if that tells all words of a line apart
+            key = (of.astype(np.uint64) << np.uint64(46)) | (rare.astype(np.uint64) << np.uint64(38)) | (h & np.uint64((1 << 38) - 1))
+            order = np.argsort(key)
+            key, g = key[order], h[order]
+            if len(owner) > 1 << 18 or ((key[1:] == key[:-1]) & (g[1:] != g[:-1])).any():
+                order = np.lexsort((h, rare, of))
+                g = h[order]
+            h, of, rare = g, of[order], rare[order]
+            once = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])
             h, of, rare = h[once], of[once], rare[once]
             n = np.bincount(of, minlength=len(owner))
             begin = np.cumsum(n) - n
+            h0, h1 = (np.add.reduceat(mix(h ^ np.uint64(c)), begin) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
             bit = (h >> np.uint64(32)) & np.uint64(127)
             one = np.uint64(1) << (bit & np.uint64(63))
-            b0, b1 = (np.bitwise_xor.reduceat(np.where(side, one, zero), begin).view(np.int64) for side in (bit < 64, bit >= 64))
-            posted = np.where(rare <= 1, np.uint32(0), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32)
+            b0, b1 = (np.bitwise_xor.reduceat(np.where(side, one, zero), begin) for side in (bit < 64, bit >= 64))
+            posted = np.where(rare <= 1, np.uint32(0), np.maximum((h & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.uint32(1))).view(np.int32)
             # where one more word is too many only equal sets match, and these are one class
             length = np.where(100 * n < per_hundred * (n + 1), 0, n - (per_hundred * n + 99) // 100 + 1)
-            out: dict[tuple, list] = {}
-            raw = h.tobytes()
-            for i in np.flatnonzero(n >= min_words).tolist():
-                s = int(begin[i])
-                k = int(owner[i]), blake2b(raw[8 * s : 8 * (s + int(n[i]))], digest_size=16).digest()
-                if k in out:
-                    out[k][1].append(int(place[i]))
-                else:
-                    out[k] = [ids[k[0]], [int(place[i])], k[1], int(n[i]), posted[s : s + int(length[i])], int(b0[i]), int(b1[i])]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out.values()), kinds)], names=names)
-
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+            # a text's lines of one class are one row, its first line leads
+            own = np.flatnonzero(n >= min_words)
+            own = own[np.lexsort((place[own], h1[own], h0[own], owner[own]))]
+            if not len(own):
+                continue
+            fresh_row = np.concatenate([[True], (owner[own[1:]] != owner[own[:-1]]) | (h0[own[1:]] != h0[own[:-1]]) | (h1[own[1:]] != h1[own[:-1]])])
+            starts = np.flatnonzero(fresh_row)
+            lead = own[starts]
+            taken = np.concatenate([[0], np.cumsum(length[lead])])
+            flat = np.repeat(begin[lead] - taken[:-1], length[lead]) + np.arange(taken[-1])
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(o, len(v)).astype(np.int32)), pa.array(v)) for o, v in ((starts, place[own].astype(np.int32)), (taken[:-1], posted[flat]))]
+            ids = [part.column(c).take(pa.array(owner[lead])) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ids, lists[0], *(pa.array(x[lead].view(np.int64)) for x in (h0, h1)), pa.array(n[lead].astype(np.int32)), lists[1], *(pa.array(x[lead].view(np.int64)) for x in (b0, b1))], names=names)
+
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("version"), "text")
     return rows.mapInArrow(run, schema)
 
 
-def _pairs(postings: DataFrame, per_hundred: int, best_only: bool) -> DataFrame:
-    """postings (token, doc, line, n, pos, b0, b1[, asked]) -> pairs (x later, y earlier) that pass the filters.
+def _classes(sig: DataFrame) -> DataFrame:
+    """One row per distinct set: c (its number, in the order of first places), doc, line, version, copies (rows of sig), and the signature."""
+    rows = sig.select("h0", "h1", F.struct("doc", F.element_at("lines", 1).alias("line"), "version").alias("at"), "n", "prefix", "b0", "b1", F.size("lines").alias("k"))
+    by = rows.groupBy("h0", "h1").agg(F.min("at").alias("at"), F.sum("k").alias("copies"), *[F.any_value(c).alias(c) for c in ("n", "prefix", "b0", "b1")])
+    by = by.select("at.*", "h0", "h1", "copies", "n", "prefix", "b0", "b1")
+    return by.repartitionByRange("doc", "line", "version").sortWithinPartitions("doc", "line", "version", "h0").select(F.monotonically_increasing_id().alias("c"), "*")
+
+
+def _slot(token: np.ndarray, part: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(token.astype(np.uint64) | part.astype(np.uint64) << np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per posting of a batch of classes: number of the class in the batch, place in the prefix, word."""
+    prefix = batch.column("prefix").combine_chunks() if isinstance(batch.column("prefix"), pa.ChunkedArray) else batch.column("prefix")
+    size = np.diff(prefix.offsets.to_numpy())
+    token = prefix.flatten().to_numpy().view(np.uint32)
+    row = np.repeat(np.arange(batch.num_rows), size)
+    pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+    on = token != 0
+    return row[on], pos[on], token[on]
+
+
+def _long_lists(classes: DataFrame, bits: int, list_rows: int) -> dict[int, int]:
+    """Of each counter of prefix words over list_rows: into how many blocks its lists are dealt. Their number is that of the postings / list_rows at most."""
+
+    def hashes(batches):
+        for b in batches:
+            yield _tokens(b)[2].astype(np.uint64)
+
+    found = {}
+    rows = _counted(classes.select("prefix"), hashes, bits, lambda x: np.where(x > list_rows, x, 0).astype("<i8").tobytes() if (x > list_rows).any() else b"")
+    for r in rows.where("length(value) > 0").collect():
+        x = np.frombuffer(r["value"], "<i8")
+        found |= {int(r["slice"]) * _SLICE + int(i): int(-(-x[i] // list_rows)) for i in np.flatnonzero(x)}
+    return found
+
+
+def _postings(classes: DataFrame, bits: int, list_rows: int, buckets: int, asked: np.ndarray | None = None, wanted: np.ndarray | None = None) -> DataFrame:
+    """classes -> (bucket, rows, packed, bits): the postings of a bucket of words, as many as a task gathered.
+
+    wanted: only these words' postings. asked: numbers of the classes that are asked for.
+    """
+    long = _long_lists(classes, bits, list_rows)
+    hot = np.array(sorted(long), np.int64)
+    blocks = np.array([long[h] for h in hot.tolist()], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def send():
+            cols = [np.concatenate(x) for x in zip(*held)]
+            held.clear()
+            bucket = _slot(cols[0], cols[1], buckets)
+            order = np.argsort(bucket, kind="stable")
+            cols, bucket = [x[order] for x in cols], bucket[order]
+            cuts = [*np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist(), len(bucket)]
+            out = []
+            for s, e in zip(cuts, cuts[1:]):
+                token, part, side, c, n, pos, b0, b1 = (x[s:e] for x in cols)
+                body = b"".join([np.diff(c, prepend=0).astype("<i8").tobytes(), n.astype("<i4").tobytes(), pos.astype("<i4").tobytes(), part.astype("<u4").tobytes(), side.astype("<u1").tobytes()])
+                out.append((int(bucket[s]), e - s, pa.compress(body, codec="zstd", asbytes=True), token.astype("<u4").tobytes() + b0.tobytes() + b1.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "rows", "packed", "bits"])
+
+        gathered = 0
+        for b in batches:
+            row, pos, token = _tokens(b)
+            if wanted is not None:
+                on = np.isin(token, wanted)
+                row, pos, token = row[on], pos[on], token[on]
+            if not len(row):
+                continue
+            c, n, b0, b1 = (b.column(x).to_numpy() for x in ("c", "n", "b0", "b1"))
+            part = side = np.zeros(len(row), np.int64)
+            if len(hot):
+                slot = (token & np.uint32((1 << bits) - 1)).astype(np.int64)
+                at = np.minimum(np.searchsorted(hot, slot), len(hot) - 1)
+                k = np.where(hot[at] == slot, blocks[at], 1)
+                mine = (mix(c.astype(np.uint64))[row] % k.astype(np.uint64)).astype(np.int64)
+                rep = np.repeat(np.arange(len(row)), k)
+                other = np.arange(len(rep)) - np.repeat(np.cumsum(k) - k, k)
+                row, pos, token, mine, k = row[rep], pos[rep], token[rep], mine[rep], k[rep]
+                lo, hi = np.minimum(mine, other), np.maximum(mine, other)
+                part, side = lo * k + hi, np.where(lo == hi, 0, np.where(mine == lo, 1, 2))
+            held.append([token, part, side, c[row], n[row], pos, b0[row], b1[row]])
+            gathered += len(row)
+            if gathered >= SEND_ROWS:
+                yield from send()
+                gathered = 0
+        if held:
+            yield from send()
 
-    best_only: per later class the most alike earlier one of all its lists, and whether it had others (`more`). Else all pairs
-    whose later class is asked for. Lists are read from sorted rows; pairs of one distance in the list are judged together.
+    return classes.select("c", "n", "b0", "b1", "prefix").mapInArrow(run, "bucket long, rows int, packed binary, bits binary")
+
+
+def _candidates(postings: DataFrame, per_hundred: int, best: int, asked: np.ndarray | None = None) -> DataFrame:
+    """(x later, y earlier, score, more): pairs of classes that pass the filters, the most alike `best` of each later one in a list; more: it had others there.
+
+    asked: all pairs whose later class is one of these numbers, and no others.
+
+    At the first word that two sets share, in the order of rarity, what is left of either one must hold all of what they need to share; so a
+    pair that matches is found at that word, and one that fails there is found at no other.
     """
-    t = per_hundred / 100
-    asked = "asked" in postings.columns
-    names = ["x_doc", "x_line", "y_doc", "y_line", "score", "more"]
-
-    def found(cols: dict[str, np.ndarray]):
-        # within a list rows are sorted by place, so i is earlier than i + d
-        b0, b1 = cols["b0"].view(np.uint64), cols["b1"].view(np.uint64)
-        key, n, pos = cols["token"], cols["n"].astype(np.int64), cols["pos"].astype(np.int64)
+    names = ["x", "y", "score", "more"]
+
+    def found(rows: list[tuple[int, bytes, bytes]]):
+        cols = [[] for _ in range(8)]
+        for m, packed, bits in rows:
+            body = pa.decompress(packed, decompressed_size=21 * m, codec="zstd", asbytes=True)
+            cols[0].append(np.frombuffer(bits, "<u4", m))
+            cols[1].append(np.frombuffer(body, "<u4", m, 16 * m))
+            cols[2].append(np.frombuffer(body, "<u1", m, 20 * m))
+            cols[3].append(np.cumsum(np.frombuffer(body, "<i8", m)))
+            cols[4].append(np.frombuffer(body, "<i4", m, 8 * m))
+            cols[5].append(np.frombuffer(body, "<i4", m, 12 * m))
+            for k in (0, 1):
+                cols[6 + k].append(np.frombuffer(bits, "<u8", m, 4 * m + 8 * k * m))
+        token, part, side, c, n, pos, b0, b1 = (np.concatenate(x) for x in cols)
+        key = token.astype(np.uint64) | part.astype(np.uint64) << np.uint64(32)
+        order = np.lexsort((c, key))
+        key, side, c, n, pos, b0, b1 = (x[order] for x in (key, side, c, n, pos, b0, b1))
+        left = ((100 + per_hundred) * (n - pos)).astype(np.int32)  # at most this much can be shared from here on
+        size = (per_hundred * n).astype(np.int32)
+        n = n.astype(np.int32)
+        lone = not side.any()
+        wanted = None if asked is None else np.isin(c, asked)
+        pairs: list[tuple[np.ndarray, ...]] = []
+        ys, scores, seen = np.full((best, len(key)), -1, np.int64), np.full((best, len(key)), np.inf, np.float32), np.zeros(len(key), np.int32)
+        # within a list rows are sorted by number, so i is earlier than i + d; `ends` is where each row's list ends
+        ends = np.searchsorted(key, key, side="right")
         live, d = np.arange(len(key)), 0
-        xs, ys, scores = [], [], []
         while True:
             d += 1
-            live = live[: np.searchsorted(live, len(key) - d)]
-            live = live[key[live] == key[live + d]]
+            live = live[ends[live] > live + d]
             if not len(live):
                 break
             i, j = live, live + d
-            if asked:
-                on = cols["asked"][j]
+            if wanted is not None:
+                on = wanted[j]
                 i, j = i[on], j[on]
-            a, b = n[i], n[j]
-            need = np.ceil(t / (1 + t) * (a + b) - 1e-9)
-            apart = np.bitwise_count(b0[i] ^ b0[j]).astype(np.int64) + np.bitwise_count(b1[i] ^ b1[j])
-            ok = (100 * np.minimum(a, b) >= per_hundred * np.maximum(a, b)) & (np.minimum(pos[i], pos[j]) + np.minimum(a - pos[i], b - pos[j]) >= need) & ((a + b - apart) // 2 >= need)
-            xs.append(j[ok])
-            ys.append(i[ok])
-            scores.append(apart[ok] / (a + b)[ok])
-        if not xs:
-            return None
-        x, y, score = np.concatenate(xs), np.concatenate(ys), np.concatenate(scores)
-        more = np.zeros(len(x), bool)
-        if best_only and len(x):
-            order = np.lexsort((y, score, x))
-            x, y, score = x[order], y[order], score[order]
-            begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-            more = np.diff(np.append(begin, len(x))) > 1
-            x, y, score = x[begin], y[begin], score[begin]
-        return pa.RecordBatch.from_arrays([pa.array(cols["doc"][x]), pa.array(cols["line"][x]), pa.array(cols["doc"][y]), pa.array(cols["line"][y]), pa.array(score), pa.array(more)], names=names)
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column("token").to_numpy()
-            last = int(np.searchsorted(keys, keys[-1]))  # where the list that may go on begins
-            if held and keys[0] == keys[-1] and held[-1].column("token")[-1].as_py() == keys[0]:
-                held.append(batch)
+            on = np.minimum(left[i], left[j]) >= size[i] + size[j]
+            if not lone:
+                on &= (side[i] != side[j]) | (side[i] == 0)
+            i, j = i[on], j[on]
+            apart = np.bitwise_count(b0[i] ^ b0[j]).astype(np.int32) + np.bitwise_count(b1[i] ^ b1[j])
+            both = n[i] + n[j]
+            # what they share is half of (both - symmetric difference) at most
+            on = (100 + per_hundred) * ((both - apart) // 2) >= per_hundred * both
+            i, j = i[on], j[on]
+            if not len(i):
                 continue
-            ready, rest = [*held, batch.slice(0, last)], batch.slice(last)
-            if not held and not last:
-                held = [rest]
+            score = (apart[on] / both[on]).astype(np.float32)
+            if wanted is not None:
+                pairs.append((c[j], c[i], score, np.zeros(len(i), bool)))
                 continue
-            out = found({c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in ready]) for c in batch.schema.names})
-            held = [rest]
-            if out is not None and out.num_rows:
-                yield out
+            seen[j] += 1
+            worst = scores[:, j].argmax(0)
+            better = score < scores[worst, j]
+            worst, j = worst[better], j[better]
+            scores[worst, j], ys[worst, j] = score[better], c[i[better]]
+        if wanted is None:
+            k, j = np.nonzero(ys >= 0)
+            pairs = [(c[j], ys[k, j], scores[k, j], seen[j] > best)] if len(j) else []
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*pairs), (pa.int64(), pa.int64(), pa.float32(), pa.bool_()))], names=names)
+
+    def run(batches):
+        held, last = [], None
+        for b in batches:
+            for bucket, *row in zip(*(b.column(x).to_pylist() for x in ("bucket", "rows", "packed", "bits"))):
+                if bucket != last and held:
+                    yield from found(held)
+                    held = []
+                last = bucket
+                held.append(row)
         if held:
-            out = found({c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in held[0].schema.names})
-            if out is not None and out.num_rows:
-                yield out
-
-    dealt = postings.repartition("token").sortWithinPartitions("token", "doc", "line")
-    pairs = dealt.mapInArrow(run, "x_doc long, x_line int, y_doc long, y_line int, score double, more boolean")
-    if not best_only:
-        return pairs.select("x_doc", "x_line", "y_doc", "y_line").distinct()
-    # an order of plain numbers decides: score, then place; ties of the first two are one document's lines
-    y = F.struct("score", "y_doc", "y_line")
-    best = pairs.groupBy("x_doc", "x_line").agg(F.min(y).alias("y"), F.max(y).alias("z"), F.bool_or("more").alias("more"))
-    return best.select("x_doc", "x_line", "y.y_doc", "y.y_line", (F.col("more") | (F.col("y.y_doc") != F.col("z.y_doc")) | (F.col("y.y_line") != F.col("z.y_line"))).alias("more"))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, per_hundred: int, broadcast_ids: int) -> DataFrame:
-    """The pairs whose lines' full word sets reach the similarity."""
-    places = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).unionByName(pairs.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"))).distinct()
-    wanted = places.groupBy("doc").agg(F.collect_list("line").alias("wanted"))  # a document's lines
-    few = places.select("doc").distinct().limit(broadcast_ids + 1).count() <= broadcast_ids
-    ids = places.select("doc").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").dropna()
-    texts = texts.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
-    parts = texts.join(wanted, "doc").select("doc", "wanted", F.split("text", "\n").alias("parts"))
-    lines = parts.select("doc", F.inline(F.expr("transform(wanted, i -> named_struct('line', i, 'text', get(parts, i)))")))
-    lines = lines.dropDuplicates(["doc", "line"])
-    side = lambda s: lines.select(F.col("doc").alias(f"{s}_doc"), F.col("line").alias(f"{s}_line"), F.col("text").alias(f"{s}_text"))
-    both = pairs.join(side("x"), ["x_doc", "x_line"]).join(side("y"), ["y_doc", "y_line"]).select("x_doc", "x_line", "y_doc", "y_line", "x_text", "y_text")
+            yield from found(held)
+
+    return postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "x long, y long, score float, more boolean")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, per_hundred: int, broadcast_ids: int) -> DataFrame:
+    """The pairs (x, y) whose lines' full word sets reach the similarity; only lines of a pair are moved."""
+    ids = by_size(pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct(), "line-ids", broadcast_ids)
+    wanted = classes.select("c", "doc", "line", "version").join(ids, "c")
+    wanted = wanted.groupBy("doc", "version").agg(F.collect_list(F.struct("line", "c")).alias("wanted"))  # a text's lines
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("version"), "text").dropna()
+    parts = texts.join(by_size(wanted, "line-texts", broadcast_ids, F.size("wanted")), ["doc", "version"]).select("wanted", F.split("text", "\n").alias("parts"))
+    lines = parts.select(F.inline(F.expr("transform(wanted, w -> named_struct('c', w.c, 'text', parts[w.line]))"))).dropDuplicates(["c"])
+    lines = materialize(lines, "line-words")
+    side = lambda s: lines.select(F.col("c").alias(s), F.col("text").alias(f"{s}_text"))
+    both = pairs.select("x", "y").join(side("x"), "x").join(side("y"), "y")
 
     def run(batches):
         for part in slices(batches):
@@ -284,60 +404,66 @@ def _verified(pairs: DataFrame, docs: DataFrame, per_hundred: int, broadcast_ids
                 a, b = (set(t.encode("utf-8", "surrogatepass").lower().split()) for t in (a, b))
                 common = len(a & b)
                 ok.append(100 * common >= per_hundred * (len(a) + len(b) - common))
-            yield part.select(["x_doc", "x_line", "y_doc", "y_line"]).filter(pa.array(ok, pa.bool_()))
-
-    return both.mapInArrow(run, "x_doc long, x_line int, y_doc long, y_line int")
+            yield part.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(run, "x long, y long")
+
+
+def _matched(classes: DataFrame, docs: DataFrame, per_hundred: int, bits: int, broadcast_ids: int, best: int, list_rows: int) -> DataFrame:
+    """(x): numbers of the classes that an earlier class matches."""
+    buckets = max(1, int(classes.agg(F.sum(F.size("prefix"))).first()[0] or 0) // BUCKET_ROWS)
+    pairs = _candidates(_postings(classes, bits, list_rows, buckets), per_hundred, best)
+    # the same pair comes from several lists
+    pairs = materialize(pairs.groupBy("x", "y").agg(F.bool_or("more").alias("more")), "line-pairs")
+    matched = materialize(_verified(pairs, classes, docs, per_hundred, broadcast_ids).select("x").distinct(), "line-matches")
+    left = materialize(pairs.where("more").select("x").distinct().join(matched, "x", "left_anti"), "line-open")
+    todo = left.count()
+    for at in range(0, todo, broadcast_ids):  # one turn but for corpora in which more classes than that are open
+        some = left if todo <= broadcast_ids else left.where(F.pmod(F.xxhash64("x"), F.lit(-(-todo // broadcast_ids))) == at // broadcast_ids)
+        asked = np.sort(np.array([r["x"] for r in some.collect()], np.int64))  # broadcast_ids numbers, about
+        mine = classes.join(F.broadcast(some.withColumnRenamed("x", "c")), "c", "left_semi")
+        wanted = np.array([r["w"] for r in mine.select(F.explode("prefix").alias("w")).where("w <> 0").distinct().collect()], np.int32).view(np.uint32)
+        rest = _candidates(_postings(classes, bits, list_rows, buckets, asked, np.sort(wanted)), per_hundred, best, asked).select("x", "y").distinct()
+        rest = materialize(rest.join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "line-pairs-2")
+        matched = matched.unionByName(_verified(rest, classes, docs, per_hundred, broadcast_ids).select("x").distinct())
+    return matched
+
+
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, per_hundred: int = PER_HUNDRED, rarity_bits: int = RARITY_BITS, broadcast_ids: int = BROADCAST_IDS, best: int = BEST, list_rows: int = LIST_ROWS) -> DataFrame:
+    """doc, version, removed array<int> (sorted places of removed lines), for texts that lose a line."""
+    sig = materialize(_signatures(docs, min_words, per_hundred, rarity_bits), "lines")
+    classes = materialize(_classes(sig), "classes")
+    later = _matched(classes, docs, per_hundred, rarity_bits, broadcast_ids, best, list_rows).select(F.col("x").alias("c"), F.lit(True).alias("later"))
+    # only classes that lose a line are joined back: those with an earlier match lose all, others all but their first one
+    losing = classes.select("c", "h0", "h1", "copies", F.col("doc").alias("f_doc"), F.col("version").alias("f_version"), F.col("line").alias("f_line")).join(later, "c", "left").where("later OR copies > 1").drop("c", "copies")
+    placed = sig.select("doc", "version", "lines", "h0", "h1").join(by_size(losing, "losing", broadcast_ids), ["h0", "h1"])
+    gone = F.expr("CASE WHEN later OR doc <> f_doc OR version <> f_version THEN lines ELSE array_remove(lines, f_line) END")
+    lost = placed.select("doc", "version", gone.alias("gone")).where(F.size("gone") > 0)
+    return lost.groupBy("doc", "version").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed"))
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, per_hundred: int = PER_HUNDRED, rarity_bits: int = RARITY_BITS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """doc_id, removed array<int> (sorted places of removed lines), for documents that lose a line."""
-    sig = materialize(_signatures(docs, min_words, per_hundred, rarity_bits), "lines")
-    first = F.array_min("lines")
-
-    def classes(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("set_hash", "n", "prefix", "b0", "b1").agg(F.min("doc_id").alias("doc"), F.min_by(first, "doc_id").alias("line"))
-
-    def posted(rows: DataFrame) -> DataFrame:
-        return rows.select("doc", "line", "n", "b0", "b1", F.posexplode("prefix").alias("pos", "token")).where("token <> 0").select("token", "doc", "line", "n", "pos", "b0", "b1")
-
-    pairs = materialize(_pairs(posted(classes(sig)), per_hundred, True), "line-pairs")
-    matched = materialize(_verified(pairs, docs, per_hundred, broadcast_ids), "line-matches").select("x_doc", "x_line").distinct()
-    left = materialize(pairs.where("more").select("x_doc", "x_line").join(matched, ["x_doc", "x_line"], "left_anti"), "line-open")
-    if left.limit(1).count():
-        # the second round reads only rows that share a prefix word with a class that is still open
-        opened = F.col("doc_id") == F.col("x_doc")
-        mine = sig.join(left, opened & F.array_contains("lines", F.col("x_line")), "left_semi")
-        tokens = by_size(mine.select(F.explode("prefix").alias("w")).where("w <> 0").distinct(), "line-tokens", broadcast_ids)
-        near = posted(sig.select(F.col("doc_id").alias("doc"), first.alias("line"), "n", "b0", "b1", "prefix", "set_hash")).join(tokens.withColumnRenamed("w", "token"), "token", "left_semi")
-        own = classes(sig).select("doc", "line")
-        near = near.join(own, ["doc", "line"], "left_semi")
-        asked = near.join(left.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"), F.lit(True).alias("asked")), ["doc", "line"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-        rest = materialize(_pairs(asked, per_hundred, False).join(pairs, ["x_doc", "x_line", "y_doc", "y_line"], "left_anti"), "line-pairs-2")
-        matched = matched.unionByName(_verified(rest, docs, per_hundred, broadcast_ids).select("x_doc", "x_line").distinct())
-    firsts = sig.groupBy("set_hash").agg(F.min("doc_id").alias("x_doc"), F.min_by(first, "doc_id").alias("x_line"))
-    classes = firsts.join(matched.withColumn("later", F.lit(True)), ["x_doc", "x_line"], "left")
-    placed = sig.select("doc_id", "lines", "set_hash").join(classes, "set_hash")
-    gone = F.when(F.col("later") | (F.col("doc_id") != F.col("x_doc")), F.col("lines")).otherwise(F.array_remove("lines", F.col("x_line")))
-    lost = placed.select("doc_id", gone.alias("gone")).where(F.size("gone") > 0)
-    return lost.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed"))
+def _with_removed(docs: DataFrame, names: tuple[str, str], lost: DataFrame) -> DataFrame:
+    """docs with the places that its row loses, null if none; names are new ones."""
+    key, version = names
+    return docs.join(lost, (docs["doc_id"].cast("long") == F.col(key)) & (F.xxhash64(docs["text"]) == F.col(version)), "left")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines (all lines of the text), n_removed, removed_lines (places from 0, comma-joined) for every row."""
-    lost = removed_lines(docs, **options).withColumnRenamed("doc_id", "_id")
-    rows = docs.select("doc_id", F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
-    joined = rows.join(lost, rows["doc_id"] == lost["_id"], "left")
-    return joined.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines"))
+    lost = removed_lines(docs, **options).toDF("_doc", "_version", "_removed")
+    joined = _with_removed(docs.select("doc_id", "text"), ("_doc", "_version"), lost)
+    n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    return joined.select("doc_id", n_lines.alias("n_lines"), F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("_removed", ","), F.lit("")).alias("removed_lines"))
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """The input's columns with removed lines cut out of the texts; n_chars follows. A text of which no word is left goes as a whole, if lines were removed from it."""
-    lost = removed_lines(docs, **options).withColumnRenamed("doc_id", "_id").withColumnRenamed("removed", "_removed")
-    lost = by_size(lost, "removed", BROADCAST_LINES, F.size("_removed") + 8)
-    joined = docs.join(lost, docs["doc_id"] == lost["_id"], "left")
-    kept = F.expr("CASE WHEN _removed IS NULL THEN text ELSE array_join(filter(split(text, '\n'), (x, i) -> NOT array_contains(_removed, i)), '\n') END")
-    joined = joined.withColumn("_text", kept).where("_removed IS NULL OR _text RLIKE '[^ \\t-\\r]'")
-    new = {"text": F.col("_text")}
+    key, version, removed, left = fresh(docs, "doc", "version", "removed", "text")
+    lost = by_size(removed_lines(docs, **options).toDF(key, version, removed), "removed", BROADCAST_LINES, F.size(removed) + 16)
+    joined = _with_removed(docs, (key, version), lost)
+    kept = F.expr(f"CASE WHEN {removed} IS NULL THEN text ELSE array_join(filter(split(text, '\n'), (x, i) -> NOT array_contains({removed}, i)), '\n') END")
+    joined = joined.withColumn(left, kept).where(f"{removed} IS NULL OR {left} RLIKE '[^ \\t-\\r]'")
+    new = {"text": F.col(left)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType))
+        new["n_chars"] = F.when(F.col(removed).isNull(), F.col("n_chars")).otherwise(F.length(left).cast(docs.schema["n_chars"].dataType))
     return joined.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

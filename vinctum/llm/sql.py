@@ -9,7 +9,7 @@ _A2Z = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 OP1 = rf"""
 WITH raw AS (SELECT doc_id, string_split({_A2Z}, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, i - 1 AS line, list_sort(list_distinct(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+'))) AS w FROM raw, range(1, len(ls) + 1) t(i)),
-c AS (SELECT w, min((doc_id, line)) AS first, len(w) AS n FROM l WHERE len(w) >= 5 GROUP BY w),
+c AS (SELECT w, min((doc_id, line)) AS first, len(w) AS n FROM l WHERE len(w) >= 1 GROUP BY w),
 t AS (SELECT first, n, unnest(w) AS tok FROM c),
 df AS (SELECT tok, count(*) AS df FROM t GROUP BY tok),
 p AS (SELECT first, n, tok FROM t JOIN df USING (tok) QUALIFY row_number() OVER (PARTITION BY first ORDER BY df, tok) <= n - ceil(0.8 * n - 1e-9) + 1),
@@ -61,7 +61,4 @@ judged AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_
   NOT base_failed AND n_symbols / n_words <= 0.3 AND word_chars / n_words BETWEEN 1.5 AND 30 AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AND (n_words < 60 OR stops / n_words >= 0.01) AS kept FROM m3)"""
 OP10 = f"WITH {_MEASURED.format(docs='documents')} SELECT * FROM judged"
 
-#: Every line with a word: the floor is 1.
-OP1_ALL = OP1.replace("WHERE len(w) >= 5", "WHERE len(w) >= 1")
-
-ORACLE_SQL = {"op1_line_dedup": OP1, "op1_line_dedup_all": OP1_ALL, "op3_sharding": OP3, "op7_decontaminate": OP7, "op10_quality_rules": OP10}
+ORACLE_SQL = {"op1_line_dedup": OP1, "op1_line_dedup_all": OP1, "op3_sharding": OP3, "op7_decontaminate": OP7, "op10_quality_rules": OP10}
