@@ -265,18 +265,38 @@ def test_transducer_counts_are_the_library(texts):
     import tokenizers
 
     t, c = tokenizers.Tokenizer.from_file(BYTE), token_counts.Counter(BYTE, memo_words=500, max_arcs=5000)
+    machine = token_counts.Machine(c)
     for x in [*texts.values(), *_strange()]:
         n = len(t.encode(x, add_special_tokens=False).ids)
         assert c.count(x) == n
         for size in (1, 7, 50):
             if 0 < len(x) < 200:
-                assert c.total([c.state_map(x[i : i + size]) for i in range(0, len(x), size)]) == n
+                state, total = token_counts.START, 0
+                for i in range(0, len(x), size):
+                    state, more = machine.run(state, x[i : i + size])
+                    total += more
+                assert total + machine.finish(state) == n, (x, size)
 
 
-def test_chunks_of_long_texts_are_put_together(spark, docs):
-    a = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, BYTE).collect()}
-    b = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, BYTE, chunk_chars=100).collect()}
-    assert a == b
+def test_chunks_of_long_texts_are_put_together(spark, texts):
+    import tokenizers
+
+    t, rng = tokenizers.Tokenizer.from_file(BYTE), random.Random(8)
+    strange = _strange(400, 12)
+    rows = [*texts.values(), *strange, *("".join(rng.choices(strange, k=9)) for _ in range(60)), "a" * 3001, "ab" * 1999, "".join(rng.choices("theringtionly", k=5000)), "日本語" * 700, " " * 999 + "x", "don't" * 300, "'l" * 400 + "'", "<|endoftext|" * 50 + "<|endoftext|>" * 50]
+    df = spark.createDataFrame([(i % 50, x) for i, x in enumerate(rows)], "doc_id long, text string").repartition(3)
+    want = Counter((i % 50, len(x.encode()), len(t.encode(x, add_special_tokens=False).ids)) for i, x in enumerate(rows))
+    for chunk in (100, 37):
+        assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(df, BYTE, chunk_chars=chunk).collect()) == want
+
+
+def test_token_query_is_the_library(spark, texts):
+    import tokenizers
+
+    t = tokenizers.Tokenizer.from_file(BYTE)
+    for r in QUERIES["op9_token_counts"](spark, SF).collect():
+        n = len(t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids)
+        assert (r.n_tokens, r.over_limit, r.n_bytes) == (n, n > 1024, len((texts[r.doc_id] or "").encode()))
 
 
 # --- 5 language identification

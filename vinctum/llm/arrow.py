@@ -37,13 +37,18 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[str], tuple]], fields:
 
 
 class Memo(dict):
-    """A bounded memo of two generations: when the young one is full it becomes the old one, from which hits are taken over."""
+    """A bounded memo of two generations: when the young one is full it becomes the old one, from which hits are taken over.
 
-    def __init__(self, compute: Callable, limit: int):
+    Keys of over `longest` characters are computed each time and not held.
+    """
+
+    def __init__(self, compute: Callable, limit: int, longest: int = 200):
         super().__init__()
-        self.compute, self.limit, self.old = compute, limit, {}
+        self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.compute(key)
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)

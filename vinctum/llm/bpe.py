@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from functools import lru_cache
 from hashlib import sha256
 
 from pyspark.sql import DataFrame
@@ -144,11 +145,17 @@ class WordTokenizer:
         return " ".join(self.bpe.token[i] for i in ids)
 
 
+@lru_cache(1)
+def tokenizer(path: str, memo_words: int = MEMO_WORDS) -> WordTokenizer:
+    """One a worker process, whatever the number of its tasks."""
+    return WordTokenizer(path, memo_words)
+
+
 def encode_digests(docs: DataFrame, path: str, memo_words: int = MEMO_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row's whole text; no shuffle."""
 
     def make():
-        tok = WordTokenizer(path, memo_words)
+        tok = tokenizer(path, memo_words)
 
         def of(text: str):
             e = tok.entries(text)
@@ -164,7 +171,7 @@ def encode(docs: DataFrame, path: str, memo_words: int = MEMO_WORDS) -> DataFram
     """doc_id and the ids as an array; `decode` is its inverse up to the file's normalisation."""
 
     def make():
-        tok = WordTokenizer(path, memo_words)
+        tok = tokenizer(path, memo_words)
         return lambda text: (tok.encode(text),)
 
     return map_texts(docs, make, "ids array<int>")
