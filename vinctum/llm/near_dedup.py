@@ -11,7 +11,8 @@ still holds several components, all its pairs across components are put to the l
 between components is lost to these stars, while a group of n copies costs about n pairs.
 
 Null, empty and blank texts have no shingle: linked with nothing, their own component, kept. Rows without doc_id: the
-same, with a null component. Repeated rows are in one component, each repeated row is returned.
+same, with a null component. Rows that share a doc_id are one document for the links: what any of their texts is linked with is in their
+component, also if the texts differ. Each row is returned.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import setsketch
 from .arrow import Memo, slices
-from .common import materialize, without
+from .common import by_size, materialize, without
 from .graph import components
 
 BAND_ROWS = 6
@@ -60,6 +61,10 @@ def shingle_hashes(w: np.ndarray, k: int) -> np.ndarray:
     return np.unique(acc)
 
 
+def _digest(shingles: bytes) -> bytes:
+    return blake2b(shingles, digest_size=16).digest()
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n (size of the set), set_hash (null for no set), regs (M little-endian 16-bit registers, null for no set)."""
     schema = "doc_id long, n long, set_hash binary, regs binary"
@@ -74,7 +79,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
             if len(full):
                 rows = setsketch.sketch(np.concatenate([sets[i] for i in full]), np.repeat(np.arange(len(full)), sizes[full]), sizes[full])
                 for i, r in zip(full, rows):
-                    regs[i], hashes[i] = r.astype("<u2").tobytes(), blake2b(sets[i].tobytes(), digest_size=16).digest()
+                    regs[i], hashes[i] = r.astype("<u2").tobytes(), _digest(sets[i].tobytes())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(hashes, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "n", "set_hash", "regs"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
@@ -106,9 +111,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, per_hundred: int, broad
         last, held = None, set()
         for part in slices(batches):
             ok = []
-            for a, t_a, t_b in zip(part.column("a").to_pylist(), part.column("t_a").to_pylist(), part.column("t_b").to_pylist()):
-                if a != last:
-                    last, held = a, shingle_set(t_a, k)
+            for t_a, t_b in zip(part.column("t_a").to_pylist(), part.column("t_b").to_pylist()):
+                if t_a != last:
+                    last, held = t_a, shingle_set(t_a, k)
                 other = shingle_set(t_b, k)
                 common = len(held & other)
                 ok.append(bool(other) and 100 * common >= per_hundred * (len(held) + len(other) - common))
@@ -118,7 +123,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, per_hundred: int, broad
 
 
 def _sets(reps: DataFrame, docs: DataFrame, k: int, broadcast_ids: int) -> DataFrame:
-    """(rep, shingles): the sorted 64-bit hashes of the full sets of the given classes."""
+    """(rep, set_hash, shingles): the sorted 64-bit hashes of the full sets of the given documents."""
     few = reps.limit(broadcast_ids + 1).count() <= broadcast_ids
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(reps) if few else reps, "rep", "left_semi")
 
@@ -126,9 +131,10 @@ def _sets(reps: DataFrame, docs: DataFrame, k: int, broadcast_ids: int) -> DataF
         memo = Memo(xxhash.xxh3_64_intdigest, MEMO_WORDS)
         for part in slices(batches):
             sets = [shingle_hashes(np.fromiter(map(memo.__getitem__, words(t)), np.uint64), k).tobytes() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+            hashes = [_digest(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.binary()), pa.array(sets, pa.binary())], names=["rep", "set_hash", "shingles"])
 
-    return texts.mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"])
+    return texts.mapInArrow(run, "rep long, set_hash binary, shingles binary").dropDuplicates(["rep", "set_hash"])
 
 
 def _across(members: DataFrame, per_hundred: int) -> DataFrame:
@@ -205,6 +211,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_hundred: int = 80, broadcas
     with_set = rows.where("set_hash IS NOT NULL AND doc_id IS NOT NULL")
     # one row per distinct set; registers are the same for all of them
     reps = materialize(with_set.groupBy("set_hash", "n", "regs").agg(F.min("doc_id").alias("rep")), "classes")
+    # texts of one doc_id hang together: a star from the least class of each id that has several
+    several = with_set.groupBy("doc_id").agg(F.min("set_hash").alias("s0"), F.max("set_hash").alias("s1")).where("s0 <> s1").select("doc_id")
+    named = by_size(with_set.select("doc_id", "set_hash").join(by_size(several, "repeated", broadcast_ids), "doc_id", "left_semi").distinct(), "versions", broadcast_ids)
+    named = reps.select("set_hash", "rep").join(named, "set_hash").select("doc_id", "rep")
+    tied = named.join(named.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     bands = reps.select("rep", F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(regs, {2 * BAND_ROWS * i + 1}, {2 * BAND_ROWS})")) for i in range(BANDS)])).alias("band", "key"))
     shared = bands.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("size")).where("center < last").drop("last")
     buckets = materialize(bands.join(shared.drop("size"), "key"), "buckets")
@@ -219,7 +230,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_hundred: int = 80, broadcas
 
     # first one center per class: most of a large group of copies hangs together by that
     first = stars.groupBy("rep").agg(F.min("center").alias("a")).select("a", F.col("rep").alias("b"))
-    links = confirm(_allowed(first, reps, per_hundred), "links1")
+    links = materialize(confirm(_allowed(first, reps, per_hundred), "links1").unionByName(tied), "links")
     comps = components(links)
     # then one center per class and other component
     apart = component_of(component_of(stars, "rep", comps), "center", comps).where("rep_comp <> center_comp")
@@ -237,7 +248,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_hundred: int = 80, broadcas
     # a large bucket is split into blocks; each pair of blocks is a part of its own
     blocks = F.ceil(F.col("size") / BUCKET_ROWS).cast("long")
     members = inside.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    members = members.join(reps.select("rep", "n", "regs"), "rep").join(sets, "rep")
+    members = members.join(reps.select("rep", "set_hash", "n", "regs"), "rep").join(sets, ["rep", "set_hash"])
     members = members.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "comp", "rep", "n", "regs", "shingles")
     rest = materialize(_across(members, per_hundred), "links3")
     if rest.limit(1).count():
