@@ -68,7 +68,8 @@ def _all(docs, bench):
     yield "op4", bpe.encode_digests(docs, WORD), True
     yield "op5", language_id.identify(docs, language_id.train(docs, epochs=2)), True
     yield "op6", near_dedup.near_duplicates(docs, k=2), True
-    yield "op7", decontaminate.report(docs, bench), False
+    yield "op7", decontaminate.report(docs, bench), True
+    yield "op7 texts", decontaminate.decontaminate(docs, bench, remove="span"), True
     yield "op8", secret_scan.digests(docs), True
     yield "op9", token_counts.count_tokens(docs, BYTE), True
     yield "op10", quality_rules.judge(docs), True
@@ -379,6 +380,37 @@ def test_chains_of_near_copies(spark):
     assert got == want
 
 
+def test_texts_of_one_doc_id_hang_together(spark):
+    word = lambda d: " ".join(f"{d}x{k}" for k in range(40))
+    rows = [(1, word("a")), (7, word("a")), (7, word("b")), (3, word("b")), (9, word("b") + " more"), (8, word("c")), (8, word("d")), (8, word("d")), (5, word("d") + " end"), (4, word("e")), (None, word("a")), (2, None), (2, word("f"))]
+    got = sorted((r.doc_id or 0, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect())
+    assert got == sorted([(1, 1), (7, 1), (7, 1), (3, 1), (9, 1), (8, 5), (8, 5), (8, 5), (5, 5), (4, 4), (0, None), (2, 2), (2, 2)], key=lambda x: (x[0], x[1] or 0))
+    # random ids on random texts, against brute force over documents as nodes
+    rng = random.Random(3)
+    base = [[f"v{rng.randrange(400)}" for _ in range(60)] for _ in range(12)]
+    rows = []
+    for _ in range(150):
+        t = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 2, 6])):
+            t[rng.randrange(60)] = f"v{rng.randrange(400)}"
+        rows.append((rng.randrange(90), " ".join(t)))
+    sets = [(d, near_dedup.shingle_set(t, 2)) for d, t in rows]
+    parent = {d: d for d, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (a, s) in enumerate(sets):
+        for b, o in sets[:i]:
+            if 100 * len(s & o) >= 80 * len(s | o):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect():
+        assert r.component_id == find(r.doc_id)
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(4)
     x = rng.integers(0, 2**63, 900, dtype=np.uint64)
@@ -399,11 +431,26 @@ def test_spans_are_cut_and_short_items_hit(spark):
     assert (r[1].n_words, r[1].n_hit, r[1]["items"]) == (22, 20, ["1"]) and r[1].contaminated
     assert r[2].n_hit == 0 and r[3].n_hit == 2 and r[4].n_words == 0
     assert r == {x.doc_id: x for x in decontaminate.find_hits(docs, bench, broadcast_limit=0).transform(lambda h: decontaminate.report(docs, bench)).collect()}
-    cut = {x.doc_id: x.text for x in decontaminate.decontaminate(docs, bench, remove="span").collect()}
+    clash = [f"c_{c}" for c in ("_id", "spans", "_doc", "_version")]
+    named = docs.withColumns({c[2:]: F.lit(c) for c in clash})
+    whole = decontaminate.decontaminate(named, bench, remove="span")
+    assert whole.columns == named.columns and all(list(x)[2:] == clash for x in whole.collect())
+    cut = {x.doc_id: x.text for x in whole.collect()}
     assert cut[1] == "Before, after" and cut[3] == "say here" and cut[2] == rows[1][1] and cut[4] is None
     assert sorted(x.doc_id for x in decontaminate.decontaminate(docs, bench).collect()) == [2, 4]
 
 
+def test_each_row_is_judged_also_without_or_with_a_repeated_id(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    rows = [(None, item), (None, "clean words"), (5, item), (5, item), (5, "other clean words"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = Counter((x.doc_id, x.n_words, x.n_hit, x.contaminated) for x in decontaminate.report(docs, bench).collect())
+    assert got == Counter([(None, 20, 20, True), (None, 2, 0, False), (5, 20, 20, True), (5, 20, 20, True), (5, 3, 0, False), (6, 0, 0, False)])
+    left = Counter((x.doc_id, x.text) for x in decontaminate.decontaminate(docs, bench).collect())
+    assert left == Counter([rows[1], rows[4], rows[5]])
+
+
 # --- 8 secrets
 
 
