@@ -442,25 +442,19 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, per_hundred: int
     return lost.groupBy("doc", "version").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed"))
 
 
-def _with_removed(docs: DataFrame, names: tuple[str, str], lost: DataFrame) -> DataFrame:
-    """docs with the places that its row loses, null if none; names are new ones."""
-    key, version = names
-    return docs.join(lost, (docs["doc_id"].cast("long") == F.col(key)) & (F.xxhash64(docs["text"]) == F.col(version)), "left")
-
-
 def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines (all lines of the text), n_removed, removed_lines (places from 0, comma-joined) for every row."""
-    lost = removed_lines(docs, **options).toDF("_doc", "_version", "_removed")
-    joined = _with_removed(docs.select("doc_id", "text"), ("_doc", "_version"), lost)
     n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    return joined.select("doc_id", n_lines.alias("n_lines"), F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("_removed", ","), F.lit("")).alias("removed_lines"))
+    rows = docs.select("doc_id", n_lines.alias("n_lines"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("version"))
+    joined = rows.join(removed_lines(docs, **options), ["doc", "version"], "left")
+    return joined.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines"))
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """The input's columns with removed lines cut out of the texts; n_chars follows. A text of which no word is left goes as a whole, if lines were removed from it."""
     key, version, removed, left = fresh(docs, "doc", "version", "removed", "text")
     lost = by_size(removed_lines(docs, **options).toDF(key, version, removed), "removed", BROADCAST_LINES, F.size(removed) + 16)
-    joined = _with_removed(docs, (key, version), lost)
+    joined = docs.join(lost, (docs["doc_id"].cast("long") == F.col(key)) & (F.xxhash64(docs["text"]) == F.col(version)), "left")
     kept = F.expr(f"CASE WHEN {removed} IS NULL THEN text ELSE array_join(filter(split(text, '\n'), (x, i) -> NOT array_contains({removed}, i)), '\n') END")
     joined = joined.withColumn(left, kept).where(f"{removed} IS NULL OR {left} RLIKE '[^ \\t-\\r]'")
     new = {"text": F.col(left)}
