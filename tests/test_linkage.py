@@ -175,3 +175,34 @@ def test_greedy_duplicates(spark):
     df = spark.createDataFrame([("b", 1, [1.0, 0.0]), ("b", 2, [1.0, 0.01]), ("b", 3, [0.0, 1.0]), ("c", 4, [1.0, 0.0])], "block string, id long, vec array<double>")
     r = vectors.greedy_duplicates(df, "block").collect()
     assert [(x.seed, x.members) for x in r] == [(1, [1, 2])]
+
+
+SUSPICIOUS = "Vacante de guardia de seguridad. Contratacion inmediata sin experiencia. Sueldo $18000 semanal. Te mandamos Uber para entrevista en central de autobuses. Contacto por WhatsApp."
+
+
+def test_offer_cases_typed_by_hand(spark):
+    texts = [SUSPICIOUS, "Ingeniero con experiencia, sueldo de mercado", "Entra x  q pagan bien", "Ven x\nq hay", "ax q no", "vacante zona Centro Norte de la ciudad", "Promo CASA PARTICULAR hoy", "la casas particulares", "NINJA y ninjas", "MÉDICO titulado", "BÚHO", "gana lo que quieras", "trabajo en 3 dias", "Ubicación: x", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    out = {r.i: r for r in detect.extract_offer(detect.offer_score(detect.offer_signals(df, "text"))).collect()}
+    hits = {i: {h.id: h.evidence for h in r.hits} for i, r in out.items()}
+    assert hits[0] == {"no_experiencia": "sin experiencia", "contratacion_inmediata": "Contratacion inmediata", "salario_inusual": "$18000 semanal (semanal muy alto)", "ubicacion_sospechosa": "central de autobuses", "transporte_entrevista": "Te mandamos Uber", "perfiles_lure": "guardia de seguridad"}
+    a = out[0]
+    assert a.is_job_offer and a.privacy_level == "restricted" and a.level == "CRÍTICO" and a.notes == a.recommendation and a.contact_methods == ["whatsapp"] and a.salary_text == "$18000 semanal"
+    assert a.job_title == "guardia de seguridad" and a.location_text.startswith("central de autobuses. Contacto por WhatsApp")
+    assert hits[1] == {} and out[1].privacy_level == "internal"
+    assert hits[2] == {"errores_ortograficos": "x  q"} and hits[3] == {"errores_ortograficos": "x\nq"} and hits[4] == {}
+    assert out[5].location_text == "Centro Norte de la ciudad"
+    assert hits[6] == {"ubicacion_sospechosa": "CASA PARTICULAR"} and hits[7] == {} and hits[8] == {"codigos_visuales_crimen": "NINJA"}
+    assert hits[9] == {"perfiles_tecnicos_crimen": "MÉDICO"} and hits[10] == {"codigos_visuales_crimen": "BÚHO"}
+    assert hits[11] == {} and out[12].location_text == "" and out[13].location_text == "" and hits[14] == hits[15] == {}
+    event = {r.i: r for r in detect.extract_risk_event(detect.offer_score(detect.offer_signals(df, "text"))).collect()}
+    assert event[0].event_type == "oferta_laboral_sospechosa" and event[5].locality_approx == "Centro Norte de la ciudad" and event[14].locality_approx == ""
+
+
+def test_every_signal_pattern_holds_its_literal(spark):
+    from vinctum.functions import vocab
+
+    assert detect.required_literal(r"sin\s+experiencia") == "experiencia" and detect.required_literal("a|b") == "" and detect.required_literal(r"modelos?\s+(femeninas?|buscamos)") == "modelo"
+    assert detect.required_literal("tr[eé]bol") == "bol" and detect.required_literal(r"\bninja\b") == "ninja" and detect.required_literal("(m[eé]dico|enfermer[oa])") == ""
+    assert detect.required_literal(r"call\s*center") == "center" and detect.required_literal(r"x{2}y") != "x"
+    assert all(detect.required_literal(p) in p for _, _, _, ps in vocab.SIGNALS for p in ps or [])

@@ -13,12 +13,7 @@ Q = Registry()
 
 
 def _re(p: str) -> str:
-    # RE2 has no lookaround; \b is ASCII there, as the edges are in Spark
-    if p in V.EDGE_BOTH:
-        p = rf"\b(?:{p})\b"
-    elif p in V.EDGE_LEFT:
-        p = rf"\b{p}"
-    return p.replace("(?<![A-Za-z0-9_])x(?![A-Za-z0-9_])", r"\bx\b").replace("'", "''")
+    return p.replace("'", "''")  # \b is ASCII there
 
 
 def _found(x: str, ps: list[str]) -> str:
@@ -40,7 +35,8 @@ _SCORE = "least(100, " + " + ".join(f"CASE WHEN s_{i} IS NOT NULL THEN {V.SEVERI
 _N = " + ".join(f"CASE WHEN s_{i} IS NOT NULL THEN 1 ELSE 0 END" for i, _, _, _ in V.SIGNALS)
 _IDS = "concat_ws(',', " + ", ".join(f"CASE WHEN s_{i} IS NOT NULL THEN '{i}' END" for i, _, _, _ in V.SIGNALS) + ")"
 DET = f"{_SIG}, det AS (SELECT *, {_SCORE} AS score, {_N} AS n_hits, {_IDS} AS ids FROM sig), lev AS (SELECT *, CASE WHEN s_pide_dinero_documentos IS NOT NULL OR score >= 70 THEN 'CRÍTICO' WHEN score >= 45 THEN 'ALTO' WHEN score >= 20 THEN 'MEDIO' ELSE 'BAJO' END AS level FROM det)"
-_LOC = r"""coalesce(nullif(trim(regexp_extract(text, '(?:en|por|desde|cerca de)\s+([A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:\s*,\s*[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+)?)', 1)), ''), nullif(trim(regexp_extract(text, '(?i)(?:colonia|fracc|fraccionamiento|barrio)\s+([A-ZÁÉÍÓÚÑ][a-zA-Z0-9_\sáéíóúñ.-]{2,60})', 1)), ''), nullif(trim(regexp_extract(text, '(?i)(?:estado|municipio|ciudad)\s+[de\s]*([A-ZÁÉÍÓÚÑ][a-zA-Z0-9_\sáéíóúñ.-]{2,40})', 1)), ''))"""
+_LOC = r"trim(regexp_extract(text, '(?i)(?:en|ubicaci[oó]n|zona)\s+([A-ZÁÉÍÓÚÑ][A-Z0-9_áéíóúñ\s.,-]{2,80})', 1))"
+_RECOMMENDED = "CASE level " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in (("CRÍTICO", "ALTO riesgo de reclutamiento forzado/fraude. No acudas sin verificar a la empresa en fuentes oficiales ni entregues documentos/dinero. Reporta a autoridades de búsqueda."), ("ALTO", "Múltiples señales de alerta. Verifica la empresa (Google Maps, RFC), desconfía de entrevistas en terminales/hoteles, ve acompañado y comparte tu ubicación."), ("MEDIO", "Algunas señales presentes. Confirma los datos de la empresa antes de aceptar."), ("BAJO", "Pocas o ninguna señal. Aplica las precauciones habituales al buscar empleo."))) + " END"
 
 
 def detected(p):
@@ -51,18 +47,18 @@ Q("offer_signals", "v_posts", sql=f"WITH {_SIG} SELECT doc_id, concat_ws('|', "
     lambda p: detected(p).select("doc_id", F.array_join(F.transform("hits", lambda h: F.concat(h["id"], F.lit("="), h["evidence"])), "|").alias("hits")))
 Q("offer_score", "v_posts", sql=f"WITH {DET} SELECT doc_id, score, level FROM lev")(lambda p: detected(p).select("doc_id", "score", "level"))
 Q("extract_offer", "v_posts", sql=rf"""WITH {DET} SELECT doc_id, n_hits > 0 OR regexp_matches(text, '(?i)trabajo|empleo|vacante|contrataci[oó]n|sueldo') AS is_job_offer, substr(trim(regexp_extract(text, '(?i)(?:vacante|trabajo|empleo)\s+(?:de|para|como)?\s*([^\n.,;]+)', 1)), 1, 80) AS job_title,
-  ids AS risk_signals, CASE WHEN score >= 45 THEN 'reclutamiento_forzado_o_fraude' ELSE 'sin_mecanismo_claro' END AS possible_mechanism, score / 100.0::DOUBLE AS confidence, CASE WHEN score >= 20 THEN 'restricted' ELSE 'internal' END AS privacy_level, score >= 20 AS needs_review, coalesce({_LOC}, '') AS location_text,
+  ids AS risk_signals, CASE WHEN score >= 45 THEN 'reclutamiento_forzado_o_fraude' ELSE 'sin_mecanismo_claro' END AS possible_mechanism, score / 100.0::DOUBLE AS confidence, CASE WHEN score >= 20 THEN 'restricted' ELSE 'internal' END AS privacy_level, score >= 20 AS needs_review, coalesce({_LOC}, '') AS location_text, {_RECOMMENDED} AS notes, trim({_S(0)}) AS salary_text,
   concat_ws(',', CASE WHEN regexp_matches(text, '(?i)whats?app|wa\.me') THEN 'whatsapp' END, CASE WHEN regexp_matches(text, '\b\d{{10}}\b') THEN 'telefono' END, CASE WHEN regexp_matches(text, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}') THEN 'email' END, CASE WHEN regexp_matches(text, '(?i)inbox|dm|mensaje directo') THEN 'dm' END) AS contacts FROM lev""")(
-    lambda p: D.extract_offer(detected(p)).select("doc_id", "is_job_offer", "job_title", F.array_join("risk_signals", ",").alias("risk_signals"), "possible_mechanism", "confidence", "privacy_level", "needs_review", "location_text", F.array_join("contact_methods", ",").alias("contacts")))
-Q("extract_risk_event", "v_posts", sql=f"WITH {DET} SELECT doc_id, CASE WHEN score >= 20 THEN 'oferta_laboral_sospechosa' ELSE 'otro' END AS event_type, CASE WHEN score = 0 THEN 0.3 ELSE score / 100.0 END::DOUBLE AS confidence, CASE WHEN n_hits > 0 THEN 'Oferta o reporte con ' || n_hits || ' senales de riesgo detectadas.' ELSE 'Reporte contextual sin senales suficientes.' END AS summary FROM lev")(
-    lambda p: D.extract_risk_event(detected(p)).select("doc_id", "event_type", "confidence", "summary"))
+    lambda p: D.extract_offer(detected(p)).select("doc_id", "is_job_offer", "job_title", F.array_join("risk_signals", ",").alias("risk_signals"), "possible_mechanism", "confidence", "privacy_level", "needs_review", "location_text", "notes", "salary_text", F.array_join("contact_methods", ",").alias("contacts")))
+Q("extract_risk_event", "v_posts", sql=f"WITH {DET} SELECT doc_id, CASE WHEN score >= 20 THEN 'oferta_laboral_sospechosa' ELSE 'otro' END AS event_type, CASE WHEN score = 0 THEN 0.3 ELSE score / 100.0 END::DOUBLE AS confidence, CASE WHEN n_hits > 0 THEN 'Oferta o reporte con ' || n_hits || ' senales de riesgo detectadas.' ELSE 'Reporte contextual sin senales suficientes.' END AS summary, coalesce({_LOC}, '') AS locality_approx FROM lev")(
+    lambda p: D.extract_risk_event(detected(p)).select("doc_id", "event_type", "confidence", "summary", "locality_approx"))
 
 
-@Q("merge_validation", "v_posts", sql=f"WITH {DET} SELECT doc_id, concat_ws(',', 'dado', nullif(ids, '')) AS risk_signals, greatest((doc_id % 10) / 10.0, score / 100.0)::DOUBLE AS confidence, CASE WHEN score >= 20 THEN 'restricted' ELSE 'public' END AS privacy_level, doc_id % 2 = 0 OR score >= 20 AS needs_review FROM lev")
+@Q("merge_validation", "v_posts", sql=f"WITH {DET} SELECT doc_id, concat_ws(',', 'dado', nullif(ids, '')) AS risk_signals, greatest((doc_id % 10) / 10.0, score / 100.0)::DOUBLE AS confidence, CASE WHEN score >= 20 THEN 'restricted' ELSE 'public' END AS privacy_level, doc_id % 2 = 0 OR score >= 20 AS needs_review, CASE WHEN doc_id % 3 = 0 THEN 'nota propia' ELSE {_RECOMMENDED} END AS notes FROM lev")
 def merge_validation(p):
     """R5."""
-    given = detected(p).withColumns({"g_signals": F.array(F.lit("dado")), "g_confidence": F.col("doc_id") % 10 / F.lit(10.0), "g_privacy": F.lit("public"), "g_review": F.col("doc_id") % 2 == 0})
-    return D.merge_validation(given).select("doc_id", F.array_join("risk_signals", ",").alias("risk_signals"), "confidence", "privacy_level", "needs_review")
+    given = detected(p).withColumns({"g_signals": F.array(F.lit("dado")), "g_confidence": F.col("doc_id") % 10 / F.lit(10.0), "g_privacy": F.lit("public"), "g_review": F.col("doc_id") % 2 == 0, "g_notes": F.when(F.col("doc_id") % 3 == 0, "nota propia").when(F.col("doc_id") % 3 == 1, "")})
+    return D.merge_validation(given).select("doc_id", F.array_join("risk_signals", ",").alias("risk_signals"), "confidence", "privacy_level", "needs_review", "notes")
 
 
 Q("keyword_event", "v_posts", sql=f"SELECT doc_id, n AS n_hits, CASE WHEN n >= 2 THEN 'oferta_laboral_sospechosa' ELSE 'otro' END AS event_type, round(least(0.3::DOUBLE + n * 0.1::DOUBLE, 0.8), 6) AS confidence, 2 AS severity FROM (SELECT doc_id, len(regexp_extract_all(text, '(?i){V.RISK_WORDS}'))::INT AS n FROM v_posts)")(

@@ -2,51 +2,82 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab as V
 from .clean import blank_to_null, c
-from .text import location_phrase
 
 #: The first number of a text with what surrounds it.
 SALARY = r"(?i)(\$|mxn|pesos)?\s*(\d[\d.,]*)\s*(mil)?\s*(semanal|quincenal|mensual|al mes|por semana)?"
-
-
-def edged(p: str) -> str:
-    if p in V.EDGE_BOTH:
-        return f"(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_])"
-    return f"(?<![A-Za-z0-9_]){p}" if p in V.EDGE_LEFT else p
-
-
-def first_found(x: Column, patterns: list[str]) -> Column:
+#: Where an offer says that it is.
+LOCATION = r"(?i)(?:en|ubicaci[oóÓ]n|zona)\s+([A-ZÁÉÍÓÚÑáéíóúñ][\wÁÉÍÓÚÑáéíóúñ\s.,-]{2,80})"
+_WORD = "[A-Za-z0-9_]"
+_EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+
+
+def required_literal(p: str) -> str:
+    """The longest run of plain characters that every match of the pattern holds; '' if none is certain."""
+    bare, depth = "", 0
+    for token in re.findall(r"\(|\||(?:\\.|\[[^\]]*\]|.)(?:[+*?]|\{[^}]*\})?", p, re.S):
+        if token == "|" and not depth:
+            return ""
+        depth += (token == "(") - token.startswith(")")
+        plain = not depth and len(token) == 1 and token not in "().^$|"
+        bare += token if plain else "\0"
+    return max(bare.split("\0"), key=len)
+
+
+def matches(low: Column, p: str) -> Column:
+    """Whether lower-cased text has a match; the pattern runs only where its literal occurs."""
+    found = low.rlike(p.replace(r"\b", _EDGE))
+    literal = required_literal(p)
+    if literal == p:
+        return F.contains(low, F.lit(p))
+    return F.contains(low, F.lit(literal)) & found if literal else found
+
+
+def first_found(x: Column, low: Column, patterns: list[str]) -> Column:
     """The text that the first pattern with a match finds."""
-    return F.coalesce(*[blank_to_null(F.regexp_extract(x, f"(?iu){edged(p)}", 0)) for p in patterns])
+    out = None
+    for p in patterns:
+        text = F.get(F.regexp_extract_all(x, F.lit(f"(?iu){p.replace(chr(92) + 'b', _EDGE)}"), F.lit(0)), F.lit(0))
+        out = F.when(matches(low, p), text) if out is None else out.when(matches(low, p), text)
+    return out
 
 
-def _salary(t: Column) -> Column:
-    part = lambda i: F.regexp_extract(t, SALARY, i)
+def _salary(t: Column, low: Column, found: Column) -> Column:
+    part = lambda i: F.regexp_extract(found, SALARY, i)
     number = F.regexp_replace(part(2), "[,.]", "").try_cast("double") * F.when(part(3) != "", 1000).otherwise(1)
-    found = t.rlike(r"\d")
-    return F.when(found & t.rlike(r"(?i)gana\s+(lo\s+que|cuanto|lo q)"), "gana lo que quieras (vago)").when(found & t.rlike("(?i)semanal") & (number >= 15000), F.concat(part(0), F.lit(" (semanal muy alto)"))).when(number >= 60000, F.concat(part(0), F.lit(" (inusual)")))
+    any_number = found != ""
+    return F.when(any_number & matches(low, r"gana\s+(lo\s+que|cuanto|lo q)"), "gana lo que quieras (vago)").when(any_number & F.contains(low, F.lit("semanal")) & (number >= 15000), F.concat(found, F.lit(" (semanal muy alto)"))).when(number >= 60000, F.concat(found, F.lit(" (inusual)")))
 
 
 def offer_signals(df: DataFrame, text: str, area: str | None = None, state: str | None = None, interview: str | None = None, image: str | None = None) -> DataFrame:
-    """Adds `hits`: array of (id, category, severity, evidence) in the catalogue's order."""
+    """Adds `hits`: array of (id, category, severity, evidence) in the catalogue's order.
+
+    Texts are lower-cased once; literals decide which patterns run at all, and evidence is cut out of the original where one has matched.
+    """
     t = F.coalesce(c(text), F.lit(""))
-    benefits = F.regexp_count(t, F.lit(f"(?i){V.BENEFITS}"))
+    place = F.concat_ws(" ", blank_to_null(interview), t) if interview else t
+    df = df.withColumns({"_t": t, "_low": F.lower(t), "_place": place, "_number": F.regexp_extract(t, SALARY, 0)})
+    df = df.withColumn("_low_place", F.lower("_place"))
+    t, low = F.col("_t"), F.col("_low")
+    listed = F.when(matches(low, V.BENEFITS), F.regexp_count(low, F.lit(V.BENEFITS))).otherwise(0)
     none = F.lit(None).cast("string")
     computed = {
-        "salario_inusual": _salary(t),
-        "prestaciones_excesivas": F.when(benefits >= 4, F.concat(benefits.cast("string"), F.lit(" prestaciones listadas"))),
+        "salario_inusual": _salary(t, low, F.col("_number")),
+        "prestaciones_excesivas": F.when(listed >= 4, F.concat(listed.cast("string"), F.lit(" prestaciones listadas"))),
         "contacto_otra_ciudad": F.when(blank_to_null(area) != blank_to_null(state), F.concat(F.lit("contacto "), c(area), F.lit(" vs oferta "), c(state))) if area and state else none,
         "diseno_generico": F.when(c(image), "(imagen presente — requiere revisión)") if image else none,
     }
-    place = F.concat_ws(" ", blank_to_null(interview), t) if interview else t
-    found = {i: computed[i] if ps is None else first_found(place if i == "ubicacion_sospechosa" else t, ps) for i, _, _, ps in V.SIGNALS}
+    found = {i: computed[i] if ps is None else first_found(F.col("_place"), F.col("_low_place"), ps) if i == "ubicacion_sospechosa" else first_found(t, low, ps) for i, _, _, ps in V.SIGNALS}
     df = df.withColumns({f"_s_{i}": e for i, e in found.items()})
     hits = [F.when(F.col(f"_s_{i}").isNotNull(), F.struct(F.lit(i).alias("id"), F.lit(cat).alias("category"), F.lit(sev).alias("severity"), F.col(f"_s_{i}").alias("evidence"))) for i, cat, sev, _ in V.SIGNALS]
-    return df.withColumn("hits", F.array_compact(F.array(*hits))).drop(*[f"_s_{i}" for i in found])
+    return df.withColumn("hits", F.array_compact(F.array(*hits))).drop("_t", "_low", "_place", "_low_place", "_number", *[f"_s_{i}" for i in found])
 
 
 def offer_score(df: DataFrame) -> DataFrame:
@@ -64,42 +95,52 @@ def offer_score(df: DataFrame) -> DataFrame:
 
 
 def contact_methods(x) -> Column:
-    t = c(x)
-    tests = [("whatsapp", r"(?i)whats?app|wa\.me"), ("telefono", r"(?<![A-Za-z0-9_])\d{10}(?![A-Za-z0-9_])"), ("email", r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"), ("dm", r"(?i)inbox|dm|mensaje directo")]
-    return F.array_compact(F.array(*[F.when(t.rlike(p), k) for k, p in tests]))
+    t, low = c(x), F.lower(c(x))
+    has = lambda *words: reduce(lambda a, w: a | F.contains(low, F.lit(w)), words[1:], F.contains(low, F.lit(words[0])))
+    tests = [("whatsapp", has("whatsapp", "whatapp", "wa.me")), ("telefono", t.rlike(r"(?<![A-Za-z0-9_])\d{10}(?![A-Za-z0-9_])")), ("email", F.contains(t, F.lit("@")) & t.rlike(r"(?i)[A-Z0-9._%+-]@[A-Z0-9.-]+\.[A-Z]{2,}")), ("dm", has("inbox", "dm", "mensaje directo"))]
+    return F.array_compact(F.array(*[F.when(found, k) for k, found in tests]))
+
+
+def offer_location(x) -> Column:
+    """Where an offer says that it is; '' if nowhere."""
+    return F.trim(F.regexp_extract(F.coalesce(c(x), F.lit("")), LOCATION, 1))
 
 
 def extract_offer(df: DataFrame, text: str = "text") -> DataFrame:
-    """Structured offers from scored posts: title, salary, place, contacts, signals, mechanism and flags."""
+    """Structured offers from scored posts: title, salary, place, contacts, signals, mechanism, flags and notes."""
     t = c(text)
+    low = F.lower(t)
     ids = F.transform("hits", lambda h: h["id"])
     risky = F.col("score") >= 20
+    words = ("vacante", "trabajo", "empleo")
+    named = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
     return df.withColumns({
-        "is_job_offer": (F.size("hits") > 0) | t.rlike("(?iu)trabajo|empleo|vacante|contrataci[oó]n|sueldo"),
-        "job_title": F.substring(F.trim(F.regexp_extract(t, r"(?i)(?:vacante|trabajo|empleo)\s+(?:de|para|como)?\s*([^\n.,;]+)", 1)), 1, 80),
+        "is_job_offer": (F.size("hits") > 0) | named | F.contains(low, F.lit("sueldo")) | matches(low, "contrataci[oó]n"),
+        "job_title": F.when(named, F.substring(F.trim(F.regexp_extract(t, r"(?i)(?:vacante|trabajo|empleo)\s+(?:de|para|como)?\s*([^\n.,;]+)", 1)), 1, 80)).otherwise(""),
         "salary_text": F.trim(F.regexp_extract(t, SALARY, 0)),
-        "location_text": F.coalesce(location_phrase(t), F.lit("")),
+        "location_text": offer_location(t),
         "contact_methods": contact_methods(t), "risk_signals": ids,
         "possible_mechanism": F.when(F.col("score") >= 45, "reclutamiento_forzado_o_fraude").otherwise("sin_mecanismo_claro"),
-        "confidence": F.col("score") / 100, "privacy_level": F.when(risky, "restricted").otherwise("internal"), "needs_review": risky,
+        "confidence": F.col("score") / 100, "privacy_level": F.when(risky, "restricted").otherwise("internal"), "needs_review": risky, "notes": F.col("recommendation"),
     })
 
 
-def extract_risk_event(df: DataFrame) -> DataFrame:
+def extract_risk_event(df: DataFrame, text: str = "text") -> DataFrame:
     n = F.size("hits")
     risky = F.col("score") >= 20
     return df.withColumns({
-        "event_type": F.when(risky, "oferta_laboral_sospechosa").otherwise("otro"), "estado": F.lit("sin_dato"), "municipio": F.lit("sin_dato"),
+        "event_type": F.when(risky, "oferta_laboral_sospechosa").otherwise("otro"), "estado": F.lit("sin_dato"), "municipio": F.lit("sin_dato"), "locality_approx": offer_location(text),
         "summary": F.when(n > 0, F.concat(F.lit("Oferta o reporte con "), n.cast("string"), F.lit(" senales de riesgo detectadas."))).otherwise("Reporte contextual sin senales suficientes."),
         "confidence": F.when(F.col("score") == 0, 0.3).otherwise(F.col("score") / 100), "privacy_level": F.when(risky, "restricted").otherwise("internal"), "needs_review": F.lit(True),
     })
 
 
 def merge_validation(given: DataFrame) -> DataFrame:
-    """Second look at offers that came with own fields (g_signals, g_confidence, g_privacy, g_review): the detector can only tighten them."""
+    """Second look at offers that came with own fields (g_signals, g_confidence, g_privacy, g_review, g_notes): the detector can only tighten them."""
     ids = F.transform("hits", lambda h: h["id"])
     risky = F.col("score") >= 20
-    return given.withColumns({"risk_signals": F.array_union(F.coalesce("g_signals", F.array().cast("array<string>")), ids), "confidence": F.greatest(F.coalesce("g_confidence", F.lit(0.0)), F.col("score") / 100), "privacy_level": F.when(risky, "restricted").otherwise(F.col("g_privacy")), "needs_review": F.coalesce("g_review", F.lit(False)) | risky})
+    notes = F.coalesce(blank_to_null("g_notes"), F.col("recommendation")) if "g_notes" in given.columns else F.col("recommendation")
+    return given.withColumns({"risk_signals": F.array_union(F.coalesce("g_signals", F.array().cast("array<string>")), ids), "confidence": F.greatest(F.coalesce("g_confidence", F.lit(0.0)), F.col("score") / 100), "privacy_level": F.when(risky, "restricted").otherwise(F.col("g_privacy")), "needs_review": F.coalesce("g_review", F.lit(False)) | risky, "notes": notes})
 
 
 def keyword_event(df: DataFrame, text: str) -> DataFrame:

@@ -23,25 +23,23 @@ TRIGGERS = "pago|cuota|costo|inversion|deposito|transferen|fee|payment|deposit|u
 RISK_WORDS = "trabajo|empleo|vacante|sueldo|buen dinero|sin experiencia|norte|cruzar|levant|secuestr|trata|enganche|reclut"
 #: State names as an upper-casing source leaves them, and as they are written; in the order of replacement.
 STATE_REPAIRS = [("MEXICO", "MÉXICO"), ("LEON", "LEÓN"), ("MICHOACAN", "MICHOACÁN"), ("QUERETARO", "QUERÉTARO"), ("POTOSI", "POTOSÍ"), ("YUCATAN", "YUCATÁN")]
-#: id, category, severity and patterns of the offer signals that are plain pattern lists, in report order (None: computed).
+#: id, category, severity and patterns of the offer signals that are plain pattern lists, in report order (None: computed). Case does not
+#: count; \b is an edge between ASCII letters, digits or _ and anything else.
 SIGNALS = [
     ("no_experiencia", "texto", "medium", ["sin\\s+experiencia", "no\\s+(se\\s+)?requiere\\s+experiencia", "cero\\s+experiencia", "no\\s+experiencia", "principiantes\\s+bienvenidos"]),
     ("contratacion_inmediata", "texto", "high", ["contrataci[oó]n\\s+inmediata", "inmediato", "urgente", "same\\s+day", "inicio\\s+hoy", "ya\\s+mismo"]),
     ("salario_inusual", "texto", "medium", None),
     ("prestaciones_excesivas", "texto", "info", None),
     ("contacto_otra_ciudad", "contexto", "high", None),
-    ("errores_ortograficos", "texto", "info", ["q\\s+haya", "(?<![A-Za-z0-9_])x(?![A-Za-z0-9_]) q", "empleo\\s+garantisado", "sireria", "nesesita", "aventa", "aseptamos"]),
+    ("errores_ortograficos", "texto", "info", ["q\\s+haya", "\\bx\\b\\s+q", "empleo\\s+garantisado", "sireria", "nesesita", "aventa", "aseptamos"]),
     ("pide_dinero_documentos", "texto", "critical", ["paga\\s+(cuota|dep[oó]sito|fianza|cooperaci[oó]n)", "dep[oó]sito\\s+(de\\s+)?garant[ií]a", "env[ií]a\\s+(tu\\s+)?ine", "manda\\s+(tu\\s+)?ine", "requerimos\\s+(tu\\s+)?rfc", "cuota\\s+de\\s+inscripci[oó]n"]),
-    ("ubicacion_sospechosa", "contexto", "high", ["central\\s+(nueva|vieja|de\\s+autobuses|camionera)", "terminal\\s+(de\\s+)?(autobuses|camionera)", "hotel\\s+(riu|aranzaz[uú])", "casa\\s+particular", "domicilio\\s+particular", "central\\s+de\\s+(gdl|guadalajara)"]),
+    ("ubicacion_sospechosa", "contexto", "high", ["central\\s+(nueva|vieja|de\\s+autobuses|camionera)", "terminal\\s+(de\\s+)?(autobuses|camionera)", "hotel\\s+(riu|aranzaz[uú])", "\\bcasa\\s+particular\\b", "domicilio\\s+particular", "central\\s+de\\s+(gdl|guadalajara)"]),
     ("transporte_entrevista", "texto", "high", ["te\\s+mandamos\\s+(un\\s+)?uber", "te\\s+pagamos\\s+(el|un)\\s+(uber|didi|taxi)", "enviamos\\s+(uber|didi)", "te\\s+reservamos\\s+(el|un)\\s+(uber|didi)"]),
     ("agencia_modelaje", "texto", "high", ["agencia\\s+de\\s+modelaje", "modelos?\\s+(femeninas?|buscamos)", "sesi[oó]n\\s+(de\\s+)?fotos?\\s+paga", "casting\\s+(de\\s+)?modelos"]),
-    ("codigos_visuales_crimen", "visual", "high", ["ninja", "gallo", "pizza", "tr[eé]bol", "ojo\\s+turco", "ogro\\s+japon[eé]s", "casco\\s+militar", "b[uú]ho"]),
+    ("codigos_visuales_crimen", "visual", "high", ["\\bninja\\b", "\\bgallo\\b", "\\bpizza\\b", "tr[eé]bol", "ojo\\s+turco", "ogro\\s+japon[eé]s", "casco\\s+militar", "\\bb[uú]ho\\b"]),
     ("perfiles_lure", "texto", "info", ["call\\s*center", "asesor\\s+(de\\s+)?ventas", "almacenista", "guardia\\s+(de\\s+)?seguridad", "personal\\s+de\\s+limpieza", "auxiliar\\s+general"]),
-    ("perfiles_tecnicos_crimen", "texto", "medium", ["qu[ií]mico", "plomer", "electricista", "(m[eé]dico|enfermer[oa]|enfermer[ií]a)", "ingenier[oi]a\\s+(en\\s+)?telecomunicaciones", "instalador\\s+de\\s+(antenas|radios)"]),
+    ("perfiles_tecnicos_crimen", "texto", "medium", ["qu[ií]mico", "\\bplomer", "electricista", "(m[eé]dico|enfermer[oa]|enfermer[ií]a)", "ingenier[oi]a\\s+(en\\s+)?telecomunicaciones", "instalador\\s+de\\s+(antenas|radios)"]),
     ("diseno_generico", "visual", "info", None),
 ]
-#: Of the patterns above, those that must begin (and, of the second list, end) at a word's edge.
-EDGE_BOTH = ["casa\\s+particular", "ninja", "gallo", "pizza", "b[uú]ho"]
-EDGE_LEFT = ["plomer"]
 SEVERITY = {"info": 8, "medium": 18, "high": 32, "critical": 45}
 BENEFITS = "prestaciones|seguro social|infonavit|vales|aguinaldo|utilidades|bonos|vacaciones"
