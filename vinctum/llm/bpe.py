@@ -100,6 +100,12 @@ class RankBpe:
         return [x for x, g in zip(parts, gone) if not g]
 
 
+@lru_cache(1)
+def rank_bpe(path: str) -> RankBpe:
+    """The file is read once a worker process; memos of words end with their task."""
+    return RankBpe(path)
+
+
 class WordTokenizer:
     """Texts to ids and back, for files whose words are composed, lower-cased runs and whose white space is dropped."""
 
@@ -109,7 +115,7 @@ class WordTokenizer:
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         import regex
 
-        self.bpe = RankBpe(path)
+        self.bpe = rank_bpe(path)
         self.find = regex.compile(self.PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.bpe.special)) + ")").split if self.bpe.special else lambda t: [t]
         self.memo = Memo(self._word, memo_words)
@@ -145,17 +151,11 @@ class WordTokenizer:
         return " ".join(self.bpe.token[i] for i in ids)
 
 
-@lru_cache(1)
-def tokenizer(path: str, memo_words: int = MEMO_WORDS) -> WordTokenizer:
-    """One a worker process, whatever the number of its tasks."""
-    return WordTokenizer(path, memo_words)
-
-
 def encode_digests(docs: DataFrame, path: str, memo_words: int = MEMO_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row's whole text; no shuffle."""
 
     def make():
-        tok = tokenizer(path, memo_words)
+        tok = WordTokenizer(path, memo_words)
 
         def of(text: str):
             e = tok.entries(text)
@@ -171,7 +171,7 @@ def encode(docs: DataFrame, path: str, memo_words: int = MEMO_WORDS) -> DataFram
     """doc_id and the ids as an array; `decode` is its inverse up to the file's normalisation."""
 
     def make():
-        tok = tokenizer(path, memo_words)
+        tok = WordTokenizer(path, memo_words)
         return lambda text: (tok.encode(text),)
 
     return map_texts(docs, make, "ids array<int>")

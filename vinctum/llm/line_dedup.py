@@ -45,7 +45,7 @@ BEST = 4
 #: Postings of a word that are compared in one place; longer lists are dealt in blocks.
 LIST_ROWS = 20_000
 #: Postings of a bucket, on average, and those that a task gathers before it sends them.
-BUCKET_ROWS, SEND_ROWS = 400_000, 1_000_000
+BUCKET_ROWS, SEND_ROWS = 200_000, 250_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -110,10 +110,10 @@ def _counted(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarr
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["slice", "places", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.int32)
         for h in hashes(batches):
             place, n = np.unique((h & np.uint64((1 << bits) - 1)).astype(np.int64), return_counts=True)
-            total[place] += n
+            total[place] += n.astype(np.int32)
         rows = []
         for i, x in enumerate(total.reshape(-1, min(_SLICE, 1 << bits))):
             if len(at := np.flatnonzero(x)):
@@ -242,12 +242,11 @@ def _long_lists(classes: DataFrame, bits: int, list_rows: int) -> dict[int, int]
     return found
 
 
-def _postings(classes: DataFrame, bits: int, list_rows: int, buckets: int, asked: np.ndarray | None = None, wanted: np.ndarray | None = None) -> DataFrame:
+def _postings(classes: DataFrame, bits: int, long: dict[int, int], buckets: int, wanted: np.ndarray | None = None) -> DataFrame:
     """classes -> (bucket, rows, packed, bits): the postings of a bucket of words, as many as a task gathered.
 
-    wanted: only these words' postings. asked: numbers of the classes that are asked for.
+    long: the blocks of long lists, by counter. wanted: only these words' postings.
     """
-    long = _long_lists(classes, bits, list_rows)
     hot = np.array(sorted(long), np.int64)
     blocks = np.array([long[h] for h in hot.tolist()], np.int64)
 
@@ -412,7 +411,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, per_hundred
 def _matched(classes: DataFrame, docs: DataFrame, per_hundred: int, bits: int, broadcast_ids: int, best: int, list_rows: int) -> DataFrame:
     """(x): numbers of the classes that an earlier class matches."""
     buckets = max(1, int(classes.agg(F.sum(F.size("prefix"))).first()[0] or 0) // BUCKET_ROWS)
-    pairs = _candidates(_postings(classes, bits, list_rows, buckets), per_hundred, best)
+    long = _long_lists(classes, bits, list_rows)
+    pairs = _candidates(_postings(classes, bits, long, buckets), per_hundred, best)
     # the same pair comes from several lists
     pairs = materialize(pairs.groupBy("x", "y").agg(F.bool_or("more").alias("more")), "line-pairs")
     matched = materialize(_verified(pairs, classes, docs, per_hundred, broadcast_ids).select("x").distinct(), "line-matches")
@@ -423,7 +423,7 @@ def _matched(classes: DataFrame, docs: DataFrame, per_hundred: int, bits: int, b
         asked = np.sort(np.array([r["x"] for r in some.collect()], np.int64))  # broadcast_ids numbers, about
         mine = classes.join(F.broadcast(some.withColumnRenamed("x", "c")), "c", "left_semi")
         wanted = np.array([r["w"] for r in mine.select(F.explode("prefix").alias("w")).where("w <> 0").distinct().collect()], np.int32).view(np.uint32)
-        rest = _candidates(_postings(classes, bits, list_rows, buckets, asked, np.sort(wanted)), per_hundred, best, asked).select("x", "y").distinct()
+        rest = _candidates(_postings(classes, bits, long, buckets, np.sort(wanted)), per_hundred, best, asked).select("x", "y").distinct()
         rest = materialize(rest.join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "line-pairs-2")
         matched = matched.unionByName(_verified(rest, classes, docs, per_hundred, broadcast_ids).select("x").distinct())
     return matched
