@@ -2,13 +2,14 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vinctum.functions import detect, text
-from vinctum.operators import evaluation, govern, ranking, vectors
+from vinctum.operators import evaluation, govern, matching, ranking, vectors
 from vinctum.operators import personas as B
 from vinctum.operators import records as A
 from vinctum.plans import link
@@ -171,10 +172,65 @@ def test_window_clusters_against_a_loop(spark):
     assert sorted((r.first, r.last, r.size) for r in vectors.window_clusters(df, ["k"], "x", 2).collect()) == want
 
 
-def test_greedy_duplicates(spark):
-    df = spark.createDataFrame([("b", 1, [1.0, 0.0]), ("b", 2, [1.0, 0.01]), ("b", 3, [0.0, 1.0]), ("c", 4, [1.0, 0.0])], "block string, id long, vec array<double>")
-    r = vectors.greedy_duplicates(df, "block").collect()
-    assert [(x.seed, x.members) for x in r] == [(1, [1, 2])]
+@pytest.mark.parametrize("least", [2, 3])
+def test_greedy_duplicates_against_a_loop(spark, least):
+    rng = np.random.default_rng(4)
+    few = rng.integers(0, 4, (30, 3)) + 0.5
+    rows = [("ab"[int(rng.integers(2))], i, [float(x) for x in few[rng.integers(30)]]) for i in range(160)]
+    want, seen = set(), set()
+    cos = lambda x, y: np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)
+    for block in "ab":
+        mine = [(i, v) for b, i, v in rows if b == block]
+        for i, v in mine:
+            if i not in seen:
+                members = [i] + [j for j, w in mine if j != i and j not in seen and cos(v, w) >= 0.97]
+                if len(members) >= least:
+                    seen |= set(members)
+                    want |= {(block, i, j, len(members)) for j in members}
+    got = vectors.greedy_duplicates(spark.createDataFrame(rows, "block string, id long, vec array<double>"), "block", min_size=least).collect()
+    assert {(r.block, r.seed, r.id, r["size"]) for r in got} == want and len(got) == len(want) and all(0.97 <= r.similarity <= 1 for r in got)
+
+
+def test_retrieval_in_blocks_is_the_whole_search(spark):
+    rng = np.random.default_rng(5)
+    v = rng.integers(0, 3, (90, 4)).astype(float)  # many ties, some null vectors
+    df = spark.createDataFrame([(f"x{i:02d}", [float(x) for x in row]) for i, row in enumerate(v)] + [(None, [1.0] * 4), ("none", None)], "id string, vec array<double>")
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    u = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+    want = {(f"x{q:02d}", f"x{i:02d}", k + 1) for q in range(90) for k, i in enumerate(np.lexsort((np.arange(90), -np.round(u @ u[q], 12)))[:5])}
+    for options in ({}, {"query_rows": 7, "corpus_rows": 11}, {"broadcast_queries": 3}):
+        assert {(r.query_id, r.id, r["rank"]) for r in vectors.retrieve(df, df, 5, **options).collect()} == want
+
+
+def test_countdown_of_many_ties(spark):
+    rows = [(i, float(i % 3)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, s double").repartition(7)
+    want = {i: k + 1 for k, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1], -r[0])))}
+    assert {r.id: r.queue_priority for r in ranking.global_countdown(df, "s", "id").collect()} == want
+
+
+def test_parts_are_found_by_their_first_characters(spark):
+    texts, parts = ["ciudad juarez", "ab", "a", "xx", "", None, "norte de la baja"], ["ciudad", "b", "ab", "baja", "zzz", "a", "", "rte de"]
+    t = spark.createDataFrame([(x,) for x in texts], "t string")
+    p = spark.createDataFrame([(x,) for x in parts], "p string")
+    got = sorted((r.t, r.p) for r in matching.contains_join(t, "t", p, "p").collect())
+    assert got == sorted((x, y) for x in texts if x for y in parts if y and y in x)
+
+
+def test_the_funnel_retrieves_before_it_scores(spark):
+    personas = spark.createDataFrame([(f"P{i}", "HOMBRE", 30, "TATUAJE ROSA ROJA EN MANO DERECHO", "", "X", "1999-01-01", None) for i in range(12)], "id_victimadirecta string, sexo string, edad int, sana_particular string, media_filiacion string, estado string, fecha_percato string, fecha_hechos string")
+    bodies = spark.createDataFrame([(c, "HOMBRE", 25, 35, 170, m, "X", "1999-07-10") for c, m in (("C1", "TATUAJE ROSA ROJA EN MANO DERECHO"), ("C2", "TATUAJE ROSA ROJA EN MANO IZQUIERDO"))], "codigo string, sexo string, edad_min int, edad_max int, estatura_cm int, sana_particular string, estado string, fecha_hallazgo string")
+    vec = lambda rows: spark.createDataFrame(rows, "id string, vec array<double>")
+    pv = vec([(f"P{i}", [1.0, float(i)]) for i in range(12)])
+    cfg = link.MatchConfig(retrieve_k=3, top_k=2, verify_top_n=1)
+    out = link.link_personas_by_vector(personas, bodies, pv, vec([("C1", [1.0, 0.0])]), cfg).collect()
+    first = sorted((r["rank"], r.p_id, r.narrated) for r in out if r.b_id == "C1")
+    assert first == [(1, "P0", True), (2, "P1", False)]
+    other = [r for r in out if r.b_id == "C2"]  # no vector: all personas, each contradicted one stays
+    assert len(other) == 12 and all(r.score <= 0.2 and r.narrative.startswith("Descartado") for r in other)
+    stored = spark.createDataFrame([("P1", "C1", 0.5), ("P1", "C2", 0.9), ("P2", "C1", 1.0)], "persona string, cuerpo string, score double")
+    got = link.candidates_for(stored, bodies, "P1").collect()
+    assert [(r.cuerpo, r.cuerpo_sexo, r.cuerpo_estado) for r in got] == [("C2", "HOMBRE", "X"), ("C1", "HOMBRE", "X")] and got[0].cuerpo_senas.endswith("IZQUIERDO")
 
 
 SUSPICIOUS = "Vacante de guardia de seguridad. Contratacion inmediata sin experiencia. Sueldo $18000 semanal. Te mandamos Uber para entrevista en central de autobuses. Contacto por WhatsApp."

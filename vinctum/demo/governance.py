@@ -21,6 +21,15 @@ def apply_reviews(e):
     return G.apply_reviews(cands, reviews)[0]
 
 
+@Q("review_audit", "events", sql=f"WITH {_REV}, last AS (SELECT match_id, decision FROM rev WHERE decision IN ('confirmed', 'rejected') QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY seen DESC, review_id DESC) = 1) SELECT 'match_' || decision AS action, match_id AS entity FROM last")
+def review_audit(e):
+    """One audit row per applied review."""
+    reviews = e.select(F.col("event_id").alias("review_id"), F.concat(F.lit("m"), (F.col("event_id") % 300).cast("string")).alias("match_id"), F.when(F.col("event_id") % 4 == 0, "confirmed").when(F.col("event_id") % 4 == 1, "rejected").otherwise("note").alias("decision"), F.col("ts").alias("at"), F.col("user_id").alias("reviewer"))
+    cands = e.select(F.concat(F.lit("m"), (F.col("event_id") % 310).cast("string")).alias("id")).distinct().withColumn("status", F.lit("in_review"))
+    return G.apply_reviews(cands, reviews)[1].select("action", "entity")
+
+
+Q("safe_view", "customer", sql="SELECT c_custkey, c_name, c_nationkey FROM customer")(lambda c: G.safe_view(c, ("c_acctbal", "c_mktsegment")))
 Q("secure_read", "v_sites", sql="SELECT k, lat FROM v_sites")(lambda s: G.secure_read(s, "reviewer", "sites", "2024-01-01").select("k", "lat"))
 Q("chat_view", "conversations", sql="SELECT conv_id, turn, 'Persona ' || a AS alias FROM (SELECT conv_id, turn, role FROM conversations) JOIN (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn), role) AS a FROM conversations GROUP BY conv_id, role) USING (conv_id, role)")(
     lambda c: G.safe_view(G.chat_view(c, "conv_id", "role", "turn"), ("text",)))

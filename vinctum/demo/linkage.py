@@ -88,22 +88,43 @@ def mark_sql(x: str) -> str:
 
 _MARKS = "list_filter(list_transform(string_split(coalesce(sana_particular, ''), '<br>'), lambda x: trim(x)), lambda x: x <> '' AND upper(x) <> 'NINGUNA')"
 _H = "try_cast(nullif(regexp_extract(regexp_extract(media_filiacion, 'ESTATURA:\\s*([\\d.,]+)', 1), '(\\d{2,3})', 1), '') AS INT)"
-TIDY = f"""p AS (SELECT id_victimadirecta AS p_id, upper(nullif(sexo, '')) AS p_sex, edad AS p_age, nullif(estado, '') AS p_state, {flex_date_sql("coalesce(nullif(fecha_percato, ''), nullif(fecha_hechos, ''))")} AS p_date, CASE WHEN {_H} BETWEEN 50 AND 230 THEN {_H} END AS p_h, {_MARKS} AS p_marks FROM v_personas),
+TIDY = f"""p AS (SELECT id_victimadirecta AS p_id, sexo AS p_raw, upper(nullif(sexo, '')) AS p_sex, edad AS p_age, nullif(estado, '') AS p_state, {flex_date_sql("coalesce(nullif(fecha_percato, ''), nullif(fecha_hechos, ''))")} AS p_date, CASE WHEN {_H} BETWEEN 50 AND 230 THEN {_H} END AS p_h, {_MARKS} AS p_marks FROM v_personas),
 b AS (SELECT codigo AS b_id, upper(sexo) AS b_sex, edad_min AS b_lo, edad_max AS b_hi, estado AS b_state, fecha_hallazgo::DATE AS b_date, CASE WHEN estatura_cm BETWEEN 50 AND 230 THEN estatura_cm END AS b_h, {_MARKS} AS b_marks FROM v_cuerpos)"""
 _REASON = "CASE WHEN p_sex <> b_sex THEN 'sexo incompatible' WHEN p_date > b_date THEN 'desaparición posterior al hallazgo' WHEN b_lo IS NOT NULL AND b_hi IS NOT NULL AND (p_age < b_lo - 12 OR p_age > b_hi + 12) THEN 'edad fuera de rango' END"
 _R4 = "floor(({x}) * 10000 + 0.5) / 10000"
 _R3 = "floor(({x}) * 1000 + 0.5) / 1000"
-ALL_B = f"""WITH {TIDY}, ok AS (SELECT * FROM p, b WHERE ({_REASON}) IS NULL),
-pm AS (SELECT p_id, i, {mark_sql('x')} AS pm FROM (SELECT p_id, unnest(p_marks) AS x, generate_subscripts(p_marks, 1) AS i FROM p)),
-bm AS (SELECT b_id, j, {mark_sql('x')} AS bm FROM (SELECT b_id, unnest(b_marks) AS x, generate_subscripts(b_marks, 1) AS j FROM b)),
-sim AS (SELECT b_id, p_id, j, i, bm, pm, CASE WHEN len(bm.tokens) = 0 OR len(pm.tokens) = 0 THEN 0 ELSE len(list_intersect(bm.tokens, pm.tokens))::DOUBLE / len(list_distinct(list_concat(bm.tokens, pm.tokens))) END AS s FROM ok JOIN bm USING (b_id) JOIN pm USING (p_id)),
-per AS (SELECT b_id, p_id, j, max(s) AS best, bool_or(s >= 0.4 AND (bm.lado IS NULL OR pm.lado IS NULL OR bm.lado = pm.lado)) AS fits FROM sim GROUP BY ALL),
-mk AS (SELECT b_id, p_id, sum(best ORDER BY j) / count(*) AS s, count(*) FILTER (best >= 0.4 AND NOT fits) AS n_con, count(*) FILTER (best >= 0.4 AND fits) AS n_ev FROM per GROUP BY ALL),
-sub AS (SELECT b_id, p_id, coalesce(s, 0.5)::DOUBLE AS s_marks, coalesce(n_con, 0) AS n_con, coalesce(n_ev, 0) AS n_ev, coalesce(greatest(0, 1 - abs(b_h - p_h) / 25.0::DOUBLE), 0.5)::DOUBLE AS s_height,
-  CASE WHEN p_age IS NULL OR b_lo IS NULL OR b_hi IS NULL THEN 0.5 WHEN p_age BETWEEN b_lo AND b_hi THEN 1 ELSE greatest(0, 1 - least(abs(p_age - b_lo), abs(p_age - b_hi)) / 12.0::DOUBLE) END::DOUBLE AS s_age,
+
+def all_b(ok: str | None = None, tidy: str = TIDY) -> str:
+    """Scores of all pairs that nothing blocks, or of those of the table `ok`; marks are compared once per pair of distinct texts."""
+    pairs = ok or f"SELECT p.*, b.* FROM p, b WHERE ({_REASON}) IS NULL"
+    return f"""WITH {tidy.replace(" AS (SELECT id_victim", " AS MATERIALIZED (SELECT id_victim").replace("b AS (SELECT", "b AS MATERIALIZED (SELECT")}, ok AS MATERIALIZED ({pairs}),
+pm AS MATERIALIZED (SELECT p_id, unnest(p_marks) AS pt, generate_subscripts(p_marks, 1) AS i FROM p), bm AS MATERIALIZED (SELECT b_id, unnest(b_marks) AS bt, generate_subscripts(b_marks, 1) AS j FROM b),
+dp AS MATERIALIZED (SELECT pt, {mark_sql('pt')} AS pm FROM (SELECT DISTINCT pt FROM pm)), db AS MATERIALIZED (SELECT bt, {mark_sql('bt')} AS bm FROM (SELECT DISTINCT bt FROM bm)),
+ds AS MATERIALIZED (SELECT bt, pt, CASE WHEN len(bm.tokens) = 0 OR len(pm.tokens) = 0 THEN 0 ELSE len(list_intersect(bm.tokens, pm.tokens))::DOUBLE / len(list_distinct(list_concat(bm.tokens, pm.tokens))) END AS s, (bm.lado IS NULL OR pm.lado IS NULL OR bm.lado = pm.lado) AS sides FROM db, dp),
+sim AS (SELECT b_id, p_id, j, i, bt, pt, s, sides FROM ok JOIN bm USING (b_id) JOIN pm USING (p_id) JOIN ds USING (bt, pt)),
+per AS MATERIALIZED (SELECT b_id, p_id, j, max(s) AS best, bool_or(s >= 0.4 AND sides) AS fits, any_value(bt) AS bt, arg_min(pt, (-s, i)) AS top, arg_min(pt, (-s, i)) FILTER (s >= 0.4 AND sides) AS fit FROM sim GROUP BY b_id, p_id, j),
+mk AS (SELECT b_id, p_id, sum(best ORDER BY j) / count(*) AS s, count(*) FILTER (best >= 0.4 AND NOT fits) AS n_con, string_agg('seña coincide: «' || bt || '» ~ «' || fit || '»', '; ' ORDER BY j) FILTER (best >= 0.4 AND fits) AS ev, string_agg('lateralidad opuesta: «' || bt || '» vs «' || top || '»', '; ' ORDER BY j) FILTER (best >= 0.4 AND NOT fits) AS con FROM per GROUP BY b_id, p_id),
+sub AS (SELECT ok.*, coalesce(s, 0.5)::DOUBLE AS r_marks, coalesce(n_con, 0) AS n_con, ev, con, coalesce(greatest(0, 1 - abs(b_h - p_h) / 25.0::DOUBLE), 0.5)::DOUBLE AS r_height,
+  CASE WHEN p_age IS NULL OR b_lo IS NULL OR b_hi IS NULL THEN 0.5 WHEN p_age BETWEEN b_lo AND b_hi THEN 1 ELSE greatest(0, 1 - least(abs(p_age - b_lo), abs(p_age - b_hi)) / 12.0::DOUBLE) END::DOUBLE AS r_age,
   CASE WHEN p_state IS NULL OR b_state IS NULL THEN 0.5 WHEN upper(p_state) = upper(b_state) THEN 1 ELSE 0.4 END::DOUBLE AS s_geo, CASE WHEN p_date IS NULL OR b_date IS NULL THEN 0.5 WHEN p_date <= b_date THEN 1 ELSE 0 END::DOUBLE AS s_temporal FROM ok LEFT JOIN mk USING (b_id, p_id)),
-tot AS (SELECT *, CASE WHEN n_con > 0 THEN least(t, 0.2::DOUBLE) ELSE t END AS total FROM (SELECT *, 0.45::DOUBLE * s_marks + 0.20::DOUBLE * s_height + 0.10::DOUBLE * s_age + 0.15::DOUBLE * s_geo + 0.10::DOUBLE * s_temporal AS t FROM sub)),
-res AS (SELECT b_id, p_id, {_R4.format(x='total')} AS score, CASE WHEN total >= 0.65 THEN 'alta' WHEN total >= 0.35 THEN 'media' ELSE 'baja' END AS tier, {_R3.format(x='s_marks')} AS s_marks, {_R3.format(x='s_height')} AS s_height, {_R3.format(x='s_age')} AS s_age, s_geo, s_temporal, n_con FROM tot)"""
+tot AS (SELECT *, CASE WHEN n_con > 0 THEN least(t, 0.2::DOUBLE) ELSE t END AS total FROM (SELECT *, 0.45::DOUBLE * r_marks + 0.20::DOUBLE * r_height + 0.10::DOUBLE * r_age + 0.15::DOUBLE * s_geo + 0.10::DOUBLE * s_temporal AS t FROM sub)),
+res AS MATERIALIZED (SELECT *, {_R4.format(x='total')} AS score, CASE WHEN total >= 0.65 THEN 'alta' WHEN total >= 0.35 THEN 'media' ELSE 'baja' END AS tier, {_R3.format(x='r_marks')} AS s_marks, {_R3.format(x='r_height')} AS s_height, {_R3.format(x='r_age')} AS s_age FROM tot),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY b_id ORDER BY score DESC, p_id)::INT AS rank FROM res)"""
+
+
+ALL_B = all_b()
+#: Bodies of other tables in the place of v_cuerpos.
+OTHER_BODIES = "b AS (SELECT codigo AS b_id, upper(sexo) AS b_sex, edad_min AS b_lo, edad_max AS b_hi, estado AS b_state, fecha_hallazgo::DATE AS b_date, CASE WHEN estatura_cm BETWEEN 50 AND 230 THEN estatura_cm END AS b_h, " + _MARKS + " AS b_marks FROM ({bodies}))"
+
+
+def with_bodies(bodies: str) -> str:
+    return all_b(tidy=TIDY[: TIDY.index("b AS (SELECT codigo")] + OTHER_BODIES.replace("{bodies}", bodies))
+
+
+_EVIDENCE = """concat_ws('; ', ev, CASE WHEN p_sex = b_sex THEN 'sexo coincide: ' || p_raw END, CASE WHEN p_h IS NOT NULL AND b_h IS NOT NULL THEN 'estatura ' || CASE WHEN r_height > 0.6 THEN 'compatible' ELSE 'difiere' END || ': ' || p_h || 'cm vs ' || b_h || 'cm' END,
+  CASE WHEN p_age IS NOT NULL AND b_lo IS NOT NULL AND b_hi IS NOT NULL THEN 'edad ' || CASE WHEN r_age >= 0.8 THEN 'compatible' ELSE 'parcial' END || ': ficha ' || p_age || ', cuerpo ' || b_lo || '-' || b_hi END, CASE WHEN upper(p_state) = upper(b_state) THEN 'mismo estado: ' || p_state END,
+  CASE WHEN p_date <= b_date THEN 'temporal coherente: desaparición ' || p_date || ', hallazgo ' || b_date || ' (' || date_diff('day', p_date, b_date) || ' días)' END)"""
+_NARRATIVE = "CASE WHEN n_con > 0 THEN 'Descartado a prioridad baja por contradicción: ' || con || '. Requiere revisión humana; el sistema no concluye.' ELSE 'Candidato priorizado (tier ' || tier || ', ' || round_even(score * 100, 0)::INT || '%). El sistema no concluye; se prioriza para revisión humana.' END"
 
 
 @Q("block_reason", "v_personas", "v_cuerpos", sql=f"WITH {TIDY} SELECT reason, count(*)::BIGINT AS n FROM (SELECT coalesce({_REASON}, 'ok') AS reason FROM p, b WHERE p_state = b_state) GROUP BY reason")
@@ -117,13 +138,28 @@ Q("block_reason_all", "v_personas", "v_cuerpos", sql=f"WITH {TIDY} SELECT reason
 Q("candidate_pairs_b", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT p_id, b_id FROM ok")(lambda p, b: B.candidate_pairs(p, b).select("p_id", "b_id"))
 Q("score_pair_b", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT b_id, p_id, score, tier, s_marks, s_height, s_age, s_geo, s_temporal, n_con::BIGINT AS n_con FROM res")(
     lambda p, b: B.score_pair_b(B.candidate_pairs(p, b)).select("b_id", "p_id", "score", "tier", "s_marks", "s_height", "s_age", "s_geo", "s_temporal", F.size("contradictions").cast("long").alias("n_con")))
-Q("rank_with_rejected", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT b_id, p_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY b_id ORDER BY score DESC, p_id)::INT AS rank FROM res) WHERE rank <= 8 OR n_con > 0")(
-    lambda p, b: ranking.rank_with_rejected(B.score_pair_b(B.candidate_pairs(p, b)), 8).select("b_id", "p_id", "score", "rank"))
-Q("to_verify", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT b_id, p_id, score, n_con > 0 AS rejected FROM (SELECT *, row_number() OVER (PARTITION BY b_id ORDER BY score DESC, p_id) AS rank FROM res) WHERE rank = 1 OR n_con > 0")(
-    lambda p, b: ranking.rank_with_rejected(B.score_pair_b(B.candidate_pairs(p, b)), 1).select("b_id", "p_id", "score", (F.size("contradictions") > 0).alias("rejected")))
-Q("narrative_b", "v_personas", "v_cuerpos", sql=f"""{ALL_B} SELECT b_id, p_id, 'Candidato priorizado (tier ' || tier || ', ' || round_even(score * 100, 0)::INT || '%). El sistema no concluye; se prioriza para revisión humana.' AS narrative FROM res WHERE n_con = 0""")(
-    lambda p, b: B.narrative(B.score_pair_b(B.candidate_pairs(p, b))).where(F.size("contradictions") == 0).select("b_id", "p_id", "narrative"))
-Q("evidence_b", "v_personas", "v_cuerpos")(lambda p, b: link.link_personas(p, b).select("b_id", "p_id", F.array_join("evidences", "; ").alias("evidence"), F.array_join("contradictions", "; ").alias("contradiction"), "narrative"))
+Q("rank_with_rejected", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT b_id, p_id, score, rank FROM ranked WHERE rank <= 8 OR n_con > 0")(
+    lambda p, b: ranking.rank_with_rejected(B.score_numbers(B.candidate_pairs(p, b)), 8).select("b_id", "p_id", "score", "rank"))
+Q("to_verify", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT b_id, p_id, score, n_con > 0 AS rejected FROM ranked WHERE rank = 1 OR n_con > 0")(
+    lambda p, b: ranking.rank_with_rejected(B.score_numbers(B.candidate_pairs(p, b)), 1).select("b_id", "p_id", "score", (F.col("n_contradictions") > 0).alias("rejected")))
+Q("narrative_b", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT b_id, p_id, {_NARRATIVE} AS narrative FROM res WHERE n_con = 0")(
+    lambda p, b: B.narrative(B.score_numbers(B.candidate_pairs(p, b)).where("n_contradictions = 0").withColumn("contradictions", F.array().cast("array<string>"))).select("b_id", "p_id", "narrative"))
+Q("evidence_b", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT b_id, p_id, {_EVIDENCE} AS evidence, coalesce(con, '') AS contradiction, {_NARRATIVE} AS narrative FROM ranked WHERE rank <= 8 OR n_con > 0")(
+    lambda p, b: link.link_personas(p, b).select("b_id", "p_id", F.array_join("evidences", "; ").alias("evidence"), F.array_join("contradictions", "; ").alias("contradiction"), "narrative"))
+
+_COS = "list_dot_product(x.v, y.v) / sqrt(list_dot_product(x.v, x.v)) / sqrt(list_dot_product(y.v, y.v))"
+_FUNNEL = f"""SELECT p.*, b.* FROM (SELECT b_id, p_id FROM (SELECT 'C' || s_suppkey AS b_id, 'P' || c_custkey AS p_id, row_number() OVER (PARTITION BY s_suppkey ORDER BY round({_COS}, 12) DESC, 'P' || c_custkey) AS n
+  FROM (SELECT s_suppkey, embedding::DOUBLE[] AS v FROM supplier JOIN embeddings ON vec_id = s_suppkey * 7 % 150 WHERE s_suppkey % 5 <> 0) x, (SELECT c_custkey, embedding::DOUBLE[] AS v FROM customer JOIN embeddings ON vec_id = c_custkey % 150) y) WHERE n <= 50
+  UNION ALL SELECT b_id, p_id FROM b, p WHERE substr(b_id, 2)::INT % 5 = 0) JOIN p USING (p_id) JOIN b USING (b_id) WHERE ({_REASON}) IS NULL"""
+
+
+@Q("personas_funnel", "v_personas", "v_cuerpos", "embeddings", sql=f"{all_b(_FUNNEL)} SELECT b_id, p_id, score, rank, rank <= 3 AS narrated, {_NARRATIVE} AS narrative FROM ranked WHERE rank <= 8 OR n_con > 0")
+def personas_funnel(p, b, e):
+    """J5 in matcher B: vectors retrieve 50 personas a body, bodies without a vector meet all; ranked, then given texts."""
+    vec = lambda df, id_col, place: df.select(F.col(id_col).alias("id"), place.alias("vec_id")).join(e, "vec_id").select("id", F.col("embedding").alias("vec"))
+    out = link.link_personas_by_vector(p, b, vec(p, "id_victimadirecta", F.col("k") % 150), vec(b.where("k % 5 <> 0"), "codigo", F.col("k") * 7 % 150))
+    return out.select("b_id", "p_id", "score", "rank", "narrated", "narrative")
+
 
 # --- ranking, review
 
@@ -175,9 +211,19 @@ def evaluation_set(p):
     return evaluation.build_eval_set(p).select("codigo", "sana_particular")
 
 
-@Q("evaluate_matcher", "v_personas")
+_EVAL = """SELECT CASE WHEN n > 10 THEN 'NM-' ELSE 'TM-' END || id_victimadirecta AS codigo, sexo, edad - 2 AS edad_min, edad + 2 AS edad_max, NULL::INT AS estatura_cm, estado, '2005-01-01' AS fecha_hallazgo,
+  CASE WHEN n > 10 THEN replace(replace(replace(replace(replace(replace(sana_particular, 'IZQUIERDO', '§1'), 'DERECHO', 'IZQUIERDO'), '§1', 'DERECHO'), 'LADO IZQ', '§2'), 'LADO DER', 'LADO IZQ'), '§2', 'LADO DER') ELSE sana_particular END AS sana_particular
+  FROM (SELECT *, row_number() OVER (ORDER BY id_victimadirecta) AS n FROM v_personas WHERE regexp_matches(upper(sana_particular), 'IZQ|DER')) WHERE n <= 13"""
+
+
+@Q("evaluate_matcher", "v_personas", sql=f"""{with_bodies(_EVAL)}, j AS (SELECT b.b_id, starts_with(b.b_id, 'TM-') AS m, score FROM b LEFT JOIN res ON res.b_id = b.b_id AND res.p_id = substr(b.b_id, 4))
+SELECT count(*) FILTER (m) AS n_true, count(*) FILTER (m AND score >= 0.5) AS n_found, count(*) FILTER (NOT m) AS n_near, count(*) FILTER (NOT m AND coalesce(score, 0) < 0.3) AS n_rejected FROM j""")
 def evaluate_matcher(p):
     """Planted pairs found and near misses rejected."""
     bodies = evaluation.build_eval_set(p)
-    scored = B.score_pair_b(B.candidate_pairs(p, bodies))
-    return evaluation.evaluate(scored, evaluation.labelled_pairs(bodies))
+    return evaluation.evaluate(B.score_numbers(B.candidate_pairs(p, bodies)), evaluation.labelled_pairs(bodies))
+
+
+Q("labelled_pairs", "v_personas", sql=f"SELECT codigo AS b_id, substr(codigo, 4) AS p_id, starts_with(codigo, 'TM-') AS is_match FROM ({_EVAL})")(lambda p: evaluation.labelled_pairs(evaluation.build_eval_set(p)))
+Q("candidates_for", "v_records", "v_adjacent", "v_cuerpos", sql=f"""{CANDS} SELECT cands.id, persona, cuerpo, score, b.sexo AS cuerpo_sexo, b.estado AS cuerpo_estado, b.sana_particular AS cuerpo_senas FROM cands JOIN v_cuerpos b ON b.codigo = 'C' || substr(cuerpo, 2) WHERE persona = 'M10'""")(
+    lambda r, a, b: link.candidates_for(_cands(r, a), b.withColumn("codigo", F.concat(F.lit("U"), F.substring("codigo", 2, 20))), "M10").select("id", "persona", "cuerpo", "score", "cuerpo_sexo", "cuerpo_estado", "cuerpo_senas"))

@@ -21,7 +21,8 @@ def search_people(p):
     return page.select(F.col("id_victimadirecta").alias("id")).join(F.broadcast(total))
 
 
-Q("search_records", "v_records", sql="SELECT id FROM v_records WHERE record_type = 'missing' AND contains(lower(raw_description), 'rosa') ORDER BY id LIMIT 20")(lambda r: S.search_records(r, q="Rosa", record_type="missing").select("id"))
+Q("search_records", "v_records", sql="SELECT id FROM (SELECT *, 'MUN' || substr(id, length(id), 1) AS municipio FROM v_records) WHERE record_type = 'missing' AND (contains(lower(raw_description), 'n7') OR contains(lower(municipio), 'n7')) ORDER BY id LIMIT 20")(
+    lambda r: S.search_records(r.withColumn("municipio", F.concat(F.lit("MUN"), F.substring("id", -1, 1))), q="N7", record_type="missing").select("id"))
 Q("search_pages", "pages", sql="SELECT page_id, row_number() OVER (ORDER BY page_id)::INT AS rank, substr(html, 1, 160) AS description FROM (SELECT * FROM pages WHERE contains(lower(url), '/fr') OR contains(lower(html), 'est le') ORDER BY page_id LIMIT 10)")(
     lambda p: S.search_pages(p.withColumn("both", F.concat_ws("|", F.when(F.lower("url").contains("/fr"), "est le"), "html")), "both", "html", "EST LE").select("page_id", "rank", "description"))
 Q("having_mark", "v_personas", sql="SELECT id_victimadirecta AS id FROM v_personas WHERE list_contains(list_transform(string_split(sana_particular, '<br>'), lambda x: trim(x)), 'LUNAR EN CUELLO')")(

@@ -99,17 +99,33 @@ def jsonl_dropping_bad_lines(e):
     return files.read_jsonl(e.sparkSession, path, "event_id long, user_id long")
 
 
-@Q("features_scan", "v_records", sql="SELECT id, 'na' AS laterality, 2::INT AS n FROM v_records")
+@Q("features_scan", "v_records", sql="SELECT id, coalesce(CASE WHEN length(id) % 3 = 0 THEN 'derecha' END, 'na') AS laterality, list_transform(string_split(raw_description, ' '), lambda x: lower(x))[2] AS second, len(string_split(raw_description, ' '))::INT AS n FROM v_records")
 def features_scan(r):
-    """S5, S6."""
-    raw = files.records(r).select("id", F.lit(None).cast("string").alias("laterality"), F.lit('["a","b"]').alias("tokens"))
-    return files.features(raw).select("id", "laterality", F.size("tokens").alias("n"))
+    """Tokens are stored as JSON."""
+    raw = r.select("id", F.when(F.length("id") % 3 == 0, "derecha").alias("laterality"), F.to_json(F.transform(F.split("raw_description", " "), F.lower)).alias("tokens"))
+    return files.features(raw).select("id", "laterality", F.get("tokens", F.lit(1)).alias("second"), F.size("tokens").alias("n"))
 
 
-@Q("geojson", "v_sites", sql="SELECT count(*) AS n FROM v_sites WHERE lat IS NOT NULL AND lng IS NOT NULL")
+Q("records_scan", "v_records", sql="SELECT id, estado FROM v_records WHERE record_type = 'missing'")(lambda r: files.records(r, "missing").select("id", "estado"))
+
+
+@Q("geojson", "v_sites", sql="""
+SELECT k, round(lng::DOUBLE, 6) AS lng, round(lat::DOUBLE, 6) AS lat, entidad, region::BIGINT AS region, (SELECT count(*) FROM v_sites WHERE lat IS NOT NULL AND lng IS NOT NULL) AS num_sitios,
+  (SELECT sum(CASE WHEN regexp_full_match(trim(fosas), '[0-9]+') THEN trim(fosas)::BIGINT ELSE 0 END)::BIGINT FROM v_sites) AS total_fosas, (SELECT sum(CASE WHEN regexp_full_match(trim(cuerpos), '[0-9]+') THEN trim(cuerpos)::BIGINT ELSE 0 END)::BIGINT FROM v_sites) AS total_cuerpos FROM v_sites WHERE lat IS NOT NULL AND lng IS NOT NULL""")
 def geojson(s):
-    """K2: one feature per line, written and read back."""
+    """K2: a FeatureCollection with totals, written and read back."""
     path = scratch(s.sparkSession, "geojson")
-    files.to_geojson(s, "lng", "lat", ["entidad", "region"]).write.text(path)
-    back = s.sparkSession.read.json(path, schema="type string, geometry struct<type:string,coordinates:array<double>>, properties map<string,string>")
-    return back.where("type = 'Feature' AND size(geometry.coordinates) = 2").agg(F.count(F.lit(1)).alias("n"))
+    files.write_feature_collection(s, path, "lng", "lat", ["k", "entidad", "region"], ["fosas", "cuerpos"], "k")
+    lines = s.sparkSession.read.text(path)
+    one = F.from_json(F.ltrim(F.col("value"), F.lit(",")), "struct<type:string,geometry:struct<coordinates:array<double>>,properties:struct<k:int,entidad:string,region:bigint>>")
+    points = lines.where("value LIKE '%\"Feature\"%'").select(one.alias("f")).select(F.col("f.properties.k").alias("k"), F.round(F.col("f.geometry.coordinates")[0], 6).alias("lng"), F.round(F.col("f.geometry.coordinates")[1], 6).alias("lat"), "f.properties.entidad", "f.properties.region")
+    head = lines.where("value LIKE '{\"type\":\"FeatureCollection\"%'").select(F.from_json(F.concat("value", F.lit("]}")), "struct<num_sitios:bigint,total_fosas:bigint,total_cuerpos:bigint>").alias("h")).select("h.*")
+    return points.join(F.broadcast(head))
+
+
+@Q("assemble_rows", "events", sql="SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'failed' ELSE 'ok' END AS status FROM events")
+def assemble_rows(e):
+    """K1: rows in order, written as JSON and read back."""
+    path = scratch(e.sparkSession, "assembled")
+    files.write_ordered_json(e.select("event_id", F.when(F.col("event_id") % 9 == 0, "failed").otherwise("ok").alias("status")), path, "event_id")
+    return files.read_jsonl(e.sparkSession, path, "event_id long, status string")

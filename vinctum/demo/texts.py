@@ -63,13 +63,25 @@ Q("record_text", "v_personas", sql=f"SELECT id_victimadirecta AS id, coalesce(nu
 Q("location_phrase", "v_posts", sql=f"SELECT doc_id, {_LOC} AS place FROM v_posts")(lambda p: p.select("doc_id", T.location_phrase("text").alias("place")))
 _TONE = lambda table: "concat_ws(',', " + ", ".join("CASE WHEN regexp_matches(lower(text), '(?i){}') THEN '{}' END".format(p, k) for k, p in table) + ")"
 Q("tone_keywords", "v_posts", sql=f"SELECT doc_id, {_TONE(V.TONES)} AS tones, {_TONE(V.SHORT_TONES)} AS tags FROM v_posts")(lambda p: p.select("doc_id", F.array_join(T.tone_keywords("text"), ",").alias("tones"), F.array_join(T.tone_keywords("text", "short"), ",").alias("tags")))
-Q("relative_date", "v_posts")(lambda p: p.select("doc_id", T.relative_date("text", F.lit("2024-06-30 12:00:00").cast("timestamp")).alias("posted")))
-
-
-@Q("split_posts", "conversations")
+# a space between a unit and a digit lets each mark have its next character for itself
+_MARKED = """l AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(lower(text), '([hdwmy])([0-9])', '\\1 \\2', 'g'), '([0-9]{1,2}[hdwmy])(?:[a-z0-9\\s]|$)', 1)) AS m FROM v_posts),
+k AS (SELECT doc_id, list_position(['h', 'd', 'w', 'm', 'y'], right(m, 1)) AS r, left(m, length(m) - 1)::INT AS n FROM l), best AS (SELECT doc_id, max((r, n)) AS x FROM k WHERE n <= [23, 30, 52, 12, 10][r] GROUP BY doc_id)"""
+Q("relative_date", "v_posts", sql=f"WITH {_MARKED} SELECT doc_id, strftime(TIMESTAMP '2024-06-30 12:00:00' - CASE x[1] WHEN 1 THEN to_hours(x[2]) WHEN 2 THEN to_days(x[2]) WHEN 3 THEN to_days(7 * x[2]) WHEN 4 THEN to_months(x[2]) ELSE to_years(x[2]) END, '%Y-%m-%d %H:%M:%S') AS posted FROM v_posts LEFT JOIN best USING (doc_id)")(
+    lambda p: p.select("doc_id", F.date_format(T.relative_date("text", F.lit("2024-06-30 12:00:00").cast("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("posted")))
+_UI = "(?i)^(Like|Comment|Share|All reactions.*|Reply|View (more|all).*|[0-9]+[dhw])$"
+
+
+@Q("split_posts", "conversations", sql=f"""
+WITH t AS (SELECT conv_id, string_agg(CASE WHEN turn % 3 = 1 THEN text || chr(10) || ' Like ' || chr(10) || 'first answer' || chr(10) || '3d' || chr(10) || 'Reply' ELSE text END, chr(10) || 'Comment as ' ORDER BY turn, text) AS page FROM conversations GROUP BY conv_id),
+c AS (SELECT conv_id, trim(unnest(s)) AS chunk, (generate_subscripts(s, 1) - 1)::INT AS idx FROM (SELECT conv_id, string_split_regex(page, '(?i)\nComment as |\nAnswer as ') AS s FROM t)),
+l AS (SELECT conv_id, idx, list_filter(list_transform(string_split(chunk, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM c WHERE length(chunk) > 20),
+k AS (SELECT *, coalesce(list_position(list_transform(ls, lambda x: regexp_matches(x, '(?i)^(Like|Comment|Share|All reactions.*)$')), true), 0) AS cut FROM l),
+b AS (SELECT conv_id, idx, list_filter(CASE WHEN cut > 0 THEN ls[1:cut - 1] ELSE ls END, lambda x: NOT regexp_matches(x, '{_UI}')) AS body, list_filter(CASE WHEN cut > 0 THEN ls[cut:] ELSE [] END, lambda x: NOT regexp_matches(x, '{_UI}')) AS more FROM k)
+SELECT conv_id, idx, substr(array_to_string(body, ' ') || CASE WHEN len(more) > 0 THEN chr(10) || chr(10) || '[Comments: ' || array_to_string(more, ' | ') || ']' ELSE '' END, 1, 5000) AS content FROM b WHERE length(array_to_string(body, ' ')) >= 10""")
 def split_posts(c):
-    """T14, over conversations joined to one text each."""
-    turns = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\nComment as ").alias("page"))  # a conversation's turns
+    """T14, over conversations joined to one text each; some turns carry reactions and a comment."""
+    text = F.when(F.col("turn") % 3 == 1, F.concat("text", F.lit("\n Like \nfirst answer\n3d\nReply"))).otherwise(F.col("text"))
+    turns = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", text.alias("full")))), lambda x: x["full"]), "\nComment as ").alias("page"))  # a conversation's turns
     return T.split_posts(turns, "page", ["conv_id"])
 
 

@@ -12,7 +12,8 @@ from vinctum.sources.scratch import scratch
 from vinctum.streaming import feeds
 
 from .aggregates import AGED
-from .views import Registry, load
+from .linkage import tokens_sql, with_bodies
+from .views import Registry, load, with_views
 
 Q = Registry()
 
@@ -36,7 +37,7 @@ def vectorize(r):
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
 Q("cosine_to_first", "embeddings", sql=f"SELECT b.vec_id, round({_COS}, 6) AS similarity FROM embeddings b JOIN embeddings a ON a.vec_id = b.vec_id - b.vec_id % 10")(
     lambda e: e.join(e.select(F.col("vec_id").alias("first"), F.col("embedding").alias("v")), F.col("vec_id") - F.col("vec_id") % 10 == F.col("first")).select("vec_id", F.round(V.cosine("embedding", "v"), 6).alias("similarity")))
-Q("normalized_length", "embeddings", sql="SELECT vec_id, 1.0::DOUBLE AS length FROM embeddings")(lambda e: e.select("vec_id", F.round(V.dot(V.l2_normalize(F.col("embedding")), V.l2_normalize(F.col("embedding"))), 6).alias("length")))
+Q("normalized_length", "embeddings", sql="SELECT vec_id, round(list_dot_product(u, u), 6) AS length FROM (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings))")(lambda e: e.select("vec_id", F.round(V.dot(V.l2_normalize(F.col("embedding")), V.l2_normalize(F.col("embedding"))), 6).alias("length")))
 
 
 def _vecs(e):
@@ -53,30 +54,40 @@ Q("similar_above", "embeddings", sql=f"SELECT query_id, id, round(s, 6) AS simil
 def greedy_duplicates(r):
     """E3, per municipality."""
     v = V.vectorize(people(r)).withColumn("block", F.concat_ws("|", "cve_ent", "municipio"))
-    return V.greedy_duplicates(v, "block").select("block", "seed", "size", F.round("similarity", 6).alias("similarity"))
+    return V.greedy_duplicates(v, "block").select("block", "seed", "id", "size", F.round("similarity", 6).alias("similarity"))
 
 
-@Q("window_clusters", "events")
+def _runs(pre: str, k: str, x: str, t: str, span: int) -> str:
+    return f"""WITH RECURSIVE {pre} d AS (SELECT {k} AS k, {x} AS x, count(*) AS n FROM {t} GROUP BY ALL),
+w AS (SELECT k, x, sum(n) OVER o AS size, max(x) OVER o AS last FROM d WINDOW o AS (PARTITION BY k ORDER BY x RANGE BETWEEN CURRENT ROW AND {span} FOLLOWING)), c AS (SELECT * FROM w WHERE size >= 3),
+r AS (SELECT k, min(x) AS x FROM c GROUP BY k UNION ALL SELECT r.k, min(c.x) FROM r JOIN c ON c.k = r.k AND c.x > r.x + {span} GROUP BY r.k, r.x), got AS (SELECT c.* FROM r JOIN c USING (k, x))"""
+
+
+@Q("window_clusters", "events", sql=_runs("", "user_id", "date_diff('day', DATE '2024-01-01', ts::DATE)", "events", 2) + " SELECT k AS user_id, x AS first, last, size::INT AS size FROM got")
 def window_clusters(e):
     """E4 over days per user."""
     days = e.select("user_id", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).alias("day"))
     return V.window_clusters(days, ["user_id"], "day", max_span=2)
 
 
-@Q("cluster_rollup", "v_registry")
+@Q("cluster_rollup", "v_registry", sql=_runs(f"{AGED}, young AS (SELECT cve_ent || '|' || municipio AS muni, year(fecha) * 12 + coalesce(month(fecha), 6) AS m FROM aged WHERE age BETWEEN 18 AND 29),", "muni", "m", "young", 6) + " SELECT k AS municipio, sum(size)::BIGINT AS members, count(*) AS clusters, min(x) AS first, max(last) AS last FROM got GROUP BY k")
 def cluster_rollup(r):
-    """A10 over the clusters of young adults, in months."""
-    young = people(r).where("age BETWEEN 18 AND 29").withColumn("m", F.col("year") * 12 + F.col("month"))
+    """A10 over the clusters of young adults, in months; an unknown month counts as June."""
+    young = people(r).where("age BETWEEN 18 AND 29").withColumn("m", F.col("year") * 12 + F.coalesce("month", F.lit(6)))
     c = V.window_clusters(young, ["cve_ent", "municipio"], "m", max_span=6)
     return A.cluster_rollup(c.withColumn("municipio", F.concat_ws("|", "cve_ent", "municipio")))
 
 
-@Q("embedding_backfill", "documents", sql="SELECT doc_id AS id, 64 AS dims FROM documents")
+@Q("embedding_backfill", "documents", sql=f"""
+WITH t AS (SELECT doc_id AS id, unnest({tokens_sql("coalesce(text, '')")}) AS w FROM documents WHERE doc_id % 2 = 1), h AS (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM t),
+d AS (SELECT id, h % 64 AS i, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM h GROUP BY ALL), s AS (SELECT id, sum((i + 1) * x) / nullif(sqrt(sum(x * x)), 0) AS digest FROM d GROUP BY id)
+SELECT doc_id AS id, 64 AS dims, CASE WHEN doc_id % 2 = 0 THEN 0.5 * 64 * 65 / 2 ELSE round(coalesce(digest, 0), 6) END::DOUBLE AS digest FROM documents LEFT JOIN s ON s.id = doc_id""")
 def embedding_backfill(d):
-    """Documents without a vector get one."""
+    """Documents without a vector get one, others keep theirs; the digest is the sum of place times value."""
     records = d.select(F.col("doc_id").alias("id"), tokens_ascii("text").alias("tokens"))
-    have = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.array_repeat(F.lit(0.0), 64).alias("vec"))
-    return V.backfill(records, have, V.hash_embedder(64)).select("id", F.size("vec").alias("dims"))
+    have = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.array_repeat(F.lit(0.5), 64).alias("vec"))
+    out = V.backfill(records, have, V.hash_embedder(64))
+    return out.select("id", F.size("vec").alias("dims"), F.round(F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6).alias("digest"))
 
 
 def _finish(query, spark, out, schema):
@@ -121,7 +132,9 @@ def refresh_contents(spark, sf_dir):
 
 
 Q.queries |= {f.__name__: f for f in (live_match, case_feed, notifications, refresh_contents)}
+_LIVE = "SELECT ''C'' || s_suppkey AS codigo, CASE WHEN s_suppkey % 2 = 0 THEN ''HOMBRE'' ELSE ''MUJER'' END AS sexo, 20 + s_suppkey % 40 AS edad_min, 26 + s_suppkey % 40 AS edad_max, 170 AS estatura_cm, ''TATUAJE ROSA ROJA EN MANO DERECHO'' AS sana_particular, ''FRANCE'' AS estado, ''1999-07-10'' AS fecha_hallazgo FROM supplier".replace("''", "'")
 Q.oracles |= {
+    "live_match": with_views(f"{with_bodies(_LIVE)} SELECT b_id, p_id, score, rank FROM ranked WHERE rank <= 8 OR n_con > 0"),
     "case_feed": "SELECT DISTINCT event_id, user_id FROM events WHERE event_type = 'error'",
     "notifications": "WITH l AS (SELECT DISTINCT user_id % 50 AS case_id, user_id FROM events) SELECT case_id, event_type AS kind, count(*) AS n FROM (SELECT event_id % 50 AS case_id, event_type FROM events WHERE event_type IN ('click', 'error', 'view')) JOIN l USING (case_id) GROUP BY ALL",
     "refresh_contents": "SELECT DISTINCT sha256(html) AS content_hash FROM pages WHERE sha256(html) NOT IN (SELECT sha256(html) FROM pages WHERE page_id % 3 = 0)",

@@ -134,8 +134,8 @@ def with_views(body: str) -> str:
     heads = [f"{v} AS ({VIEWS[v]})" for v in names]
     if not heads:
         return body
-    if re.match(r"\s*WITH\b", body, re.I):
-        return re.sub(r"^\s*WITH\b", "WITH " + ",\n".join(heads).replace("\\", "\\\\") + ",", body, count=1, flags=re.I)
+    if m := re.match(r"\s*WITH(\s+RECURSIVE)?\b", body, re.I):
+        return re.sub(r"^\s*WITH(\s+RECURSIVE)?\b", f"WITH{m[1] or ''} " + ",\n".join(heads).replace("\\", "\\\\") + ",", body, count=1, flags=re.I)
     return "WITH " + ",\n".join(heads) + "\n" + body
 
 

@@ -48,7 +48,8 @@ def age_stats(df: DataFrame, age: str) -> DataFrame:
 def shares(df: DataFrame, key: str, top: int | None = None) -> DataFrame:
     """Shares of a counter to four decimals; with `top`, of its largest entries only."""
     n = top_counts(df, key, top) if top else counts(df, key)
-    return n.withColumn("share", F.floor(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))) * 10000 + 0.5) / 10000).drop("n")
+    total = n.agg(F.sum("n").alias("_all"))  # one row
+    return n.join(F.broadcast(total)).withColumn("share", F.floor(F.col("n") / F.col("_all") * 10000 + 0.5) / 10000).drop("n", "_all")
 
 
 def site_totals(df: DataFrame, *cols: str) -> DataFrame:

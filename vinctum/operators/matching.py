@@ -13,17 +13,36 @@ from vinctum.functions.text import tone_keywords
 def match_patterns(cases: DataFrame, patterns: DataFrame, limit: int = 5, least: float = 0.3) -> DataFrame:
     """Per case the best patterns by shared tone keywords: 0.6 of the overlap, 0.15 more if the case's text has a trigger.
 
-    A pair without a shared keyword can reach 0.15 at most, so the join on keywords loses none.
+    Keywords are a fixed list, so cases and patterns fall into few kinds by their sets of keywords. Kinds are scored against each other, with the
+    `limit` first patterns of each; a case then takes the result of its kind. A pair without a shared keyword can reach 0.15 at most.
     """
-    k = cases.select("case_id", tone_keywords("text").alias("ck"), F.col("text").rlike(f"(?i){V.TRIGGERS}").alias("trigger"))
-    mine = k.select("case_id", "trigger", F.size("ck").alias("nc"), F.explode("ck").alias("keyword"))
-    theirs = patterns.select("pattern_id", F.size("keywords").alias("np"), F.explode("keywords").alias("keyword"))
-    both = mine.join(theirs, "keyword").groupBy("case_id", "pattern_id", "trigger", "nc", "np").agg(F.count(F.lit(1)).alias("n"))
-    tone = F.col("n") / F.greatest("nc", "np")
+    k = cases.select("case_id", F.array_sort(tone_keywords("text")).alias("ck"), F.col("text").rlike(f"(?i){V.TRIGGERS}").alias("trigger"))
+    kinds = k.select("ck", "trigger").distinct()
+    first = Window.partitionBy("pk").orderBy("pattern_id")
+    known = patterns.select("pattern_id", F.array_sort(F.array_distinct("keywords")).alias("pk"))
+    known = known.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit).drop("_n")
+    mine = kinds.select("ck", "trigger", F.explode("ck").alias("keyword"))
+    theirs = known.select("pattern_id", "pk", F.explode("pk").alias("keyword"))
+    both = mine.join(theirs, "keyword").groupBy("ck", "trigger", "pattern_id", "pk").agg(F.count(F.lit(1)).alias("n"))
+    tone = F.col("n") / F.greatest(F.size("ck"), F.size("pk"))
     s = both.withColumn("score", F.least(tone * 0.6 + F.when(F.col("trigger"), 0.15).otherwise(0.0), F.lit(1.0))).where(F.round("score", 9) >= least)
     reason = F.concat(F.lit("tone overlap "), F.round(tone * 100).cast("int").cast("string"), F.lit("%"), F.when(F.col("trigger"), "; case text triggers scam signatures").otherwise(""))
-    w = Window.partitionBy("case_id").orderBy(F.desc(F.round("score", 9)), "pattern_id")
-    return s.withColumn("reason", reason).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).select("case_id", "pattern_id", "score", "reason")
+    w = Window.partitionBy("ck", "trigger").orderBy(F.desc(F.round("score", 9)), "pattern_id")
+    best = s.withColumn("reason", reason).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).select("ck", "trigger", "pattern_id", "score", "reason")
+    # at most `limit` rows for each of the sets of a dozen keywords
+    return k.join(F.broadcast(best), ["ck", "trigger"]).select("case_id", "pattern_id", "score", "reason")
+
+
+def contains_join(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
+    """Rows of both tables where `part` (not empty) occurs in `text`: an equality join on the part's first three characters, then the whole comparison.
+
+    Both sides may grow; a text is looked up under each of its distinct runs of three, two and one characters.
+    """
+    n = F.length(text)
+    grams = F.array_distinct(F.flatten(F.transform(F.array(F.lit(3), F.lit(2), F.lit(1)), lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.col(text).substr(i, k))).otherwise(F.array().cast("array<string>")))))
+    left = texts.where(n > 0).withColumn("_gram", F.explode(grams))
+    right = parts.where(F.length(part) > 0).withColumn("_gram", F.substring(part, 1, 3))
+    return left.join(right, "_gram").where(F.contains(F.col(text), F.col(part))).drop("_gram")
 
 
 def clean_place(x) -> Column:
@@ -33,13 +52,13 @@ def clean_place(x) -> Column:
 def gazetteer(df: DataFrame, place: str, table: DataFrame) -> DataFrame:
     """Adds lat, lng: the entry whose name is the cleaned place, else the first entry (by `ord`) whose name is part of it.
 
-    The table is a fixed list of place names; the search for parts runs over the distinct places that have no exact entry.
+    The search for parts runs over the distinct places that have no exact entry.
     """
     t = table.select(F.lower("name").alias("_name"), "ord", "lat", "lng")
     places = df.select(clean_place(place).alias("_p")).where("_p <> ''").distinct()
     exact = places.join(t.groupBy("_name").agg(F.min_by("lat", "ord").alias("lat"), F.min_by("lng", "ord").alias("lng")), places["_p"] == F.col("_name")).select("_p", "lat", "lng")
     rest = places.join(exact, "_p", "left_anti")
-    part = rest.join(t, F.col("_p").contains(F.col("_name"))).groupBy("_p").agg(F.min_by("lat", "ord").alias("lat"), F.min_by("lng", "ord").alias("lng"))
+    part = contains_join(rest, "_p", t, "_name").groupBy("_p").agg(F.min_by("lat", "ord").alias("lat"), F.min_by("lng", "ord").alias("lng"))
     return df.join(exact.unionByName(part), clean_place(place) == F.col("_p"), "left").drop("_p")
 
 

@@ -58,27 +58,44 @@ def candidate_pairs(personas: DataFrame, bodies: DataFrame, cfg: MatchConfig = M
     return p.join(b, ["k_sex", "k_age"]).where(F.expr(f"({reason_sql(cfg)}) IS NULL")).drop("k_sex", "k_age")
 
 
-def score_pair_b(pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """Scores, sub-scores, tier, evidence and contradictions of tidy pairs; all within the row."""
-    sim = "CASE WHEN size(c.tokens) = 0 OR size(p.tokens) = 0 THEN 0D ELSE size(array_intersect(c.tokens, p.tokens)) / size(array_union(c.tokens, p.tokens)) END"
-    # per body mark: the persona's marks by similarity, ties in their own order
-    ranked = f"transform(b_marks, c -> named_struct('c', c, 'ps', array_sort(transform(p_marks, (p, i) -> named_struct('neg', -({sim}), 'i', i, 'p', p)))))"
-    best = "transform(ranked, r -> -r.ps[0].neg)"
-    hits = f"transform(filter(ranked, r -> -r.ps[0].neg >= {cfg.mark_threshold}), r -> named_struct('c', r.c, 'top', r.ps[0].p, 'ok', get(filter(r.ps, x -> -x.neg >= {cfg.mark_threshold} AND (r.c.lado IS NULL OR x.p.lado IS NULL OR r.c.lado = x.p.lado)), 0).p))"
-    df = pairs.withColumn("comparable", F.expr("size(b_marks) > 0 AND size(p_marks) > 0"))
-    df = df.withColumn("ranked", F.expr(f"CASE WHEN comparable THEN {ranked} END"))
-    df = df.withColumns({"bests": F.expr(best), "hits": F.expr(hits)})
-    n = cfg.neutral
-    s = {
-        "s_marks": F.expr(f"CASE WHEN comparable THEN aggregate(bests, 0D, (a, x) -> a + x) / size(bests) ELSE {n}D END"),
+_SIM = "CASE WHEN size(c.tokens) = 0 OR size(p.tokens) = 0 THEN 0D ELSE size(array_intersect(c.tokens, p.tokens)) / size(array_union(c.tokens, p.tokens)) END"
+_SIDES = "(c.lado IS NULL OR p.lado IS NULL OR c.lado = p.lado)"
+
+
+def score_numbers(pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """Tidy pairs with sub-scores, total, score, tier and the number of contradictions; no texts are made.
+
+    A body mark's similarity to the persona's marks is their token overlap at best; it contradicts where some mark is alike but none of these has
+    a side that fits.
+    """
+    per = f"transform(b_marks, c -> transform(p_marks, p -> named_struct('s', {_SIM}, 'fits', {_SIDES})))"
+    df = pairs.withColumn("sims", F.expr(f"CASE WHEN size(b_marks) > 0 AND size(p_marks) > 0 THEN {per} END"))
+    t, n = cfg.mark_threshold, cfg.neutral
+    df = df.withColumns({
+        "s_marks": F.expr(f"CASE WHEN sims IS NULL THEN {n}D ELSE aggregate(sims, 0D, (a, r) -> a + array_max(transform(r, x -> x.s))) / size(sims) END"),
+        "n_contradictions": F.expr(f"CASE WHEN sims IS NULL THEN 0 ELSE size(filter(sims, r -> exists(r, x -> x.s >= {t}) AND NOT exists(r, x -> x.s >= {t} AND x.fits))) END"),
         "s_height": F.expr(f"coalesce(greatest(0D, 1 - abs(b_height - p_height) / {cfg.height_tolerance}D), {n}D)"),
         "s_age": F.expr(f"CASE WHEN p_age IS NULL OR b_lo IS NULL OR b_hi IS NULL THEN {n}D WHEN p_age BETWEEN b_lo AND b_hi THEN 1D ELSE greatest(0D, 1 - least(abs(p_age - b_lo), abs(p_age - b_hi)) / {cfg.age_decay}D) END"),
         "s_geo": F.expr(f"CASE WHEN p_state IS NULL OR b_state IS NULL THEN {n}D WHEN upper(p_state) = upper(b_state) THEN 1D ELSE {cfg.other_state}D END"),
         "s_temporal": F.expr(f"CASE WHEN p_date IS NULL OR b_date IS NULL THEN {n}D WHEN p_date <= b_date THEN 1D ELSE 0D END"),
+    }).drop("sims")
+    total = cfg.w_marks * F.col("s_marks") + cfg.w_height * F.col("s_height") + cfg.w_age * F.col("s_age") + cfg.w_geo * F.col("s_geo") + cfg.w_temporal * F.col("s_temporal")
+    df = df.withColumn("total", F.when(F.col("n_contradictions") > 0, F.least(total, F.lit(cfg.cap))).otherwise(total))
+    tier = F.when(F.col("total") >= cfg.tier_high, "alta").when(F.col("total") >= cfg.tier_medium, "media").otherwise("baja")
+    return df.withColumns({"tier": tier, "score": half_up(F.col("total"), 4)})
+
+
+def pair_texts(df: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """Adds evidences and contradictions to pairs of score_numbers, rounds the sub-scores and drops what they are made from."""
+    # per body mark: the persona's marks by similarity, ties in their own order
+    ranked = f"transform(b_marks, c -> named_struct('c', c, 'ps', array_sort(transform(p_marks, (p, i) -> named_struct('neg', -({_SIM}), 'i', i, 'p', p)))))"
+    t = cfg.mark_threshold
+    hits = f"transform(filter(ranked, r -> -r.ps[0].neg >= {t}), r -> named_struct('c', r.c, 'top', r.ps[0].p, 'ok', get(filter(r.ps, x -> -x.neg >= {t} AND (r.c.lado IS NULL OR x.p.lado IS NULL OR r.c.lado = x.p.lado)), 0).p))"
+    df = df.withColumn("ranked", F.expr(f"CASE WHEN size(b_marks) > 0 AND size(p_marks) > 0 THEN {ranked} END")).withColumn("hits", F.expr(hits))
+    texts = {
         "contradictions": F.expr("coalesce(transform(filter(hits, h -> h.ok IS NULL), h -> concat('lateralidad opuesta: «', h.c.raw, '» vs «', h.top.raw, '»')), cast(array() as array<string>))"),
         "mark_evidence": F.expr("coalesce(transform(filter(hits, h -> h.ok IS NOT NULL), h -> concat('seña coincide: «', h.c.raw, '» ~ «', h.ok.raw, '»')), cast(array() as array<string>))"),
     }
-    df = df.withColumns(s)
     rest = F.array_compact(F.array(
         F.expr("CASE WHEN p_sex = b_sex THEN concat('sexo coincide: ', p_sex_raw) END"),
         F.expr("CASE WHEN p_height IS NOT NULL AND b_height IS NOT NULL THEN concat('estatura ', CASE WHEN s_height > 0.6 THEN 'compatible' ELSE 'difiere' END, ': ', p_height, 'cm vs ', b_height, 'cm') END"),
@@ -86,12 +103,23 @@ def score_pair_b(pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFram
         F.expr("CASE WHEN s_geo = 1 AND upper(p_state) = upper(b_state) THEN concat('mismo estado: ', p_state) END"),
         F.expr("CASE WHEN p_date <= b_date THEN concat('temporal coherente: desaparición ', p_date, ', hallazgo ', b_date, ' (', datediff(b_date, p_date), ' días)') END"),
     ))
-    total = cfg.w_marks * F.col("s_marks") + cfg.w_height * F.col("s_height") + cfg.w_age * F.col("s_age") + cfg.w_geo * F.col("s_geo") + cfg.w_temporal * F.col("s_temporal")
-    total = F.when(F.size("contradictions") > 0, F.least(total, F.lit(cfg.cap))).otherwise(total)
-    df = df.withColumns({"evidences": F.concat("mark_evidence", rest), "total": total})
-    tier = F.when(F.col("total") >= cfg.tier_high, "alta").when(F.col("total") >= cfg.tier_medium, "media").otherwise("baja")
+    df = df.withColumns(texts).withColumn("evidences", F.concat("mark_evidence", rest))
     subs = {x: half_up(F.col(x), 3) for x in ("s_marks", "s_height", "s_age", "s_geo", "s_temporal")}
-    return df.withColumn("tier", tier).withColumn("score", half_up(F.col("total"), 4)).withColumns(subs).select("b_id", "p_id", "score", "tier", *subs, "evidences", "contradictions")
+    more = [x for x in ("rank", "narrated") if x in df.columns]
+    return df.withColumns(subs).select("b_id", "p_id", "score", "tier", *subs, "evidences", "contradictions", *more)
+
+
+def retrieved_pairs(personas: DataFrame, bodies: DataFrame, near: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """Tidy pairs of near (b_id, p_id) that nothing blocks; bodies without a row in `near` meet all personas."""
+    p, b = tidy_personas(personas), tidy_bodies(bodies)
+    found = near.select("b_id", "p_id").join(b, "b_id").join(p, "p_id").where(F.expr(f"({reason_sql(cfg)}) IS NULL"))
+    rest = bodies.join(near.select(F.col("b_id").alias("codigo")).distinct(), "codigo", "left_anti")
+    return found.unionByName(candidate_pairs(personas, rest, cfg))
+
+
+def score_pair_b(pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """Scores, sub-scores, tier, evidence and contradictions of tidy pairs; all within the row."""
+    return pair_texts(score_numbers(pairs, cfg), cfg)
 
 
 def narrative(df: DataFrame) -> DataFrame:

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vinctum.operators.matching import contains_join
+from vinctum.sources.scratch import materialize
+
 
 def rank_with_rejected(scored: DataFrame, k: int, group: str = "b_id", id_col: str = "p_id", score: str = "score") -> DataFrame:
-    """The k best of each group, and beyond them every contradicted pair."""
+    """The k best of each group, and beyond them every contradicted pair (by n_contradictions, or by the texts)."""
     w = Window.partitionBy(group).orderBy(F.desc(score), id_col)
-    return scored.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) | (F.size("contradictions") > 0))
+    against = F.col("n_contradictions") > 0 if "n_contradictions" in scored.columns else F.size("contradictions") > 0
+    return scored.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) | against)
 
 
 def latest_per(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
@@ -41,21 +45,27 @@ def priority_staleness(matches: DataFrame, now, half_life_s: int = 1800) -> Data
     return global_countdown(df, "urgency", "id")
 
 
-def global_countdown(df: DataFrame, score: str, tie: str, steps: int = 1000) -> DataFrame:
-    """queue_priority: rows minus rank + 1 by score descending, ties by id. Only one row per score step meets in one task."""
-    df = df.withColumn("_step", F.floor(F.col(score) * steps))
-    below = Window.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy("_step").agg(F.count(F.lit(1)).alias("_n")).withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0))).select("_step", "_below")
-    inside = Window.partitionBy("_step").orderBy(score, F.desc(tie))
-    return df.withColumn("_r", F.row_number().over(inside)).join(offsets, "_step").withColumn("queue_priority", F.col("_below") + F.col("_r")).drop("_step", "_r", "_below")
+def global_countdown(df: DataFrame, score: str, tie: str) -> DataFrame:
+    """queue_priority: rows minus rank + 1 by score descending, ties by id.
+
+    Rows are dealt in ranges of (score, id), so one score that many rows share is split like any other; a range's rows are numbered in place,
+    and only one count a range meets in one task. The ranges are written down, so that counts and rows see the same ones.
+    """
+    ranges = df.repartitionByRange(F.col(score).asc(), F.col(tie).desc()).sortWithinPartitions(F.col(score).asc(), F.col(tie).desc())
+    number = F.monotonically_increasing_id()
+    written = materialize(ranges.select("*", F.spark_partition_id().alias("_range"), (number.bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("_r")), "ranges")
+    below = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = written.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0))).select("_range", "_below")
+    return written.join(F.broadcast(offsets), "_range").withColumn("queue_priority", F.col("_below") + F.col("_r")).drop("_range", "_r", "_below")
 
 
 def context_boost(df: DataFrame, events: DataFrame, boost: float = 0.2) -> DataFrame:
     """`boost` where the state of some event is part of the row's state; events are taken as their distinct states."""
     states = events.select(F.lower("estado").alias("_e")).distinct()
     mine = df.select(F.lower(F.coalesce("estado", F.lit(""))).alias("_s")).distinct()
-    # both sides are distinct state names, a few hundred at most; the join back is by equality
-    near = mine.join(states, F.col("_s").contains(F.col("_e")), "left_semi").select("_s")
+    near = contains_join(mine, "_s", states, "_e").select("_s").distinct()
+    if states.where("_e = ''").limit(1).count():  # an empty name is part of every other
+        near = mine
     return df.join(near.withColumn("_hit", F.lit(True)), F.lower(F.coalesce("estado", F.lit(""))) == F.col("_s"), "left").withColumn("boost", F.when(F.col("_hit"), boost).otherwise(0.0)).drop("_s", "_hit")
 
 

@@ -27,13 +27,15 @@ def search_people(df: DataFrame, names: list[str], id_col: str, state: str | Non
 
 
 def search_records(df: DataFrame, q: str | None = None, estado: str | None = None, record_type: str | None = None, limit: int = 20) -> DataFrame:
+    """The first records by id whose description or municipality has q."""
     out = df
     if record_type:
         out = out.where(F.col("record_type") == record_type)
     if estado:
         out = out.where(F.col("estado") == estado)
     if q:
-        out = out.where(_has("raw_description", q))
+        hit = _has("raw_description", q)
+        out = out.where(hit | F.coalesce(_has("municipio", q), F.lit(False)) if "municipio" in out.columns else hit)
     return out.orderBy("id").limit(limit)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -57,104 +58,111 @@ def cosine(a, b) -> Column:
     return F.when(n == 0, 0.0).otherwise(dot(a, b) / n)
 
 
-def retrieve(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, block: int = 4096) -> DataFrame:
+def _blocks(df: DataFrame, rows: int, prefix: str) -> DataFrame:
+    """(ids, vecs) of about `rows` rows (id, vec) each, packed where they are; vecs holds doubles."""
+    kind = df.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                b = batch.slice(at, rows)
+                v = np.array(b.column("vec").to_pylist(), dtype=np.float64)
+                n = np.linalg.norm(v, axis=1, keepdims=True)
+                v = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([b.column("id").to_pylist()], pa.list_(b.column("id").type)), pa.array([v.tobytes()], pa.binary())], names=[f"{prefix}ids", f"{prefix}vecs"])
+
+    return df.where("id IS NOT NULL AND vec IS NOT NULL").select("id", "vec").mapInArrow(run, f"{prefix}ids array<{kind}>, {prefix}vecs binary")
+
+
+def retrieve(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, query_rows: int = 1024, corpus_rows: int = 8192, broadcast_queries: int = 100_000) -> DataFrame:
     """(query_id, id, similarity, rank): the k nearest corpus rows by cosine, exactly; then those of at least the threshold.
 
-    queries and corpus have (id, vec). A block of at most `block` query vectors is sent to the tasks at a time; each task
-    multiplies its rows with the block and passes on k rows a query, so what is shuffled doesn't grow with the corpus' rows but its tasks.
+    queries and corpus have (id, vec), with ids of any type; rows without either are left out. Both sides are packed into blocks, each block of queries meets each block
+    of the corpus in one matrix product, and a pair of blocks passes on k rows a query. Queries are broadcast up to a number, else the blocks are joined by shuffle.
     """
-    spark = corpus.sparkSession
-    out = None
-    rows, n = [], 0
-
-    def search(part) -> DataFrame:
-        ids = np.array([r["id"] for r in part])
-        m = np.array([r["vec"] for r in part], dtype=np.float64)
-        norms = np.linalg.norm(m, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((ids, np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qids, q = shared.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0)) for _ in qids]
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                v = np.array(b.column("vec").to_pylist(), dtype=np.float64)
-                size = np.linalg.norm(v, axis=1)
-                sims = q @ v.T / np.where(size > 0, size, 1)
-                cid = b.column("id").to_numpy()
-                for i in range(len(qids)):
-                    c, s = np.concatenate([best[i][0], cid]), np.concatenate([best[i][1], sims[i]])
-                    o = np.lexsort((c, -np.round(s, 12)))[:k]
-                    best[i] = c[o], s[o]
-            for i, (c, s) in enumerate(best):
-                if len(c):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), qids[i])), pa.array(c), pa.array(s)], names=["query_id", "id", "similarity"])
-
-        return corpus.select("id", "vec").mapInArrow(run, "query_id long, id long, similarity double")
-
-    for r in queries.select("id", "vec").toLocalIterator():
-        rows.append(r)
-        if len(rows) == block:
-            out, rows = search(rows) if out is None else out.unionByName(search(rows)), []
-    if rows or out is None:
-        out = (search(rows) if out is None else out.unionByName(search(rows))) if rows else spark.createDataFrame([], "query_id long, id long, similarity double")
+    q, c = _blocks(queries, query_rows, "q_"), _blocks(corpus, corpus_rows, "c_")
+    few = queries.limit(broadcast_queries + 1).count() <= broadcast_queries
+    q_kind, c_kind = (d.schema["id"].dataType.simpleString() for d in (queries, corpus))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_ids, q_vecs, c_ids, c_vecs = (batch.column(x)[i] for x in ("q_ids", "q_vecs", "c_ids", "c_vecs"))
+                q_ids, c_ids = q_ids.values, c_ids.values
+                a, b = (np.frombuffer(v.as_py()).reshape(len(ids), -1) for v, ids in ((q_vecs, q_ids), (c_vecs, c_ids)))
+                # columns in the order of ids, so that a stable sort gives ties to the least id
+                by_id = np.array(pa.compute.array_sort_indices(c_ids))
+                sims = (a @ b.T)[:, by_id]
+                take = np.argsort(-np.round(sims, 12), axis=1, kind="stable")[:, :k]
+                at = np.repeat(np.arange(len(a)), take.shape[1])
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(at)), c_ids.take(pa.array(by_id[take.ravel()])), pa.array(sims[at, take.ravel()])], names=["query_id", "id", "similarity"])
+
+    pairs = c.crossJoin(F.broadcast(q) if few else q)  # of blocks
+    out = pairs.mapInArrow(run, f"query_id {q_kind}, id {c_kind}, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id")
     top = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top if threshold is None else top.where(F.col("similarity") >= threshold)
 
 
 def greedy_duplicates(df: DataFrame, block: str, threshold: float = 0.97, min_size: int = 2) -> DataFrame:
-    """(block, seed, members, size, similarity). Rows (id, vec) of a block are seeds in order of id; a seed takes all unseen rows that are similar.
+    """(block, seed, id, size, similarity) for each member. Rows (id, vec) of a block are seeds in order of id; a seed takes all unseen rows that are similar.
 
-    The result depends on the order by definition, so a block is one task's work; blocks are municipalities, whose
-    size the caller bounds. Vectors of a block are held as one matrix.
+    Equal vectors are taken together, so they are one row of the least id with a count: the first of them is their seed, or none is. The result depends on the
+    order by definition, so a block's distinct vectors are one task's work, however many rows have them.
     """
+    kind = dict(df.dtypes)["id"]
+    keyed = df.select(F.col(block).alias("block"), "id", "vec").withColumn("_key", F.hash("vec").cast("long"))
+    classes = keyed.groupBy("block", "_key", "vec").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        ids, v = pdf["id"].to_numpy(), np.array(pdf["vec"].tolist(), dtype=np.float64)
-        n = np.linalg.norm(v, axis=1, keepdims=True)
-        v = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+        pdf = pdf.sort_values("first")
+        ids, n, v = pdf["first"].to_numpy(), pdf["n"].to_numpy(), np.array(pdf["vec"].tolist(), dtype=np.float64)
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
         seen, rows = np.zeros(len(ids), bool), []
         for i in range(len(ids)):
             if seen[i]:
                 continue
-            sims = v @ v[i]
-            members = np.flatnonzero((sims >= threshold) & ~seen)
-            members = np.concatenate([[i], members[members != i]])
-            if len(members) >= min_size:
+            open_ = np.flatnonzero(~seen)
+            sims = v[open_] @ v[i]
+            members = open_[(sims >= threshold) | (open_ == i)]
+            if n[members].sum() >= min_size:
                 seen[members] = True
-                rows.append((pdf[block].iloc[0], ids[i], list(ids[members]), len(members), float(min(1.0, sims[members].min()))))
-        return pd.DataFrame(rows, columns=["block", "seed", "members", "size", "similarity"])
+                least = float(min(1.0, sims[np.isin(open_, members)].min()))
+                rows += [(pdf["block"].iloc[0], ids[i], ids[m], int(n[members].sum()), least) for m in members]
+        return pd.DataFrame(rows, columns=["block", "seed", "first", "size", "similarity"])
 
-    kind = dict(df.dtypes)["id"]
-    return df.select(block, "id", "vec").groupBy(block).applyInPandas(run, f"block string, seed {kind}, members array<{kind}>, size int, similarity double")
+    found = classes.select("block", "first", "n", "vec").groupBy("block").applyInPandas(run, f"block string, seed {kind}, first {kind}, size long, similarity double")
+    placed = found.join(classes.select("first", "_key", "vec", F.col("block").alias("_block")), ["first"]).where("block = _block")
+    members = keyed.join(placed.select("block", "_key", "vec", "seed", "size", "similarity"), ["block", "_key", "vec"])
+    return members.select("block", "seed", "id", "size", "similarity")
 
 
 def window_clusters(df: DataFrame, keys: list[str], order: str, max_span: int, min_size: int = 3) -> DataFrame:
     """(keys, first, last, size) of runs of rows whose `order` (a whole number) lies within max_span of the run's first.
 
-    From each row in order the run is taken; if it is long enough its rows are used up, else only the first is. A fold over
-    each group's sorted values, which are plain numbers.
+    From each row in order the run is taken; if it is long enough its rows are used up, else only the first is. Rows of one number are counted together: they
+    all begin a run or none does. A range window gives each number its run's length, and a fold over the long ones
+    takes them from left to right.
     """
-    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(order).cast("long"))).alias("xs"))
-    step = f"""aggregate(sequence(0, size(xs) - 1), named_struct('next', 0, 'out', cast(array() as array<struct<first:bigint,last:bigint,size:int>>)),
-      (a, i) -> CASE WHEN i < a.next THEN a ELSE named_struct(
-        'next', CASE WHEN size(filter(slice(xs, i + 1, size(xs)), x -> x - xs[i] <= {max_span})) >= {min_size} THEN i + size(filter(slice(xs, i + 1, size(xs)), x -> x - xs[i] <= {max_span})) ELSE i + 1 END,
-        'out', CASE WHEN size(filter(slice(xs, i + 1, size(xs)), x -> x - xs[i] <= {max_span})) >= {min_size} THEN concat(a.out, array(named_struct('first', xs[i], 'last', array_max(filter(slice(xs, i + 1, size(xs)), x -> x - xs[i] <= {max_span})), 'size', size(filter(slice(xs, i + 1, size(xs)), x -> x - xs[i] <= {max_span}))))) ELSE a.out END) END, a -> a.out)"""
-    return g.select(*keys, F.inline(F.expr(step)))
+    n = df.where(F.col(order).isNotNull()).groupBy(*keys, F.col(order).cast("long").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_x").rangeBetween(0, max_span)
+    runs = n.select(*keys, "_x", F.max("_x").over(w).alias("_last"), F.sum("_n").over(w).alias("_size")).where(F.col("_size") >= min_size)
+    g = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_x").alias("first"), F.col("_last").alias("last"), F.col("_size").cast("int").alias("size")))).alias("runs"))  # distinct numbers of a key
+    # a run is taken if it begins beyond the one taken last: mark it, then keep the marked ones
+    taken = f"""aggregate(runs, named_struct('next', cast(null as bigint), 'out', cast(array() as array<struct<first:bigint,last:bigint,size:int>>)),
+      (a, r) -> CASE WHEN a.next IS NULL OR r.first >= a.next THEN named_struct('next', r.first + {max_span} + 1, 'out', array_append(a.out, r)) ELSE a END, a -> a.out)"""
+    return g.select(*keys, F.inline(F.expr(taken)))
 
 
 def hash_embedder(dims: int = 64) -> Callable[[list[list[str]]], np.ndarray]:
     """An offline embedder: signed hashing of tokens, normalised."""
-    import zlib
 
     def embed(tokens: list[list[str]]) -> np.ndarray:
         out = np.zeros((len(tokens), dims))
         for i, ts in enumerate(tokens):
             for t in ts:
-                h = zlib.crc32(t.encode())
+                h = int(md5(t.encode()).hexdigest()[:8], 16)
                 out[i, h % dims] += 1 if h >> 16 & 1 else -1
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, n, out=out, where=n > 0)

@@ -9,28 +9,53 @@ from vinctum.functions.text import build_features
 from vinctum.operators import personas as B
 from vinctum.operators import ranking
 from vinctum.operators import records as A
+from vinctum.operators.vectors import retrieve
+from vinctum.sources.scratch import materialize
 
 from .config import MatchConfig, RecordConfig
 
 
+def rate_records(records: DataFrame, adjacency: DataFrame, cfg: RecordConfig = RecordConfig()) -> DataFrame:
+    """All blocked pairs with field scores and overall score; no texts are made."""
+    missing, found = records.where("record_type = 'missing'"), records.where("record_type = 'unidentified'")
+    # read twice: for the marks and for the fields
+    pairs = materialize(A.block_pairs(missing, found, A.adjacency_closure(adjacency), cfg), "pairs")
+    marks = A.marks_score(A.score_features(A.feature_pairs(pairs, build_features(records))))
+    return A.overall(A.score_fields(pairs, marks), cfg)
+
+
 def score_records(records: DataFrame, adjacency: DataFrame, cfg: RecordConfig = RecordConfig()) -> DataFrame:
     """All blocked pairs with field scores, overall score, evidence and tier."""
-    missing, found = records.where("record_type = 'missing'"), records.where("record_type = 'unidentified'")
-    pairs = A.block_pairs(missing, found, A.adjacency_closure(adjacency), cfg)
-    features = build_features(records)
-    marks = A.marks_score(A.score_features(A.feature_pairs(pairs, features)))
-    return A.verify(A.evidence(A.overall(A.score_fields(pairs, marks), cfg), cfg), cfg)
+    return A.verify(A.evidence(rate_records(records, adjacency, cfg), cfg), cfg)
 
 
 def link_records(records: DataFrame, adjacency: DataFrame, top: int = 12, cfg: RecordConfig = RecordConfig()) -> DataFrame:
-    """The best candidates overall, for review."""
-    return ranking.top_n(score_records(records, adjacency, cfg), top, "overall_score", "m_id", "u_id")
+    """The best candidates overall, for review; only these get evidence."""
+    best = ranking.top_n(rate_records(records, adjacency, cfg), top, "overall_score", "m_id", "u_id")
+    return A.verify(A.evidence(best, cfg), cfg)
+
+
+def _reviewed(pairs: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """Scored, ranked per body, and only then given texts; `narrated` marks those whose narrative a model may write."""
+    ranked = ranking.rank_with_rejected(B.score_numbers(pairs, cfg), cfg.top_k)
+    return B.narrative(B.pair_texts(ranked.withColumn("narrated", F.col("rank") <= cfg.verify_top_n), cfg))
 
 
 def link_personas(personas: DataFrame, bodies: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """Per body the top candidates and every contradicted pair, with a narrative."""
-    scored = B.score_pair_b(B.candidate_pairs(personas, bodies, cfg), cfg)
-    return B.narrative(ranking.rank_with_rejected(scored, cfg.top_k))
+    """Per body the top candidates and every contradicted pair, with a narrative; all personas are compared."""
+    return _reviewed(B.candidate_pairs(personas, bodies, cfg), cfg)
+
+
+def link_personas_by_vector(personas: DataFrame, bodies: DataFrame, persona_vectors: DataFrame, body_vectors: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """The same over the retrieve_k personas nearest to a body's vector; vectors are (id, vec). A body without a vector meets all personas."""
+    near = retrieve(body_vectors, persona_vectors, cfg.retrieve_k).select(F.col("query_id").alias("b_id"), F.col("id").alias("p_id"))
+    return _reviewed(B.retrieved_pairs(personas, bodies, materialize(near, "retrieved"), cfg), cfg)
+
+
+def candidates_for(candidates: DataFrame, bodies: DataFrame, persona_id: str) -> DataFrame:
+    """A persona's stored candidates (persona, cuerpo, score, ...) with the body's columns, best first."""
+    b = bodies.select(F.col("codigo").alias("cuerpo"), F.col("sexo").alias("cuerpo_sexo"), F.col("estado").alias("cuerpo_estado"), F.col("sana_particular").alias("cuerpo_senas"))
+    return candidates.where(F.col("persona") == persona_id).join(b, "cuerpo").orderBy(F.desc("score"), "cuerpo")
 
 
 def candidates(scored: DataFrame) -> DataFrame:
