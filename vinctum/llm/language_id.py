@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .arrow import slices
+from .arrow import slices, trimmed
 from .setsketch import mix
 
 CHAIN = 128
@@ -266,4 +266,4 @@ def identify(docs: DataFrame, crf: Crf | None) -> DataFrame:
             langs, scores = tagger.predict([t or "" for t in part.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return base.mapInArrow(run, out)
+    return base.mapInArrow(trimmed(run), out)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import slices
+from .arrow import slices, trimmed
 from .common import by_size, fresh, materialize
 from .setsketch import mix
 
@@ -129,7 +129,7 @@ def _counted(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarr
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([give(x) for x in sums.values()], pa.binary())], names=["slice", "value"])
 
-    return df.mapInArrow(count, "slice int, places binary, counts binary").repartition("slice").mapInArrow(add, "slice int, value binary")
+    return df.mapInArrow(trimmed(count), "slice int, places binary, counts binary").repartition("slice").mapInArrow(trimmed(add), "slice int, value binary")
 
 
 def _rarity(docs: DataFrame, bits: int) -> np.ndarray:
@@ -201,7 +201,7 @@ def _signatures(docs: DataFrame, min_words: int, per_hundred: int, bits: int) ->
             yield pa.RecordBatch.from_arrays([*ids, lists[0], *(pa.array(x[lead].view(np.int64)) for x in (h0, h1)), pa.array(n[lead].astype(np.int32)), lists[1], *(pa.array(x[lead].view(np.int64)) for x in (b0, b1))], names=names)
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("version"), "text")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def _classes(sig: DataFrame) -> DataFrame:
@@ -295,7 +295,7 @@ def _postings(classes: DataFrame, bits: int, long: dict[int, int], buckets: int,
         if held:
             yield from send()
 
-    return classes.select("c", "n", "b0", "b1", "prefix").mapInArrow(run, "bucket long, rows int, packed binary, bits binary")
+    return classes.select("c", "n", "b0", "b1", "prefix").mapInArrow(trimmed(run), "bucket long, rows int, packed binary, bits binary")
 
 
 def _candidates(postings: DataFrame, per_hundred: int, best: int, asked: np.ndarray | None = None) -> DataFrame:
@@ -381,7 +381,7 @@ def _candidates(postings: DataFrame, per_hundred: int, best: int, asked: np.ndar
         if held:
             yield from found(held)
 
-    return postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "x long, y long, score float, more boolean")
+    return postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(run), "x long, y long, score float, more boolean")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, per_hundred: int, broadcast_ids: int) -> DataFrame:
@@ -405,7 +405,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, per_hundred
                 ok.append(100 * common >= per_hundred * (len(a) + len(b) - common))
             yield part.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "x long, y long")
+    return both.mapInArrow(trimmed(run), "x long, y long")
 
 
 def _matched(classes: DataFrame, docs: DataFrame, per_hundred: int, bits: int, broadcast_ids: int, best: int, list_rows: int) -> DataFrame:

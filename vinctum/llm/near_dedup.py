@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setsketch
-from .arrow import Memo, slices
+from .arrow import Memo, slices, trimmed
 from .common import by_size, materialize, without
 from .graph import components
 
@@ -82,7 +82,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                     regs[i], hashes[i] = r.astype("<u2").tobytes(), _digest(sets[i].tobytes())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(hashes, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "n", "set_hash", "regs"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), schema)
 
 
 def _allowed(pairs: DataFrame, reps: DataFrame, per_hundred: int) -> DataFrame:
@@ -96,7 +96,7 @@ def _allowed(pairs: DataFrame, reps: DataFrame, per_hundred: int) -> DataFrame:
             ok = setsketch.may_reach((a > b).sum(1), (a < b).sum(1), x.column("n_a").to_numpy().astype(float), x.column("n_b").to_numpy().astype(float), per_hundred / 100) if x.num_rows else np.zeros(0, bool)
             yield x.select(["a", "b"]).filter(pa.array(ok))
 
-    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, per_hundred: int, broadcast_ids: int) -> DataFrame:
@@ -119,7 +119,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, per_hundred: int, broad
                 ok.append(bool(other) and 100 * common >= per_hundred * (len(held) + len(other) - common))
             yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def _sets(reps: DataFrame, docs: DataFrame, k: int, broadcast_ids: int) -> DataFrame:
@@ -134,7 +134,7 @@ def _sets(reps: DataFrame, docs: DataFrame, k: int, broadcast_ids: int) -> DataF
             hashes = [_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.binary()), pa.array(sets, pa.binary())], names=["rep", "set_hash", "shingles"])
 
-    return texts.mapInArrow(run, "rep long, set_hash binary, shingles binary").dropDuplicates(["rep", "set_hash"])
+    return texts.mapInArrow(trimmed(run), "rep long, set_hash binary, shingles binary").dropDuplicates(["rep", "set_hash"])
 
 
 def _across(members: DataFrame, per_hundred: int) -> DataFrame:
@@ -202,7 +202,7 @@ def _across(members: DataFrame, per_hundred: int) -> DataFrame:
                     held.append(batch.slice(s, e - s))
         yield from flush()
 
-    return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, per_hundred: int = 80, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
-from .arrow import Memo, map_texts, slices
+from .arrow import Memo, map_texts, slices, trimmed
 from .bpe import RankBpe
 
 CHUNK_CHARS = 1 << 16
@@ -302,7 +302,7 @@ def _run_maps(rows: DataFrame, path: str, memo_words: int, max_arcs: int) -> Dat
                 out.append((entry, *machine.run(entry, text)))
             yield pa.RecordBatch.from_arrays([part.column("row"), part.column("k"), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int64())))], names=["row", "k", "entry", "exit", "n"])
 
-    return rows.select("row", "k", "entry", "before", "text").mapInArrow(run, "row long, k long, entry string, exit string, n long")
+    return rows.select("row", "k", "entry", "before", "text").mapInArrow(trimmed(run), "row long, k long, entry string, exit string, n long")
 
 
 def _chunk_maps(chunks: DataFrame, path: str, memo_words: int, max_arcs: int) -> DataFrame:
@@ -355,6 +355,6 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, chunk_chars: int
             n = [n + machine.finish(e) for e, n in zip(part.column("exit").to_pylist(), part.column("n").to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(n, pa.int64())], names=["row", "n_tokens"])
 
-    total = ends.mapInArrow(finish, "row long, n_tokens long")
+    total = ends.mapInArrow(trimmed(finish), "row long, n_tokens long")
     joined = chunks.where("k = 0").join(total, "row").select("doc_id", "n_bytes", "n_tokens")
     return short.unionByName(joined).withColumn("over_limit", F.col("n_tokens") > limit)
