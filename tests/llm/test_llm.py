@@ -332,6 +332,34 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(gamma[0], want) and np.isclose(norm[0], np.log(w.sum())) and np.isclose(moves.sum(), 3)
 
 
+def test_blocks_give_the_marginals_of_the_whole_chain():
+    rng = np.random.default_rng(6)
+    k, lengths = 3, [1, 5, 40, 7, 128, 129, 20, 64]
+    crf = language_id.Crf(list("abc"), np.zeros((1 << language_id.BITS, k), np.float32), rng.normal(size=(k, k)), rng.normal(size=k))
+    emit = rng.normal(size=(sum(lengths), k)) * 3
+    owners = np.repeat(np.arange(len(lengths)), lengths)
+
+    def words(chain):
+        grid, sizes, begin = language_id.to_chains(np.arange(len(owners)), owners, chain)
+        gamma, _, _ = crf.marginals(emit[grid], sizes, *crf.borders(emit[grid], sizes, begin, owners[begin]))
+        out = np.zeros_like(emit)
+        inside = np.arange(grid.shape[1])[None, :] < sizes[:, None]
+        out[grid[inside]] = gamma[inside]
+        return out
+
+    whole = words(10**6)
+    assert np.allclose(whole.sum(axis=1), 1)
+    for chain in (1, 2, 7, 64):
+        assert np.allclose(words(chain), whole)
+
+
+def test_training_takes_a_bounded_sample(spark):
+    rows = [(i, "les mots de la langue " * 40, "fr") for i in range(30)] + [(100 + i, "words of the other language " * 40, "en") for i in range(30)] + [(200 + i, "x" * 5000 + " " + "y z " * 900, "zz") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    crf = language_id.train(df, sample_docs=8, epochs=3, max_langs=2, doc_words=10)
+    assert crf.langs == ["en", "fr"] and set(crf.lexicon) <= {"les", "mots", "de", "la", "langue", "words", "of", "the", "other", "language"}
+
+
 # --- 6 near duplicates
 
 

@@ -4,9 +4,10 @@ Emissions are sums of weights of hashed features (affixes, letter n-grams, whole
 the training sample); transitions between languages are learned with them. Forward-backward gives each
 word's marginals; a text's language is the one with the largest sum of marginals, its score that sum's share.
 
-A chain is a block of at most CHAIN words of one text, so a very long text is many chains that are passed
-together; every word is used. The model is fitted on the driver from a bounded sample: SAMPLE_DOCS labelled
-documents per language (the smallest by a hash of the id) and TRAIN_WORDS of their words; training chains
+A chain is a whole text, whatever its length. Blocks of CHAIN words of many texts are passed together: each block's
+transfer matrix first, then what enters and leaves each block along its text, and with these the blocks' words, so marginals are
+those of the undivided chain. The model is fitted on the driver from a bounded sample: of the MAX_LANGS languages with the most labelled rows
+SAMPLE_DOCS documents each (the smallest by a hash of the id), DOC_WORDS words of each document at most, and TRAIN_WORDS words in all; training chains
 join stretches of different documents, which is where transitions are learned from.
 
 Null texts and texts without a letter give `und` and score 0. Equal sums go to the first language by name. Without
@@ -31,6 +32,9 @@ from .setsketch import mix
 
 CHAIN = 128
 SAMPLE_DOCS = 150
+MAX_LANGS = 200
+#: Words of a training document that reach the driver, and characters for each of them at most.
+DOC_WORDS, WORD_CHARS = 5_000, 40
 TRAIN_WORDS = 300_000
 EPOCHS = 40
 BITS = 16
@@ -85,8 +89,11 @@ class Crf:
         owner, feature = self.features(words)
         return np.stack([np.bincount(owner, self.weights[feature, c], len(words)) for c in range(k)], axis=1).astype(np.float32)
 
-    def marginals(self, emit: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """emit: chains by places by languages, chains sorted by size, longest first; marginals of words, expected moves, log norms."""
+    def marginals(self, emit: np.ndarray, sizes: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """emit: chains by places by languages, chains sorted by size, longest first; marginals of words, expected moves, log norms.
+
+        enter, leave: what comes into each chain's first word from the left, and into its last word from the right, where it is part of a longer one.
+        """
         n, length, k = emit.shape
         move = np.exp(self.moves)
         top = emit.max(axis=2, keepdims=True)
@@ -95,21 +102,68 @@ class Crf:
         live = np.searchsorted(-sizes, -np.arange(length), side="left")  # chains longer than t
         for t in range(length):
             m = live[t]
-            a = (np.exp(self.start) if t == 0 else alpha[:m, t - 1] @ move) * e[:m, t]
+            a = ((np.exp(self.start) if enter is None else enter) if t == 0 else alpha[:m, t - 1] @ move) * e[:m, t]
             scale[:m, t] = a.sum(axis=1)
             alpha[:m, t] = a / scale[:m, t, None]
         beta, expected = np.ones_like(e), np.zeros((k, k))
+        if leave is not None:
+            beta[np.arange(n), sizes - 1] = leave
         for t in range(length - 2, -1, -1):
             m = live[t + 1]
             b = e[:m, t + 1] * beta[:m, t + 1] / scale[:m, t + 1, None]
             expected += (alpha[:m, t].T @ b) * move
             beta[:m, t] = b @ move.T
         words = np.arange(length)[None, :] < sizes[:, None]
-        return alpha * beta * words[:, :, None], expected, (np.log(scale) + top[:, :, 0]).sum(axis=1, where=words)
+        gamma = alpha * beta * words[:, :, None]
+        if leave is not None:
+            gamma /= np.maximum(gamma.sum(axis=2, keepdims=True), 1e-300)
+        return gamma, expected, (np.log(scale) + top[:, :, 0]).sum(axis=1, where=words)
+
+    def borders(self, emit: np.ndarray, sizes: np.ndarray, begin: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(enter, leave) of blocks as in `marginals`; begin: their places in the order of all words, owner: their texts.
+
+        A block's matrix takes its first word's states to its last one's. What enters a text's blocks follows from left to right, what leaves
+        them from right to left, for the blocks of all texts with as many before them at once.
+        """
+        n, length, k = emit.shape
+        enter, leave = np.tile(np.exp(self.start), (n, 1)), np.ones((n, k))
+        order = np.argsort(begin)
+        new = np.concatenate([[True], owner[order][1:] != owner[order][:-1]])
+        first = np.flatnonzero(new)
+        place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))  # of a block in its text
+        if not place.any():
+            return enter, leave
+        many = np.zeros(n, bool)
+        many[order] = np.repeat(np.diff(np.append(first, n)) > 1, np.diff(np.append(first, n)))
+        rows = np.flatnonzero(many)  # still longest first
+        move = np.exp(self.moves)
+        e = np.exp(emit[rows] - emit[rows].max(axis=2, keepdims=True))
+        live = np.searchsorted(-sizes[rows], -np.arange(length), side="left")
+        matrix = np.tile(np.eye(k), (len(rows), 1, 1))
+        for t in range(1, length):
+            m = live[t]
+            if not m:
+                break
+            x = (matrix[:m] @ move) * e[:m, t, None, :]
+            matrix[:m] = x / x.sum(axis=(1, 2), keepdims=True)
+        at = np.full(n, -1)
+        at[rows] = np.arange(len(rows))
+        by_place = [order[place == j] for j in range(place.max() + 1)]
+        follows = [np.flatnonzero(place == j) for j in range(place.max() + 1)]
+        for j in range(1, len(by_place)):
+            before = order[follows[j] - 1]
+            a = np.einsum("ni,nij->nj", enter[before] * e[at[before], 0], matrix[at[before]])
+            enter[by_place[j]] = a / a.sum(axis=1, keepdims=True) @ move
+        for j in range(len(by_place) - 1, 0, -1):
+            mine = by_place[j]
+            c = e[at[mine], 0] * np.einsum("nij,nj->ni", matrix[at[mine]], leave[mine])
+            back = c @ move.T
+            leave[order[follows[j] - 1]] = back / back.sum(axis=1, keepdims=True)
+        return enter, leave
 
 
 def to_chains(codes: np.ndarray, owners: np.ndarray, chain: int = CHAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Blocks of at most `chain` words of one owner as a padded array, longest first; sizes; owner of each block."""
+    """Blocks of at most `chain` words of one owner as a padded array, longest first; sizes; where each begins."""
     if not len(codes):
         return np.zeros((0, 1), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = np.concatenate([[True], owners[1:] != owners[:-1]])
@@ -121,7 +175,7 @@ def to_chains(codes: np.ndarray, owners: np.ndarray, chain: int = CHAIN) -> tupl
     cut, sizes = cut[order], sizes[order]
     at = cut[:, None] + np.arange(sizes[0])[None, :]
     inside = np.arange(sizes[0])[None, :] < sizes[:, None]
-    return np.where(inside, codes[np.minimum(at, len(codes) - 1)], 0), sizes, owners[cut]
+    return np.where(inside, codes[np.minimum(at, len(codes) - 1)], 0), sizes, cut
 
 
 def fit(rows: list[tuple[str, str]], train_words: int = TRAIN_WORDS, epochs: int = EPOCHS, seed: int = 7) -> Crf | None:
@@ -214,11 +268,12 @@ class Tagger:
         owners = np.repeat(np.arange(len(texts)), [len(x) for x in tokens])
         real = codes >= 0
         codes, owners = codes[real], owners[real]
-        grid, sizes, _ = to_chains(np.arange(len(codes)), owners)
+        grid, sizes, begin = to_chains(np.arange(len(codes)), owners)
         marginals = np.zeros((len(codes), len(self.crf.langs)))
         if len(codes):
             inside = np.arange(grid.shape[1])[None, :] < sizes[:, None]
-            gamma, _, _ = self.crf.marginals(self.table[codes][grid].astype(np.float64), sizes)
+            emit = self.table[codes][grid].astype(np.float64)
+            gamma, _, _ = self.crf.marginals(emit, sizes, *self.crf.borders(emit, sizes, begin, owners[begin]))
             marginals[grid[inside]] = gamma[inside]
         sums = np.stack([np.bincount(owners, marginals[:, c], len(texts)) for c in range(len(self.crf.langs))], axis=1)
         return tokens, owners, marginals, sums
@@ -241,15 +296,21 @@ def held_out(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, train_words: int = TRAIN_WORDS, epochs: int = EPOCHS) -> Crf | None:
-    """Fit on the labelled rows that are not held out; only the sample reaches the driver."""
-    ids = docs.where(~held_out() & F.col("lang").isNotNull()).select("doc_id", "lang")
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, train_words: int = TRAIN_WORDS, epochs: int = EPOCHS, max_langs: int = MAX_LANGS, doc_words: int = DOC_WORDS) -> Crf | None:
+    """Fit on the labelled rows that are not held out; only the sample reaches the driver: max_langs * sample_docs * doc_words words at most."""
+    rows = docs.where(~held_out() & F.col("lang").isNotNull())
+    langs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
     nth = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ids.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= sample_docs).select("doc_id", "lang")
-    # sample_docs rows per language at most
-    sample = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").where(F.col("text").isNotNull())
-    rows = sorted((r["doc_id"], r["text"], r["lang"]) for r in sample.collect())
-    return fit([(t, lang) for _, t, lang in rows], train_words, epochs)
+    ids = rows.select("doc_id", "lang").join(F.broadcast(langs), "lang", "left_semi")
+    ids = ids.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= sample_docs).select("doc_id", "lang").distinct()
+    # sample_docs rows per language at most; of rows that share an id the first texts count
+    words = F.slice(F.split(F.trim("text"), r"\s+"), 1, doc_words)
+    text = F.array_join(F.transform(words, lambda w: F.left(w, F.lit(WORD_CHARS))), " ").alias("text")
+    sample = docs.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").where(F.col("text").isNotNull()).select("doc_id", "lang", text)
+    again = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    sample = sample.withColumn("nth", F.row_number().over(again)).where(F.col("nth") <= sample_docs)
+    found = sorted((r["doc_id"], r["text"], r["lang"]) for r in sample.collect())
+    return fit([(t, lang) for _, t, lang in found], train_words, epochs)
 
 
 def identify(docs: DataFrame, crf: Crf | None) -> DataFrame:
