@@ -520,6 +520,54 @@ def test_keys_are_decoded_in_every_encoding():
             assert not [k for k, _, _ in secret_scan.scan(cut) if k in ("der", "openssh")]
 
 
+def test_layers_of_encoding_are_undone():
+    rng = random.Random(2)
+    key = _der(0x30, _der(2, b"\x00"), *[_der(2, b"\x01" + rng.randbytes(20))] * 8)
+    b64 = lambda x: base64.b64encode(x).decode()
+    wrap = lambda s, n=64, end="\n": end.join(s[i : i + n] for i in range(0, len(s), n))
+    frame = lambda label, body: f"-----BEGIN {label}-----\n{body}\n-----END {label}-----"
+    pem = frame("RSA PRIVATE KEY", wrap(b64(key)))
+    locked = frame("RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n" + wrap(b64(rng.randbytes(128))))
+    packets = b"".join(bytes([0x95 if i == 0 else 0xC7]) + (n.to_bytes(2, "big") if i == 0 else bytes([(n - 192 >> 8) + 192, (n - 192) & 255])) + rng.randbytes(n) for i, n in enumerate((300, 250)))
+    sum_ = b64(secret_scan.crc24(packets).to_bytes(3, "big"))
+    pgp = frame("PGP PRIVATE KEY BLOCK", f"Version: X 1.0\n\n{wrap(b64(packets))}\n={sum_}")
+    seg = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
+    jwt = f"{seg({'alg': 'HS256'})}.{seg({'sub': 1})}.{base64.urlsafe_b64encode(b'x' * 32).decode().rstrip('=')}"
+    added = lambda t: [(k, t[s:e]) for k, s, e in secret_scan.scan(t) if k not in secret_scan.BASE_KINDS]
+    for block in (pem, locked, pgp, pem.replace("\n", "\\n"), pem.replace("\n", "\r\n")):
+        assert added(f"see {block} there") == [("pem", block)]
+    assert crc_of(b"123456789") == 0x21CF02
+    broken = [pem.replace(b64(key)[:8], "AAAAAAAA"), locked.replace("\n\n", "\n\nAAAA"), pgp.replace(f"={sum_}", "=AAAA"), frame("PGP PRIVATE KEY BLOCK", b64(packets[:-1]))]
+    assert [added(x) for x in broken] == [[], [], [], []]
+    coders = [b64, lambda x: base64.urlsafe_b64encode(x).decode().rstrip("="), lambda x: wrap(b64(x)), lambda x: x.hex(), lambda x: x.hex().upper(), lambda x: wrap(x.hex())]
+    for inner, kind in ((pem, "pem"), (pgp, "pem"), (jwt, "jwt"), (b64(key), "der"), (key.hex(), "der")):
+        for outer in coders:
+            once = outer(inner.encode())
+            for t in (once, outer(once.encode())):
+                assert added(f"key: {t} end") == [(kind, t)], (kind, t[:40])
+                assert added(f"{t}\nNothing more, here.") == [(kind, t)]
+    plain = "The quick brown fox jumps over the lazy dog, and nothing of this is secret. " * 4
+    assert all(added(c(plain.encode())) == [] for c in coders) and added("x" * 500) == [] and added("-----BEGIN RSA PRIVATE KEY-----" * 50) == []
+
+
+def crc_of(raw):
+    return secret_scan.crc24(raw)
+
+
+def test_base_spans_against_the_plain_patterns(texts):
+    import re
+
+    kinds = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]
+    found = 0
+    for t in texts.values():
+        want = [(k, *m.span()) for k, p, g, least in kinds for m in p.finditer(t or "") if len(m[g]) >= least]
+        want.sort(key=lambda x: (x[1], [k for k, *_ in kinds].index(x[0])))
+        got = [x for x in secret_scan.scan(t or "") if x[0] in secret_scan.BASE_KINDS]
+        assert got == want
+        found += len(want)
+    assert found
+
+
 def test_base_spans_are_leftmost_and_dropped_ones_use_text_up():
     t = 'Password: "abcdefghijkl" token=short API-KEY apikey = 123456789012 AKIAABCDEFGHIJKLMN AKIASHORT ſecret=abcdefghijklmn 😀 0123456789abcdef'
     got = [(k, t[s:e]) for k, s, e in secret_scan.scan(t)]
