@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .arrow import Memo, map_texts
 
 LONG_WORD = 400
-MEMO_WORDS = 150_000
+MEMO_WORDS = 100_000
 _NONE = 1 << 60
 
 

@@ -29,14 +29,13 @@ from pyspark.sql import functions as F
 from .arrow import slices, trimmed
 from .common import by_size, fresh, materialize
 from .setsketch import mix
+from .words import Words, byte_slices
 
 MIN_WORDS = 1
 PER_HUNDRED = 80
 #: Counters of word rarity, as a power of two; the driver and each Python worker hold them in one byte each.
 RARITY_BITS = 23
 _SLICE = 1 << 16
-#: Texts are turned to words in slices of about this many bytes.
-SLICE_BYTES = 512 << 10
 BROADCAST_IDS = 1_000_000
 #: Removed lines are broadcast to the rewrite up to this number (4 bytes each, 16 more counted per document).
 BROADCAST_LINES = 8_000_000
@@ -46,54 +45,6 @@ BEST = 4
 LIST_ROWS = 20_000
 #: Postings of a bucket, on average, and those that a task gathers before it sends them.
 BUCKET_ROWS, SEND_ROWS = 200_000, 250_000
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-_P = 0x9E3779B97F4A7C15
-_P_INVERSE = pow(_P, -1, 1 << 64)
-
-
-class Words:
-    """Words of many texts at once: 64-bit hashes by prefix sums over the bytes, without a Python object per word."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            steps = np.full((2, size + 1), 1, np.uint64)
-            steps[0, 1:], steps[1, 1:] = _P, _P_INVERSE
-            self.up, self.down = np.cumprod(steps, axis=1)
-
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per word: hash, number of its text, number of its line in the text."""
-        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        self._powers(len(data) + 1)
-        space = _SPACE[data]
-        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-        edge = edge if space[0] else np.concatenate([[0], edge])
-        begin, end = edge[::2], edge[1::2]
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=sums[1:])
-        h = mix((sums[end] - sums[begin]) * self.down[begin])
-        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-        text = np.searchsorted(starts, begin, side="right") - 1
-        ends_before = np.concatenate([[0], np.cumsum(data == 10)])
-        return h, text, ends_before[begin] - ends_before[starts[text]]
-
-
-def byte_slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for batch in batches:
-        texts = batch.column(text).cast(pa.large_binary()).to_pylist()
-        at, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t or b"")
-            if size >= SLICE_BYTES or i == len(texts) - 1:
-                yield batch.slice(at, i + 1 - at), [x or b"" for x in texts[at : i + 1]]
-                at, size = i + 1, 0
-
-
 def line_sets(text: str | None) -> list[list[bytes]]:
     return [line.split() for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
 

@@ -22,18 +22,19 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setsketch
-from .arrow import Memo, slices, trimmed
+from .arrow import slices, trimmed
 from .common import by_size, materialize, without
 from .graph import components
+from .words import Words, byte_slices
 
 BAND_ROWS = 6
 BANDS = setsketch.M // BAND_ROWS
-MEMO_WORDS = 200_000
+#: Texts are hashed and sketched in slices of about this many bytes.
+SLICE_BYTES = 128 << 10
 #: Ids of texts to verify are broadcast up to this number (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Classes of a bucket that one task compares with each other; larger buckets are split into blocks.
@@ -61,6 +62,15 @@ def shingle_hashes(w: np.ndarray, k: int) -> np.ndarray:
     return np.unique(acc)
 
 
+def _shingles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of the batches (id, text) with each text's shingle hashes."""
+    of = Words()
+    for part, texts in byte_slices(batches, 1, SLICE_BYTES):
+        h, owner, _ = of.of(texts)
+        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+        yield part, [shingle_hashes(h[s:e], k) for s, e in zip(cuts, cuts[1:])]
+
+
 def _digest(shingles: bytes) -> bytes:
     return blake2b(shingles, digest_size=16).digest()
 
@@ -70,9 +80,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     schema = "doc_id long, n long, set_hash binary, regs binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(xxhash.xxh3_64_intdigest, MEMO_WORDS)
-        for part in slices(batches):
-            sets = [shingle_hashes(np.fromiter(map(memo.__getitem__, words(t)), np.uint64), k) for t in part.column(1).to_pylist()]
+        for part, sets in _shingles(batches, k):
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
             regs, hashes = [None] * len(sets), [None] * len(sets)
@@ -128,9 +136,8 @@ def _sets(reps: DataFrame, docs: DataFrame, k: int, broadcast_ids: int) -> DataF
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(reps) if few else reps, "rep", "left_semi")
 
     def run(batches):
-        memo = Memo(xxhash.xxh3_64_intdigest, MEMO_WORDS)
-        for part in slices(batches):
-            sets = [shingle_hashes(np.fromiter(map(memo.__getitem__, words(t)), np.uint64), k).tobytes() for t in part.column(1).to_pylist()]
+        for part, sets in _shingles(batches, k):
+            sets = [s.tobytes() for s in sets]
             hashes = [_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.binary()), pa.array(sets, pa.binary())], names=["rep", "set_hash", "shingles"])
 
