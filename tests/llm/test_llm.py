@@ -195,8 +195,142 @@ def test_untitled_mentions_take_the_surrogates_of_the_titled_one(spark):
     assert b[3] == smith and b[5:7] == [b[2], smith] and b[8] == "Jane." and out[2].n_entities == 3 and out[3].text == rows[2][1]
 
 
+def test_one_surrogate_for_all_forms_of_an_entity(spark):
+    rows = [
+        "Mr. John Smith came. Later Smith said that John lied.", "MR. JOHN SMITH AND OTHERS", "Mr. SMITH left", "Dr. John came; Señor José Álvarez-Ruiz met Ruiz and Mr. J. McDonald",
+        "call +1 599 555 3756", "or +1 (599) 555-3756 now", "a.b@x.org", "A.B@x.org", "Frau Ελένη Παππάς", "Sir Արամ Խաչատրյան", "card 4111 1111 1111 1111", "card 4111-1111-1111-1111.", "Frau Kim Lee", "Mr. Kim Lee", "el señor Carlos de la Cruz", None, "",
+    ]
+    df = spark.createDataFrame([(None if i % 3 else i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(1)
+    got = [r.text for r in pii.replace_pii(df, "k").collect()]
+    by = dict(zip(rows, got))
+    first = by[rows[0]].split()
+    john, smith = first[1], first[2]
+    assert first[5] == smith and first[8] == john and first[9] == "lied." and by[rows[1]] == f"MR. {john.upper()} {smith.upper()} AND OTHERS" and by[rows[2]] == f"Mr. {smith.upper()} left"
+    fourth = by[rows[3]]
+    assert fourth.startswith(f"Dr. {john} came; Señor ") and not any(x in fourth for x in ("José", "Álvarez", "Ruiz", "McDonald", " J. "))
+    ruiz = fourth.split("-")[1].split()[0]
+    assert f"met {ruiz} and Mr. " in fourth and fourth.split("Mr. ")[1][1] == "." and fourth.split("Mr. ")[1][0].isupper()
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    assert digits(by[rows[4]]) == digits(by[rows[5]]) != digits(rows[4]) and by[rows[5]].startswith("or +1 (") and digits(by[rows[4]])[0] == "1"
+    assert by["A.B@x.org"].lower() == by["a.b@x.org"] and by["A.B@x.org"][0].isupper() and by["a.b@x.org"].endswith(".org")
+    assert all("Ͱ" <= c <= "Ͽ" for c in by[rows[8]].removeprefix("Frau ").replace(" ", "")) and all("԰" <= c <= "֏" for c in by[rows[9]].removeprefix("Sir ").replace(" ", ""))
+    assert digits(by[rows[10]]) == digits(by[rows[11]]) and by[rows[11]].count("-") == 3
+    assert by[rows[12]].split()[1:] == by[rows[13]].split()[1:]  # Kim is either: one neutral form
+    cruz = by[rows[14]].split()
+    assert cruz[:2] == ["el", "señor"] and cruz[3:5] == ["de", "la"] and cruz[2] != "Carlos" and cruz[5] != "Cruz"
+    assert by[None] is None and by[""] == ""
+
+
+def test_the_key_is_in_no_plan(spark, docs):
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    df = pii.replace_pii(docs, "very-secret-key")
+    out = StringIO()
+    with redirect_stdout(out):
+        df.explain("extended")
+    text = out.getvalue() + df._jdf.queryExecution().toString()
+    padded = bytes(b ^ 0x36 for b in b"very-secret-key")
+    assert "very-secret" not in text and padded.hex() not in text.lower() and padded.hex(" ") not in text.lower() and "Python" not in text and "Arrow" not in text
+
+
+def _draw(key, kind, entity, role):
+    """The first surrogate in plain Python: an HMAC's bytes pick characters and syllables."""
+    import hmac
+
+    h = hmac.new(key, f"{kind}|{entity}|0".encode(), "sha512").digest()
+    pick = lambda i, chars: chars[h[i % 64] % len(chars)]
+    mapped = lambda t: "".join(pick(i, "0123456789") if c.isdigit() else pick(i, "abcdefghijklmnopqrstuvwxyz") if c.isascii() and c.isalpha() else c for i, c in enumerate(t))
+    luhn = lambda t: sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(t)))) % 10
+    if kind == "email":
+        name, _, tld = entity.rpartition(".")
+        return f"{mapped(name)}.{tld}"
+    if kind == "ip":
+        return ".".join(str(h[i] % 254 + 1) for i in range(4))
+    if kind == "phone":
+        import re
+
+        code = re.match(rf"[+](?:{pii.SHORT_CODES}|[0-9]{{3}})", entity)
+        code = code[0] if code else ""
+        return code + mapped(entity[len(code) :])
+    if kind == "card":
+        s = entity[0] + mapped(entity[1:])
+        return s[:-1] + str((10 - luhn(s[:-1] + "0")) % 10) if luhn(entity) == 0 else s
+    if kind == "ssn":
+        return mapped(entity)
+    script = next(x for x, lo, hi in (("IsCyrillic", "Ѐ", "ӿ"), ("IsGreek", "Ͱ", "Ͽ"), ("IsArmenian", "԰", "֏"), ("", "", "￿")) if not x or any(lo <= c <= hi for c in entity))
+    syl, ends = pii.SCRIPTS[script]
+    syl, ends = syl.split(), ends[role].split()
+    return syl[(h[0] * 256 + h[1]) % len(syl)] + syl[h[2] % len(syl)] + syl[h[3] % len(syl)] + ends[h[9] % len(ends)]
+
+
+def test_surrogates_against_plain_python(spark):
+    import regex
+
+    rng = random.Random(12)
+    pools = {"who": ["Mr. John Smith", "Dr. Anna Maria López", "MR. SMITH", "Frau Keller-Braun", "господин Иван Петров", "Señora Ana Núñez", "Mrs Kim Lee", "Sir Kim Ó'Neil", "Κυρία Ελένη Παππά"], "what": ["a.b@x.org", "A.B@X.org", "10.2.3.4", "+1 599 555 3756", "+4930123456", "4111 1111 1111 1111", "4111111111111112", "123-45-6789", "(212) 555-0199"], "word": ["Smith", "saw", "Anna", "KELLER", "and", "Петров", "Lee's", "x", "Braun", "No", "Ελένη"]}
+    made = [(10**6 + i, " ".join(rng.choice(pools[rng.choice(list(pools))]) for _ in range(rng.randint(1, 12))) + rng.choice([".", "", "!"])) for i in range(300)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    fixed = {(r.kind, r.entity): r.surrogate for r in pii.exceptions(docs, "k").collect()}
+    known = {(r.kind, r.entity): r.role for r in pii.entities(docs).collect()}
+    assert len(known) > 80 and len(fixed) > 3
+    find, title = regex.compile(pii.ANY), regex.compile(pii._TITLED)
+    roles = lambda rs: "given_m" if "given_m" in rs and "given_f" not in rs else "given_f" if "given_f" in rs and "given_m" not in rs else "given_n" if rs - {"surname"} else "surname"
+    male, female = ({x for t in ts for x in (t, t.upper())} for ts in (pii.MALE, pii.FEMALE))
+
+    def kind_of(m):
+        return "email" if "@" in m else "name" if m[0].isalpha() else "ip" if regex.fullmatch(r"[0-9]+(\.[0-9]+){3}", m) else "ssn" if regex.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", m) else "phone" if m[0] in "+(" or sum(c.isdigit() for c in m) < 13 else "card"
+
+    def lay(m, kind, s):
+        if kind == "email":
+            return "".join(c.upper() if o.isupper() else c for o, c in zip(m, s, strict=True))
+        if kind in ("phone", "card"):
+            d = iter(c for c in s if c.isdigit())
+            return "".join(next(d) if c.isdigit() else c for c in m)
+        return s if kind != "name" else s[0].upper() + s[1:] if any(c.islower() for c in m) else s.upper()
+
+    seen_roles, texts = defaultdict(set), {}
+    for r in docs.collect():
+        t = r.text or ""
+        people = defaultdict(set)
+        for m in find.finditer(t):
+            if kind_of(m[0]) == "name":
+                words = [w for w in regex.findall(r"[\p{L}\p{M}'’]+", title.sub("", m[0])) if w[0].isupper()]
+                who = m[0].split()[0].rstrip(".")
+                given = "given_m" if who in male else "given_f" if who in female else "given_n"
+                for k, w in enumerate(words):
+                    if len(w) > 1:
+                        people[w.lower()].add(given if k == 0 and len(words) > 1 else "surname")
+        for w, rs in people.items():
+            seen_roles[w].add(roles(rs))
+        texts[r.doc_id] = t, set(people)
+    got = {r.doc_id: r.text or "" for r in pii.replace_pii(docs, "k").collect()}
+    assert {w: roles(rs) for w, rs in seen_roles.items()} == {e: role for (k, e), role in known.items() if k == "name"}
+    used = {}
+
+    def surrogate(kind, entity):
+        role = roles(seen_roles[entity]) if kind == "name" else ""
+        return used.setdefault((kind, entity), fixed.get((kind, entity)) or _draw(b"k", kind, entity, role))
+
+    for d, (t, people) in texts.items():
+        spelled = "|".join(sorted({x for w in people for x in (w[0].upper() + w[1:], w.upper())} | {w for w in regex.findall(r"[\p{L}\p{M}'’]+", t) if w.lower() in people and w[0].isupper()}, key=len, reverse=True))
+        whole = regex.compile(f"{pii.ANY}|{pii._W}(?:{spelled}){pii._N}" if people else pii.ANY)
+
+        def new(m):
+            kind = kind_of(m[0])
+            if kind != "name":
+                entity = m[0].lower() if kind == "email" else regex.sub("[^0-9+]", "", m[0]) if kind == "phone" else regex.sub("[^0-9]", "", m[0]) if kind == "card" else m[0]
+                return lay(m[0], kind, surrogate(kind, entity))
+            head = title.match(m[0])
+            head = head[0] if head else ""
+            return head + regex.sub(r"[\p{L}\p{M}'’]+", lambda w: lay(w[0], "name", surrogate("name", w[0].lower())) if w[0][0].isupper() and len(w[0]) > 1 else w[0], m[0][len(head) :])
+
+        assert got[d] == whole.sub(new, t), d
+    assert len(set(used.values())) == len(used) and not {(k, s) for (k, _), s in used.items()} & set(used)
+
+
 def test_surrogates_are_distinct_and_no_real_entity(spark, docs):
-    ents = pii.entities(docs).withColumn("s", F.expr(pii.surrogate_sql("kind", "entity", "0", "k")))
+    ents = pii.with_key(pii.entities(docs), "k").withColumn("s", F.expr(pii.surrogate_sql("kind", "entity", "role", "0")))
     fixed = pii.exceptions(docs, "k").withColumnRenamed("surrogate", "s2")
     final = ents.join(fixed, ["kind", "entity"], "left").withColumn("s", F.coalesce("s2", "s")).collect()
     real = {(r.kind, r.entity) for r in final}
@@ -204,7 +338,7 @@ def test_surrogates_are_distinct_and_no_real_entity(spark, docs):
 
 
 def test_colliding_surrogates_draw_again(spark):
-    rows = [(i, f"Mr. {chr(65 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676)}o wrote.") for i in range(3000)]
+    rows = [(None if i % 2 else 5, f"Mr. {chr(65 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676)}o wrote.") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert pii.exceptions(df, "k").count() > 0
     out = [r.text for r in pii.replace_pii(df, "k").collect()]
@@ -217,10 +351,11 @@ def test_surrogates_outgrow_formats_whose_space_is_used_up(spark):
     df = spark.createDataFrame(list(enumerate(mails)), "doc_id long, text string")
     new = {r.text for r in pii.replace_pii(df, "k").collect()}
     assert len(new) == len(mails) and not new & set(mails) and all(x.endswith(".com") for x in new)
-    kinds = {"email": "a@b.com", "ip": "10.2.3.4", "phone": "+12345", "card": "4111111111111111", "ssn": "123-45-6789", "given_m": "Jo", "surname": "Петров"}
-    rows = spark.createDataFrame(list(kinds.items()), "kind string, entity string")
-    for r in rows.select("kind", "entity", *[F.expr(pii.surrogate_sql("kind", "entity", "9", "k", g)).alias(f"s{g}") for g in (0, 1, 3)]).collect():
-        assert len(r.s0) < len(r.s1) < len(r.s3) and r.s0 != r.entity
+    kinds = {"email": "a@b.com", "ip": "10.2.3.4", "phone": "+12345", "card": "4111111111111111", "ssn": "123-45-6789", "name": "петров"}
+    rows = pii.with_key(spark.createDataFrame([(k, e, "surname") for k, e in kinds.items()], "kind string, entity string, role string"), "k")
+    longer = [F.expr(pii.surrogate_sql("kind", "entity", "role", "9", g)).alias(f"s{g}") for g in (0, 1, 3)]
+    for r in rows.select("kind", "entity", *longer).withColumns({f"t{g}": F.expr(pii.laid_out("entity", "kind", f"s{g}")) for g in (0, 1, 3)}).collect():
+        assert len(r.s0) < len(r.s1) < len(r.s3) and r.s0 != r.entity and len(r.t0) < len(r.t1) < len(r.t3)
         if r.kind == "card":
             assert all(sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(s)))) % 10 == 0 for s in (r.s0, r.s1, r.s3))
 

@@ -1,19 +1,23 @@
 """Surrogates for personal data: keyed, type-consistent, distinct and the same at every mention; DataFrame functions only.
 
 Found by pattern: e-mail addresses, IPv4 addresses, telephone numbers, card-like numbers of 13 to 19 digits, social security numbers, and
-names after a title (all capitalised words that follow it). Words of a name that was found so are replaced at every other mention in the
-same text too, with or without a title; names that have no title anywhere in their text are not looked for. A surrogate is drawn from a keyed
-hash of type and entity, character by character: digits, capitals and small letters stay what they are, in Latin,
-Cyrillic or Greek script; punctuation, e-mail top-level domains, dialling codes and cards' first digits stay; valid card check
-digits stay valid. Name words are mapped one by one, so that a later mention by surname alone agrees with the full name; given
-names end as the title's gender asks. The draw needs no table, so most texts are rewritten in one projection.
+names after titles (the capitalised words that follow them, also initials, words in capitals, parts joined by hyphens and lower-case particles between them).
+Words of a name that was found so are replaced at every other mention in the same text too, with or without a title, capitalised or in
+capitals; names that have no title anywhere in their text are not looked for.
+
+An entity is what its mentions have in common: a name word without its case, an address without its case, a number's digits. Its
+surrogate is drawn from an HMAC-SHA-512 of kind and entity and laid out in each mention's own format: digits, capitals and small letters stay what they are, in Latin,
+Cyrillic, Greek or Armenian script; punctuation, e-mail top-level domains, dialling codes and cards' first digits stay; valid card check
+digits stay valid. One name word has one surrogate whatever its titles and places; it ends as the gender asks that titles give it in the whole corpus
+(both or none: a neutral ending; never before another name: a surname's). The draw needs no table, so most texts are rewritten in one projection.
 
 Collision checks run over the distinct entities of the whole corpus: where a surrogate equals another entity's, or is itself
 a real entity, the entity draws again until it is distinct. From draw _GROW_AFTER on each draw is longer by a syllable, letter or group of
 digits, so the space outgrows any number of entities and a distinct surrogate always comes; such surrogates keep their type, but not their length (an address
-takes a port, a number another group of digits). Only texts with such an entity need a join.
+takes a port, a number another group of digits). Only texts with such an entity, or with a word whose role differs elsewhere, need a join.
+Initials are replaced, but are no entities of their own.
 
-Null texts stay null and have no entities. Rows are independent; rows that repeat a doc_id are treated alike.
+The key is read from a one-row table by scalar subqueries, so it stands in no plan. Null texts stay null and have no entities. Rows are independent.
 """
 
 from __future__ import annotations
@@ -23,19 +27,23 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from ..sources.scratch import materialize
 
 TYPES = ("email", "ip", "phone", "card", "ssn", "name")
 #: Titles and what they say of the gender.
-MALE = ("Mr", "Sir", "Herr", "Herrn", "Señor", "Sr", "Don", "Monsieur", "господин")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Sra", "Doña", "Madame", "Mme", "Mlle", "госпожа")
+MALE = ("Mr", "Sir", "Herr", "Herrn", "Señor", "señor", "Sr", "Don", "don", "Monsieur", "господин", "Господин", "Κύριος", "κύριος")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "señora", "Señorita", "señorita", "Sra", "Doña", "doña", "Madame", "Mme", "Mlle", "госпожа", "Госпожа", "Κυρία", "κυρία")
 NEUTRAL = ("Dr", "Prof", "Rev")
-_TITLES = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=lambda t: (-len(t), t)))
-#: Syllables and endings that surrogate names are put together from.
-SYLLABLES = "ba be bo ca ce co da de do fa fe fi ga go ha he ho ja jo ka ke la le lo ma me mi mo na ne no pa pe ra re ro sa se so ta te to va ve vi wa we za zo".split()
-ENDINGS = {"given_m": ["ron", "lf", "nor", "ric"], "given_f": ["lina", "ra", "netta", "ria"], "given_n": ["len", "rin", "sel", "ris"], "surname": ["rell", "nson", "mont", "gard"]}
-CYRILLIC = "ба ва га да жа за ка ла ма на па ра са та фа ха бо во го до зо ко ло мо но по ро со то фо".split()
-CYRILLIC_ENDINGS = {"given_m": ["рон", "лин", "мир", "вид"], "given_f": ["лина", "рия", "нета", "вида"], "given_n": ["лен", "рин", "сел", "рис"], "surname": ["рель", "нсон", "менд", "гард"]}
+_TITLES = "|".join(sorted({t for x in (*MALE, *FEMALE, *NEUTRAL) for t in (x, x.upper())}, key=lambda t: (-len(t), t)))
+#: Syllables and endings that surrogate names are put together from, by script.
+SCRIPTS = {
+    "IsCyrillic": ("ба ва га да жа за ка ла ма на па ра са та фа ха бо во го до зо ко ло мо но по ро со то фо", {"given_m": "рон лин мир вид", "given_f": "лина рия нета вида", "given_n": "лен рин сел рис", "surname": "рель нсон менд гард"}),
+    "IsGreek": ("βα γα δα ζα κα λα μα να πα ρα σα τα φα χα βο γο δο ζο κο λο μο νο πο ρο σο το φο χο", {"given_m": "ρος νος λης μης", "given_f": "ρια νια λια δα", "given_n": "λεν ριν σελ ρι", "surname": "ρελης νσος μοντης γαρδης"}),
+    "IsArmenian": ("բա գա դա զա կա լա մա նա պա ռա սա տա ֆա բո գո դո զո կո լո մո նո պո ռո սո տո ֆո", {"given_m": "րոն լին միր վիդ", "given_f": "լինա րիա նետա վիդա", "given_n": "լեն րին սել րիս", "surname": "րելյան նսոնյան մենդյան գարդյան"}),
+    "": ("ba be bo ca ce co da de do fa fe fi ga go ha he ho ja jo ka ke la le lo ma me mi mo na ne no pa pe ra re ro sa se so ta te to va ve vi wa we za zo", {"given_m": "ron lf nor ric", "given_f": "lina ra netta ria", "given_n": "len rin sel ris", "surname": "rell nson mont gard"}),
+}
+#: Fixed value: countries' dialling codes that are not three digits long.
+SHORT_CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 
 _W, _N = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -45,15 +53,21 @@ SSN = rf"{_W}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_N}"
 CARD = rf"{_W}(?:[0-9]{{4}}[ -]){{3}}[0-9]{{1,7}}{_N}|{_W}[0-9]{{13,19}}{_N}"
 PHONE = rf"(?<![\p{{L}}\p{{N}}+])\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,4}}(?:[ .-]?[0-9]{{2,4}}){{1,4}}{_N}|\([0-9]{{3}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}{_N}|{_W}[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}}{_N}"
 #: A possessive ending is not part of the word.
-_WORD = r"\p{Lu}[\p{Ll}'’-]*\p{Ll}(?<!['’]s)"
-NAME = rf"{_W}(?:{_TITLES})\.? {_WORD}(?: {_WORD})*{_N}"
+_NO_TITLE = rf"(?!(?:{_TITLES})(?:\.|{_N}))"
+_MIXED = _NO_TITLE + r"\p{Lu}(?=[\p{L}'’-]*\p{Ll})[\p{L}'’-]*\p{L}(?<!['’]s)"
+_CAPITALS = _NO_TITLE + r"\p{Lu}[\p{Lu}'’-]*\p{Lu}"
+_PARTICLE = r"(?: (?:de|del|la|las|los|von|van|der|den|da|di|du|le|y|e)(?= ))*"
+_WORD = rf"(?:{_MIXED}{_N}|(?:\p{{Lu}}\.)+(?![\p{{L}}\p{{N}}@_%+-]))"
+NAME = rf"{_W}(?:(?:{_TITLES})\.? )+(?:{_WORD}(?:{_PARTICLE} {_WORD})*(?: {_CAPITALS}{_N})?|{_CAPITALS}(?: {_CAPITALS})?{_N})"
 ANY = f"{EMAIL}|{IP}|{SSN}|{CARD}|{PHONE}|{NAME}"
 #: A text without any of these has no entity.
 _QUICK = rf"[0-9@]|{_W}(?:{_TITLES})\.? \p{{Lu}}"
-_TITLED = rf"^(?:{_TITLES})\.? "
+_TITLED = rf"^(?:(?:{_TITLES})\.? )+"
 #: Draws of the entity's own length before the space grows.
 _GROW_AFTER = 8
 BROADCAST_ROWS = 100_000
+#: Names of the columns that hold the padded key.
+_INNER, _OUTER = "_pii_inner", "_pii_outer"
 
 
 def _q(s: str) -> str:
@@ -64,20 +78,47 @@ def _array(items) -> str:
     return f"array({', '.join(map(_q, items))})"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _kind(m: str) -> str:
     return f"CASE WHEN contains({m}, '@') THEN 'email' WHEN {m} RLIKE {_q('^\\p{L}')} THEN 'name' WHEN {m} RLIKE {_q(f'^(?:{_OCTET}\\.){{3}}{_OCTET}$')} THEN 'ip' WHEN {m} RLIKE '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN 'ssn' WHEN {m} RLIKE '^[+(]' OR length(regexp_replace({m}, '[^0-9]', '')) < 13 THEN 'phone' ELSE 'card' END"
 
 
-def _units(m: str) -> str:
-    """The entities of a match: itself, or the words of a titled name with their roles."""
+def _entity(m: str, kind: str) -> str:
+    """What all mentions of an entity other than a name have in common."""
+    return f"CASE {kind} WHEN 'email' THEN lower({m}) WHEN 'phone' THEN regexp_replace({m}, '[^0-9+]', '') WHEN 'card' THEN regexp_replace({m}, '[^0-9]', '') ELSE {m} END"
+
+
+def _pieces(m: str) -> str:
+    """A name without its title, as words and what stands between them."""
+    return f"regexp_extract_all(regexp_replace({m}, {_q(_TITLED)}, ''), {_q("[\\p{L}\\p{M}'’]+|[^\\p{L}\\p{M}'’]+")}, 0)"
+
+
+def _is_word(piece: str) -> str:
+    return f"{piece} RLIKE {_q('^\\p{Lu}.')}"
+
+
+def _titled_words(m: str) -> str:
+    """The words of a titled name with the roles that it gives them."""
     title = f"regexp_extract({m}, {_q(f'^({_TITLES})')}, 1)"
-    role = f"CASE WHEN {title} IN ({', '.join(map(_q, MALE))}) THEN 'given_m' WHEN {title} IN ({', '.join(map(_q, FEMALE))}) THEN 'given_f' ELSE 'given_n' END"
-    names = f"slice(split({m}, ' '), 2, size(split({m}, ' ')))"
-    return f"CASE WHEN {_kind(m)} = 'name' THEN transform({names}, (w, k) -> named_struct('kind', CASE WHEN k = 0 AND size({names}) > 1 THEN {role} ELSE 'surname' END, 'entity', w)) ELSE array(named_struct('kind', {_kind(m)}, 'entity', {m})) END"
+    titles = lambda ts: ", ".join(_q(x) for t in ts for x in dict.fromkeys((t, t.upper())))
+    role = f"CASE WHEN {title} IN ({titles(MALE)}) THEN 'given_m' WHEN {title} IN ({titles(FEMALE)}) THEN 'given_f' ELSE 'given_n' END"
+    capitals = f"filter({_pieces(m)}, w -> w RLIKE {_q('^\\p{Lu}')})"
+    return _let(capitals, "ws", f"filter(transform(ws, (w, k) -> named_struct('raw', w, 'entity', lower(w), 'role', CASE WHEN k = 0 AND size(ws) > 1 THEN {role} ELSE 'surname' END)), u -> length(u.raw) > 1)")
 
 
-def _let(value: str, name: str, body: str) -> str:
-    return f"transform(array({value}), {name} -> {body})[0]"
+def _role(roles: str) -> str:
+    """One role out of those that a word has been seen in."""
+    has = lambda r: f"array_contains({roles}, '{r}')"
+    return f"CASE WHEN {has('given_m')} AND NOT {has('given_f')} THEN 'given_m' WHEN {has('given_f')} AND NOT {has('given_m')} THEN 'given_f' WHEN {has('given_n')} OR {has('given_m')} THEN 'given_n' ELSE 'surname' END"
+
+
+def _people(m: str) -> str:
+    """The name words of a text's titled matches: raw, entity, role in this text."""
+    found = f"array_distinct(flatten(transform(filter({m}, x -> {_kind('x')} = 'name'), x -> {_titled_words('x')})))"
+    return _let(found, "us", f"transform(us, u -> named_struct('raw', u.raw, 'entity', u.entity, 'role', {_role('transform(filter(us, v -> v.entity = u.entity), v -> v.role)')}))")
 
 
 def _byte(i: str) -> str:
@@ -85,12 +126,13 @@ def _byte(i: str) -> str:
 
 
 def _mapped(text: str) -> str:
-    """Every letter and digit of `text` drawn anew from h, the rest as it is."""
+    """Every letter and digit of `text` (in small letters) drawn anew from h, the rest as it is."""
+
     def pick(chars: str) -> str:
         return f"substr({_q(chars)}, {_byte('i')} % {len(chars)} + 1, 1)"
 
-    latin, cyrillic, greek = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
-    cases = [("[0-9]", "0123456789"), ("[a-z]", latin), ("[A-Z]", latin.upper()), (r"[\p{IsCyrillic}&&\p{Lu}]", cyrillic.upper()), (r"\p{IsCyrillic}", cyrillic), (r"[\p{IsGreek}&&\p{Lu}]", greek.upper()), (r"\p{IsGreek}", greek), (r"\p{Lu}", latin.upper()), (r"\p{Ll}", latin), (r"\p{N}", "0123456789")]
+    latin = "abcdefghijklmnopqrstuvwxyz"
+    cases = [("[0-9]", "0123456789"), ("[a-z]", latin), (r"\p{IsCyrillic}", "абвгдежзиклмнопрстуфхцчшэюя"), (r"\p{IsGreek}", "αβγδεζηθικλμνξοπρστυφχψω"), (r"\p{IsArmenian}", "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆ"), (r"\p{L}", latin), (r"\p{N}", "0123456789")]
     arms = " ".join(f"WHEN c RLIKE {_q(p)} THEN {pick(chars)}" for p, chars in cases)
     return f"array_join(transform(regexp_extract_all({text}, '(?s).', 0), (c, i) -> CASE {arms} ELSE c END), '')"
 
@@ -105,58 +147,88 @@ def _more(chars: str, end: int, begin: int = 0) -> str:
     return ", ".join(f"substr({_q(chars)}, {_byte(str(63 - k % 32))} % {len(chars)} + 1, 1)" for k in range(begin, end))
 
 
-def _name(entity: str, kind: str, grow: int = 0) -> str:
+def _name(entity: str, role: str, grow: int = 0) -> str:
     def build(syllables, endings):
         syl = _array(syllables)
         further = "".join(f"{syl}[{_byte(str(63 - k % 32))} % {len(syllables)}], " for k in range(grow))
-        end = "CASE " + " ".join(f"WHEN {kind} = {_q(k)} THEN {_array(v)}[{_byte('9')} % {len(v)}]" for k, v in endings.items()) + " END"
-        return f"concat(initcap({syl}[{_byte('0')} * 256 + {_byte('1')} - ({_byte('0')} * 256 + {_byte('1')}) div {len(syllables)} * {len(syllables)}]), {syl}[{_byte('2')} % {len(syllables)}], {syl}[{_byte('3')} % {len(syllables)}], {further}{end})"
+        end = "CASE " + " ".join(f"WHEN {role} = {_q(k)} THEN {_array(v)}[{_byte('9')} % {len(v)}]" for k, v in endings.items()) + " END"
+        two = f"({_byte('0')} * 256 + {_byte('1')})"
+        return f"concat({syl}[{two} % {len(syllables)}], {syl}[{_byte('2')} % {len(syllables)}], {syl}[{_byte('3')} % {len(syllables)}], {further}{end})"
 
-    return f"CASE WHEN {entity} RLIKE {_q('\\p{IsCyrillic}')} THEN {build(CYRILLIC, CYRILLIC_ENDINGS)} ELSE {build(SYLLABLES, ENDINGS)} END"
+    built = {script: build(syl.split(), {k: v.split() for k, v in ends.items()}) for script, (syl, ends) in SCRIPTS.items()}
+    arms = " ".join(f"WHEN {entity} RLIKE {_q(f'\\p{{{script}}}')} THEN {sql}" for script, sql in built.items() if script)
+    return f"CASE {arms} ELSE {built['']} END"
 
 
-def surrogate_sql(kind: str, entity: str, draw: str, key: str, grow: int = 0) -> str:
-    """SQL of the draw-th surrogate of an entity, longer by `grow` syllables, letters or groups of digits."""
+def surrogate_sql(kind: str, entity: str, role: str, draw: str, grow: int = 0) -> str:
+    """SQL of the draw-th surrogate of an entity, in the entity's own common form, longer by `grow` syllables, letters or groups of digits. The row holds the key."""
     letters = f"concat({_more('abcdefghijklmnopqrstuvwxyz', grow)}), " if grow else ""
     digits = f"concat({_more('0123456789', grow)})" if grow else "''"
-    pairs = ", ".join(f"concat('-', {_more('0123456789', 2 * k + 2, 2 * k)})" for k in range(grow))
-    group = f"concat({pairs})" if grow else "''"
+    pairs = f"concat({_more('0123456789', 2 * grow)})" if grow else "''"
+    groups = ", ".join(f"concat('-', {_more('0123456789', 2 * k + 2, 2 * k)})" for k in range(grow))
     port = f"concat(':', {_more('123456789', grow + 2)})" if grow else "''"
     email = f"concat({letters}{_mapped(f"regexp_extract({entity}, '(?s)^(.*)[.][^.]*$', 1)")}, regexp_extract({entity}, '[.][^.]*$', 0))"
     ip = f"concat(array_join(transform(split({entity}, '[.]'), (o, i) -> string({_byte('i')} % 254 + 1)), '.'), {port})"
-    code = f"regexp_extract({entity}, '^[+][0-9]{{1,3}}(?=[^0-9])', 0)"
-    phone = f"concat({code}, {_mapped(f'substr({entity}, length({code}) + 1)')}, {group})"
+    code = f"regexp_extract({entity}, '^[+](?:{SHORT_CODES}|[0-9]{{3}})', 0)"
+    phone = _let(code, "cc", f"concat(cc, {_mapped(f'substr({entity}, length(cc) + 1)')}, {pairs})")
     drawn = f"concat(left({entity}, 1), {_mapped(f'substr({entity}, 2)')}, {digits})"
     checked = _let(f"concat(left({drawn}, length({entity}) + {grow - 1}), '0')", "z", f"concat(left(z, length(z) - 1), string((10 - {_luhn('z')} % 10) % 10))")
     card = f"CASE WHEN {_luhn(entity)} % 10 = 0 THEN {checked} ELSE {drawn} END"
-    body = f"CASE WHEN {kind} = 'email' THEN {email} WHEN {kind} = 'ip' THEN {ip} WHEN {kind} = 'phone' THEN {phone} WHEN {kind} = 'card' THEN {card} WHEN {kind} = 'ssn' THEN concat({_mapped(entity)}, {group}) ELSE {_name(entity, kind, grow)} END"
-    return _let(f"sha2(concat_ws('|', {_q(key)}, {kind}, {entity}, string({draw})), 512)", "h", body)
+    ssn = f"concat({_mapped(entity)}, {f'concat({groups})' if grow else "''"})"
+    body = f"CASE {kind} WHEN 'email' THEN {email} WHEN 'ip' THEN {ip} WHEN 'phone' THEN {phone} WHEN 'card' THEN {card} WHEN 'ssn' THEN {ssn} ELSE {_name(entity, role, grow)} END"
+    message = f"encode(concat_ws('|', {kind}, {entity}, string({draw})), 'UTF-8')"
+    return _let(f"sha2(concat({_OUTER}, unhex(sha2(concat({_INNER}, {message}), 512))), 512)", "h", body)
+
+
+def laid_out(m: str, kind: str, s: str) -> str:
+    """A surrogate in the format of a mention: its punctuation, its capitals; what a longer one has more goes to the end, or to an address's front."""
+    digit = f"substr(d, length(regexp_replace(left({m}, i), '[^0-9]', '')) + 1, 1)"
+    numbers = f"concat(array_join(transform(regexp_extract_all({m}, '(?s).', 0), (c, i) -> CASE WHEN c RLIKE '[0-9]' THEN {digit} ELSE c END), ''), CASE WHEN length(d) > n THEN concat(CASE WHEN {kind} = 'phone' THEN '-' ELSE '' END, substr(d, n + 1)) ELSE '' END)"
+    numbers = _let(f"regexp_replace({s}, '[^0-9]', '')", "d", _let(f"length(regexp_replace({m}, '[^0-9]', ''))", "n", numbers))
+    cased = f"concat(left({s}, length({s}) - length({m})), array_join(transform(regexp_extract_all(right({s}, length({m})), '(?s).', 0), (c, i) -> CASE WHEN substr({m}, i + 1, 1) RLIKE {_q('\\p{Lu}')} THEN upper(c) ELSE c END), ''))"
+    word = f"CASE WHEN {m} RLIKE {_q('\\p{Ll}')} THEN concat(upper(left({s}, 1)), substr({s}, 2)) ELSE upper({s}) END"
+    return f"CASE {kind} WHEN 'email' THEN CASE WHEN {m} = lower({m}) THEN {s} ELSE {cased} END WHEN 'phone' THEN {numbers} WHEN 'card' THEN {numbers} WHEN 'name' THEN {word} ELSE {s} END"
 
 
 def _matches(text: str) -> str:
     return f"CASE WHEN {text} RLIKE {_q(_QUICK)} THEN regexp_extract_all({text}, {_q(ANY)}, 0) ELSE cast(array() as array<string>) END"
 
 
-def _people(m: str) -> str:
-    """The name words of a text's titled matches."""
-    return f"array_distinct(flatten(transform(filter({m}, x -> {_kind('x')} = 'name'), x -> {_units('x')})))"
+def _units(m: str, people: str) -> str:
+    """Distinct (kind, entity, role) of a text's first matches; roles are for names."""
+    others = f"transform(filter({m}, x -> {_kind('x')} <> 'name'), x -> {_let(_kind('x'), 'k', f"named_struct('kind', k, 'entity', {_entity('x', 'k')}, 'role', '')")})"
+    return f"array_distinct(concat({others}, transform({people}, p -> named_struct('kind', 'name', 'entity', p.entity, 'role', p.role))))"
+
+
+def key_table(spark, key: str | bytes) -> DataFrame:
+    """The key as HMAC pads it: one row, whose values no plan shows."""
+    raw = (key.encode() if isinstance(key, str) else key).ljust(128, b"\0")
+    if len(raw) > 128:
+        raise ValueError("the key has 128 bytes at most")
+    return spark.createDataFrame([(bytearray(b ^ 0x36 for b in raw), bytearray(b ^ 0x5C for b in raw))], "inner binary, outer binary")
 
 
-def _mention(m: str, people: str) -> str:
-    """The entities of a match of the second pass: the words of an untitled mention are those found after a title, the first found first."""
-    known = f"transform(split({m}, ' '), w -> get(filter({people}, p -> p.entity = w), 0))"
-    return f"CASE WHEN {_kind(m)} = 'name' AND NOT {m} RLIKE {_q(_TITLED)} THEN {known} ELSE {_units(m)} END"
+def with_key(df: DataFrame, key: str | bytes | DataFrame) -> DataFrame:
+    """df with the columns that surrogate_sql reads. key: the key, or a table as key_table makes it."""
+    table = key if isinstance(key, DataFrame) else key_table(df.sparkSession, key)
+    return df.withColumns({_INNER: table.select("inner").scalar(), _OUTER: table.select("outer").scalar()})
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """Distinct (kind, entity) of the whole table."""
-    found = docs.select(F.expr(_matches("text")).alias("m")).where(F.size("m") > 0)
-    return found.select(F.inline(F.expr(f"flatten(transform(m, x -> {_units('x')}))"))).distinct()
+    """Distinct (kind, entity) of the whole table, the role that a name word has over all of it, and whether some text alone would give another."""
+    found = docs.select(F.expr(_matches("text")).alias("m")).where(F.size("m") > 0).withColumn("people", F.expr(_people("m")))
+    each = found.select(F.inline(F.expr(_units("m", "people")))).distinct()
+    seen = each.groupBy("kind", "entity").agg(F.collect_set("role").alias("roles"))  # four roles at most
+    return seen.select("kind", "entity", F.expr(f"CASE WHEN kind = 'name' THEN {_role('roles')} ELSE '' END").alias("role"), (F.size("roles") > 1).alias("mixed"))
 
 
-def exceptions(docs: DataFrame, key: str) -> DataFrame:
-    """(kind, entity, surrogate) of those whose first draw collides, with a draw that does not."""
-    draw = lambda df, n: df.withColumn("surrogate", F.expr(surrogate_sql("kind", "entity", str(n), key, max(0, n - _GROW_AFTER + 1))))
+def exceptions(docs: DataFrame, key: str | bytes | DataFrame) -> DataFrame:
+    """(kind, entity, surrogate) of those whose first draw collides, with a draw that does not, and of name words whose role differs between texts."""
+
+    def draw(df: DataFrame, n: int) -> DataFrame:
+        sql = surrogate_sql("kind", "entity", "role", str(n), max(0, n - _GROW_AFTER + 1))
+        return with_key(df, key).withColumn("surrogate", F.expr(sql)).drop(_INNER, _OUTER)
+
     all_ = materialize(draw(entities(docs), 0), "entities")
     real = all_.select("kind", F.col("entity").alias("surrogate"))
     nth = Window.partitionBy("kind", "surrogate").orderBy("entity")
@@ -164,40 +236,47 @@ def exceptions(docs: DataFrame, key: str) -> DataFrame:
     left = all_
     for n in count():
         if n:
-            left = draw(left.select("kind", "entity"), n)
+            left = draw(left.select("kind", "entity", "role", "mixed"), n)
         clash = left.withColumn("nth", F.row_number().over(nth)).join(real.withColumn("is_real", F.lit(True)), ["kind", "surrogate"], "left")
         if settled is not None:
             clash = clash.join(settled.withColumn("is_taken", F.lit(True)), ["kind", "surrogate"], "left")
         taken = (F.col("nth") > 1) | F.col("is_real").isNotNull() | (F.col("is_taken").isNotNull() if settled is not None else F.lit(False))
-        clash = materialize(clash.select("kind", "entity", "surrogate", taken.alias("again")), "draws")
+        clash = materialize(clash.select("kind", "entity", "role", "mixed", "surrogate", taken.alias("again")), "draws")
         good = clash.where("NOT again")
         settled = good.select("kind", "surrogate") if settled is None else settled.unionByName(good.select("kind", "surrogate"))
-        if n:
-            done = good.drop("again") if done is None else done.unionByName(good.drop("again"))
-        left = clash.where("again").select("kind", "entity")
+        fixed = (good if n else good.where("mixed")).select("kind", "entity", "surrogate")
+        done = fixed if done is None else done.unionByName(fixed)
+        left = clash.where("again")
         if not left.limit(1).count():
-            return done if done is not None else all_.limit(0)
+            return done
 
 
-def replace_pii(docs: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def replace_pii(docs: DataFrame, key: str | bytes | DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, text with surrogates, n_entities (mentions), and mentions by type, for every row."""
     other = materialize(exceptions(docs, key), "exceptions")
     rows = docs.select("doc_id", "text", F.expr(_matches("text")).alias("titled")).withColumn("people", F.expr(_people("titled")))
-    words = "array_join(transform(people, p -> p.entity), '|')"
-    rows = rows.withColumn("pattern", F.expr(f"CASE WHEN size(people) > 0 THEN concat({_q(f'{ANY}|{_W}(?:')}, {words}, ')(?: (?:', {words}, {_q(f')(?![\\p{{L}}\\p{{N}}]))*{_N}')}) END"))
+    spelled = "array_join(array_distinct(flatten(transform(people, p -> array(p.raw, concat(upper(left(p.entity, 1)), substr(p.entity, 2)), upper(p.entity))))), '|')"
+    rows = rows.withColumn("pattern", F.expr(f"CASE WHEN size(people) > 0 THEN concat({_q(f'{ANY}|{_W}(?:')}, {spelled}, {_q(f'){_N}(?:[ -](?:')}, {spelled}, {_q(f'){_N})*')}) END"))
     rows = rows.withColumn("m", F.expr("CASE WHEN size(people) > 0 THEN regexp_extract_all(text, pattern, 0) ELSE titled END"))
-    if other.limit(1).count():
-        # which rows mention an entity that drew again: a map per row
-        n = other.count()
-        units = rows.where(F.size("titled") > 0).select("doc_id", F.inline(F.expr(f"array_distinct(flatten(transform(titled, x -> {_units('x')})))")))
-        used = units.join(F.broadcast(other) if n <= broadcast_rows else other, ["kind", "entity"])
-        maps = materialize(used.distinct().groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "entity"), "surrogate"))).alias("fix")), "fixes")
-        rows = rows.join(F.broadcast(maps) if maps.count() <= broadcast_rows else maps, "doc_id", "left")
-        one = f"coalesce(try_element_at(fix, concat_ws('|', u.kind, u.entity)), {surrogate_sql('u.kind', 'u.entity', '0', key)})"
+    n = other.count()
+    if n:
+        # which texts mention an entity of the table: a map per text
+        rows = rows.withColumn("version", F.xxhash64("text"))
+        units = rows.where(F.size("titled") > 0).select("version", F.inline(F.expr(_units("titled", "people"))))
+        used = units.join(F.broadcast(other) if n <= broadcast_rows else other, ["kind", "entity"]).select("version", "kind", "entity", "surrogate")
+        maps = materialize(used.distinct().groupBy("version").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "entity"), "surrogate"))).alias("fix")), "fixes")
+        rows = rows.join(F.broadcast(maps) if maps.count() <= broadcast_rows else maps, "version", "left")
+        known = lambda kind, entity: f"coalesce(try_element_at(fix, concat_ws('|', {kind}, {entity})), "
     else:
-        one = surrogate_sql("u.kind", "u.entity", "0", key)
-    title = f"regexp_extract(x, {_q(_TITLED)}, 0)"
-    new = f"transform(m, x -> concat({title}, array_join(transform({_mention('x', 'people')}, u -> {one}), ' ')))"
+        known = lambda kind, entity: "coalesce("
+    rows = with_key(rows, key)
+    role = "coalesce(get(filter(people, p -> p.entity = lower(w)), 0).role, 'surname')"
+    word = _let(f"{known(_q('name'), 'lower(w)')}{surrogate_sql(_q('name'), 'lower(w)', role, '0')})", "s", laid_out("w", "'name'", "s"))
+    # an initial is one letter of its script
+    initial = _let(f"sha2(concat({_OUTER}, unhex(sha2(concat({_INNER}, encode(concat_ws('|', 'initial', w), 'UTF-8')), 512))), 512)", "h", f"upper({_mapped('lower(w)')})")
+    name = f"concat(regexp_extract(x, {_q(_TITLED)}, 0), array_join(transform({_pieces('x')}, w -> CASE WHEN {_is_word('w')} THEN {word} WHEN w RLIKE {_q('^\\p{Lu}$')} THEN {initial} ELSE w END), ''))"
+    plain = _let(_kind("x"), "k", _let(_entity("x", "k"), "e", _let(f"{known('k', 'e')}{surrogate_sql('k', 'e', _q(''), '0')})", "s", laid_out("x", "k", "s"))))
+    new = f"transform(m, x -> CASE WHEN {_kind('x')} = 'name' THEN {name} ELSE {plain} END)"
     gaps = f"CASE WHEN size(people) > 0 THEN split(text, pattern, -1) ELSE split(text, {_q(ANY)}, -1) END"
     text = "CASE WHEN size(m) = 0 THEN text ELSE concat(array_join(transform(new, (x, i) -> concat(get(gaps, i), x)), ''), get(gaps, size(new))) END"
     kinds = F.expr(f"transform(m, x -> {_kind('x')})")
