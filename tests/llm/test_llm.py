@@ -364,7 +364,7 @@ def test_surrogates_outgrow_formats_whose_space_is_used_up(spark):
 
 
 def test_shards_are_contiguous_and_balanced(spark, docs):
-    rows = sorted((r.doc_id, r["size"], r.shard, r.slot) for r in sharding.assign_shards(docs, 8, n_blocks=7).collect())
+    rows = sorted((r.doc_id, r["size"], r.shard, r.slot) for r in sharding.assign_shards(docs, 8, block_rows=30).collect())
     total, longest = sum(r[1] for r in rows), max(r[1] for r in rows)
     assert [r[2] for r in rows] == sorted(r[2] for r in rows)
     for k in range(8):
@@ -372,6 +372,21 @@ def test_shards_are_contiguous_and_balanced(spark, docs):
         assert [r[3] for r in mine] == list(range(len(mine))) and abs(sum(r[1] for r in mine) - total / 8) <= longest
 
 
+def test_shards_of_rows_that_are_alike(spark):
+    rows = [(None, "same text")] * 400 + [(7, "same text")] * 300 + [(7, f"text {i}") for i in range(100)] + [(9, None)] * 50
+    for block in (10, 10**6):
+        out = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 5, block_rows=block).collect()
+        want = sorted(((d is not None, d or 0, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1) for d, t in rows))
+        total, far, place = sum(w[3] for w in want), 0, Counter()
+        expected = Counter()
+        for known, d, crc, size in want:
+            shard = (2 * far + size) * 5 // (2 * total)
+            expected[d if known else None, size, crc, shard, place[shard]] += 1
+            place[shard] += 1
+            far += size
+        assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in out) == expected
+
+
 # --- 4, 9 tokenizers
 
 
