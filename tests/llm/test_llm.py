@@ -771,3 +771,27 @@ def test_pipeline_against_brute_force(spark):
     want = {d: len(w.encode(t)) for d, t in stage3 if d not in bad}
     assert {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, sf).collect()} == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near dedup", "decontamination", "bpe"]
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    import corpus_pipeline
+
+    good = "The cat sat on the mat and the dog was with it in the sun of the day."
+    other = "A bird sang in the tree for an hour while it was raining on the old town."
+    more = spark.createDataFrame([(20, good, "en", "s", 1), (20, other, "en", "s", 1), (21, good + " Really", "en", "s", 1), (None, "Nobody knows the id of this text, which is as long as it is for the rules to keep.", "en", "s", 1), (None, None, None, None, None)], SCHEMA)
+    clash = ["_id", "_removed", "_text", "_doc", "_version", "spans", "size", "n_words", "kept", "component_id", "rep", "version", "text_crc32"]
+    docs = odd.unionByName(more).withColumns({c: F.lit(c) for c in clash})
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    stage = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        stage = f(spark, stage, f"{tmp_path}/a")
+        assert stage.columns == docs.columns
+        assert all([r[c] for c in clash] == clash for r in stage.collect())
+    kept = Counter(r.doc_id for r in stage.collect())
+    assert kept[20] == 2 and kept[21] == 0 and kept[None] == 1
+    out = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    assert Counter(r.doc_id for r in out) == kept and all(r.n_tokens > 0 for r in out)
+    empty.write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
