@@ -127,14 +127,10 @@ _EVIDENCE = """concat_ws('; ', ev, CASE WHEN p_sex = b_sex THEN 'sexo coincide:
 _NARRATIVE = "CASE WHEN n_con > 0 THEN 'Descartado a prioridad baja por contradicción: ' || con || '. Requiere revisión humana; el sistema no concluye.' ELSE 'Candidato priorizado (tier ' || tier || ', ' || round_even(score * 100, 0)::INT || '%). El sistema no concluye; se prioriza para revisión humana.' END"
 
 
-@Q("block_reason", "v_personas", "v_cuerpos", sql=f"WITH {TIDY} SELECT reason, count(*)::BIGINT AS n FROM (SELECT coalesce({_REASON}, 'ok') AS reason FROM p, b WHERE p_state = b_state) GROUP BY reason")
-def block_reason(p, b):
-    """J3 over the pairs of one state."""
-    pairs = B.tidy_personas(p).join(B.tidy_bodies(b), F.col("p_state") == F.col("b_state"))
-    return B.block_reason(pairs).groupBy(F.coalesce("block_reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-
-
-Q("block_reason_all", "v_personas", "v_cuerpos", sql=f"WITH {TIDY} SELECT reason, count(*)::BIGINT AS n FROM (SELECT coalesce({_REASON}, 'ok') AS reason FROM p, b) GROUP BY reason")(lambda p, b: B.reason_counts(p, b))
+_REASONS = f"WITH {TIDY} SELECT reason, count(*)::BIGINT AS n FROM (SELECT coalesce({_REASON}, 'ok') AS reason FROM p, b) GROUP BY reason"
+# J3 over all pairs, from grouped keys of both sides; the second name is kept for those who use it
+Q("block_reason", "v_personas", "v_cuerpos", sql=_REASONS)(lambda p, b: B.reason_counts(p, b))
+Q("block_reason_all", "v_personas", "v_cuerpos", sql=_REASONS)(lambda p, b: B.reason_counts(p, b))
 Q("candidate_pairs_b", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT p_id, b_id FROM ok")(lambda p, b: B.candidate_pairs(p, b).select("p_id", "b_id"))
 Q("score_pair_b", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT b_id, p_id, score, tier, s_marks, s_height, s_age, s_geo, s_temporal, n_con::BIGINT AS n_con FROM res")(
     lambda p, b: B.score_pair_b(B.candidate_pairs(p, b)).select("b_id", "p_id", "score", "tier", "s_marks", "s_height", "s_age", "s_geo", "s_temporal", F.size("contradictions").cast("long").alias("n_con")))

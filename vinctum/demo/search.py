@@ -30,10 +30,11 @@ Q("having_mark", "v_personas", sql="SELECT id_victimadirecta AS id FROM v_person
 Q("fetchable", "v_personas", sql="SELECT id_victimadirecta AS id FROM v_personas WHERE fecha_hechos IS NOT NULL AND extranjero <> 'SIN DATO'")(
     lambda p: S.fetchable(p.withColumn("x", F.when(F.col("extranjero") == "SIN DATO", " Confidencial").otherwise(F.col("extranjero"))), "fecha_hechos", "x").select(F.col("id_victimadirecta").alias("id")))
 _TG = "list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)))"
-Q("similar_names", "customer", sql=f"SELECT c_custkey, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM (SELECT c_custkey, {_TG} AS a, (SELECT {_TG} FROM (SELECT '  customer#000000012 ' AS t)) AS b FROM (SELECT c_custkey, '  ' || lower(c_name) || ' ' AS t FROM customer)) WHERE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) >= 0.75")(
-    lambda c: S.similar_names(c, "c_name", "Customer#000000012", 0.75).select("c_custkey", F.round("similarity", 6).alias("similarity")))
-Q("similar_names_all", "customer", sql=f"WITH r AS (SELECT c_custkey AS id, {_TG} AS g FROM (SELECT c_custkey, '  ' || lower(c_name) || ' ' AS t FROM customer)), s AS (SELECT a.id AS query_id, b.id, len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) AS s FROM r a, r b WHERE a.id % 100 = 0) SELECT query_id, id, round(s, 6) AS similarity FROM s WHERE s >= 0.75")(
-    lambda c: S.similar_pairs(c, "c_custkey", "c_name", "c_custkey % 100 = 0", 0.75).select("query_id", "id", F.round("similarity", 6).alias("similarity")))
+_SIMILAR = f"WITH r AS (SELECT c_custkey AS id, {_TG} AS g FROM (SELECT c_custkey, '  ' || lower(c_name) || ' ' AS t FROM customer)), s AS (SELECT a.id AS query_id, b.id, len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) AS s FROM r a, r b WHERE a.id % 100 = 0) SELECT query_id, id, round(s, 6) AS similarity FROM s WHERE s >= 0.75"
+_similar = lambda c: S.similar_pairs(c, "c_custkey", "c_name", "c_custkey % 100 = 0", 0.75).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+# every name of a key divisible by 100 against all names; the second name is kept for those who use it
+Q("similar_names", "customer", sql=_SIMILAR)(_similar)
+Q("similar_names_all", "customer", sql=_SIMILAR)(_similar)
 
 
 @Q("gazetteer", "v_records", "nation", sql="""
