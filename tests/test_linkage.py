@@ -262,3 +262,39 @@ def test_every_signal_pattern_holds_its_literal(spark):
     assert detect.required_literal("tr[eé]bol") == "bol" and detect.required_literal(r"\bninja\b") == "ninja" and detect.required_literal("(m[eé]dico|enfermer[oa])") == ""
     assert detect.required_literal(r"call\s*center") == "center" and detect.required_literal(r"x{2}y") != "x"
     assert all(detect.required_literal(p) in p for _, _, _, ps in vocab.SIGNALS for p in ps or [])
+
+
+def test_upsert_takes_one_of_the_incoming_rows_of_a_key(spark):
+    from vinctum.operators import tables
+
+    t = spark.createDataFrame([(1, "old", "x"), (2, "old", "x")], "id int, a string, b string")
+    i = spark.createDataFrame([(1, "n1", "y"), (1, "n2", "y"), (3, "n3", "y"), (3, "n3", "y")], "id int, a string, b string")
+    assert sorted(map(tuple, tables.upsert(t, i, ["id"], ["a"]).collect())) == [(1, "n2", "x"), (2, "old", "x"), (3, "n3", "y")]
+    assert sorted(map(tuple, tables.upsert_coalesce(t, i, ["id"], ["a", "b"]).collect())) == [(1, "n2", "y"), (2, "old", "x"), (3, "n3", "y")]
+
+
+def test_records_are_searched_by_municipality_too(spark):
+    from vinctum.operators import search
+
+    r = spark.createDataFrame([("1", "rosa", "Centro"), ("2", "ancla", "La ROSA"), ("3", "ancla", None)], "id string, raw_description string, municipio string")
+    assert [x.id for x in search.search_records(r, q="rosa").collect()] == ["1", "2"]
+
+
+def test_a_feature_collection_is_one_document(spark, tmp_path):
+    import glob
+    import json
+
+    from vinctum.sources import files
+
+    rows = [(i, None if i % 4 == 0 else float(i), 1.5, f"s{i}", str(i) if i % 3 else "S/D") for i in range(20)]
+    df = spark.createDataFrame(rows, "k int, lng double, lat double, name string, fosas string").repartition(3)
+    for n, part in ((1, df), (2, df.where("k = 0")), (3, df.where("k < 0"))):
+        files.write_feature_collection(part, f"{tmp_path}/{n}", "lng", "lat", ["k", "name"], ["fosas"], "k")
+        doc = json.loads("".join(open(f).read() for f in sorted(glob.glob(f"{tmp_path}/{n}/part-*"))))
+        mine = [r for r in rows if n == 1 or n == 2 and r[0] == 0]
+        sited = [r for r in mine if r[1] is not None]
+        assert doc["type"] == "FeatureCollection" and doc["num_sitios"] == len(sited) and doc["total_fosas"] == sum(int(r[4]) for r in mine if r[4].isdigit())
+        assert [f["properties"]["k"] for f in doc["features"]] == [r[0] for r in sited] and all(f["geometry"]["coordinates"][1] == 1.5 for f in doc["features"])
+    files.write_ordered_json(df, f"{tmp_path}/rows", "k")
+    lines = "".join(open(f).read() for f in sorted(glob.glob(f"{tmp_path}/rows/part-*"))).splitlines()
+    assert [json.loads(x)["k"] for x in lines] == list(range(20))

@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from vinctum.functions.clean import blank_to_null, last_of_keys
 
 
+def _one_per_key(incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows that share a key the one whose JSON text is the last in order; the join that follows uses the same shuffle."""
+    row = F.struct(*incoming.columns)
+    return incoming.groupBy(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)]).agg(F.max_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+
+
 def _merged(target: DataFrame, incoming: DataFrame, keys: list[str], pick) -> DataFrame:
-    t, i = target.alias("t"), incoming.alias("i")
+    t, i = target.alias("t"), _one_per_key(incoming, keys).alias("i")
     on = [F.col(f"t.{k}") == F.col(f"i.{k}") for k in keys]
     there = F.col(f"i.{keys[0]}").isNotNull()
     j = t.join(i, on, "full_outer")
@@ -17,7 +23,7 @@ def _merged(target: DataFrame, incoming: DataFrame, keys: list[str], pick) -> Da
 
 
 def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Incoming rows replace the listed columns of rows with their key; new keys are added."""
+    """Incoming rows replace the listed columns of rows with their key; new keys are added. Of incoming rows with one key one counts."""
     pick = lambda c, there: F.when(there, F.col(f"i.{c}")).otherwise(F.col(f"t.{c}")) if c in cols else F.when(F.col(f"t.{keys[0]}").isNotNull(), F.col(f"t.{c}")).otherwise(F.col(f"i.{c}"))
     return _merged(target, incoming, keys, pick)
 
