@@ -19,10 +19,11 @@ texts of their own; rows equal in doc_id and text are one text and lose the same
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,8 @@ BEST = 4
 LIST_ROWS = 20_000
 #: Postings of a bucket, on average, and those that a task gathers before it sends them.
 BUCKET_ROWS, SEND_ROWS = 200_000, 250_000
+#: Postings of which the long lists are counted exactly.
+COUNT_ROWS = 1_000_000_000
 def line_sets(text: str | None) -> list[list[bytes]]:
     return [line.split() for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
 
@@ -54,23 +57,20 @@ def _level(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= 32, counts, np.minimum(255, 32 + np.log2(np.maximum(counts, 1) / 32) * 8)).astype(np.uint8)
 
 
-def _counted(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, give: Callable[[np.ndarray], bytes]) -> DataFrame:
-    """(slice, value): counters of the hashes' low `bits` bits over all rows, _SLICE of them a row, each row as give() has it."""
-
-    def pack(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["slice", "places", "counts"])
+def _rarity(docs: DataFrame, bits: int) -> np.ndarray:
+    """For each counter the level of how often its words occur in all texts; one byte a counter reaches the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int32)
-        for h in hashes(batches):
-            place, n = np.unique((h & np.uint64((1 << bits) - 1)).astype(np.int64), return_counts=True)
+        words, total = Words(), np.zeros(1 << bits, np.int32)
+        for _, texts in byte_slices(batches, 0):
+            place, n = np.unique((words.of(texts)[0] & np.uint64((1 << bits) - 1)).astype(np.int64), return_counts=True)
             total[place] += n.astype(np.int32)
         rows = []
         for i, x in enumerate(total.reshape(-1, min(_SLICE, 1 << bits))):
             if len(at := np.flatnonzero(x)):
                 rows.append((i, at.astype("<u2").tobytes(), x[at].astype("<i8").tobytes()))
         if rows:
-            yield pack(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["slice", "places", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -78,38 +78,27 @@ def _counted(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarr
             for i, at, n in zip(*(b.column(c).to_pylist() for c in range(3))):
                 sums.setdefault(i, np.zeros(_SLICE, np.int64))[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([give(x) for x in sums.values()], pa.binary())], names=["slice", "value"])
-
-    return df.mapInArrow(trimmed(count), "slice int, places binary, counts binary").repartition("slice").mapInArrow(trimmed(add), "slice int, value binary")
-
-
-def _rarity(docs: DataFrame, bits: int) -> np.ndarray:
-    """For each counter the level of how often its words occur in all texts; one byte a counter reaches the driver."""
-
-    def hashes(batches):
-        words = Words()
-        for _, texts in byte_slices(batches, 0):
-            yield words.of(texts)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_level(x).tobytes() for x in sums.values()], pa.binary())], names=["slice", "levels"])
 
+    rows = docs.select("text").mapInArrow(trimmed(count), "slice int, places binary, counts binary").repartition("slice").mapInArrow(trimmed(add), "slice int, levels binary")
     out = np.zeros((max(1, (1 << bits) // _SLICE), min(_SLICE, 1 << bits)), np.uint8)
-    for r in _counted(docs.select("text"), hashes, bits, lambda x: _level(x).tobytes()).collect():
-        out[r["slice"]] = np.frombuffer(r["value"], np.uint8)[: out.shape[1]]
+    for r in rows.collect():
+        out[r["slice"]] = np.frombuffer(r["levels"], np.uint8)[: out.shape[1]]
     return out.reshape(-1)
 
 
-def _signatures(docs: DataFrame, min_words: int, per_hundred: int, bits: int) -> DataFrame:
+def _signatures(docs: DataFrame, shared: Broadcast, min_words: int, per_hundred: int) -> DataFrame:
     """Per text and class of its lines: doc, version (a hash of the text), lines (their places), h0, h1, n, prefix (word hashes by rarity, 0 where nobody else has the word), b0, b1.
 
     h0 and h1 are two sums over independent hashes of the distinct words. b0 and b1 are 128 bits, each the parity of the words that
     fall on it: bits that differ between two sets bound their symmetric difference.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_rarity(docs, bits))
     schema = "doc long, version long, lines array<int>, h0 long, h1 long, n int, prefix array<int>, b0 long, b1 long"
     names = ["doc", "version", "lines", "h0", "h1", "n", "prefix", "b0", "b1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity, words = shared.value, Words()
-        zero = np.uint64(0)
+        zero, slots = np.uint64(0), np.uint64(len(rarity) - 1)
         for part, texts in byte_slices(batches, 2):
             h, text, line = words.of(texts)
             if not len(h):
@@ -117,7 +106,7 @@ def _signatures(docs: DataFrame, min_words: int, per_hundred: int, bits: int) ->
             new = np.concatenate([[True], (text[1:] != text[:-1]) | (line[1:] != line[:-1])])
             of = np.cumsum(new) - 1  # number of the line among lines with words
             owner, place = text[new], line[new]
-            rare = rarity[(h & np.uint64((1 << bits) - 1)).astype(np.int64)]
+            rare = rarity[(h & slots).astype(np.int64)]
             # by line, rarity and hash: in one key, if that tells all words of a line apart
             key = (of.astype(np.uint64) << np.uint64(46)) | (rare.astype(np.uint64) << np.uint64(38)) | (h & np.uint64((1 << 38) - 1))
             order = np.argsort(key)
@@ -178,28 +167,36 @@ def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[on], pos[on], token[on]
 
 
-def _long_lists(classes: DataFrame, bits: int, list_rows: int) -> dict[int, int]:
-    """Of each counter of prefix words over list_rows: into how many blocks its lists are dealt. Their number is that of the postings / list_rows at most."""
+def _long_lists(classes: DataFrame, shared: Broadcast, postings: int, list_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, blocks): prefix words posted over list_rows times, sorted, and into how many blocks each one's list is dealt.
 
-    def hashes(batches):
+    Only words that the counters allow are counted; of more than COUNT_ROWS postings a part of the classes stands for all. That only decides how lists are
+    dealt out, not what is found. The words' number is that of the postings / list_rows at most.
+    """
+    part = max(1, postings // COUNT_ROWS)
+    some = classes if part == 1 else classes.where(F.pmod(F.xxhash64("c"), F.lit(part)) == 0)
+    least = _level(np.array([list_rows]))[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = shared.value
         for b in batches:
-            yield _tokens(b)[2].astype(np.uint64)
+            token = _tokens(b)[2]
+            token = token[rarity[token & np.uint32(len(rarity) - 1)] >= least]
+            if len(token):
+                word, n = np.unique(token, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
-    found = {}
-    rows = _counted(classes.select("prefix"), hashes, bits, lambda x: np.where(x > list_rows, x, 0).astype("<i8").tobytes() if (x > list_rows).any() else b"")
-    for r in rows.where("length(value) > 0").collect():
-        x = np.frombuffer(r["value"], "<i8")
-        found |= {int(r["slice"]) * _SLICE + int(i): int(-(-x[i] // list_rows)) for i in np.flatnonzero(x)}
-    return found
+    counts = some.select("prefix").mapInArrow(trimmed(run), "word long, n long").groupBy("word").agg((F.sum("n") * part).alias("n")).where(F.col("n") > list_rows)
+    rows = counts.orderBy("word").collect()
+    return np.array([r["word"] for r in rows], np.uint32), np.array([-(-r["n"] // list_rows) for r in rows], np.int64)
 
 
-def _postings(classes: DataFrame, bits: int, long: dict[int, int], buckets: int, wanted: np.ndarray | None = None) -> DataFrame:
+def _postings(classes: DataFrame, long: tuple[np.ndarray, np.ndarray], buckets: int, wanted: np.ndarray | None = None) -> DataFrame:
     """classes -> (bucket, rows, packed, bits): the postings of a bucket of words, as many as a task gathered.
 
-    long: the blocks of long lists, by counter. wanted: only these words' postings.
+    long: the words with long lists and their blocks. wanted: only these words' postings.
     """
-    hot = np.array(sorted(long), np.int64)
-    blocks = np.array([long[h] for h in hot.tolist()], np.int64)
+    hot, blocks = long
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -229,9 +226,8 @@ def _postings(classes: DataFrame, bits: int, long: dict[int, int], buckets: int,
             c, n, b0, b1 = (b.column(x).to_numpy() for x in ("c", "n", "b0", "b1"))
             part = side = np.zeros(len(row), np.int64)
             if len(hot):
-                slot = (token & np.uint32((1 << bits) - 1)).astype(np.int64)
-                at = np.minimum(np.searchsorted(hot, slot), len(hot) - 1)
-                k = np.where(hot[at] == slot, blocks[at], 1)
+                at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
+                k = np.where(hot[at] == token, blocks[at], 1)
                 mine = (mix(c.astype(np.uint64))[row] % k.astype(np.uint64)).astype(np.int64)
                 rep = np.repeat(np.arange(len(row)), k)
                 other = np.arange(len(rep)) - np.repeat(np.cumsum(k) - k, k)
@@ -359,11 +355,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, per_hundred
     return both.mapInArrow(trimmed(run), "x long, y long")
 
 
-def _matched(classes: DataFrame, docs: DataFrame, per_hundred: int, bits: int, broadcast_ids: int, best: int, list_rows: int) -> DataFrame:
+def _matched(classes: DataFrame, docs: DataFrame, shared: Broadcast, per_hundred: int, broadcast_ids: int, best: int, list_rows: int) -> DataFrame:
     """(x): numbers of the classes that an earlier class matches."""
-    buckets = max(1, int(classes.agg(F.sum(F.size("prefix"))).first()[0] or 0) // BUCKET_ROWS)
-    long = _long_lists(classes, bits, list_rows)
-    pairs = _candidates(_postings(classes, bits, long, buckets), per_hundred, best)
+    postings = int(classes.agg(F.sum(F.size("prefix"))).first()[0] or 0)
+    buckets, long = max(1, postings // BUCKET_ROWS), _long_lists(classes, shared, postings, list_rows)
+    pairs = _candidates(_postings(classes, long, buckets), per_hundred, best)
     # the same pair comes from several lists
     pairs = materialize(pairs.groupBy("x", "y").agg(F.bool_or("more").alias("more")), "line-pairs")
     matched = materialize(_verified(pairs, classes, docs, per_hundred, broadcast_ids).select("x").distinct(), "line-matches")
@@ -374,7 +370,7 @@ def _matched(classes: DataFrame, docs: DataFrame, per_hundred: int, bits: int, b
         asked = np.sort(np.array([r["x"] for r in some.collect()], np.int64))  # broadcast_ids numbers, about
         mine = classes.join(F.broadcast(some.withColumnRenamed("x", "c")), "c", "left_semi")
         wanted = np.array([r["w"] for r in mine.select(F.explode("prefix").alias("w")).where("w <> 0").distinct().collect()], np.int32).view(np.uint32)
-        rest = _candidates(_postings(classes, bits, long, buckets, np.sort(wanted)), per_hundred, best, asked).select("x", "y").distinct()
+        rest = _candidates(_postings(classes, long, buckets, np.sort(wanted)), per_hundred, best, asked).select("x", "y").distinct()
         rest = materialize(rest.join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "line-pairs-2")
         matched = matched.unionByName(_verified(rest, classes, docs, per_hundred, broadcast_ids).select("x").distinct())
     return matched
@@ -382,9 +378,10 @@ def _matched(classes: DataFrame, docs: DataFrame, per_hundred: int, bits: int, b
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, per_hundred: int = PER_HUNDRED, rarity_bits: int = RARITY_BITS, broadcast_ids: int = BROADCAST_IDS, best: int = BEST, list_rows: int = LIST_ROWS) -> DataFrame:
     """doc, version, removed array<int> (sorted places of removed lines), for texts that lose a line."""
-    sig = materialize(_signatures(docs, min_words, per_hundred, rarity_bits), "lines")
+    shared = docs.sparkSession.sparkContext.broadcast(_rarity(docs, rarity_bits))
+    sig = materialize(_signatures(docs, shared, min_words, per_hundred), "lines")
     classes = materialize(_classes(sig), "classes")
-    later = _matched(classes, docs, per_hundred, rarity_bits, broadcast_ids, best, list_rows).select(F.col("x").alias("c"), F.lit(True).alias("later"))
+    later = _matched(classes, docs, shared, per_hundred, broadcast_ids, best, list_rows).select(F.col("x").alias("c"), F.lit(True).alias("later"))
     # only classes that lose a line are joined back: those with an earlier match lose all, others all but their first one
     losing = classes.select("c", "h0", "h1", "copies", F.col("doc").alias("f_doc"), F.col("version").alias("f_version"), F.col("line").alias("f_line")).join(later, "c", "left").where("later OR copies > 1").drop("c", "copies")
     placed = sig.select("doc", "version", "lines", "h0", "h1").join(by_size(losing, "losing", broadcast_ids), ["h0", "h1"])

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .setsketch import mix
 
@@ -49,12 +50,12 @@ class Words:
 
 
 def byte_slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of the batches with their texts' bytes, about `most` of them, or one text."""
+    """Parts of the batches with their texts' bytes, about `most` of them, or one text; only these are copied at a time."""
     for batch in batches:
-        texts = batch.column(text).cast(pa.large_binary()).to_pylist()
-        at, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t or b"")
-            if size >= most or i == len(texts) - 1:
-                yield batch.slice(at, i + 1 - at), [x or b"" for x in texts[at : i + 1]]
-                at, size = i + 1, 0
+        size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().cumsum()
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+            part = batch.slice(at, end - at)
+            yield part, [x or b"" for x in part.column(text).cast(pa.large_binary()).to_pylist()]
+            at = end
