@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, near_dedup, pii, quality_rules, secret_scan, sharding, token_counts
+from . import bpe, decontaminate, filter_audit, language_id, line_dedup, near_dedup, pii, quality_rules, secret_scan, sharding, shallot, substring_dedup, token_counts
 from .common import table
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -14,11 +14,6 @@ def op1_line_dedup(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
-def op1_line_dedup_all(spark, sf_dir):
-    """The same job: op1_line_dedup has no floor of words a line any more."""
-    return op1_line_dedup(spark, sf_dir)
-
-
 #: In production the key comes from the cluster's secret store; a fixed one makes the registered query repeatable.
 PII_KEY = "vinctum-demo-key"
 
@@ -63,4 +58,16 @@ def op10_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_sharding, op4_bpe, op5_language_id, op6_near_dedup, op7_decontaminate, op8_secret_scan, op9_token_counts, op10_quality_rules, op1_line_dedup_all)}
+def op11_centroids(spark, sf_dir):
+    return shallot.report(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3, dims=64, scale=1024)
+
+
+def op12_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_sharding, op4_bpe, op5_language_id, op6_near_dedup, op7_decontaminate, op8_secret_scan, op9_token_counts, op10_quality_rules, op11_centroids, op12_substring_dedup, op13_filter_audit)}

@@ -61,4 +61,51 @@ judged AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_
   NOT base_failed AND n_symbols / n_words <= 0.3 AND word_chars / n_words BETWEEN 1.5 AND 30 AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AND (n_words < 60 OR stops / n_words >= 0.01) AS kept FROM m3)"""
 OP10 = f"WITH {_MEASURED.format(docs='documents')} SELECT * FROM judged"
 
-ORACLE_SQL = {"op1_line_dedup": OP1, "op1_line_dedup_all": OP1, "op3_sharding": OP3, "op7_decontaminate": OP7, "op10_quality_rules": OP10}
+#: The rounds are written out one by one; sums of squares stay far below 2**53, so dot products in doubles are exact.
+_ROUNDS, _K = 10, 8
+_ASSIGN = "a{r} AS MATERIALIZED (SELECT vec_id, n, v, min({{'d': list_dot_product(v, v) - 2 * list_dot_product(v, m) + list_dot_product(m, m), 'c': c}}) AS best FROM k, c{r} GROUP BY vec_id, n, v)"
+_MOVE = """s{r} AS (SELECT c, i, sum(x::HUGEINT) AS s, count(*) AS n FROM (SELECT best.c AS c, unnest(v)::BIGINT AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY c, i),
+c{n} AS MATERIALIZED (SELECT c, coalesce(new.m, old.m) AS m FROM c{r} old LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS m FROM s{r} GROUP BY c) new USING (c))"""
+OP11 = f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+k AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS n, list_transform(x, lambda y: floor(1024 * y)) AS v FROM e),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v AS m FROM k QUALIFY c < {_K}),
+{", ".join(_ASSIGN.format(r=r) + ", " + _MOVE.format(r=r, n=r + 1) for r in range(_ROUNDS))},
+{_ASSIGN.format(r=_ROUNDS)}
+SELECT vec_id, best.c::INT AS cluster, best.d::BIGINT AS distance, sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(m, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{_ROUNDS} JOIN c{_ROUNDS} ON best.c = c
+"""
+
+OP12 = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS g FROM d, range(1, len(w) - 33) t(i)),
+again AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY g) > 1),
+gone AS (SELECT r, list_distinct(list(i + k)) AS places FROM again, range(35) t(k) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN places IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(source::VARCHAR, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT doc_id, part, (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT concat(a.f, b.f, c.f, d.f, e.f) AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, step::INT AS step, 1 << (ascii(filter_order[step]) - 65) AS own, list_sum(list_transform(string_split(filter_order[1:step - 1], ''), lambda x: CASE WHEN x = '' THEN 0 ELSE 1 << (ascii(x) - 65) END)) AS before FROM o, range(1, 6) t(step)),
+b AS (SELECT filter_order, step, own::INT AS own, coalesce(before, 0)::INT AS before FROM s)
+SELECT part, filter_order, step,
+  sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+  sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN mask & before <> 0 AND mask & own <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN mask & before = 0 AND mask & own <> 0 AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+  sum(CASE WHEN mask & before = 0 AND mask & own <> 0 AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost,
+  sum(sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN n ELSE 0 END)) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM c, b GROUP BY part, filter_order, step, own
+"""
+
+ORACLE_SQL = {"op11_centroids": OP11, "op12_substring_dedup": OP12, "op13_filter_audit": OP13, "op1_line_dedup": OP1, "op3_sharding": OP3, "op7_decontaminate": OP7, "op10_quality_rules": OP10}

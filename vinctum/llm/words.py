@@ -1,4 +1,4 @@
-"""Words of many texts as arrays: runs of anything but ASCII white space, A-Z lower-cased."""
+"""Words of many texts as arrays: runs of anything but ASCII white space."""
 
 from __future__ import annotations
 
@@ -20,9 +20,10 @@ _P_INVERSE = pow(_P, -1, 1 << 64)
 
 
 class Words:
-    """Words of many texts at once: 64-bit hashes by prefix sums over the bytes, without a Python object per word."""
+    """Words of many texts at once: 64-bit hashes by prefix sums over the bytes, without a Python object per word. fold: A-Z count as a-z."""
 
-    def __init__(self):
+    def __init__(self, fold: bool = True):
+        self.code = _LOWER if fold else np.arange(256, dtype=np.uint8)
         self.up = self.down = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -41,7 +42,7 @@ class Words:
         edge = edge if space[0] else np.concatenate([[0], edge])
         begin, end = edge[::2], edge[1::2]
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=sums[1:])
+        np.cumsum((self.code[data].astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=sums[1:])
         h = mix((sums[end] - sums[begin]) * self.down[begin])
         starts = np.cumsum([0] + [len(t) + 1 for t in texts])
         text = np.searchsorted(starts, begin, side="right") - 1
