@@ -114,7 +114,7 @@ def _texts(rng, n=40):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk_bytes": 300}, {"chunk_bytes": 900, "broadcast_bytes": 0}])
+@pytest.mark.parametrize("options", [{}, {"chunk_bytes": 300}, {"chunk_bytes": 900}])
 def test_passages_against_brute_force(spark, options):
     rows = list(enumerate(_texts(random.Random(4))))
     rows += [(100, rows[3][1]), (101, rows[3][1]), (101, rows[3][1]), (None, rows[4][1]), (102, None), (103, ""), (104, " \n "), (105, "a b " * 60), (106, "one " * 34), (107, " ".join(rows[5][1].split()).upper())]

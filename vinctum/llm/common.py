@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize
+from ..sources.scratch import bucketed, materialize
 
 #: ASCII white space, as a trim set and as a Java character class.
 SPACE_CHARS = " \t\n\x0b\x0c\r"

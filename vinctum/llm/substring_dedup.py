@@ -5,10 +5,12 @@ also start anywhere else, in the same text too. All words of repeated windows go
 
 Each text is cut into reference blocks that don't overlap, of BLOCK = (window + 1) // 2 words, so that every window holds a whole one. The
 index is of these blocks; every rolling run of BLOCK words probes it. Where a reference block and another run are equal both are anchors. Around anchors hits are
-extended to the windows that hold them, at most window - BLOCK words to either side; those windows are compared by 128 bits of
-two independent polynomial hashes of their words, and the union of the repeated ones are the maximal exact repeats.
+extended to the windows that hold them, at most window - BLOCK words to either side; those windows are compared by two independent
+polynomial hashes of their words (64 bits and the bucket's; 128 within a chunk), and the union of the repeated ones are the maximal exact repeats. Blocks are
+compared by 32 bits and the bucket's: an anchor too many costs some questions, no result.
 
-Texts are packed once into chunks of about CHUNK_BYTES bytes with a fixed number each. A chunk asks once for each distinct run, with the place of
+Texts are packed once into chunks of about CHUNK_BYTES bytes with a fixed number each, dealt by it into a bucketed table, so that answers come to the chunks
+and the texts move once. A chunk asks once for each distinct run, with the place of
 one occurrence: a run that it holds several times is an anchor (or a repeated window) anyway. So copies cost one question a chunk, however many
 there are, and no group of copies ever meets in one task. Questions travel packed by bucket of hashes; only places of hits come back.
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import trimmed
-from .common import SPACE_CHARS, SPACE_CLASS, by_size, fresh, materialize, words_of
+from .common import SPACE_CHARS, SPACE_CLASS, bucketed, by_size, fresh, words_of
 from .setsketch import mix
 from .words import Words, byte_slices
 
@@ -37,8 +39,6 @@ WINDOW = 35
 CHUNK_BYTES = 4 << 20
 #: Questions that a bucket gathers, on average.
 BUCKET_ROWS = 1_000_000
-#: Bytes of places of hits that are broadcast to the chunks; beyond it they are joined by shuffle.
-BROADCAST_BYTES = 64 << 20
 #: Bytes of text whose words are hashed at once.
 PIECE_BYTES = 512 << 10
 _SPACE = re.compile(rb"[ \t-\r]")
@@ -130,54 +130,59 @@ def _several(key: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndar
     return order, begin, np.diff(np.append(begin, len(k)))
 
 
-def _packed(chunk: int, buckets: int, bucket: np.ndarray, place: np.ndarray, flags: np.ndarray, hashes: list[np.ndarray]) -> pa.RecordBatch | None:
+def _narrow(place: np.ndarray, flags: np.ndarray | None = None) -> bytes:
+    """Ascending places (and flags) in few bytes: their steps, the low bytes first."""
+    steps = np.diff(place.astype(np.int64), prepend=0).astype("<u4")
+    body = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes() + (b"" if flags is None else flags.astype("<u1").tobytes())
+    return pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _widened(raw: bytes, m: int, flags: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    body = pa.decompress(raw, decompressed_size=(4 + flags) * m, codec="zstd", asbytes=True)
+    steps = np.ascontiguousarray(np.frombuffer(body, np.uint8, 4 * m).reshape(4, m).T).view("<u4").ravel()
+    return np.cumsum(steps.astype(np.int64)) & _NONE, np.frombuffer(body, np.uint8, m, 4 * m) if flags else np.zeros(0, np.uint8)
+
+
+def _packed(chunk: int, buckets: int, bucket: np.ndarray, place: np.ndarray, flags: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch | None:
     """One row per bucket: the questions of a chunk; place is _NONE where no answer is needed."""
     if not len(bucket):
         return None
     order = np.lexsort((place, bucket))
-    bucket, place, flags, hashes = bucket[order], place[order], flags[order], [h[order] for h in hashes]
+    bucket, place, flags, hashes = bucket[order], place[order], flags[order], hashes[order]
     cuts = [*np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist(), len(bucket)]
     rows = []
     for s, e in zip(cuts, cuts[1:]):
-        body = np.diff(place[s:e].astype(np.int64), prepend=0).astype("<u4").tobytes() + flags[s:e].astype("<u1").tobytes()
-        # the high 48 bits; the bucket holds some more
-        raw = b"".join((h[s:e] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for h in hashes[:1]) + b"".join(h[s:e].tobytes() for h in hashes[1:])
-        rows.append((int(bucket[s]), chunk, e - s, pa.compress(body, codec="zstd", asbytes=True), raw))
+        rows.append((int(bucket[s]), chunk, e - s, _narrow(place[s:e], flags[s:e]), hashes[s:e].tobytes()))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "rows", "places", "hashes"])
 
 
 _ASKED = "bucket long, chunk long, rows int, places binary, hashes binary"
 
 
-def _answers(asked: DataFrame, wide: bool) -> DataFrame:
-    """(chunk, places): the places asked for whose run occurs elsewhere; `wide`: by 112 bits, and no reference block is needed."""
+def _answers(asked: DataFrame, kind: str, blocks: bool) -> DataFrame:
+    """(chunk, n, places): the places asked for whose run occurs elsewhere; blocks: and is a reference block somewhere. kind: of the hashes."""
 
     def found(held: list[tuple]):
-        key, second, place, flags, owner = [], [], [], [], []
+        key, place, flags, owner = [], [], [], []
         for i, (_, m, body, raw) in enumerate(held):
-            body = pa.decompress(body, decompressed_size=5 * m, codec="zstd", asbytes=True)
-            place.append(np.cumsum(np.frombuffer(body, "<u4", m).astype(np.int64)) & _NONE)
-            flags.append(np.frombuffer(body, "<u1", m, 4 * m))
-            h = np.zeros((m, 8), np.uint8)
-            h[:, :6] = np.frombuffer(raw, np.uint8, 6 * m).reshape(m, 6)
-            key.append(h.view("<u8").ravel())
-            if wide:
-                second.append(np.frombuffer(raw, "<u8", m, 6 * m))
+            at, mark = _widened(body, m, True)
+            place.append(at)
+            flags.append(mark)
+            key.append(np.frombuffer(raw, kind, m))
             owner.append(np.full(m, i))
         key, place, flags, owner = (np.concatenate(x) for x in (key, place, flags, owner))
-        order, begin, size = _several(key, np.concatenate(second) if wide else None)
+        order, begin, size = _several(key)
         flags = flags[order]
-        count = np.add.reduceat(1 + (flags & 1), begin)  # bit 0: the chunk holds it several times
-        hit = count >= 2
-        if not wide:
+        hit = np.add.reduceat(1 + (flags & 1), begin) >= 2  # bit 0: the chunk holds it several times
+        if blocks:
             hit &= np.bitwise_or.reduceat(flags, begin) & 2 > 0  # bit 1: it is a reference block
         hit = np.repeat(hit, size)
         on = order[hit & (place[order] != _NONE)]
-        on = on[np.argsort(owner[on], kind="stable")]
+        on = on[np.lexsort((place[on], owner[on]))]
         cuts = np.searchsorted(owner[on], np.arange(len(held) + 1))
-        rows = [(held[i][0], place[on[s:e]].astype("<u4").tobytes()) for i, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
+        rows = [(held[i][0], e - s, _narrow(place[on[s:e]])) for i, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary()))], names=["chunk", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], names=["chunk", "n", "places"])
 
     def run(batches):
         held, last = [], None
@@ -191,14 +196,13 @@ def _answers(asked: DataFrame, wide: bool) -> DataFrame:
         if held:
             yield from found(held)
 
-    return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(run), "chunk long, places binary")
+    return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(run), "chunk long, n int, places binary")
 
 
-def _with_places(chunks: DataFrame, answers: DataFrame, name: str, limit: int) -> DataFrame:
-    """The chunks with all their answered places."""
-    per = answers.groupBy("chunk").agg(F.collect_list("places").alias("places"))  # a chunk's, at most its words
-    weight = F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))
-    return chunks.join(by_size(per, name, limit, weight), "chunk", "left")
+def _with_places(chunks: DataFrame, answers: DataFrame) -> DataFrame:
+    """The chunks with all their answered places; the chunks stay where they are."""
+    per = answers.groupBy("chunk").agg(F.collect_list(F.struct("n", "places")).alias("places"))  # a chunk's, at most its words
+    return chunks.join(per.hint("shuffle_hash"), "chunk", "left")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -208,7 +212,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _places(row: dict) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(p, "<u4").astype(np.int64) for p in row["places"] or [])])
+    return np.concatenate([np.zeros(0, np.int64), *(_widened(p["places"], p["n"])[0] for p in row["places"] or [])])
 
 
 def _blocks(window: int) -> int:
@@ -231,7 +235,7 @@ def _probes(chunks: DataFrame, window: int, buckets: int) -> DataFrame:
             mark = np.where(runs.place[at] % block == 0, 2, 0)[order]
             flags = np.bitwise_or.reduceat(mark, begin) | (size > 1)
             first = order[begin]
-            out = _packed(row["chunk"], buckets, _bucket(h[first], buckets), np.where(size > 1, _NONE, at[first]), flags, [h[first]])
+            out = _packed(row["chunk"], buckets, _bucket(h[first], buckets), np.where(size > 1, _NONE, at[first]), flags, h[first].astype("<u4"))
             if out is not None:
                 yield out
 
@@ -239,8 +243,8 @@ def _probes(chunks: DataFrame, window: int, buckets: int) -> DataFrame:
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    """From the bits that questions don't carry and some that they do."""
-    return (mix(h & np.uint64(0xFFFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+    """From the high bits, of which questions about blocks carry none."""
+    return (mix(h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _anchored(runs: Runs, window: int, asked: np.ndarray) -> np.ndarray:
@@ -272,7 +276,7 @@ def _extended(chunks: DataFrame, window: int, buckets: int) -> DataFrame:
             if not len(begin):
                 continue
             first = order[begin]
-            out = _packed(row["chunk"], buckets, _bucket(h[first], buckets), np.where(size > 1, _NONE, at[first]), (size > 1).astype(np.int64), [h[first], g[first]])
+            out = _packed(row["chunk"], buckets, _bucket(g[first], buckets), np.where(size > 1, _NONE, at[first]), (size > 1).astype(np.int64), h[first].astype("<u8"))
             if out is not None:
                 yield out
 
@@ -293,17 +297,17 @@ def _covered(runs: Runs, window: int, asked: np.ndarray) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
-def _judged(docs: DataFrame, window: int, chunk_bytes: int, broadcast_bytes: int) -> DataFrame:
+def _judged(docs: DataFrame, window: int, chunk_bytes: int) -> DataFrame:
     """(chunk, doc_ids, k0, k1, size, texts, places): the chunks with the starts of their repeated windows."""
-    chunks = materialize(_chunks(docs, chunk_bytes), "chunks")
+    spark = docs.sparkSession
+    chunks = bucketed(_chunks(docs, chunk_bytes), "chunk", int(spark.conf.get("spark.sql.shuffle.partitions")), "chunks")
     words = int(chunks.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0) // 6
-    parallel = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parallel, words // BUCKET_ROWS)
-    anchored = _with_places(chunks, _answers(_probes(chunks, window, buckets), False), "anchors", broadcast_bytes)
-    return _with_places(chunks, _answers(_extended(anchored, window, buckets), True), "repeats", broadcast_bytes)
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), words // BUCKET_ROWS)
+    anchored = _with_places(chunks, _answers(_probes(chunks, window, buckets), "<u4", True))
+    return _with_places(chunks, _answers(_extended(anchored, window, buckets), "<u8", False))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, k0, k1, n_words, n_removed, kept_sha256, spans array<struct<first,end>> (of words, end exclusive) for every row."""
     schema = "doc_id long, k0 long, k1 long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,end:int>>"
     spans_type = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
@@ -324,7 +328,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTE
             types = (*[pa.int64()] * 5, pa.string(), spans_type)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["doc_id", "k0", "k1", "n_words", "n_removed", "kept_sha256", "spans"])
 
-    return _judged(docs, window, chunk_bytes, broadcast_bytes).mapInArrow(trimmed(run), schema)
+    return _judged(docs, window, chunk_bytes).mapInArrow(trimmed(run), schema)
 
 
 def cut(docs: DataFrame, window: int = WINDOW, max_rows: int = 1_000_000, **options) -> DataFrame:
