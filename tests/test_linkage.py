@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vinctum.functions import detect, text
-from vinctum.operators import evaluation, govern, matching, ranking, vectors
+from vinctum.operators import evaluation, govern, matching, ranking, vector_index, vectors
 from vinctum.operators import personas as B
 from vinctum.operators import records as A
 from vinctum.plans import link
@@ -172,8 +172,9 @@ def test_window_clusters_against_a_loop(spark):
     assert sorted((r.first, r.last, r.size) for r in vectors.window_clusters(df, ["k"], "x", 2).collect()) == want
 
 
+@pytest.mark.parametrize("options", [{}, {"local_rows": 3, "seed_rows": 4, "part_rows": 9}])
 @pytest.mark.parametrize("least", [2, 3])
-def test_greedy_duplicates_against_a_loop(spark, least):
+def test_greedy_duplicates_against_a_loop(spark, least, options):
     rng = np.random.default_rng(4)
     few = rng.integers(0, 4, (30, 3)) + 0.5
     rows = [("ab"[int(rng.integers(2))], i, [float(x) for x in few[rng.integers(30)]]) for i in range(160)]
@@ -187,7 +188,7 @@ def test_greedy_duplicates_against_a_loop(spark, least):
                 if len(members) >= least:
                     seen |= set(members)
                     want |= {(block, i, j, len(members)) for j in members}
-    got = vectors.greedy_duplicates(spark.createDataFrame(rows, "block string, id long, vec array<double>"), "block", min_size=least).collect()
+    got = vectors.greedy_duplicates(spark.createDataFrame(rows, "block string, id long, vec array<double>"), "block", min_size=least, **options).collect()
     assert {(r.block, r.seed, r.id, r["size"]) for r in got} == want and len(got) == len(want) and all(0.97 <= r.similarity <= 1 for r in got)
 
 
@@ -198,8 +199,36 @@ def test_retrieval_in_blocks_is_the_whole_search(spark):
     n = np.linalg.norm(v, axis=1, keepdims=True)
     u = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
     want = {(f"x{q:02d}", f"x{i:02d}", k + 1) for q in range(90) for k, i in enumerate(np.lexsort((np.arange(90), -np.round(u @ u[q], 12)))[:5])}
-    for options in ({}, {"query_rows": 7, "corpus_rows": 11}, {"broadcast_queries": 3}):
-        assert {(r.query_id, r.id, r["rank"]) for r in vectors.retrieve(df, df, 5, **options).collect()} == want
+    for options in ({}, {"query_bytes": 900}, {"threshold": -1.0}):
+        assert {(r.query_id, r.id, r["rank"]) for r in vectors.retrieve(df, df.repartition(5), 5, **options).collect()} == want
+    for cells, probes in ((1, 1), (7, 7), (9, 99)):
+        index = vector_index.build_index(df.repartition(3), cells=cells, block_rows=8)
+        assert {(r.query_id, r.id, r["rank"]) for r in vector_index.search(index, df, 5, probes=probes).collect()} == want
+    assert vector_index.search(vector_index.build_index(df.limit(0)), df, 5).count() == 0 and vectors.retrieve(df, df.limit(0), 5).count() == vectors.retrieve(df.limit(0), df, 5).count() == 0
+
+
+def test_zero_vectors_are_in_no_cluster(spark):
+    rows = [("a", i, [0.0, 0.0]) for i in range(3)] + [("a", 7, [1.0, 0.0]), ("a", 8, [1.0, 0.01])]
+    got = vectors.greedy_duplicates(spark.createDataFrame(rows, "block string, id long, vec array<double>"), "block").collect()
+    assert {(r.seed, r.id, r["size"]) for r in got} == {(7, 7, 2), (7, 8, 2)}
+
+
+def test_index_holds_every_row_once_and_finds_most_neighbours(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    v = rng.normal(0, 1, (40, 16))[rng.integers(0, 40, 3000)] + rng.normal(0, 0.5, (3000, 16))
+    v[1000:2000] = v[1000]  # a third of all rows are one vector
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>").repartition(4)
+    index = vector_index.build_index(df, cells=40, block_rows=100, path=f"file://{tmp_path}/index")
+    held = [i for r in index.blocks.select("ids").collect() for i in r["ids"]]
+    assert sorted(held) == list(range(3000)) and max(len(r["ids"]) for r in index.blocks.select("ids").collect()) < 160
+    queries = df.where("id % 50 = 0")
+    exact = vectors.retrieve(queries, df, 10)
+    found = vector_index.search(vector_index.load_index(spark, f"file://{tmp_path}/index"), queries, 10, probes=8)
+    assert vector_index.recall(found, exact) >= 0.95 and vector_index.recall(exact, exact) == 1.0
+    same = {(r.query_id, r.id): r.similarity for r in exact.collect()}
+    assert all(abs(same[r.query_id, r.id] - r.similarity) < 1e-9 for r in found.collect() if (r.query_id, r.id) in same)
+    joined = found.count()
+    assert joined == 600
 
 
 def test_countdown_of_many_ties(spark):

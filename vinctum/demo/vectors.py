@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vinctum.functions import clean as C
 from vinctum.functions.text import tokens_ascii
 from vinctum.operators import aggregate as A
+from vinctum.operators import vector_index
 from vinctum.operators import vectors as V
 from vinctum.sources.scratch import scratch
 from vinctum.streaming import feeds
@@ -50,7 +51,31 @@ Q("similar_above", "embeddings", sql=f"SELECT query_id, id, round(s, 6) AS simil
     lambda e: V.retrieve(_vecs(e.where("vec_id % 100 = 0")), _vecs(e), 10, threshold=0.5).select("query_id", "id", F.round("similarity", 6).alias("similarity")))
 
 
-@Q("greedy_duplicates", "v_registry")
+@Q("retrieve_indexed", "embeddings")
+def retrieve_indexed(e):
+    """J5 by the index: tests and bench hold its recall against the exact search."""
+    return vector_index.search(vector_index.build_index(_vecs(e)), _vecs(e.where("vec_id % 100 = 0")), 50).select("query_id", "id", "rank")
+
+
+@Q("index_cells", "embeddings", sql="SELECT vec_id AS id, 1::BIGINT AS n FROM embeddings WHERE embedding IS NOT NULL")
+def index_cells(e):
+    """The index holds every row once."""
+    return vector_index.build_index(_vecs(e)).blocks.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_DOT = "p.a * q.a + (p.s = q.s)::INT + p.y * q.y + p.si * q.si + p.co * q.co + 2"  # of one municipality: both hashed parts are equal
+
+
+@Q("greedy_duplicates", "v_registry", sql=f"""
+WITH RECURSIVE {AGED},
+x AS (SELECT id, cve_ent || '|' || municipio AS block, coalesce((age - 31.9::DOUBLE) / 14.5::DOUBLE, 0) AS a, CASE WHEN sexo IN ('HOMBRE', 'MUJER') THEN sexo ELSE '' END AS s, (year(fecha) - 1964) / 62.0::DOUBLE AS y, sin(2 * pi() * month(fecha) / 12) AS si, cos(2 * pi() * month(fecha) / 12) AS co FROM aged),
+v AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY block ORDER BY id) AS i, sqrt(a * a + 1 + y * y + si * si + co * co + 2) AS len FROM x),
+near AS MATERIALIZED (SELECT p.block, p.i, list(q.i ORDER BY q.i) AS js FROM v p JOIN v q USING (block) WHERE p.i = q.i OR round(({_DOT}) / (p.len * q.len), 12) >= 0.97 GROUP BY ALL),
+w AS (SELECT DISTINCT block, 0::BIGINT AS i, []::BIGINT[] AS seen, []::BIGINT[] AS got FROM v
+  UNION ALL SELECT block, i, CASE WHEN len(m) >= 2 THEN list_concat(seen, m) ELSE seen END, CASE WHEN len(m) >= 2 THEN m ELSE []::BIGINT[] END
+  FROM (SELECT w.block, near.i, seen, CASE WHEN list_contains(seen, near.i) THEN []::BIGINT[] ELSE list_filter(js, lambda j: NOT list_contains(seen, j)) END AS m FROM w JOIN near ON near.block = w.block AND near.i = w.i + 1)),
+m AS (SELECT block, i, unnest(got) AS j, len(got) AS size FROM w)
+SELECT block, p.id AS seed, q.id AS id, size::BIGINT AS size, round(min(least(1, ({_DOT}) / (p.len * q.len))) OVER (PARTITION BY block, m.i), 6) AS similarity FROM m JOIN v p USING (block, i) JOIN v q ON q.block = m.block AND q.i = m.j""")
 def greedy_duplicates(r):
     """E3, per municipality."""
     v = V.vectorize(people(r)).withColumn("block", F.concat_ws("|", "cve_ent", "municipio"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from hashlib import md5
 
 import numpy as np
@@ -12,6 +13,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vinctum.sources.scratch import materialize
+
 from .tables import upsert
 
 AGE_MEAN, AGE_STD = 31.9, 14.5
@@ -59,81 +62,190 @@ def cosine(a, b) -> Column:
     return F.when(n == 0, 0.0).otherwise(dot(a, b) / n)
 
 
-def _blocks(df: DataFrame, rows: int, prefix: str) -> DataFrame:
-    """(ids, vecs) of about `rows` rows (id, vec) each, packed where they are; vecs holds doubles."""
-    kind = df.schema["id"].dataType.simpleString()
+def unit_rows(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero rows stay."""
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                b = batch.slice(at, rows)
-                v = np.array(b.column("vec").to_pylist(), dtype=np.float64)
-                n = np.linalg.norm(v, axis=1, keepdims=True)
-                v = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
-                yield pa.RecordBatch.from_arrays([pa.array([b.column("id").to_pylist()], pa.list_(b.column("id").type)), pa.array([v.tobytes()], pa.binary())], names=[f"{prefix}ids", f"{prefix}vecs"])
 
-    return df.where("id IS NOT NULL AND vec IS NOT NULL").select("id", "vec").mapInArrow(run, f"{prefix}ids array<{kind}>, {prefix}vecs binary")
+def unit_column(vecs: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column of lists, as unit rows."""
+    rows = vecs.to_pylist()
+    return unit_rows(np.array(rows, np.float64)) if rows else np.zeros((0, 0))
 
 
-def retrieve(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, query_rows: int = 1024, corpus_rows: int = 8192, broadcast_queries: int = 100_000) -> DataFrame:
-    """(query_id, id, similarity, rank): the k nearest corpus rows by cosine, exactly; then those of at least the threshold.
+def best_columns(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k greatest values of each row, equal ones (to 12 decimals) by column."""
+    key = -np.round(sims, 12)
+    if sims.shape[1] <= k:
+        row, col = np.divmod(np.arange(sims.size), max(1, sims.shape[1]))
+    else:
+        row, col = np.nonzero(key <= np.partition(key, k - 1, axis=1)[:, k - 1 : k])
+    order = np.lexsort((col, key[row, col], row))
+    row, col = row[order], col[order]
+    on = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[on], col[on]
 
-    queries and corpus have (id, vec), with ids of any type; rows without either are left out. Both sides are packed into blocks, each block of queries meets each block
-    of the corpus in one matrix product, and a pair of blocks passes on k rows a query. Queries are broadcast up to a number, else the blocks are joined by shuffle.
-    """
-    q, c = _blocks(queries, query_rows, "q_"), _blocks(corpus, corpus_rows, "c_")
-    few = queries.limit(broadcast_queries + 1).count() <= broadcast_queries
-    q_kind, c_kind = (d.schema["id"].dataType.simpleString() for d in (queries, corpus))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                q_ids, q_vecs, c_ids, c_vecs = (batch.column(x)[i] for x in ("q_ids", "q_vecs", "c_ids", "c_vecs"))
-                q_ids, c_ids = q_ids.values, c_ids.values
-                a, b = (np.frombuffer(v.as_py()).reshape(len(ids), -1) for v, ids in ((q_vecs, q_ids), (c_vecs, c_ids)))
-                # columns in the order of ids, so that a stable sort gives ties to the least id
-                by_id = np.array(pa.compute.array_sort_indices(c_ids))
-                sims = (a @ b.T)[:, by_id]
-                take = np.argsort(-np.round(sims, 12), axis=1, kind="stable")[:, :k]
-                at = np.repeat(np.arange(len(a)), take.shape[1])
-                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(at)), c_ids.take(pa.array(by_id[take.ravel()])), pa.array(sims[at, take.ravel()])], names=["query_id", "id", "similarity"])
-
-    pairs = c.crossJoin(F.broadcast(q) if few else q)  # of blocks
-    out = pairs.mapInArrow(run, f"query_id {q_kind}, id {c_kind}, similarity double")
+def least_ranks(pairs: DataFrame, k: int, threshold: float | None) -> DataFrame:
+    """pairs (query_id, id, similarity) with rank, the first k of each query; then those of at least the threshold."""
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id")
-    top = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top if threshold is None else top.where(F.col("similarity") >= threshold)
 
 
-def greedy_duplicates(df: DataFrame, block: str, threshold: float = 0.97, min_size: int = 2) -> DataFrame:
+#: Bytes of query vectors that are sent to every task at a time.
+QUERY_BYTES = 32 << 20
+
+
+def retrieve(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """(query_id, id, similarity, rank): the k nearest corpus rows by cosine, exactly; then those of at least the threshold.
+
+    queries and corpus have (id, vec), with ids of any type; rows without either are left out. The corpus is read once for each group of queries of query_bytes, which is sent
+    to all tasks; a task multiplies its rows with the group batch by batch and keeps the k best of each query, which is all that it passes on. For many
+    queries use an index (vector_index.search).
+    """
+    spark = queries.sparkSession
+    q_kind, c_kind = (d.schema["id"].dataType.simpleString() for d in (queries, corpus))
+    asked = queries.where("id IS NOT NULL AND vec IS NOT NULL").select("id", "vec")
+    corpus = corpus.where("id IS NOT NULL AND vec IS NOT NULL").select("id", "vec")
+    size = asked.agg(F.coalesce(F.sum(8 * F.size("vec") + 64), F.lit(0)).alias("b")).first()["b"]
+    groups = max(1, -(-size // query_bytes))
+    schema = f"query_id {q_kind}, id {c_kind}, similarity double"
+
+    def nearest(some: DataFrame) -> DataFrame:
+        rows = some.toArrow()
+        sent = spark.sparkContext.broadcast((rows.column("id").combine_chunks(), unit_column(rows.column("vec"))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q_ids, q = sent.value
+            held = None
+            for b in batches:
+                if not b.num_rows or not len(q):
+                    continue
+                ids = b.column("id")
+                by_id = np.array(pa.compute.array_sort_indices(ids))
+                sims = q @ unit_column(b.column("vec"))[by_id].T
+                row, col = best_columns(sims, k)
+                new = row, ids.take(pa.array(by_id[col])), sims[row, col]
+                if held:
+                    row, ids, sims = np.concatenate([held[0], new[0]]), pa.concat_arrays([held[1], new[1]]), np.concatenate([held[2], new[2]])
+                    order = np.lexsort((np.argsort(np.array(pa.compute.array_sort_indices(ids))), -np.round(sims, 12), row))
+                    order = order[np.arange(len(row)) - np.searchsorted(row[order], row[order]) < k]
+                    new = row[order], ids.take(pa.array(order)), sims[order]
+                held = new
+            if held:
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(held[0])), held[1], pa.array(held[2])], names=["query_id", "id", "similarity"])
+
+        return corpus.mapInArrow(run, schema)
+
+    if groups == 1:
+        return least_ranks(nearest(asked), k, threshold)
+    out = [materialize(least_ranks(nearest(asked.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == g)), k, threshold), "nearest") for g in range(groups)]
+    return reduce(DataFrame.unionByName, out)
+
+
+#: Distinct vectors of a block that one task compares; of larger blocks so many are judged as seeds at a time, and so many rows meet them in a task.
+LOCAL_ROWS, SEED_ROWS, PART_ROWS = 4096, 2048, 20_000
+
+
+def _fold(ids: np.ndarray, n: np.ndarray, v: np.ndarray, threshold: float, min_size: int):
+    """(seed, member, size, similarity to the least alike) by place; rows in order of id."""
+    seen = np.zeros(len(ids), bool)
+    for i in range(len(ids)):
+        if seen[i]:
+            continue
+        open_ = np.flatnonzero(~seen)
+        sims = np.round(v[open_] @ v[i], 12)
+        on = (sims >= threshold) | (open_ == i)
+        members, size = open_[on], int(n[open_[on]].sum())
+        if size >= min_size:
+            seen[members] = True
+            least = float(min(1.0, sims[on].min()))
+            for m in members:
+                yield i, m, size, least
+
+
+def _hot_clusters(classes: DataFrame, threshold: float, min_size: int, seed_rows: int, part_rows: int) -> DataFrame:
+    """(block, seed, first, size, similarity) of blocks too large for a task.
+
+    By rounds: of each block the first rows that are still open are judged against each other, which tells the next seeds; all open rows of the block,
+    dealt over tasks, go to the first seed that they are like. A seed with too few rows takes none and is passed over; if it had others, what comes after
+    it is judged anew. Rows meet seeds only, never each other.
+    """
+    id_type = classes.schema["first"].dataType.simpleString()
+    sizes = classes.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
+    open_ = classes.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("first"), F.col("parts")).cast("int")).withColumn("passed", F.lit(False)).select("block", "part", "parts", "first", "n", "vec", "passed")
+    done = None
+    while True:
+        open_ = materialize(open_, "open-vectors")
+        w = Window.partitionBy("block").orderBy("first")
+        batch = open_.where("NOT passed").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= seed_rows)  # limited before the shuffle
+
+        def seeds(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("first")
+            v = unit_rows(np.array(pdf["vec"].tolist(), np.float64))
+            free, found = np.ones(len(v), bool), []
+            for i in range(len(v)):
+                if free[i]:
+                    found.append(i)
+                    free &= np.round(v @ v[i], 12) < threshold
+            return pd.DataFrame([(pdf["block"].iloc[0], pdf["first"].iloc[found].tolist(), v[found].tobytes(), pdf["parts"].iloc[0])], columns=["block", "seeds", "vecs", "parts"])
+
+        found = materialize(batch.select("block", "parts", "first", "vec").groupBy("block").applyInPandas(seeds, f"block string, seeds array<{id_type}>, vecs binary, parts int"), "seeds")
+        if found.isEmpty():
+            return done if done is not None else classes.sparkSession.createDataFrame([], f"block string, seed {id_type}, first {id_type}, size long, similarity double")
+        each = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "part", "seeds", "vecs")
+
+        def take(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame([], columns=["block", "first", "n", "seed", "sim"])
+            ids = list(right["seeds"].iloc[0])
+            s = np.frombuffer(right["vecs"].iloc[0]).reshape(len(ids), -1)
+            sims = np.round(unit_rows(np.array(left["vec"].tolist(), np.float64)) @ s.T, 12)
+            own = left["first"].to_numpy()[:, None] == np.array(ids)[None, :]
+            like = (sims >= threshold) | own
+            at = like.argmax(1)
+            on = like.any(1)
+            rows = zip(left["block"].tolist(), left["first"].tolist(), left["n"].tolist(), at, np.minimum(1.0, sims[np.arange(len(at)), at]), on)
+            return pd.DataFrame([(b, f, n, ids[i], x) for b, f, n, i, x, y in rows if y], columns=["block", "first", "n", "seed", "sim"])
+
+        taken = open_.select("block", "part", "first", "n", "vec").groupBy("block", "part").cogroup(each.groupBy("block", "part")).applyInPandas(take, f"block string, first {id_type}, n long, seed {id_type}, sim double")
+        taken = materialize(taken, "taken")
+        groups = taken.groupBy("block", "seed").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("members"), F.min("sim").alias("similarity"))
+        cut = groups.where((F.col("size") < min_size) & (F.col("members") > 1)).groupBy("block").agg(F.min("seed").alias("cut"))
+        judged = groups.join(cut, "block", "left").where("cut IS NULL OR seed <= cut")
+        judged = materialize(judged.select("block", "seed", "size", "similarity", (F.col("size") >= min_size).alias("ok")), "judged")
+        got = taken.join(judged.where("ok"), ["block", "seed"]).select("block", "seed", "first", "size", "similarity")
+        got = materialize(got, "duplicates")
+        done = got if done is None else done.unionByName(got)
+        passed = judged.where("NOT ok").select("block", F.col("seed").alias("first"), F.lit(True).alias("now"))
+        open_ = open_.join(got.select("block", "first"), ["block", "first"], "left_anti").join(passed, ["block", "first"], "left")
+        open_ = open_.select("block", "part", "parts", "first", "n", "vec", (F.col("passed") | F.coalesce("now", F.lit(False))).alias("passed"))
+
+
+def greedy_duplicates(df: DataFrame, block: str, threshold: float = 0.97, min_size: int = 2, local_rows: int = LOCAL_ROWS, seed_rows: int = SEED_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
     """(block, seed, id, size, similarity) for each member. Rows (id, vec) of a block are seeds in order of id; a seed takes all unseen rows that are similar.
 
-    Equal vectors are taken together, so they are one row of the least id with a count: the first of them is their seed, or none is. The result depends on the
-    order by definition, so a block's distinct vectors are one task's work, however many rows have them.
+    Equal vectors are taken together, so they are one row of the least id with a count: the first of them is their seed, or none is. A zero vector is like nothing, not even
+    itself, and in no cluster. Blocks of up to local_rows distinct vectors are one task's work each; larger ones are resolved by rounds over many tasks.
     """
     kind = dict(df.dtypes)["id"]
-    keyed = df.select(F.col(block).alias("block"), "id", "vec").withColumn("_key", F.hash("vec").cast("long"))
-    classes = keyed.groupBy("block", "_key", "vec").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    keyed = df.select(F.col(block).cast("string").alias("block"), "id", "vec").where(F.exists("vec", lambda x: x != 0)).withColumn("_key", F.hash("vec").cast("long"))
+    classes = materialize(keyed.groupBy("block", "_key", "vec").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "vector-classes")
+    hot = materialize(classes.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local_rows).select("block"), "hot-blocks")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first")
-        ids, n, v = pdf["first"].to_numpy(), pdf["n"].to_numpy(), np.array(pdf["vec"].tolist(), dtype=np.float64)
-        size = np.linalg.norm(v, axis=1, keepdims=True)
-        v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
-        seen, rows = np.zeros(len(ids), bool), []
-        for i in range(len(ids)):
-            if seen[i]:
-                continue
-            open_ = np.flatnonzero(~seen)
-            sims = v[open_] @ v[i]
-            members = open_[(sims >= threshold) | (open_ == i)]
-            if n[members].sum() >= min_size:
-                seen[members] = True
-                least = float(min(1.0, sims[np.isin(open_, members)].min()))
-                rows += [(pdf["block"].iloc[0], ids[i], ids[m], int(n[members].sum()), least) for m in members]
+        ids = pdf["first"].to_numpy()
+        rows = [(pdf["block"].iloc[0], ids[i], ids[m], size, least) for i, m, size, least in _fold(ids, pdf["n"].to_numpy(), unit_rows(np.array(pdf["vec"].tolist(), np.float64)), threshold, min_size)]
         return pd.DataFrame(rows, columns=["block", "seed", "first", "size", "similarity"])
 
-    found = classes.select("block", "first", "n", "vec").groupBy("block").applyInPandas(run, f"block string, seed {kind}, first {kind}, size long, similarity double")
+    schema = f"block string, seed {kind}, first {kind}, size long, similarity double"
+    plain = classes.select("block", "first", "n", "vec")
+    found = plain.join(hot, "block", "left_anti").groupBy("block").applyInPandas(run, schema)
+    if not hot.isEmpty():
+        found = found.unionByName(_hot_clusters(plain.join(hot, "block", "left_semi"), threshold, min_size, seed_rows, part_rows))
     placed = found.join(classes.select("first", "_key", "vec", F.col("block").alias("_block")), ["first"]).where("block = _block")
     members = keyed.join(placed.select("block", "_key", "vec", "seed", "size", "similarity"), ["block", "_key", "vec"])
     return members.select("block", "seed", "id", "size", "similarity")
