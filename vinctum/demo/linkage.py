@@ -128,12 +128,11 @@ _NARRATIVE = "CASE WHEN n_con > 0 THEN 'Descartado a prioridad baja por contradi
 
 
 _REASONS = f"WITH {TIDY} SELECT reason, count(*)::BIGINT AS n FROM (SELECT coalesce({_REASON}, 'ok') AS reason FROM p, b) GROUP BY reason"
-# J3 over all pairs, from grouped keys of both sides; the second name is kept for those who use it
+# J3 over all pairs, from grouped keys of both sides
 Q("block_reason", "v_personas", "v_cuerpos", sql=_REASONS)(lambda p, b: B.reason_counts(p, b))
-Q("block_reason_all", "v_personas", "v_cuerpos", sql=_REASONS)(lambda p, b: B.reason_counts(p, b))
 Q("candidate_pairs_b", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT p_id, b_id FROM ok")(lambda p, b: B.candidate_pairs(p, b).select("p_id", "b_id"))
 Q("score_pair_b", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT b_id, p_id, score, tier, s_marks, s_height, s_age, s_geo, s_temporal, n_con::BIGINT AS n_con FROM res")(
-    lambda p, b: B.score_pair_b(B.candidate_pairs(p, b)).select("b_id", "p_id", "score", "tier", "s_marks", "s_height", "s_age", "s_geo", "s_temporal", F.size("contradictions").cast("long").alias("n_con")))
+    lambda p, b: B.score_numbers(B.candidate_pairs(p, b)).select("b_id", "p_id", "score", "tier", *[A.half_up(F.col(x), 3).alias(x) for x in ("s_marks", "s_height", "s_age")], "s_geo", "s_temporal", F.col("n_contradictions").cast("long").alias("n_con")))
 Q("rank_with_rejected", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT b_id, p_id, score, rank FROM ranked WHERE rank <= 8 OR n_con > 0")(
     lambda p, b: ranking.rank_with_rejected(B.score_numbers(B.candidate_pairs(p, b)), 8).select("b_id", "p_id", "score", "rank"))
 Q("to_verify", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT b_id, p_id, score, n_con > 0 AS rejected FROM ranked WHERE rank = 1 OR n_con > 0")(

@@ -13,11 +13,11 @@ from .views import Registry
 Q = Registry()
 
 
-@Q("search_people", "v_personas", sql="""WITH hit AS (SELECT id_victimadirecta AS id FROM v_personas WHERE contains(lower(estado), 'an') AND upper(sexo) = 'MUJER' AND (contains(lower(nombre), '1') OR contains(lower(apellido), '1')))
+@Q("search_people", "v_personas", sql="""WITH hit AS (SELECT id_victimadirecta AS id FROM v_personas WHERE contains(lower(estado), 'an') AND sexo = 'Mujer' AND (contains(lower(nombre), '1') OR contains(lower(apellido), '1')))
 SELECT id, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY id LIMIT 24 OFFSET 3""")
 def search_people(p):
     """F1."""
-    page, total = S.search_people(p, ["nombre", "apellido"], "id_victimadirecta", state="an", sex="mujer", q="1", offset=3)
+    page, total = S.search_people(p, ["nombre", "apellido"], "id_victimadirecta", state="an", sex="Mujer", q="1", offset=3)
     return page.select(F.col("id_victimadirecta").alias("id")).join(F.broadcast(total))
 
 
@@ -32,9 +32,8 @@ Q("fetchable", "v_personas", sql="SELECT id_victimadirecta AS id FROM v_personas
 _TG = "list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)))"
 _SIMILAR = f"WITH r AS (SELECT c_custkey AS id, {_TG} AS g FROM (SELECT c_custkey, '  ' || lower(c_name) || ' ' AS t FROM customer)), s AS (SELECT a.id AS query_id, b.id, len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) AS s FROM r a, r b WHERE a.id % 100 = 0) SELECT query_id, id, round(s, 6) AS similarity FROM s WHERE s >= 0.75"
 _similar = lambda c: S.similar_pairs(c, "c_custkey", "c_name", "c_custkey % 100 = 0", 0.75).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
-# every name of a key divisible by 100 against all names; the second name is kept for those who use it
+# every name of a key divisible by 100 against all names
 Q("similar_names", "customer", sql=_SIMILAR)(_similar)
-Q("similar_names_all", "customer", sql=_SIMILAR)(_similar)
 
 
 @Q("gazetteer", "v_records", "nation", sql="""

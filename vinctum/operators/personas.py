@@ -14,13 +14,19 @@ _ANY = "∅"
 _STEP = 10
 
 
+def _marks(side: str, marks) -> list:
+    """The marks of a row, and a code of what scoring needs of them (null without marks)."""
+    what = F.transform(marks, lambda m: F.struct(m["lado"], F.array_sort(m["tokens"])))
+    return [marks.alias(f"{side}_marks"), F.when(F.size(marks) > 0, F.struct(F.xxhash64(what).alias("h0"), F.xxhash64(F.lit(1), what).alias("h1"))).alias(f"{side}_set")]
+
+
 def tidy_personas(p: DataFrame) -> DataFrame:
     date = parse_flex_date(F.coalesce(blank_to_null("fecha_percato"), blank_to_null("fecha_hechos")))
-    return p.select(F.col("id_victimadirecta").alias("p_id"), F.upper(blank_to_null("sexo")).alias("p_sex"), F.col("sexo").alias("p_sex_raw"), F.col("edad").alias("p_age"), blank_to_null("estado").alias("p_state"), date.alias("p_date"), height_cm("media_filiacion", "b").alias("p_height"), F.transform(parse_marks("sana_particular"), lambda m: mark_struct(m)).alias("p_marks"))
+    return p.select(F.col("id_victimadirecta").alias("p_id"), F.upper(blank_to_null("sexo")).alias("p_sex"), F.col("sexo").alias("p_sex_raw"), F.col("edad").alias("p_age"), blank_to_null("estado").alias("p_state"), date.alias("p_date"), height_cm("media_filiacion", "b").alias("p_height"), *_marks("p", F.transform(parse_marks("sana_particular"), lambda m: mark_struct(m))))
 
 
 def tidy_bodies(b: DataFrame) -> DataFrame:
-    return b.select(F.col("codigo").alias("b_id"), F.upper(blank_to_null("sexo")).alias("b_sex"), F.col("edad_min").alias("b_lo"), F.col("edad_max").alias("b_hi"), blank_to_null("estado").alias("b_state"), parse_flex_date("fecha_hallazgo").alias("b_date"), plausible_height("estatura_cm").alias("b_height"), F.transform(parse_marks("sana_particular"), lambda m: mark_struct(m)).alias("b_marks"))
+    return b.select(F.col("codigo").alias("b_id"), F.upper(blank_to_null("sexo")).alias("b_sex"), F.col("edad_min").alias("b_lo"), F.col("edad_max").alias("b_hi"), blank_to_null("estado").alias("b_state"), parse_flex_date("fecha_hallazgo").alias("b_date"), plausible_height("estatura_cm").alias("b_height"), *_marks("b", F.transform(parse_marks("sana_particular"), lambda m: mark_struct(m))))
 
 
 def reason_sql(cfg: MatchConfig = MatchConfig()) -> str:
@@ -62,23 +68,32 @@ _SIM = "CASE WHEN size(c.tokens) = 0 OR size(p.tokens) = 0 THEN 0D ELSE size(arr
 _SIDES = "(c.lado IS NULL OR p.lado IS NULL OR c.lado = p.lado)"
 
 
-def score_numbers(pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """Tidy pairs with sub-scores, total, score, tier and the number of contradictions; no texts are made.
+def score_mark_sets(pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """(b_set, p_set, set_score, set_contradictions) of the different sets of marks that meet in tidy pairs, each scored once.
 
     A body mark's similarity to the persona's marks is their token overlap at best; it contradicts where some mark is alike but none of these has
     a side that fits.
     """
+    bare = lambda s: F.transform(f"{s}_marks", lambda m: F.struct(m["lado"].alias("lado"), F.array_sort(m["tokens"]).alias("tokens"))).alias(f"{s}_marks")
+    met = pairs.where("b_set IS NOT NULL AND p_set IS NOT NULL").select("b_set", "p_set", bare("b"), bare("p")).distinct()
     per = f"transform(b_marks, c -> transform(p_marks, p -> named_struct('s', {_SIM}, 'fits', {_SIDES})))"
-    df = pairs.withColumn("sims", F.expr(f"CASE WHEN size(b_marks) > 0 AND size(p_marks) > 0 THEN {per} END"))
-    t, n = cfg.mark_threshold, cfg.neutral
-    df = df.withColumns({
-        "s_marks": F.expr(f"CASE WHEN sims IS NULL THEN {n}D ELSE aggregate(sims, 0D, (a, r) -> a + array_max(transform(r, x -> x.s))) / size(sims) END"),
-        "n_contradictions": F.expr(f"CASE WHEN sims IS NULL THEN 0 ELSE size(filter(sims, r -> exists(r, x -> x.s >= {t}) AND NOT exists(r, x -> x.s >= {t} AND x.fits))) END"),
+    t = cfg.mark_threshold
+    score = "aggregate(sims, 0D, (a, r) -> a + array_max(transform(r, x -> x.s))) / size(sims)"
+    against = f"size(filter(sims, r -> exists(r, x -> x.s >= {t}) AND NOT exists(r, x -> x.s >= {t} AND x.fits)))"
+    return met.withColumn("sims", F.expr(per)).select("b_set", "p_set", F.expr(score).alias("set_score"), F.expr(against).alias("set_contradictions"))
+
+
+def score_numbers(pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """Tidy pairs with sub-scores, total, score, tier and the number of contradictions; no texts are made."""
+    n = cfg.neutral
+    df = pairs.join(score_mark_sets(pairs, cfg), ["b_set", "p_set"], "left").withColumns({
+        "s_marks": F.expr(f"coalesce(set_score, {n}D)"),
+        "n_contradictions": F.expr("coalesce(set_contradictions, 0)"),
         "s_height": F.expr(f"coalesce(greatest(0D, 1 - abs(b_height - p_height) / {cfg.height_tolerance}D), {n}D)"),
         "s_age": F.expr(f"CASE WHEN p_age IS NULL OR b_lo IS NULL OR b_hi IS NULL THEN {n}D WHEN p_age BETWEEN b_lo AND b_hi THEN 1D ELSE greatest(0D, 1 - least(abs(p_age - b_lo), abs(p_age - b_hi)) / {cfg.age_decay}D) END"),
         "s_geo": F.expr(f"CASE WHEN p_state IS NULL OR b_state IS NULL THEN {n}D WHEN upper(p_state) = upper(b_state) THEN 1D ELSE {cfg.other_state}D END"),
         "s_temporal": F.expr(f"CASE WHEN p_date IS NULL OR b_date IS NULL THEN {n}D WHEN p_date <= b_date THEN 1D ELSE 0D END"),
-    }).drop("sims")
+    }).drop("b_set", "p_set", "set_score", "set_contradictions")
     total = cfg.w_marks * F.col("s_marks") + cfg.w_height * F.col("s_height") + cfg.w_age * F.col("s_age") + cfg.w_geo * F.col("s_geo") + cfg.w_temporal * F.col("s_temporal")
     df = df.withColumn("total", F.when(F.col("n_contradictions") > 0, F.least(total, F.lit(cfg.cap))).otherwise(total))
     tier = F.when(F.col("total") >= cfg.tier_high, "alta").when(F.col("total") >= cfg.tier_medium, "media").otherwise("baja")

@@ -23,13 +23,13 @@ def half_up(x: Column, digits: int = 2) -> Column:
     return F.floor(x * 10**digits + 0.5) / 10**digits
 
 
-def block_pairs(missing: DataFrame, found: DataFrame, adjacency: DataFrame, cfg: RecordConfig = RecordConfig()) -> DataFrame:
-    """Pairs with compatible place, sex, age range and order of dates; a missing value is compatible with all.
+def block_pairs(missing: DataFrame, found: DataFrame, adjacency: DataFrame, cfg: RecordConfig = RecordConfig(), extra: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs with compatible place, sex, age range and order of dates; a missing value is compatible with all. extra: further columns to keep.
 
     Each found record has one place key and one sex key; a missing record is expanded to every key that it is compatible with, so
     a pair meets once and the join is a hash join. Keys are few, so a key may be hot: AQE splits the skewed side.
     """
-    tidy = lambda df, p: df.select(*[(blank_to_null(x) if x in ("sex", "estado") else F.nullif(F.col(x), F.lit(0)) if x == "height_cm" else F.col(x)).alias(f"{p}_{x}") for x in FIELDS])
+    tidy = lambda df, p: df.select(*[(blank_to_null(x) if x in ("sex", "estado") else F.nullif(F.col(x), F.lit(0)) if x == "height_cm" else F.col(x)).alias(f"{p}_{x}") for x in (*FIELDS, *extra)])
     u = tidy(found, "u").withColumns({"k_geo": F.coalesce("u_estado", F.lit(_ANY)), "k_sex": F.coalesce("u_sex", F.lit(_ANY))})
     m = tidy(missing, "m")
     near = adjacency.groupBy("a").agg(F.collect_set("b").alias("near"))  # a place's neighbours
@@ -51,6 +51,20 @@ def feature_pairs(pairs: DataFrame, features: DataFrame) -> DataFrame:
     return p.join(side("a"), p["m_id"] == F.col("a_record_id")).join(side("b").withColumnRenamed("feature_type", "b_type"), (F.col("u_id") == F.col("b_record_id")) & (F.col("feature_type") == F.col("b_type"))).drop("a_record_id", "b_record_id", "b_type")
 
 
+def mark_sets(features: DataFrame) -> DataFrame:
+    """(record_id, marks_of): of each record with marks the least record that has the same ones, in any order; so equal sets of marks are scored once."""
+    mark = F.struct("feature_type", "body_region", "laterality", "motif_category", F.array_sort(F.array_distinct("tokens")).alias("tokens"))
+    sets = features.groupBy("record_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(mark))), 256).alias("_set"))  # a record's marks
+    return sets.join(sets.groupBy("_set").agg(F.min("record_id").alias("marks_of")), "_set").select("record_id", "marks_of")
+
+
+def score_marks(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """(m_marks_of, u_marks_of, s_marks, best, opposite) of the sets of marks that meet in pairs; features are those of all records."""
+    met = pairs.select(F.col("m_marks_of").alias("m_id"), F.col("u_marks_of").alias("u_id")).dropna().distinct()
+    scored = marks_score(score_features(feature_pairs(met, features)))
+    return scored.select(F.col("m_id").alias("m_marks_of"), F.col("u_id").alias("u_marks_of"), "s_marks", "best", "opposite")
+
+
 def _cluster(x: str) -> Column:
     out = F.lit(None).cast("string")
     for name, regions in V.CLUSTERS.items():
@@ -77,10 +91,10 @@ def marks_score(scored: DataFrame) -> DataFrame:
     return out.select("m_id", "u_id", F.when(F.col("opposite"), 0.05).otherwise(half_up(F.col("best"))).alias("s_marks"), "best", "opposite")
 
 
-def score_fields(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Field scores; a field that can't be compared is null, but marks (0) and place (0.3)."""
+def score_fields(pairs: DataFrame, marks: DataFrame, on: tuple[str, str] = ("m_id", "u_id")) -> DataFrame:
+    """Field scores; a field that can't be compared is null, but marks (0) and place (0.3). on: what the scores of marks are joined by."""
     steps = lambda x, cuts, last: _steps(x, cuts, last)
-    p = pairs.join(marks, ["m_id", "u_id"], "left").withColumns({"s_marks": F.coalesce("s_marks", F.lit(0.0)), "best": F.coalesce("best", F.lit(0.0)), "opposite": F.coalesce("opposite", F.lit(False))})
+    p = pairs.join(marks, list(on), "left").withColumns({"s_marks": F.coalesce("s_marks", F.lit(0.0)), "best": F.coalesce("best", F.lit(0.0)), "opposite": F.coalesce("opposite", F.lit(False))})
     height = F.abs(F.col("m_height_cm") - F.col("u_height_cm"))
     middle = lambda s: (F.col(f"{s}_age_min") + F.coalesce(f"{s}_age_max", f"{s}_age_min")) / 2
     age = F.abs(middle("m") - middle("u"))

@@ -16,12 +16,14 @@ from .config import MatchConfig, RecordConfig
 
 
 def rate_records(records: DataFrame, adjacency: DataFrame, cfg: RecordConfig = RecordConfig()) -> DataFrame:
-    """All blocked pairs with field scores and overall score; no texts are made."""
-    missing, found = records.where("record_type = 'missing'"), records.where("record_type = 'unidentified'")
-    # read twice: for the marks and for the fields
-    pairs = materialize(A.block_pairs(missing, found, A.adjacency_closure(adjacency), cfg), "pairs")
-    marks = A.marks_score(A.score_features(A.feature_pairs(pairs, build_features(records))))
-    return A.overall(A.score_fields(pairs, marks), cfg)
+    """All blocked pairs with field scores and overall score; no texts are made. Sets of marks are scored once for each pair of different sets that meets."""
+    features = materialize(build_features(records), "features")
+    sets = materialize(A.mark_sets(features).withColumnRenamed("record_id", "id"), "mark-sets")
+    known = records.join(sets, "id", "left")
+    missing, found = known.where("record_type = 'missing'"), known.where("record_type = 'unidentified'")
+    pairs = A.block_pairs(missing, found, A.adjacency_closure(adjacency), cfg, extra=("marks_of",))
+    marks = A.score_marks(pairs, features.join(sets.select(F.col("marks_of").alias("record_id")).distinct(), "record_id", "left_semi"))
+    return A.overall(A.score_fields(pairs, materialize(marks, "mark-scores"), ("m_marks_of", "u_marks_of")), cfg).drop("m_marks_of", "u_marks_of")
 
 
 def score_records(records: DataFrame, adjacency: DataFrame, cfg: RecordConfig = RecordConfig()) -> DataFrame:
