@@ -90,7 +90,8 @@ def test_no_contradicted_pair_exceeds_the_cap(spark):
     from vinctum.demo.views import load
 
     sf = "/root/testdata/sf0.001"
-    s = B.score_pair_b(B.candidate_pairs(load(spark, sf, "v_personas"), load(spark, sf, "v_cuerpos")))
+    p, b = load(spark, sf, "v_personas"), load(spark, sf, "v_cuerpos")
+    s = B.score_pair_b(B.candidate_pairs(p, b), p, b)
     assert s.where("size(contradictions) > 0 AND score > 0.2").count() == 0
     a = link.score_records(load(spark, sf, "v_records"), load(spark, sf, "v_adjacent"))
     assert a.where("hard AND overall_score > 0.2").count() == 0
@@ -101,7 +102,7 @@ def test_planted_matches_are_found(spark):
 
     people = load(spark, "/root/testdata/sf0.01", "v_personas")
     bodies = evaluation.build_eval_set(people)
-    r = evaluation.evaluate(B.score_pair_b(B.candidate_pairs(people, bodies)), evaluation.labelled_pairs(bodies)).first()
+    r = evaluation.evaluate(B.score_pair_b(B.candidate_pairs(people, bodies), people, bodies), evaluation.labelled_pairs(bodies)).first()
     assert (r.n_true, r.n_near) == (10, 3) and r.n_found == 10 and r.n_rejected == 3
 
 

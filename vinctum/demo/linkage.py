@@ -132,13 +132,13 @@ _REASONS = f"WITH {TIDY} SELECT reason, count(*)::BIGINT AS n FROM (SELECT coale
 Q("block_reason", "v_personas", "v_cuerpos", sql=_REASONS)(lambda p, b: B.reason_counts(p, b))
 Q("candidate_pairs_b", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT p_id, b_id FROM ok")(lambda p, b: B.candidate_pairs(p, b).select("p_id", "b_id"))
 Q("score_pair_b", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT b_id, p_id, score, tier, s_marks, s_height, s_age, s_geo, s_temporal, n_con::BIGINT AS n_con FROM res")(
-    lambda p, b: B.score_numbers(B.candidate_pairs(p, b)).select("b_id", "p_id", "score", "tier", *[A.half_up(F.col(x), 3).alias(x) for x in ("s_marks", "s_height", "s_age")], "s_geo", "s_temporal", F.col("n_contradictions").cast("long").alias("n_con")))
+    lambda p, b: B.score_numbers(B.candidate_pairs(p, b), p, b).select("b_id", "p_id", "score", "tier", *[A.half_up(F.col(x), 3).alias(x) for x in ("s_marks", "s_height", "s_age")], "s_geo", "s_temporal", F.col("n_contradictions").cast("long").alias("n_con")))
 Q("rank_with_rejected", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT b_id, p_id, score, rank FROM ranked WHERE rank <= 8 OR n_con > 0")(
-    lambda p, b: ranking.rank_with_rejected(B.score_numbers(B.candidate_pairs(p, b)), 8).select("b_id", "p_id", "score", "rank"))
+    lambda p, b: ranking.rank_with_rejected(B.score_numbers(B.candidate_pairs(p, b), p, b), 8).select("b_id", "p_id", "score", "rank"))
 Q("to_verify", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT b_id, p_id, score, n_con > 0 AS rejected FROM ranked WHERE rank = 1 OR n_con > 0")(
-    lambda p, b: ranking.rank_with_rejected(B.score_numbers(B.candidate_pairs(p, b)), 1).select("b_id", "p_id", "score", (F.col("n_contradictions") > 0).alias("rejected")))
+    lambda p, b: ranking.rank_with_rejected(B.score_numbers(B.candidate_pairs(p, b), p, b), 1).select("b_id", "p_id", "score", (F.col("n_contradictions") > 0).alias("rejected")))
 Q("narrative_b", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT b_id, p_id, {_NARRATIVE} AS narrative FROM res WHERE n_con = 0")(
-    lambda p, b: B.narrative(B.score_numbers(B.candidate_pairs(p, b)).where("n_contradictions = 0").withColumn("contradictions", F.array().cast("array<string>"))).select("b_id", "p_id", "narrative"))
+    lambda p, b: B.narrative(B.score_numbers(B.candidate_pairs(p, b), p, b).where("n_contradictions = 0").withColumn("contradictions", F.array().cast("array<string>"))).select("b_id", "p_id", "narrative"))
 Q("evidence_b", "v_personas", "v_cuerpos", sql=f"{ALL_B} SELECT b_id, p_id, {_EVIDENCE} AS evidence, coalesce(con, '') AS contradiction, {_NARRATIVE} AS narrative FROM ranked WHERE rank <= 8 OR n_con > 0")(
     lambda p, b: link.link_personas(p, b).select("b_id", "p_id", F.array_join("evidences", "; ").alias("evidence"), F.array_join("contradictions", "; ").alias("contradiction"), "narrative"))
 
@@ -216,7 +216,7 @@ SELECT count(*) FILTER (m) AS n_true, count(*) FILTER (m AND score >= 0.5) AS n_
 def evaluate_matcher(p):
     """Planted pairs found and near misses rejected."""
     bodies = evaluation.build_eval_set(p)
-    return evaluation.evaluate(B.score_numbers(B.candidate_pairs(p, bodies)), evaluation.labelled_pairs(bodies))
+    return evaluation.evaluate(B.score_numbers(B.candidate_pairs(p, bodies), p, bodies), evaluation.labelled_pairs(bodies))
 
 
 Q("labelled_pairs", "v_personas", sql=f"SELECT codigo AS b_id, substr(codigo, 4) AS p_id, starts_with(codigo, 'TM-') AS is_match FROM ({_EVAL})")(lambda p: evaluation.labelled_pairs(evaluation.build_eval_set(p)))

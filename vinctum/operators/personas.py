@@ -9,6 +9,7 @@ from vinctum.functions.clean import blank_to_null, height_cm, parse_flex_date, p
 from vinctum.functions.text import mark_struct
 from vinctum.operators.records import half_up
 from vinctum.plans.config import MatchConfig
+from vinctum.sources.scratch import materialize
 
 _ANY = "∅"
 _STEP = 10
@@ -68,14 +69,15 @@ _SIM = "CASE WHEN size(c.tokens) = 0 OR size(p.tokens) = 0 THEN 0D ELSE size(arr
 _SIDES = "(c.lado IS NULL OR p.lado IS NULL OR c.lado = p.lado)"
 
 
-def score_mark_sets(pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """(b_set, p_set, set_score, set_contradictions) of the different sets of marks that meet in tidy pairs, each scored once.
+def score_mark_sets(pairs: DataFrame, personas: DataFrame, bodies: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """(b_set, p_set, set_score, set_contradictions) of the different sets of marks that meet in tidy pairs, each scored once; personas and bodies hold them.
 
     A body mark's similarity to the persona's marks is their token overlap at best; it contradicts where some mark is alike but none of these has
     a side that fits.
     """
-    bare = lambda s: F.transform(f"{s}_marks", lambda m: F.struct(m["lado"].alias("lado"), F.array_sort(m["tokens"]).alias("tokens"))).alias(f"{s}_marks")
-    met = pairs.where("b_set IS NOT NULL AND p_set IS NOT NULL").select("b_set", "p_set", bare("b"), bare("p")).distinct()
+    sets = lambda tidy, s: tidy.where(f"{s}_set IS NOT NULL").select(f"{s}_set", F.transform(f"{s}_marks", lambda m: F.struct(m["lado"].alias("lado"), F.array_sort(m["tokens"]).alias("tokens"))).alias(f"{s}_marks")).distinct()
+    met = pairs.where("b_set IS NOT NULL AND p_set IS NOT NULL").select("b_set", "p_set").distinct()
+    met = met.join(sets(tidy_bodies(bodies), "b"), "b_set").join(sets(tidy_personas(personas), "p"), "p_set")
     per = f"transform(b_marks, c -> transform(p_marks, p -> named_struct('s', {_SIM}, 'fits', {_SIDES})))"
     t = cfg.mark_threshold
     score = "aggregate(sims, 0D, (a, r) -> a + array_max(transform(r, x -> x.s))) / size(sims)"
@@ -83,10 +85,11 @@ def score_mark_sets(pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataF
     return met.withColumn("sims", F.expr(per)).select("b_set", "p_set", F.expr(score).alias("set_score"), F.expr(against).alias("set_contradictions"))
 
 
-def score_numbers(pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """Tidy pairs with sub-scores, total, score, tier and the number of contradictions; no texts are made."""
+def score_numbers(pairs: DataFrame, personas: DataFrame, bodies: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """Tidy pairs of personas and bodies with sub-scores, total, score, tier and the number of contradictions; no texts are made."""
     n = cfg.neutral
-    df = pairs.join(score_mark_sets(pairs, cfg), ["b_set", "p_set"], "left").withColumns({
+    # written, so that its size is known when it is joined: a small table is sent to the pairs
+    df = pairs.join(materialize(score_mark_sets(pairs, personas, bodies, cfg), "mark-sets"), ["b_set", "p_set"], "left").withColumns({
         "s_marks": F.expr(f"coalesce(set_score, {n}D)"),
         "n_contradictions": F.expr("coalesce(set_contradictions, 0)"),
         "s_height": F.expr(f"coalesce(greatest(0D, 1 - abs(b_height - p_height) / {cfg.height_tolerance}D), {n}D)"),
@@ -132,9 +135,9 @@ def retrieved_pairs(personas: DataFrame, bodies: DataFrame, near: DataFrame, cfg
     return found.unionByName(candidate_pairs(personas, rest, cfg))
 
 
-def score_pair_b(pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """Scores, sub-scores, tier, evidence and contradictions of tidy pairs; all within the row."""
-    return pair_texts(score_numbers(pairs, cfg), cfg)
+def score_pair_b(pairs: DataFrame, personas: DataFrame, bodies: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
+    """Scores, sub-scores, tier, evidence and contradictions of tidy pairs of personas and bodies."""
+    return pair_texts(score_numbers(pairs, personas, bodies, cfg), cfg)
 
 
 def narrative(df: DataFrame) -> DataFrame:

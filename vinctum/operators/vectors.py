@@ -231,8 +231,10 @@ def greedy_duplicates(df: DataFrame, block: str, threshold: float = 0.97, min_si
     itself, and in no cluster. Blocks of up to local_rows distinct vectors are one task's work each; larger ones are resolved by rounds over many tasks.
     """
     kind = dict(df.dtypes)["id"]
-    keyed = df.select(F.col(block).cast("string").alias("block"), "id", "vec").where(F.exists("vec", lambda x: x != 0)).withColumn("_key", F.hash("vec").cast("long"))
-    classes = materialize(keyed.groupBy("block", "_key", "vec").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "vector-classes")
+    keyed = df.select(F.col(block).cast("string").alias("block"), "id", "vec").withColumn("_key", F.hash("vec").cast("long"))
+    classes = keyed.groupBy("block", "_key", "vec").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    # a written flag, as a condition on vec would be carried through the join below into the making of the vectors
+    classes = materialize(classes.withColumn("_some", F.exists("vec", lambda x: x != 0)), "vector-classes").where("_some")
     hot = materialize(classes.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local_rows).select("block"), "hot-blocks")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

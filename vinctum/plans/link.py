@@ -37,21 +37,21 @@ def link_records(records: DataFrame, adjacency: DataFrame, top: int = 12, cfg: R
     return A.verify(A.evidence(best, cfg), cfg)
 
 
-def _reviewed(pairs: DataFrame, cfg: MatchConfig) -> DataFrame:
+def _reviewed(pairs: DataFrame, personas: DataFrame, bodies: DataFrame, cfg: MatchConfig) -> DataFrame:
     """Scored, ranked per body, and only then given texts; `narrated` marks those whose narrative a model may write."""
-    ranked = ranking.rank_with_rejected(B.score_numbers(pairs, cfg), cfg.top_k)
+    ranked = ranking.rank_with_rejected(B.score_numbers(pairs, personas, bodies, cfg), cfg.top_k)
     return B.narrative(B.pair_texts(ranked.withColumn("narrated", F.col("rank") <= cfg.verify_top_n), cfg))
 
 
 def link_personas(personas: DataFrame, bodies: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """Per body the top candidates and every contradicted pair, with a narrative; all personas are compared."""
-    return _reviewed(B.candidate_pairs(personas, bodies, cfg), cfg)
+    return _reviewed(B.candidate_pairs(personas, bodies, cfg), personas, bodies, cfg)
 
 
 def link_personas_by_vector(personas: DataFrame, bodies: DataFrame, persona_vectors: DataFrame, body_vectors: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """The same over the retrieve_k personas nearest to a body's vector; vectors are (id, vec). A body without a vector meets all personas."""
     near = retrieve(body_vectors, persona_vectors, cfg.retrieve_k).select(F.col("query_id").alias("b_id"), F.col("id").alias("p_id"))
-    return _reviewed(B.retrieved_pairs(personas, bodies, materialize(near, "retrieved"), cfg), cfg)
+    return _reviewed(B.retrieved_pairs(personas, bodies, materialize(near, "retrieved"), cfg), personas, bodies, cfg)
 
 
 def candidates_for(candidates: DataFrame, bodies: DataFrame, persona_id: str) -> DataFrame:

@@ -20,7 +20,7 @@ def live_match(bodies: DataFrame, personas: DataFrame, out: str, checkpoint: str
     """Each new body is scored against the stored personas by its own fields and ranked; nothing but the ranking is written."""
 
     def score(batch: DataFrame, epoch: int) -> None:
-        scored = B.score_numbers(B.candidate_pairs(personas, batch, cfg), cfg)
+        scored = B.score_numbers(B.candidate_pairs(personas, batch, cfg), personas, batch, cfg)
         ranking.rank_with_rejected(scored, cfg.top_k).select("b_id", "p_id", "score", "rank").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return bodies.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
