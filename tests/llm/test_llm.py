@@ -134,6 +134,34 @@ def test_line_dedup_against_brute_force(spark, options):
                 assert kept[d].text == "\n".join(left)
 
 
+@pytest.mark.parametrize("n", [150, 300, 600])
+def test_lines_of_one_template_travel_once(spark, monkeypatch, n):
+    """Long lines whose varying words are common elsewhere: what is shipped grows with the lines, not with their pairs."""
+    rng = random.Random(n)
+    frame, vocab = [f"t{i}" for i in range(72)], [f"v{i}" for i in range(90)]
+    lines = [" ".join(frame + rng.sample(vocab, 28)) for _ in range(n)]
+    for i in range(0, n, 30):  # some are alike
+        lines[i] = " ".join(lines[i + 1].split()[:-2])
+    rows = list(enumerate(lines)) + [(n + k, " ".join(rng.choices(vocab, k=40))) for k in range(3 * n)]
+    moved, plain = {}, line_dedup.materialize
+
+    def counted(df, name):
+        out = plain(df, name)
+        moved[name] = moved.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    got = {r.doc: r.removed for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen, want = [], set()
+    for d, t in rows:
+        w = set(t.split())
+        if any(100 * len(w & u) >= 80 * len(w | u) for u in seen):
+            want.add(d)
+        seen.append(w)
+    assert set(got) == want and moved["line-open"] > n / 2
+    assert moved["line-pairs"] <= 40 * n and moved["involved"] <= 4 * n and moved["line-pairs-2"] <= n
+
+
 def test_short_lines_are_compared_without_a_floor(spark):
     rng = random.Random(6)
     vocab = [f"w{i}" for i in range(7)]

@@ -11,7 +11,8 @@ posted under the rarest words of its prefix, unless it is so short that only an
 4 words match 5); words counted once are left out, as nobody can share them. Postings travel packed, a bucket of words at a time. A list
 of more than LIST_ROWS postings is dealt in blocks, each pair of blocks to a part of its own. Of each later class a list gives the BEST
 most alike earlier ones that pass the filters, and these are verified; a class that had more in a list, none of them confirmed,
-is asked for in a second round that verifies all of its candidates.
+is asked for in a second round that compares it with all of its candidates: their whole sets of word hashes are fetched once a class and compared where
+the lists are (after a filter of 1,024 parity bits), so that no pairs travel but one confirmed one a class, whose lines are then verified like any others.
 
 Null and empty texts have no lines to compare. Rows without doc_id are never compared and stay. Rows that share a doc_id are
 texts of their own; rows equal in doc_id and text are one text and lose the same lines. Columns other than doc_id, text and n_chars pass through.
@@ -48,6 +49,10 @@ LIST_ROWS = 20_000
 BUCKET_ROWS, SEND_ROWS = 200_000, 250_000
 #: Postings of which the long lists are counted exactly.
 COUNT_ROWS = 1_000_000_000
+#: Parity bits of the classes that are asked for again.
+WIDE_BITS = 1024
+
+
 def line_sets(text: str | None) -> list[list[bytes]]:
     return [line.split() for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
 
@@ -191,10 +196,10 @@ def _long_lists(classes: DataFrame, shared: Broadcast, postings: int, list_rows:
     return np.array([r["word"] for r in rows], np.uint32), np.array([-(-r["n"] // list_rows) for r in rows], np.int64)
 
 
-def _postings(classes: DataFrame, long: tuple[np.ndarray, np.ndarray], buckets: int, wanted: np.ndarray | None = None) -> DataFrame:
+def _postings(classes: DataFrame, long: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
     """classes -> (bucket, rows, packed, bits): the postings of a bucket of words, as many as a task gathered.
 
-    long: the words with long lists and their blocks. wanted: only these words' postings.
+    long: the words with long lists and their blocks.
     """
     hot, blocks = long
 
@@ -218,9 +223,6 @@ def _postings(classes: DataFrame, long: tuple[np.ndarray, np.ndarray], buckets:
         gathered = 0
         for b in batches:
             row, pos, token = _tokens(b)
-            if wanted is not None:
-                on = np.isin(token, wanted)
-                row, pos, token = row[on], pos[on], token[on]
             if not len(row):
                 continue
             c, n, b0, b1 = (b.column(x).to_numpy() for x in ("c", "n", "b0", "b1"))
@@ -245,14 +247,42 @@ def _postings(classes: DataFrame, long: tuple[np.ndarray, np.ndarray], buckets:
     return classes.select("c", "n", "b0", "b1", "prefix").mapInArrow(trimmed(run), "bucket long, rows int, packed binary, bits binary")
 
 
-def _candidates(postings: DataFrame, per_hundred: int, best: int, asked: np.ndarray | None = None) -> DataFrame:
-    """(x later, y earlier, score, more): pairs of classes that pass the filters, the most alike `best` of each later one in a list; more: it had others there.
-
-    asked: all pairs whose later class is one of these numbers, and no others.
+def _walk(key: np.ndarray, side: np.ndarray, c: np.ndarray, n: np.ndarray, pos: np.ndarray, b0: np.ndarray, b1: np.ndarray, per_hundred: int, wanted: np.ndarray | None = None):
+    """(i, j, differing bits, words of both) of the pairs of a list's rows that pass the filters, j later than i; by their distance in the list. Rows are sorted by key and c.
 
     At the first word that two sets share, in the order of rarity, what is left of either one must hold all of what they need to share; so a
-    pair that matches is found at that word, and one that fails there is found at no other.
+    pair that matches is found at that word, and one that fails there is found at no other. wanted: only these rows are looked at as j.
     """
+    left = ((100 + per_hundred) * (n - pos)).astype(np.int32)  # at most this much can be shared from here on
+    size = (per_hundred * n).astype(np.int32)
+    n = n.astype(np.int32)
+    lone = not side.any()
+    # within a list rows are sorted by number, so i is earlier than i + d; `ends` is where each row's list ends
+    ends = np.searchsorted(key, key, side="right")
+    live, d = np.arange(len(key)), 0
+    while True:
+        d += 1
+        live = live[ends[live] > live + d]
+        if not len(live):
+            break
+        i, j = live, live + d
+        if wanted is not None:
+            on = wanted[j]
+            i, j = i[on], j[on]
+        on = np.minimum(left[i], left[j]) >= size[i] + size[j]
+        if not lone:
+            on &= (side[i] != side[j]) | (side[i] == 0)
+        i, j = i[on], j[on]
+        apart = np.bitwise_count(b0[i] ^ b0[j]).astype(np.int32) + np.bitwise_count(b1[i] ^ b1[j])
+        both = n[i] + n[j]
+        # what they share is half of (both - symmetric difference) at most
+        on = (100 + per_hundred) * ((both - apart) // 2) >= per_hundred * both
+        if on.any():
+            yield i[on], j[on], apart[on], both[on]
+
+
+def _candidates(postings: DataFrame, per_hundred: int, best: int) -> DataFrame:
+    """(x later, y earlier, score, more): pairs of classes that pass the filters, the most alike `best` of each later one in a list; more: it had others there."""
     names = ["x", "y", "score", "more"]
 
     def found(rows: list[tuple[int, bytes, bytes]]):
@@ -271,50 +301,17 @@ def _candidates(postings: DataFrame, per_hundred: int, best: int, asked: np.ndar
         key = token.astype(np.uint64) | part.astype(np.uint64) << np.uint64(32)
         order = np.lexsort((c, key))
         key, side, c, n, pos, b0, b1 = (x[order] for x in (key, side, c, n, pos, b0, b1))
-        left = ((100 + per_hundred) * (n - pos)).astype(np.int32)  # at most this much can be shared from here on
-        size = (per_hundred * n).astype(np.int32)
-        n = n.astype(np.int32)
-        lone = not side.any()
-        wanted = None if asked is None else np.isin(c, asked)
-        pairs: list[tuple[np.ndarray, ...]] = []
         ys, scores, seen = np.full((best, len(key)), -1, np.int64), np.full((best, len(key)), np.inf, np.float32), np.zeros(len(key), np.int32)
-        # within a list rows are sorted by number, so i is earlier than i + d; `ends` is where each row's list ends
-        ends = np.searchsorted(key, key, side="right")
-        live, d = np.arange(len(key)), 0
-        while True:
-            d += 1
-            live = live[ends[live] > live + d]
-            if not len(live):
-                break
-            i, j = live, live + d
-            if wanted is not None:
-                on = wanted[j]
-                i, j = i[on], j[on]
-            on = np.minimum(left[i], left[j]) >= size[i] + size[j]
-            if not lone:
-                on &= (side[i] != side[j]) | (side[i] == 0)
-            i, j = i[on], j[on]
-            apart = np.bitwise_count(b0[i] ^ b0[j]).astype(np.int32) + np.bitwise_count(b1[i] ^ b1[j])
-            both = n[i] + n[j]
-            # what they share is half of (both - symmetric difference) at most
-            on = (100 + per_hundred) * ((both - apart) // 2) >= per_hundred * both
-            i, j = i[on], j[on]
-            if not len(i):
-                continue
-            score = (apart[on] / both[on]).astype(np.float32)
-            if wanted is not None:
-                pairs.append((c[j], c[i], score, np.zeros(len(i), bool)))
-                continue
+        for i, j, apart, both in _walk(key, side, c, n, pos, b0, b1, per_hundred):
+            score = (apart / both).astype(np.float32)
             seen[j] += 1
             worst = scores[:, j].argmax(0)
             better = score < scores[worst, j]
             worst, j = worst[better], j[better]
             scores[worst, j], ys[worst, j] = score[better], c[i[better]]
-        if wanted is None:
-            k, j = np.nonzero(ys >= 0)
-            pairs = [(c[j], ys[k, j], scores[k, j], seen[j] > best)] if len(j) else []
-        if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*pairs), (pa.int64(), pa.int64(), pa.float32(), pa.bool_()))], names=names)
+        k, j = np.nonzero(ys >= 0)
+        if len(j):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((c[j], ys[k, j], scores[k, j], seen[j] > best), (pa.int64(), pa.int64(), pa.float32(), pa.bool_()))], names=names)
 
     def run(batches):
         held, last = [], None
@@ -331,15 +328,150 @@ def _candidates(postings: DataFrame, per_hundred: int, best: int, asked: np.ndar
     return postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(run), "x long, y long, score float, more boolean")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, per_hundred: int, broadcast_ids: int) -> DataFrame:
-    """The pairs (x, y) whose lines' full word sets reach the similarity; only lines of a pair are moved."""
-    ids = by_size(pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct(), "line-ids", broadcast_ids)
+def _asked_lists(classes: DataFrame, asked: DataFrame, list_rows: int, broadcast_ids: int) -> DataFrame:
+    """(word, i, j, side, c, n, pos, b0, b1, asked): the postings of all words in the prefixes of the asked classes; lists of over list_rows are dealt in blocks."""
+    own = by_size(asked.select("c").withColumn("asked", F.lit(True)), "line-asked", broadcast_ids)
+    posts = lambda df: df.withColumn("at", F.explode(F.expr("transform(prefix, (w, i) -> named_struct('word', w, 'pos', i))"))).where("at.word <> 0")
+    words = by_size(posts(classes.select("c", "prefix").join(own, "c", "left_semi")).select("at.word").distinct(), "line-words-asked", broadcast_ids)
+    posted = posts(classes.select("c", "n", "b0", "b1", "prefix")).select("c", "n", "b0", "b1", "at.word", "at.pos").join(words, "word", "left_semi")
+    posted = materialize(posted.join(own, "c", "left").withColumn("asked", F.coalesce("asked", F.lit(False))), "line-lists")
+    long = posted.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / list_rows).cast("int").alias("k")).where("k > 1")
+    k = F.coalesce("k", F.lit(1))
+    dealt = posted.join(by_size(long, "line-long", broadcast_ids), "word", "left").withColumn("mine", F.pmod(F.xxhash64("c"), k).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    return dealt.select("word", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side"), "c", "n", "pos", "b0", "b1", "asked")
+
+
+def _each_list(batches: Iterator[pa.RecordBatch], rows: int = 20_000, size: int = 16 << 20):
+    """Tables of whole lists, several at a time, sorted by list and class; with the lists' keys."""
+    held: list[pa.RecordBatch] = []
+    n = used = 0
+    last = None
+
+    def table():
+        t = pa.Table.from_batches(held)
+        word, i, j = (t.column(x).to_numpy() for x in ("word", "i", "j"))
+        new = np.concatenate([[True], (word[1:] != word[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        return t, np.cumsum(new)
+
+    for b in batches:
+        key = np.stack([b.column(x).to_numpy().astype(np.int64) for x in ("word", "i", "j")])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+        for s, e in zip(cuts, cuts[1:]):
+            if e > s:
+                now = tuple(key[:, s].tolist())
+                if held and now != last and (n >= rows or used >= size):
+                    yield table()
+                    held, n, used = [], 0, 0
+                last = now
+                part = b.slice(s, e - s)
+                held.append(part)
+                n, used = n + e - s, used + part.get_total_buffer_size() * (e - s) // max(1, b.num_rows)
+    if held:
+        yield table()
+
+
+def _grouped(lists: DataFrame) -> DataFrame:
+    return lists.repartition("word", "i", "j").sortWithinPartitions("word", "i", "j", "c")
+
+
+def _walked(t: pa.Table, key: np.ndarray, per_hundred: int, c: np.ndarray, wanted: np.ndarray):
+    n, pos, side = (t.column(x).to_numpy() for x in ("n", "pos", "side"))
+    b0, b1 = (t.column(x).to_numpy().view(np.uint64) for x in ("b0", "b1"))
+    return _walk(key, side, c, n, pos, b0, b1, per_hundred, wanted)
+
+
+def _involved(lists: DataFrame, per_hundred: int) -> DataFrame:
+    """(c): the classes of any pair that passes the filters, once a task."""
+
+    def run(batches):
+        for t, key in _each_list(batches):
+            c, wanted = t.column("c").to_numpy(), t.column("asked").to_numpy()
+            on = np.zeros(len(c), bool)
+            for i, j, *_ in _walked(t, key, per_hundred, c, wanted):
+                on[i] = on[j] = True
+            if on.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(c[on]))], names=["c"])
+
+    return _grouped(lists).mapInArrow(trimmed(run), "c long").distinct()
+
+
+def _wide_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """WIDE_BITS parities of each set of word hashes."""
+    out = np.zeros((len(sets), WIDE_BITS), bool)
+    for r, h in enumerate(sets):
+        np.logical_xor.at(out[r], (h >> np.uint64(40)).astype(np.int64) % WIDE_BITS, True)
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def _confirmed(lists: DataFrame, sets: DataFrame, per_hundred: int) -> DataFrame:
+    """(x, y): for each asked class and list an earlier one that its whole set of word hashes matches, if there is any. Pairs don't leave the task."""
+
+    def run(batches):
+        for t, key in _each_list(batches):
+            c, wanted, n = t.column("c").to_numpy(), t.column("asked").to_numpy(), t.column("n").to_numpy().astype(np.int64)
+            unique, of = np.unique(c, return_inverse=True)
+            raw = t.column("hashes").to_pylist()
+            held = [np.zeros(0, np.uint64)] * len(unique)
+            for row, u in enumerate(of.tolist()):
+                if not len(held[u]):
+                    held[u] = np.frombuffer(raw[row], "<u8")
+            del raw
+            bits, done, pairs = _wide_bits(held), np.zeros(len(unique), bool), []
+            for i, j, _, both in _walked(t, key, per_hundred, c, wanted):
+                on = ~done[of[j]]
+                i, j, both = i[on], j[on], both[on]
+                apart = np.bitwise_count(bits[of[i]] ^ bits[of[j]]).sum(1).astype(np.int64)
+                on = (100 + per_hundred) * ((both - apart) // 2) >= per_hundred * both
+                for x, y in zip(j[on].tolist(), i[on].tolist()):
+                    if not done[of[x]]:
+                        common = len(np.intersect1d(held[of[x]], held[of[y]], assume_unique=True))
+                        if 100 * common >= per_hundred * (n[x] + n[y] - common):
+                            done[of[x]] = True
+                            pairs.append((int(c[x]), int(c[y])))
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*pairs)], names=["x", "y"])
+
+    return _grouped(lists.join(sets, "c")).mapInArrow(trimmed(run), "x long, y long").distinct()
+
+
+def _lines_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, broadcast_ids: int) -> DataFrame:
+    """(c, text): a line of each class of ids; only these lines are moved."""
+    ids = by_size(ids, "line-ids", broadcast_ids)
     wanted = classes.select("c", "doc", "line", "version").join(ids, "c")
     wanted = wanted.groupBy("doc", "version").agg(F.collect_list(F.struct("line", "c")).alias("wanted"))  # a text's lines
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("version"), "text").dropna()
     parts = texts.join(by_size(wanted, "line-texts", broadcast_ids, F.size("wanted")), ["doc", "version"]).select("wanted", F.split("text", "\n").alias("parts"))
-    lines = parts.select(F.inline(F.expr("transform(wanted, w -> named_struct('c', w.c, 'text', parts[w.line]))"))).dropDuplicates(["c"])
-    lines = materialize(lines, "line-words")
+    return parts.select(F.inline(F.expr("transform(wanted, w -> named_struct('c', w.c, 'text', parts[w.line]))"))).dropDuplicates(["c"])
+
+
+def _hash_sets(lines: DataFrame) -> DataFrame:
+    """(c, hashes): the sorted hashes of each line's words."""
+
+    def run(batches):
+        words = Words()
+        for part, texts in byte_slices(batches, 1):
+            h, text, _ = words.of(texts)
+            cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(h[s:e]).astype("<u8").tobytes() for s, e in zip(cuts, cuts[1:])], pa.binary())], names=["c", "hashes"])
+
+    return lines.select("c", "text").mapInArrow(trimmed(run), "c long, hashes binary")
+
+
+def _second_round(classes: DataFrame, docs: DataFrame, asked: DataFrame, per_hundred: int, list_rows: int, broadcast_ids: int) -> DataFrame:
+    """(x): the asked classes (c) that any earlier class matches. The sets of all classes that may match one are fetched once, and compared where their lists are."""
+    lists = materialize(_asked_lists(classes, asked, list_rows, broadcast_ids), "asked-lists")
+    involved = materialize(_involved(lists, per_hundred), "involved")
+    sets = materialize(_hash_sets(_lines_of(involved, classes, docs, broadcast_ids)), "line-sets")
+    pairs = materialize(_confirmed(lists, sets, per_hundred), "line-pairs-2")
+    # one pair of each class is enough, and it is verified like any other
+    return _verified(pairs.groupBy("x").agg(F.min("y").alias("y")), classes, docs, per_hundred, broadcast_ids).select("x").distinct()
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, per_hundred: int, broadcast_ids: int) -> DataFrame:
+    """The pairs (x, y) whose lines' full word sets reach the similarity; only lines of a pair are moved."""
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()
+    lines = materialize(_lines_of(ids, classes, docs, broadcast_ids), "line-words")
     side = lambda s: lines.select(F.col("c").alias(s), F.col("text").alias(f"{s}_text"))
     both = pairs.select("x", "y").join(side("x"), "x").join(side("y"), "y")
 
@@ -364,16 +496,9 @@ def _matched(classes: DataFrame, docs: DataFrame, shared: Broadcast, per_hundred
     pairs = materialize(pairs.groupBy("x", "y").agg(F.bool_or("more").alias("more")), "line-pairs")
     matched = materialize(_verified(pairs, classes, docs, per_hundred, broadcast_ids).select("x").distinct(), "line-matches")
     left = materialize(pairs.where("more").select("x").distinct().join(matched, "x", "left_anti"), "line-open")
-    todo = left.count()
-    for at in range(0, todo, broadcast_ids):  # one turn but for corpora in which more classes than that are open
-        some = left if todo <= broadcast_ids else left.where(F.pmod(F.xxhash64("x"), F.lit(-(-todo // broadcast_ids))) == at // broadcast_ids)
-        asked = np.sort(np.array([r["x"] for r in some.collect()], np.int64))  # broadcast_ids numbers, about
-        mine = classes.join(F.broadcast(some.withColumnRenamed("x", "c")), "c", "left_semi")
-        wanted = np.array([r["w"] for r in mine.select(F.explode("prefix").alias("w")).where("w <> 0").distinct().collect()], np.int32).view(np.uint32)
-        rest = _candidates(_postings(classes, long, buckets, np.sort(wanted)), per_hundred, best, asked).select("x", "y").distinct()
-        rest = materialize(rest.join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "line-pairs-2")
-        matched = matched.unionByName(_verified(rest, classes, docs, per_hundred, broadcast_ids).select("x").distinct())
-    return matched
+    if left.isEmpty():
+        return matched
+    return matched.unionByName(_second_round(classes, docs, left.withColumnRenamed("x", "c"), per_hundred, list_rows, broadcast_ids))
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, per_hundred: int = PER_HUNDRED, rarity_bits: int = RARITY_BITS, broadcast_ids: int = BROADCAST_IDS, best: int = BEST, list_rows: int = LIST_ROWS) -> DataFrame:
