@@ -24,6 +24,19 @@ Q("counts_by_status", "v_registry", sql="SELECT estatus, origen, count(*) AS n F
 Q("registry_totals", "v_registry", sql="SELECT count(*) AS n, count(*) FILTER (estatus IN ('O', 'P')) AS n_open, count(DISTINCT origen) AS n_sources FROM v_registry")(lambda r: A.totals(r, "estatus", ["O", "P"], "origen"))
 Q("counts_by_year", "v_registry", sql="SELECT entidad, sexo, CASE WHEN year(fecha) BETWEEN 1960 AND 2026 THEN year(fecha) END::INT AS year, count(*) AS n FROM v_registry WHERE sexo IN ('HOMBRE', 'MUJER') GROUP BY ALL")(
     lambda r: A.counts(r.where("sexo IN ('HOMBRE', 'MUJER')").withColumn("year", C.year_of(F.col("fecha").cast("string"), 1960, 2026)), "entidad", "sexo", "year"))
+_YR = "CASE WHEN year(fecha) BETWEEN 1960 AND 2026 THEN year(fecha) END::INT"
+
+
+@Q("counts_by_level", "v_registry", sql=f"""WITH x AS (SELECT CASE WHEN sexo IN ('HOMBRE', 'MUJER') THEN sexo END AS sexo, {_YR} AS year, entidad FROM v_registry)
+SELECT CASE WHEN g = 3 THEN 0 WHEN g = 5 THEN 1 WHEN g = 6 THEN 2 ELSE 3 END::INT AS level, sexo, year, entidad, n FROM (
+SELECT grouping(sexo) * 4 + grouping(year) * 2 + grouping(entidad) AS g, sexo, year, entidad, count(*) AS n FROM x GROUP BY GROUPING SETS ((sexo), (year), (entidad), (entidad, year)))
+WHERE (grouping_has(g, 4) OR sexo IS NOT NULL) AND (grouping_has(g, 2) OR year IS NOT NULL) AND (grouping_has(g, 1) OR entidad IS NOT NULL)""".replace("grouping_has(g, 4)", "(g & 4) > 0").replace("grouping_has(g, 2)", "(g & 2) > 0").replace("grouping_has(g, 1)", "(g & 1) > 0"))
+def counts_by_level(r):
+    """A2: by sex, by year, by state, and by state and year, in one pass."""
+    x = r.select(F.when(F.col("sexo").isin("HOMBRE", "MUJER"), F.col("sexo")).alias("sexo"), C.year_of(F.col("fecha").cast("string"), 1960, 2026).alias("year"), "entidad")
+    return A.grouped_counts(x, [("sexo",), ("year",), ("entidad",), ("entidad", "year")])
+
+
 Q("peak_year", "v_registry", sql="SELECT year(fecha)::INT AS year, count(*) AS n FROM v_registry GROUP BY ALL ORDER BY n DESC, year LIMIT 1")(lambda r: A.argmax(r.withColumn("year", F.year("fecha")), "year"))
 Q("top_sources", "v_registry", sql="SELECT entidad, count(*) AS n FROM v_registry GROUP BY ALL ORDER BY n DESC, entidad LIMIT 8")(lambda r: A.top_counts(r, "entidad", 8))
 Q("age_sex_matrix", "v_registry", sql=f"WITH {AGED} SELECT CASE WHEN age < 18 THEN '0-17' WHEN age < 30 THEN '18-29' WHEN age < 45 THEN '30-44' WHEN age < 60 THEN '45-59' ELSE '60+' END AS bucket, count(*) FILTER (sexo = 'HOMBRE') AS hombre, count(*) FILTER (sexo = 'MUJER') AS mujer, count(*) FILTER (sexo NOT IN ('HOMBRE', 'MUJER')) AS noinfo FROM aged WHERE age IS NOT NULL GROUP BY ALL")(

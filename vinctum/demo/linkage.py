@@ -26,7 +26,7 @@ def case_sql(x: str, table, default: str | None = None) -> str:
 
 def tokens_sql(x: str) -> str:
     stops = ", ".join(f"'{w}'" for w in V.STOP_A)
-    return f"list_filter(string_split_regex(regexp_replace(translate(lower({x}), '{V.ACCENTS[0]}', '{V.ACCENTS[1]}'), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: length(w) > 1 AND w NOT IN ({stops}))"
+    return f"list_filter(string_split_regex(regexp_replace(strip_accents(lower({x})), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: length(w) > 1 AND w NOT IN ({stops}))"
 
 
 FEATS = f"""seg AS (SELECT id AS record_id, unnest(list_filter(list_transform(string_split_regex(raw_description, '[;,\\n]'), lambda x: trim(x)), lambda x: x <> '')) AS description_raw, generate_subscripts(list_filter(list_transform(string_split_regex(raw_description, '[;,\\n]'), lambda x: trim(x)), lambda x: x <> ''), 1) - 1 AS place FROM v_records),

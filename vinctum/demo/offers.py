@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vinctum.functions import json_schema
+from vinctum.functions.json_schema import SOCIAL_RISK_EVENT
 from vinctum.functions import detect as D
 from vinctum.functions import vocab as V
 
@@ -82,6 +84,28 @@ def validate_offers(p):
     return out.select("doc_id", F.array_join("violations", ",").alias("violations"))
 
 
+def _json_rules(schema: dict) -> str:
+    """The same rules in DuckDB's JSON functions, for flat schemas."""
+    kinds = {"string": "'VARCHAR'", "boolean": "'BOOLEAN'", "number": "'DOUBLE', 'UBIGINT', 'BIGINT'"}
+    out = []
+    for name, rule in schema["properties"].items():
+        x, kind = f"json_type(j, '$.{name}')", rule["type"]
+        out += [f"CASE WHEN {x} IS NULL THEN '$.{name}: missing' END"] if name in schema["required"] else []
+        out.append(f"CASE WHEN {x} NOT IN ({kinds.get(kind, repr(kind.upper()))}) THEN '$.{name}: not {kind}' END")
+        if "enum" in rule:
+            out.append(f"CASE WHEN {x} = 'VARCHAR' AND json_extract_string(j, '$.{name}') NOT IN ({', '.join(map(repr, rule['enum']))}) THEN '$.{name}: not allowed' END")
+        if "maximum" in rule:
+            out.append(f"CASE WHEN {x} IN ({kinds['number']}) AND try_cast(json_extract_string(j, '$.{name}') AS DOUBLE) > {rule['maximum']} THEN '$.{name}: too large' END")
+    names = ", ".join(map(repr, schema["properties"]))
+    return f"list_concat(list_filter([{', '.join(out)}], lambda v: v IS NOT NULL), list_transform(list_filter(json_keys(j), lambda k: k NOT IN ({names})), lambda k: '$.' || k || ': unknown'))"
+
+
+@Q("validate_payloads", "v_payloads", sql=f"SELECT doc_id, array_to_string(list_sort(CASE WHEN json_valid(payload) THEN {_json_rules(SOCIAL_RISK_EVENT)} ELSE ['$: not JSON'] END), ',') AS violations FROM (SELECT doc_id, payload, CASE WHEN json_valid(payload) THEN payload END AS j FROM v_payloads)")
+def validate_payloads(p):
+    """R8 over JSON documents."""
+    return p.select("doc_id", F.array_join(F.array_sort(json_schema.violations("payload", SOCIAL_RISK_EVENT)), ",").alias("violations"))
+
+
 @Q("policy_gate", "v_requests", sql="""
 SELECT id, reason IS NULL AS allowed, coalesce(reason, 'allowed by source policy') AS reason, CASE WHEN reason IS NULL AND NOT pii_requested THEN 'internal' ELSE 'restricted' END AS privacy_level, coalesce(retention_days, 30) AS retention_days FROM (SELECT *, CASE
  WHEN access_type = 'private_denied' THEN 'source is private or explicitly denied' WHEN access_type = 'unknown' AND mode <> 'discovery_search' THEN 'unknown sources require discovery review before acquisition'

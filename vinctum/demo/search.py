@@ -13,11 +13,11 @@ from .views import Registry
 Q = Registry()
 
 
-@Q("search_people", "v_personas", sql="""WITH hit AS (SELECT id_victimadirecta AS id FROM v_personas WHERE contains(lower(estado), 'an') AND sexo = 'Mujer' AND (contains(lower(nombre), '1') OR contains(lower(apellido), '1')))
+@Q("search_people", "v_personas", sql="""WITH hit AS (SELECT id_victimadirecta AS id FROM v_personas WHERE contains(lower(estado), 'tion_1') AND sexo = 'Mujer' AND (contains(lower(nombre), '1') OR contains(lower(apellido), '1')))
 SELECT id, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY id LIMIT 24 OFFSET 3""")
 def search_people(p):
     """F1."""
-    page, total = S.search_people(p, ["nombre", "apellido"], "id_victimadirecta", state="an", sex="Mujer", q="1", offset=3)
+    page, total = S.search_people(p, ["nombre", "apellido"], "id_victimadirecta", state="Tion_1", sex="Mujer", q="1", offset=3)
     return page.select(F.col("id_victimadirecta").alias("id")).join(F.broadcast(total))
 
 

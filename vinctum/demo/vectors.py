@@ -132,7 +132,7 @@ def live_match(spark, sf_dir):
 def case_feed(spark, sf_dir):
     """One event type, each id once."""
     out, state = scratch(spark, "feed"), scratch(spark, "feed-state")
-    s = feeds.case_feed(feeds.read_table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "event_type = 'error'")
+    s = feeds.case_feed(feeds.read_table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "event_type = 'error'", "ts", keep_days=400)
     q = s.select("event_id", "user_id").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     return _finish(q, spark, out, "event_id long, user_id long")
 
@@ -140,10 +140,14 @@ def case_feed(spark, sf_dir):
 def notifications(spark, sf_dir):
     """X3."""
     out, state = scratch(spark, "notes"), scratch(spark, "notes-state")
-    events = load(spark, sf_dir, "events")
-    links = events.select((F.col("user_id") % 50).alias("case_id"), F.col("user_id")).distinct()
-    s = feeds.read_table_stream(spark, sf_dir, "events").withColumn("case_id", F.col("event_id") % 50)
-    q = feeds.notify(s, links, {"click": "nueva coincidencia", "error": "nueva evidencia", "view": "nuevo mensaje"}, out, state)
+    links = load(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("case_id"), F.col("user_id")).distinct()
+    read = lambda name, case, event, at: feeds.read_table_stream(spark, sf_dir, name).select((F.expr(case) % 50).alias("case_id"), F.expr(event).alias("event_id"), F.expr(at).alias("at"))
+    sources = {
+        "match": (read("supplier", "s_suppkey", "cast(s_suppkey as string)", "timestamp'2024-01-01'"), "nueva coincidencia"),
+        "evidencia": (read("pages", "page_id", "cast(page_id as string)", "timestamp'2024-01-02'"), "nueva evidencia"),
+        "mensaje": (read("conversations", "conv_id", "concat(conv_id, '-', turn)", "timestamp'2024-01-03'"), "nuevo mensaje"),
+    }
+    q = feeds.notify(sources, links, out, state, keep_days=60)
     return _finish(q, spark, f"{out}/*", "case_id long, kind string, text string, user_id long").groupBy("case_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -161,6 +165,7 @@ _LIVE = "SELECT ''C'' || s_suppkey AS codigo, CASE WHEN s_suppkey % 2 = 0 THEN '
 Q.oracles |= {
     "live_match": with_views(f"{with_bodies(_LIVE)} SELECT b_id, p_id, score, rank FROM ranked WHERE rank <= 8 OR n_con > 0"),
     "case_feed": "SELECT DISTINCT event_id, user_id FROM events WHERE event_type = 'error'",
-    "notifications": "WITH l AS (SELECT DISTINCT user_id % 50 AS case_id, user_id FROM events) SELECT case_id, event_type AS kind, count(*) AS n FROM (SELECT event_id % 50 AS case_id, event_type FROM events WHERE event_type IN ('click', 'error', 'view')) JOIN l USING (case_id) GROUP BY ALL",
+    "notifications": """WITH l AS (SELECT DISTINCT user_id % 50 AS case_id, user_id FROM events), x AS (SELECT s_suppkey % 50 AS case_id, 'match' AS kind FROM (SELECT DISTINCT s_suppkey FROM supplier)
+  UNION ALL SELECT page_id % 50, 'evidencia' FROM (SELECT DISTINCT page_id FROM pages) UNION ALL SELECT conv_id % 50, 'mensaje' FROM (SELECT DISTINCT conv_id, turn FROM conversations)) SELECT case_id, kind, count(*) AS n FROM x JOIN l USING (case_id) GROUP BY ALL""",
     "refresh_contents": "SELECT DISTINCT sha256(html) AS content_hash FROM pages WHERE sha256(html) NOT IN (SELECT sha256(html) FROM pages WHERE page_id % 3 = 0)",
 }

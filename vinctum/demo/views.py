@@ -91,6 +91,13 @@ select doc_id, source author, text base, concat('https://posts.example.org/', ca
 from documents
 """
 
+V_PAYLOADS = """
+select doc_id, concat('{"event_type":', case doc_id % 4 when 0 then '"otro"' when 1 then '"robo"' when 2 then '["otro"]' else '"trata_enganche"' end, ',"estado":', case doc_id % 5 when 0 then '7' when 1 then 'null' else concat('"', source, '"') end,
+  case when doc_id % 3 = 0 then '' else ',"municipio":"M"' end, ',"confidence":', case when doc_id % 13 = 0 then '"0.5"' else concat('0.', cast(doc_id % 90 as varchar(4)), case when doc_id % 6 = 1 then 'e1' else '' end) end,
+  ',"privacy_level":"', case when doc_id % 8 = 0 then 'public' else 'internal' end, '"', case when doc_id % 7 = 0 then ',"extra":{"a":[1]},"z":1' else '' end, case when doc_id % 9 = 0 then ',"needs_human_review":"yes"' else '' end, case when doc_id % 11 = 0 then '' else '}' end) payload
+from documents
+"""
+
 V_ARTIFACTS = """
 select page_id id, concat('run', cast(page_id % 5 as varchar(4))) run_id, concat('c', cast(page_id % 20 as varchar(4))) consent_id, url, html,
   date '2024-01-01' + cast(page_id % 90 as integer) fetched, cast(10 + page_id % 40 as integer) retention_days, case when page_id % 7 = 0 then date '2024-03-01' else null end purged
@@ -124,6 +131,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name]
     used = [t for t in TABLES if re.search(rf"\b(?:from|join)\s+{t}\b", sql)]
+    sql = sql.replace("{", "{{").replace("}", "}}")
     text = re.sub(rf"\b(from|join)\s+({'|'.join(used)})\b", r"\1 {\2}", sql)
     return spark.sql(text, **{t: load(spark, sf_dir, t) for t in used})
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +16,26 @@ def _lits(items) -> Column:
     return F.array(*[F.lit(x) for x in items])
 
 
+@cache
+def _mark_table() -> tuple[str, str]:
+    """For translate: every character that decomposes to an ASCII letter or digit and combining marks (U+0300 to U+036F) becomes that one; the marks, which come last, go."""
+    marks = [chr(x) for x in range(0x300, 0x370)]
+    found = []
+    for code in range(0xC0, 0x30000):
+        base, *rest = unicodedata.normalize("NFD", chr(code))
+        if base.isascii() and base.isalnum() and all(x in marks for x in rest):
+            found.append((chr(code), base))
+    return "".join(x for x, _ in found) + "".join(marks), "".join(b for _, b in found)
+
+
+def without_marks(x) -> Column:
+    """Letters without their marks, in every script that has precomposed ones, and decomposed letters alike (what remains of NFD without U+0300 to U+036F, for ASCII bases)."""
+    return F.translate(c(x), *_mark_table())
+
+
 def tokens_ascii(x) -> Column:
-    """Lower case, marks off Latin letters, runs of a-z and 0-9 of two or more characters but stop words; repeats stay."""
-    t = F.translate(F.lower(c(x)), *V.ACCENTS)
+    """Lower case, marks off letters, runs of a-z and 0-9 of two or more characters but stop words; repeats stay."""
+    t = without_marks(F.lower(c(x)))
     words = F.split(F.regexp_replace(t, "[^a-z0-9 ]", " "), " +")
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*V.STOP_A))
 

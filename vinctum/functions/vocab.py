@@ -13,8 +13,6 @@ CLUSTERS = {"ARM": ["brazo", "antebrazo", "mano", "dedo", "hombro"], "LEG": ["pi
 STOP_A = ["de", "en", "el", "la", "los", "las", "del", "con", "y", "a", "un", "una"]
 STOP_B = ["LADO", "O", "Y", "DE", "DEL", "EL", "LA", "EN", "CON"]
 SIDES_B = {"IZQ": ["IZQUIERDO", "IZQUIERDA", "IZQ"], "DER": ["DERECHO", "DERECHA", "DER"]}
-#: Latin letters with marks and their bare letters.
-ACCENTS = ("áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy")
 FORBIDDEN = ["culpable", "plaza de x en esta calle", "plaza de ", "este caso está conectado", "este caso esta conectado", "confirmado por ia", "confirmado por la ia"]
 RECOMMENDED = ["posible patrón", "señal contextual", "pendiente de revisión", "pendiente de revision", "no constituye conclusión", "no constituye conclusion", "fuente pública/autorizada", "fuente publica/autorizada"]
 TONES = [("payment_request", "pago|cuota|costo|deposito|fee|payment|deposit|inversion"), ("urgency", "urgente|inmediato|hoy|limited|secret"), ("off_platform_contact", "whatsapp|telegram|signal"), ("data_harvest", "ine|curp|rfc|documento|datos personales"), ("job_offer", "buscamos|se necesita|vacante|empleo|trabajo"), ("high_salary", "(\\$|pesos)\\s*\\d{4,}|sueldo"), ("vague_company", "grupo empresarial|empresa líder|compañía reconocida"), ("immediate_start", "inmediato|mañana|inicia hoy"), ("uniform_fee", "uniforme|credencial|gafete"), ("investment_return", "invierte|rendimiento|retorno|ganancia"), ("crypto", "bitcoin|crypto|usdt|binance"), ("delivery_job", "repartidor|domicilios|uber|rappi|didi")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,14 @@ def counts(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def grouped_counts(df: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
+    """Counts of all the given groupings in one pass: level (their number from 0), the keys (null where a grouping has not got them), n. Rows with a null key of a grouping are not in it."""
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    # a row once for each grouping that it belongs to; partial sums are taken before the shuffle
+    each = F.array_compact(F.array(*[F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in s], F.lit(True)), F.struct(F.lit(i).alias("level"), *[(F.col(k) if k in s else F.lit(None).cast(df.schema[k].dataType)).alias(k) for k in keys])) for i, s in enumerate(sets)]))
+    return df.select(F.inline(each)).groupBy("level", *keys).agg(F.count(F.lit(1)).alias("n"))
+
+
 def totals(df: DataFrame, status: str, open_states: list[str], source: str) -> DataFrame:
     """All rows, rows in some states, distinct sources."""
     return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(status).isin(*open_states)).alias("n_open"), F.count_distinct(source).alias("n_sources"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,28 @@ def secure_read(df: DataFrame, role: str, entity: str, at: str) -> DataFrame:
     return df
 
 
+@dataclass(frozen=True)
+class RolePolicy:
+    """What a role may read: columns, the rows of a condition, and columns that it gets degraded by an expression."""
+
+    columns: tuple[str, ...]
+    rows: str = "true"
+    degraded: tuple[tuple[str, str], ...] = ()
+
+
+def role_view(df: DataFrame, role: str, policies: dict[str, RolePolicy], entity: str, at: str) -> tuple[DataFrame, DataFrame]:
+    """(the rows and columns that the role may read, the audit row of the access). A role without a policy is refused with an audit row of its own.
+
+    Projection and condition are pushed into the scan, so columns that are not allowed are not read.
+    """
+    if role not in policies:
+        raise AccessDenied(audit_rows(df.sparkSession, "access_denied", entity, at, role=role))
+    policy = policies[role]
+    shown = dict(policy.degraded)
+    view = df.where(F.expr(policy.rows)).select(*[F.expr(shown[c]).alias(c) if c in shown else F.col(c) for c in policy.columns])
+    return view, audit_rows(df.sparkSession, "accessed", entity, at, role=role, columns=",".join(policy.columns))
+
+
 def safe_view(df: DataFrame, hidden: tuple[str, ...] = ("phone", "permalink")) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in hidden])
 
@@ -90,7 +114,13 @@ def expired(artifacts: DataFrame, at: str) -> DataFrame:
     return with_expiry(artifacts).where((F.col("expires") <= F.lit(at).cast("date")) & F.col("purged").isNull())
 
 
-def publishable(events: DataFrame, k: int = 5, confident: float = 0.85) -> DataFrame:
-    """Cells (state, municipality, kind) of approved, public, confident events with k of them or more."""
+def publishable(events: DataFrame, k: int = 5, confident: float = 0.85, sources: DataFrame | None = None, at: str | None = None) -> DataFrame:
+    """Cells (state, municipality, kind) of approved, public, confident events of allowed sources, with k of them or more.
+
+    sources: (source, allowed, valid_from, valid_to); an event's `source` must have a version that is allowed and in force at the time `at`. Without the table all sources are allowed.
+    """
+    if sources is not None:
+        fine = in_force(sources.where("allowed"), at, "valid_from", "valid_to").select("source").distinct()
+        events = events.join(fine, "source", "left_semi")
     ok = events.withColumn("review", F.when(F.col("confidence") < confident, "pending").otherwise(F.col("review"))).where("review = 'approved' AND privacy = 'public'")
     return k_anonymous(ok.groupBy("estado", "municipio", "kind").agg(F.count(F.lit(1)).alias("n")), "n", k)

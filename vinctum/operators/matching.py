@@ -10,24 +10,27 @@ from vinctum.functions.clean import blank_to_null, c
 from vinctum.functions.text import tone_keywords
 
 
-def match_patterns(cases: DataFrame, patterns: DataFrame, limit: int = 5, least: float = 0.3) -> DataFrame:
-    """Per case the best patterns by shared tone keywords: 0.6 of the overlap, 0.15 more if the case's text has a trigger.
+def match_patterns(cases: DataFrame, patterns: DataFrame, limit: int = 5, least: float = 0.3, newest: int = 500) -> DataFrame:
+    """Per case the best patterns by shared tone keywords: 0.6 of the overlap, 0.15 more if the case's text has a trigger. Only the `newest` patterns (by scraped_at, then the
+    least pattern_id; null is oldest) are known, and of equal scores the newer one is first.
 
     Keywords are a fixed list, so cases and patterns fall into few kinds by their sets of keywords. Kinds are scored against each other, with the
     `limit` first patterns of each; a case then takes the result of its kind. A pair without a shared keyword can reach 0.15 at most.
     """
     k = cases.select("case_id", F.array_sort(tone_keywords("text")).alias("ck"), F.col("text").rlike(f"(?i){V.TRIGGERS}").alias("trigger"))
     kinds = k.select("ck", "trigger").distinct()
-    first = Window.partitionBy("pk").orderBy("pattern_id")
-    known = patterns.select("pattern_id", F.array_sort(F.array_distinct("keywords")).alias("pk"))
+    age = Window.orderBy(F.desc_nulls_last("scraped_at"), "pattern_id")
+    known = patterns.select("pattern_id", "scraped_at", F.array_sort(F.array_distinct("keywords")).alias("pk")).orderBy(F.desc_nulls_last("scraped_at"), "pattern_id").limit(newest)
+    known = known.withColumn("age", F.row_number().over(age))  # of `newest` rows
+    first = Window.partitionBy("pk").orderBy("age")
     known = known.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit).drop("_n")
     mine = kinds.select("ck", "trigger", F.explode("ck").alias("keyword"))
-    theirs = known.select("pattern_id", "pk", F.explode("pk").alias("keyword"))
-    both = mine.join(theirs, "keyword").groupBy("ck", "trigger", "pattern_id", "pk").agg(F.count(F.lit(1)).alias("n"))
+    theirs = known.select("pattern_id", "age", "pk", F.explode("pk").alias("keyword"))
+    both = mine.join(theirs, "keyword").groupBy("ck", "trigger", "pattern_id", "age", "pk").agg(F.count(F.lit(1)).alias("n"))
     tone = F.col("n") / F.greatest(F.size("ck"), F.size("pk"))
     s = both.withColumn("score", F.least(tone * 0.6 + F.when(F.col("trigger"), 0.15).otherwise(0.0), F.lit(1.0))).where(F.round("score", 9) >= least)
     reason = F.concat(F.lit("tone overlap "), F.round(tone * 100).cast("int").cast("string"), F.lit("%"), F.when(F.col("trigger"), "; case text triggers scam signatures").otherwise(""))
-    w = Window.partitionBy("ck", "trigger").orderBy(F.desc(F.round("score", 9)), "pattern_id")
+    w = Window.partitionBy("ck", "trigger").orderBy(F.desc(F.round("score", 9)), "age")
     best = s.withColumn("reason", reason).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).select("ck", "trigger", "pattern_id", "score", "reason")
     # at most `limit` rows for each of the sets of a dozen keywords
     return k.join(F.broadcast(best), ["ck", "trigger"]).select("case_id", "pattern_id", "score", "reason")

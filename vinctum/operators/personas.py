@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vinctum.functions.clean import blank_to_null, height_cm, parse_flex_date, parse_marks, plausible_height
 from vinctum.functions.text import mark_struct
+from vinctum.operators import intervals as I
 from vinctum.operators.records import half_up
 from vinctum.plans.config import MatchConfig
 from vinctum.sources.scratch import materialize
@@ -22,6 +23,9 @@ def _marks(side: str, marks) -> list:
 
 
 def tidy_personas(p: DataFrame) -> DataFrame:
+    """The columns that matching needs; a table that has them already is returned as it is."""
+    if "p_id" in p.columns:
+        return p
     date = parse_flex_date(F.coalesce(blank_to_null("fecha_percato"), blank_to_null("fecha_hechos")))
     return p.select(F.col("id_victimadirecta").alias("p_id"), F.upper(blank_to_null("sexo")).alias("p_sex"), F.col("sexo").alias("p_sex_raw"), F.col("edad").alias("p_age"), blank_to_null("estado").alias("p_state"), date.alias("p_date"), height_cm("media_filiacion", "b").alias("p_height"), *_marks("p", F.transform(parse_marks("sana_particular"), lambda m: mark_struct(m))))
 
@@ -44,21 +48,40 @@ def block_reason(pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFram
     return pairs.withColumn("block_reason", F.expr(reason_sql(cfg)))
 
 
+def _sex_keys(p: DataFrame, b: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """p once for each k_sex of the bodies that it is compatible with."""
+    sexes = b.agg(F.collect_set(F.coalesce("b_sex", F.lit(_ANY))).alias("all_sex"))  # the distinct sexes: one row
+    keys = F.when(F.col("p_sex").isNull() | F.lit(not cfg.block_on_sex), F.col("all_sex")).otherwise(F.array("p_sex", F.lit(_ANY)))
+    return p.join(F.broadcast(sexes)).withColumn("k_sex", F.explode(keys)).drop("all_sex")
+
+
 def reason_counts(personas: DataFrame, bodies: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """(reason, n) over all pairs of both tables, 'ok' where nothing blocks; from the distinct keys of both sides with their counts, so rows are never paired."""
-    p = tidy_personas(personas).groupBy("p_sex", "p_date", "p_age").agg(F.count(F.lit(1)).alias("p_n"))
-    b = tidy_bodies(bodies).groupBy("b_sex", "b_date", "b_lo", "b_hi").agg(F.count(F.lit(1)).alias("b_n"))
-    reason = F.coalesce("block_reason", F.lit("ok")).alias("reason")
-    return block_reason(p.crossJoin(b), cfg).groupBy(reason).agg(F.sum(F.col("p_n") * F.col("b_n")).alias("n"))
+    """(reason, n) over all pairs of both tables, 'ok' where nothing blocks; no pair is made, not even of keys.
+
+    Both sides are counted by sex, date and age; what a reason blocks is a number of ordered pairs: of dates within a sex, and, for both rules at once, of dates within a sex and
+    an age. A body counts at each of the personas' distinct ages that it excludes (whole years), so all counts are bounded by the sexes, days and ages, not by the rows.
+    """
+    p = materialize(tidy_personas(personas).groupBy("p_sex", "p_date", "p_age").agg(F.count(F.lit(1)).alias("n")), "persona-counts")
+    b = materialize(tidy_bodies(bodies).groupBy("b_sex", "b_date", "b_lo", "b_hi").agg(F.count(F.lit(1)).alias("n")), "body-counts")
+    b = b.withColumn("k_sex", F.coalesce("b_sex", F.lit(_ANY)))
+    keyed = _sex_keys(p, b, cfg)
+    m = cfg.age_margin
+    ages = p.where("p_age IS NOT NULL").agg(F.collect_set("p_age").alias("ages"))  # distinct ages: one row
+    excluded = b.where("b_lo IS NOT NULL AND b_hi IS NOT NULL").join(F.broadcast(ages)).withColumn("p_age", F.explode(F.expr(f"filter(ages, a -> a < b_lo - {m} OR a > b_hi + {m})")))
+    excluded = excluded.groupBy("k_sex", "b_date", "p_age").agg(F.sum("n").alias("n"))
+    rows = lambda df: df.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("decimal(38,0)").alias("n"))
+    none = p.sparkSession.range(1).select(F.lit(0).cast("decimal(38,0)").alias("n"))
+    by_date = lambda right, keys: I.ordered_pairs(keyed.withColumnRenamed("p_date", "x"), right.withColumnRenamed("b_date", "x"), keys, "x", "n") if cfg.block_on_time else none
+    one = I.one_row(p=rows(p), b=rows(b), met=I.paired(keyed, b, ["k_sex"], "n"), late=by_date(b, ["k_sex"]), old=I.paired(keyed.where("p_age IS NOT NULL"), excluded, ["k_sex", "p_age"], "n"), both=by_date(excluded, ["k_sex", "p_age"]))
+    counts = {"sexo incompatible": "p * b - met", "desaparición posterior al hallazgo": "late", "edad fuera de rango": "old - both", "ok": "met - late - old + both"}
+    each = F.array(*[F.struct(F.lit(k).alias("reason"), F.expr(f"cast({v} as bigint)").alias("n")) for k, v in counts.items()])
+    return one.select(F.inline(each)).where("n <> 0")
 
 
 def candidate_pairs(personas: DataFrame, bodies: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
     """Tidy pairs that nothing blocks, by a hash join on sex and a ten-year age step, with the rest as a residual."""
     p, b = tidy_personas(personas), tidy_bodies(bodies)
-    sexes = b.agg(F.collect_set(F.coalesce("b_sex", F.lit(_ANY))).alias("all_sex"))  # the distinct sexes: one row
-    p = p.join(F.broadcast(sexes))
-    keys = F.when(F.col("p_sex").isNull() | F.lit(not cfg.block_on_sex), F.col("all_sex")).otherwise(F.array("p_sex", F.lit(_ANY)))
-    p = p.withColumn("k_sex", F.explode(keys)).withColumn("k_age", F.when(F.col("p_age").isNull(), -1).otherwise(F.floor(F.least(F.greatest("p_age", F.lit(0)), F.lit(149)) / _STEP).cast("int"))).drop("all_sex")
+    p = _sex_keys(p, b, cfg).withColumn("k_age", F.when(F.col("p_age").isNull(), -1).otherwise(F.floor(F.least(F.greatest("p_age", F.lit(0)), F.lit(149)) / _STEP).cast("int")))
     m = cfg.age_margin
     steps = f"CASE WHEN b_lo IS NULL OR b_hi IS NULL THEN sequence(0, {150 // _STEP - 1}) ELSE sequence(cast(floor(least(greatest(b_lo - {m}, 0), 149) / {_STEP}) as int), cast(floor(least(greatest(b_hi + {m}, b_lo - {m}, 0), 149) / {_STEP}) as int)) END"
     b = b.withColumn("k_sex", F.coalesce("b_sex", F.lit(_ANY))).withColumn("k_age", F.explode(F.expr(f"concat(array(-1), {steps})")))
