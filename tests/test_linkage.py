@@ -328,3 +328,23 @@ def test_a_feature_collection_is_one_document(spark, tmp_path):
     files.write_ordered_json(df, f"{tmp_path}/rows", "k")
     lines = "".join(open(f).read() for f in sorted(glob.glob(f"{tmp_path}/rows/part-*"))).splitlines()
     assert [json.loads(x)["k"] for x in lines] == list(range(20))
+
+
+def test_blocked_pairs_against_every_pair(spark):
+    """Ages in steps: unknown, wide, turned and far ranges; each pair once."""
+    rng = np.random.default_rng(8)
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    row = lambda i: (f"r{i}", pick(["M", "F", None, ""]), pick([None, -5, 3, 17, 29, 30, 88, 160]), pick([None, 2, 20, 31, 95, 170]), 170, pick(["A", "A", "A", "B", "C", None]), pick([None, "2020-01-01", "2021-06-05"]))
+    schema = "id string, sex string, age_min int, age_max int, height_cm int, estado string, event_date string"
+    left, right = [row(i) for i in range(90)], [row(i) for i in range(90, 170)]
+    near = {("A", "B"), ("B", "A"), *((x, x) for x in "ABC")}
+    df = spark.createDataFrame([("A", "B")], "a string, b string")
+    c = spark.createDataFrame([("C", "C")], "a string, b string")
+    got = A.block_pairs(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), A.adjacency_closure(df.unionByName(c))).select("m_id", "u_id").collect()
+    want = {
+        (m[0], u[0])
+        for m in left
+        for u in right
+        if (m[5] is None or u[5] is None or (m[5], u[5]) in near) and (not m[1] or not u[1] or m[1] == u[1]) and (None in (m[2], m[3], u[2], u[3]) or (m[3] >= u[2] - 3 and m[2] <= u[3] + 3)) and (None in (m[6], u[6]) or m[6] <= u[6])
+    }
+    assert len(got) == len(want) and {tuple(r) for r in got} == want

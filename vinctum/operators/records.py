@@ -10,6 +10,7 @@ from vinctum.functions.clean import blank_to_null
 from vinctum.plans.config import RecordConfig
 
 _ANY = "∅"
+_STEP = 10
 FIELDS = ("id", "sex", "age_min", "age_max", "height_cm", "estado", "event_date")
 
 
@@ -26,8 +27,9 @@ def half_up(x: Column, digits: int = 2) -> Column:
 def block_pairs(missing: DataFrame, found: DataFrame, adjacency: DataFrame, cfg: RecordConfig = RecordConfig(), extra: tuple[str, ...] = ()) -> DataFrame:
     """Pairs with compatible place, sex, age range and order of dates; a missing value is compatible with all. extra: further columns to keep.
 
-    Each found record has one place key and one sex key; a missing record is expanded to every key that it is compatible with, so
-    a pair meets once and the join is a hash join. Keys are few, so a key may be hot: AQE splits the skewed side.
+    Each found record has one place key and one sex key; a missing record is expanded to every key that it is compatible with, so the join is a hash join. As places and sexes are few,
+    both sides are also laid into steps of ten years, by their age ranges (without one: into one step on the missing, into all on the found side), and a pair counts in the first step
+    that both are in, so it comes once. A hot place is thereby dealt over the steps, and pairs of far ages never meet; AQE splits what is still skewed.
     """
     tidy = lambda df, p: df.select(*[(blank_to_null(x) if x in ("sex", "estado") else F.nullif(F.col(x), F.lit(0)) if x == "height_cm" else F.col(x)).alias(f"{p}_{x}") for x in (*FIELDS, *extra)])
     u = tidy(found, "u").withColumns({"k_geo": F.coalesce("u_estado", F.lit(_ANY)), "k_sex": F.coalesce("u_sex", F.lit(_ANY))})
@@ -39,9 +41,16 @@ def block_pairs(missing: DataFrame, found: DataFrame, adjacency: DataFrame, cfg:
     sex = F.when(F.col("m_sex").isNull(), F.col("all_sex")).otherwise(F.array("m_sex", F.lit(_ANY)))
     m = m.withColumns({"k_geo": F.explode(geo)}).withColumn("k_sex", F.explode(sex)).drop("all_geo", "all_sex", "near", "a")
     s = cfg.age_slack
+    step = lambda x: f"cast(floor(least(greatest({x}, 0), 149) / {_STEP}) as int)"
+    low = lambda p, d: step(f"least({p}_age_min, {p}_age_max) - {d}")
+    high = lambda p, d: step(f"greatest({p}_age_min, {p}_age_max) + {d}")
+    open_ = lambda p: f"({p}_age_min IS NULL OR {p}_age_max IS NULL)"
+    m = m.withColumn("k_first", F.expr(f"CASE WHEN {open_('m')} THEN -1 ELSE {low('m', 0)} END")).withColumn("k_age", F.expr(f"explode(CASE WHEN {open_('m')} THEN array(-1) ELSE sequence({low('m', 0)}, {high('m', 0)}) END)"))
+    u = u.withColumn("k_from", F.expr(f"CASE WHEN {open_('u')} THEN 0 ELSE {low('u', s)} END")).withColumn("k_age", F.expr(f"explode(concat(array(-1), CASE WHEN {open_('u')} THEN sequence(0, {150 // _STEP - 1}) ELSE sequence({low('u', s)}, {high('u', s)}) END))"))
+    once = F.expr("k_age = -1 OR k_age = greatest(k_first, k_from)")
     ages = F.expr(f"m_age_min IS NULL OR m_age_max IS NULL OR u_age_min IS NULL OR u_age_max IS NULL OR (m_age_max >= u_age_min - {s} AND m_age_min <= u_age_max + {s})")
     dates = F.expr("m_event_date IS NULL OR u_event_date IS NULL OR m_event_date <= u_event_date")
-    return m.join(u, ["k_geo", "k_sex"]).where(ages & dates).drop("k_geo", "k_sex")
+    return m.join(u, ["k_geo", "k_sex", "k_age"]).where(once & ages & dates).drop("k_geo", "k_sex", "k_age", "k_first", "k_from")
 
 
 def feature_pairs(pairs: DataFrame, features: DataFrame) -> DataFrame:
