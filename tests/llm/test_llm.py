@@ -2,6 +2,7 @@
 
 import base64
 import json
+import math
 import random
 import re
 import time
@@ -538,6 +539,48 @@ def test_code_switched_words_and_marginals(texts):
     assert tag.predict(["", "123 !!", "\n"]) == ([language_id.UNKNOWN] * 3, [0.0] * 3)
 
 
+def test_predictions_against_plain_forward_backward():
+    """Whole chains in plain Python, word by word."""
+    rows = duckdb.sql("SELECT text, lang FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id LIMIT 300").fetchall()
+    crf = language_id.fit(rows[:200], train_words=20_000, epochs=8)
+    texts = [t for t, _ in rows[200:] if len(t) < 4000] + ["a", "", "12 ?", "la la la " * 90]
+    k, langs, scores = range(len(crf.langs)), *language_id.Tagger(crf).predict(texts)
+    move, start = np.exp(crf.moves).tolist(), np.exp(crf.start).tolist()
+    for text, lang, score in zip(texts, langs, scores):
+        words = [w for w in map(language_id.letters, text.split()) if w]
+        if not words:
+            assert (lang, score) == (language_id.UNKNOWN, 0.0)
+            continue
+        e = [[math.exp(x - max(row)) for x in row] for row in crf.emissions(words).tolist()]
+        ahead, back = [], [[1.0 for _ in k]]
+        for t, row in enumerate(e):
+            a = [(start[j] if not t else sum(ahead[-1][i] * move[i][j] for i in k)) * row[j] for j in k]
+            ahead.append([x / sum(a) for x in a])
+        for row in reversed(e[1:]):
+            b = [sum(move[i][j] * row[j] * back[-1][j] for j in k) for i in k]
+            back.append([x / sum(b) for x in b])
+        total = [0.0 for _ in k]
+        for a, b in zip(ahead, reversed(back)):
+            p = [x * y for x, y in zip(a, b)]
+            total = [z + x / sum(p) for z, x in zip(total, p)]
+        best = max(k, key=lambda j: (round(total[j], 9), -j))
+        assert lang == crf.langs[best] and abs(score - total[best] / sum(total)) < 1e-6
+
+
+def test_groups_of_texts_are_bounded_for_many_languages():
+    import pyarrow as pa
+
+    part = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([False] * 200), pa.array([None if i % 7 == 0 else "word " * (5 * i) for i in range(200)])], names=["doc_id", "held_out", "text"])
+    for k in (4, 200):
+        most = language_id.CHAIN_CELLS // (8 * k + k * k // language_id.CHAIN)
+        groups = list(language_id._groups([part], k))
+        assert [x for g in groups for x in g.column(0).to_pylist()] == list(range(200))
+        assert all(g.num_rows == 1 or sum(len((t or "").split()) for t in g.column(2).to_pylist()) <= most for g in groups)
+    rows = [(" ".join(f"{chr(97 + c % 26)}{chr(97 + c // 26)}{i % 9}x{c}" for i in range(60)), f"l{c}") for c in range(150)]
+    crf = language_id.fit(rows, epochs=1)
+    assert len(crf.langs) == 150 and len(language_id.Tagger(crf).predict(["aa1x " * 3000])[0]) == 1
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(2)
     crf = language_id.Crf(["a", "b"], np.zeros((1 << language_id.BITS, 2), np.float32), rng.normal(size=(2, 2)), rng.normal(size=2))

@@ -7,7 +7,7 @@ word's marginals; a text's language is the one with the largest sum of marginals
 A chain is a whole text, whatever its length. Blocks of CHAIN words of many texts are passed together: each block's
 transfer matrix first, then what enters and leaves each block along its text, and with these the blocks' words, so marginals are
 those of the undivided chain. The model is fitted on the driver from a bounded sample: of the MAX_LANGS languages with the most labelled rows
-SAMPLE_DOCS documents each (the smallest by a hash of the id), DOC_WORDS words of each document at most, and TRAIN_WORDS words in all; training chains
+SAMPLE_DOCS documents each (the smallest by a hash of the id), DOC_WORDS words of each document at most, and TRAIN_WORDS words in all (TRAIN_CELLS / languages, if that is less); training chains
 join stretches of different documents, which is where transitions are learned from.
 
 Null texts and texts without a letter give `und` and score 0. Equal sums go to the first language by name. Without
@@ -19,10 +19,12 @@ from __future__ import annotations
 import random
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -36,6 +38,8 @@ MAX_LANGS = 200
 #: Words of a training document that reach the driver, and characters for each of them at most.
 DOC_WORDS, WORD_CHARS = 5_000, 40
 TRAIN_WORDS = 300_000
+#: Words times languages of the fit, and numbers that a worker holds for the chains of a group of texts (8 bytes each; one text alone may need more).
+TRAIN_CELLS, CHAIN_CELLS = 12_000_000, 16_000_000
 EPOCHS = 40
 BITS = 16
 MEMO_WORDS = 200_000
@@ -190,6 +194,7 @@ def fit(rows: list[tuple[str, str]], train_words: int = TRAIN_WORDS, epochs: int
     if not langs:
         return None
     k = len(langs)
+    train_words = min(train_words, TRAIN_CELLS // k)  # the arrays of the fit have a number for each word and language
     counts = {lang: Counter(w for d in by[lang] for w in d) for lang in langs}
     known = defaultdict(list)
     for lang in langs:
@@ -313,6 +318,18 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, train_words: int = TR
     return fit([(t, lang) for _, t, lang in found], train_words, epochs)
 
 
+def _groups(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches whose chains stay within CHAIN_CELLS: about eight numbers for each word and language, and languages squared for each block of words."""
+    most = CHAIN_CELLS // (8 * k + k * k // CHAIN)  # words
+    for part in slices(batches):
+        words = np.cumsum(pc.fill_null(pc.binary_length(part.column(2)), 0).to_numpy() // 4 + 1)  # a guess, mostly too high
+        at = 0
+        while at < part.num_rows:
+            end = max(at + 1, int(np.searchsorted(words, (words[at - 1] if at else 0) + most, side="right")))
+            yield part.slice(at, end - at)
+            at = end
+
+
 def identify(docs: DataFrame, crf: Crf | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; no shuffle."""
     base = docs.select("doc_id", held_out().alias("held_out"), "text")
@@ -323,7 +340,7 @@ def identify(docs: DataFrame, crf: Crf | None) -> DataFrame:
 
     def run(batches):
         tagger = Tagger(shared.value)
-        for part in slices(batches):
+        for part in _groups(batches, len(shared.value.langs)):
             langs, scores = tagger.predict([t or "" for t in part.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
