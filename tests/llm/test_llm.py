@@ -16,7 +16,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from vinctum.llm import bpe, decontaminate, language_id, line_dedup, near_dedup, pii, quality_rules, secret_scan, setsketch, sharding, token_counts
+from vinctum.llm import bpe, decontaminate, language_id, line_dedup, near_dedup, pii, quality_rules, secret_scan, setsketch, sharding, substring_dedup, token_counts
 from vinctum.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -50,7 +50,7 @@ def empty(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_gives_the_rows_of_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     cur = con.execute(ORACLE_SQL[name])
@@ -71,6 +71,8 @@ def _all(docs, bench):
     yield "op4", bpe.encode_digests(docs, WORD), True
     yield "op5", language_id.identify(docs, language_id.train(docs, epochs=2)), True
     yield "op6", near_dedup.near_duplicates(docs, k=2), True
+    yield "op12", substring_dedup.repeats(docs), True
+    yield "op12 texts", substring_dedup.cut(docs), True
     yield "op7", decontaminate.report(docs, bench), True
     yield "op7 texts", decontaminate.decontaminate(docs, bench, remove="span"), True
     yield "op8", secret_scan.digests(docs), True
