@@ -670,6 +670,40 @@ def test_chains_of_near_copies(spark):
     assert got == want
 
 
+def test_mixed_buckets_in_small_blocks(spark, monkeypatch):
+    """Stars miss links inside buckets of several components; whole buckets find them, also when split into many blocks by rows and bytes."""
+    rng = random.Random(11)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    rows = []
+    for g in range(8):
+        base = [word() for _ in range(120)]
+        for _ in range(30):  # similarities about 0.65 to 0.9 in even groups: some pairs are links, more aren't; about 0.4 in the others, whose sets need no look
+            t = list(base)
+            for at in rng.sample(range(120), rng.randrange(12, 15) if g % 2 else rng.randrange(3, 9)):
+                t[at] = word()
+            rows.append((len(rows) + 1, " ".join(t)))
+    want = _components({i: near_dedup.shingle_set(t, 2) for i, t in rows})
+    seen, opened, whole = [], near_dedup._open, near_dedup._across
+
+    def counted(members, per_hundred):
+        seen.append([members.select("rep").distinct().count()])
+        return opened(members, per_hundred)
+
+    def across(members, sets, per_hundred):
+        found = whole(members, sets, per_hundred)
+        seen[-1] += [sets.count(), found.count()]
+        return found
+
+    monkeypatch.setattr(near_dedup, "_open", counted)
+    monkeypatch.setattr(near_dedup, "_across", across)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for limits in ((4000, 16 << 20), (7, 16 << 20), (4000, 9000)):
+        monkeypatch.setattr(near_dedup, "BUCKET_ROWS", limits[0])
+        monkeypatch.setattr(near_dedup, "BLOCK_BYTES", limits[1])
+        assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, k=2).collect()} == want
+    assert len(seen) == 3 and all(links and sets < inside for inside, sets, links in seen)
+
+
 def test_texts_of_one_doc_id_hang_together(spark):
     word = lambda d: " ".join(f"{d}x{k}" for k in range(40))
     rows = [(1, word("a")), (7, word("a")), (7, word("b")), (3, word("b")), (9, word("b") + " more"), (8, word("c")), (8, word("d")), (8, word("d")), (5, word("d") + " end"), (4, word("e")), (None, word("a")), (2, None), (2, word("f"))]

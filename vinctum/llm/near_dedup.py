@@ -7,8 +7,9 @@ with fewer words the whole sequence is the one shingle. Documents are linked at
 Equal sets are one class from the start, so copies cost one row each. Class members meet in 42 bands of 6 registers (a pair at 0.8
 misses all of them with a chance below 1 in 300,000). A class is first paired with one least member of its buckets, then
 with one of each other component that it meets; pairs that the likelihood allows are verified on the full sets of both texts. Where a bucket
-still holds several components, all its pairs across components are put to the likelihood and verified where the bucket is, so no link
-between components is lost to these stars, while a group of n copies costs about n pairs.
+still holds several components, all its pairs across components are put to the likelihood, from registers alone; only rows that it leaves a partner
+get their sets and are verified where the bucket is. So no link between components is lost to these stars, while a group of n copies
+costs about n pairs. A bucket is split into blocks by its rows and by the bytes of its sets, so that two blocks fit a task.
 
 Null, empty and blank texts have no shingle: linked with nothing, their own component, kept. Rows without doc_id: the
 same, with a null component. Rows that share a doc_id are one document for the links: what any of their texts is linked with is in their
@@ -37,8 +38,8 @@ BANDS = setsketch.M // BAND_ROWS
 SLICE_BYTES = 128 << 10
 #: Ids of texts to verify are broadcast up to this number (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Classes of a bucket that one task compares with each other; larger buckets are split into blocks.
-BUCKET_ROWS = 4000
+#: Classes of a bucket, and bytes of their sets and registers, in one block; a task compares a block with itself or with one other.
+BUCKET_ROWS, BLOCK_BYTES = 4000, 16 << 20
 _P = np.uint64(0x9E3779B185EBCA87)
 
 
@@ -144,72 +145,121 @@ def _sets(reps: DataFrame, docs: DataFrame, k: int, broadcast_ids: int) -> DataF
     return texts.mapInArrow(trimmed(run), "rep long, set_hash binary, shingles binary").dropDuplicates(["rep", "set_hash"])
 
 
-def _across(members: DataFrame, per_hundred: int) -> DataFrame:
-    """members (key, i, j, band, block, comp, rep, n, regs, shingles) -> links (a, b) between components of one bucket, verified on the full sets.
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each part (key, i, j) of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        part = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
+        cuts = [0, *(np.flatnonzero((part[:, 1:] != part[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:]):
+            if e > s:
+                if held and last != tuple(part[:, s]):
+                    yield pa.Table.from_batches(held)
+                    held.clear()
+                last = tuple(part[:, s])
+                held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Part:
+    """The rows of one part of a bucket, by rep: its blocks i and j, or the one block where i = j."""
+
+    def __init__(self, rows: pa.Table, per_hundred: int):
+        self.order = np.argsort(rows.column("rep").to_numpy(), kind="stable")
+        self.rep, self.n, self.block = (rows.column(c).to_numpy()[self.order] for c in ("rep", "n", "block"))
+        self.comp = np.unique(rows.column("comp").to_numpy()[self.order], return_inverse=True)[1]
+        self.regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), "<u2").reshape(rows.num_rows, -1)[self.order]
+        self.key, self.band = rows.column("key")[0].as_py(), rows.column("band")[0].as_py()
+        self.split = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+        self.per_hundred = per_hundred
+
+    def partners(self, x: int, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Later rows of other components that the registers allow as links of row x, most alike first; each pair in the first band that it shares."""
+        t = self.per_hundred / 100
+        n, comp, regs = self.n, self.comp, self.regs
+        ok = (comp[x + 1 :] != comp[x]) & (100 * np.minimum(n[x + 1 :], n[x]) >= self.per_hundred * np.maximum(n[x + 1 :], n[x]))
+        if self.split:
+            ok &= self.block[x + 1 :] != self.block[x]
+        if wanted is not None:
+            ok &= wanted[x + 1 :]
+        ys = np.flatnonzero(ok) + x + 1
+        if not len(ys):
+            return ys
+        alike = regs[ys] == regs[x]
+        same = alike.sum(1)
+        first = alike.reshape(len(ys), BANDS, BAND_ROWS).all(2).argmax(1) == self.band
+        near = first & (same >= (t - 0.2) * setsketch.M)  # far below what may_reach lets pass
+        ys, same = ys[near], same[near]
+        if not len(ys):
+            return ys
+        more = (regs[x] > regs[ys]).sum(1)
+        fit = setsketch.may_reach(more, setsketch.M - same - more, np.full(len(ys), float(n[x])), n[ys].astype(float), t)
+        return ys[fit][np.argsort(-same[fit], kind="stable")]
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """members (key, comp, rep, n, ...) with i, j, block: a bucket beyond BUCKET_ROWS or BLOCK_BYTES is split into blocks, and each pair of blocks is a part."""
+    weight = F.col("n") * 8 + 2 * setsketch.M
+    blocks = members.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS), F.ceil(F.sum(weight) / BLOCK_BYTES)).cast("long").alias("blocks"))
+    out = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return out.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+
+
+def _together(members: DataFrame, run, schema: str) -> DataFrame:
+    return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(trimmed(run), schema).distinct()
+
+
+def _open(members: DataFrame, per_hundred: int) -> DataFrame:
+    """(key, rep) of the rows that the registers of some row of another component in their bucket allow; no sets are moved for that."""
 
-    A part (i, j) of a bucket holds its blocks i and j. A row is compared with all rows of other components that it may reach; a link
-    joins the components for the rest of the part, so links found are fewer than components, however many pairs there are.
+    def run(batches):
+        for rows in _in_parts(batches):
+            part = _Part(rows, per_hundred)
+            closed = np.ones(len(part.rep), bool)
+            for x in range(len(part.rep) - 1):
+                ys = part.partners(x, None if closed[x] else closed)  # a pair of open rows tells nothing new
+                if len(ys):
+                    closed[x], closed[ys] = False, False
+            reps = part.rep[~closed]
+            if len(reps):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(reps), part.key)), pa.array(reps)], names=["key", "rep"])
+
+    cols = ["key", "i", "j", "band", "block", "comp", "rep", "n", "regs"]
+    return _together(_dealt(members).select(cols), run, "key long, rep long")
+
+
+def _across(members: DataFrame, sets: DataFrame, per_hundred: int) -> DataFrame:
+    """members (key, band, comp, rep, set_hash, n, regs) and their sets -> links (a, b) between components of one bucket, verified on the full sets.
+
+    A row is compared with all rows of other components that it may reach; a link joins the components for the rest of the part, so links found
+    are fewer than components, however many pairs there are.
     """
-    t = per_hundred / 100
 
     def links(rows: pa.Table):
-        order = np.argsort(rows.column("rep").to_numpy(), kind="stable")
-        rep, n, block = (rows.column(c).to_numpy()[order] for c in ("rep", "n", "block"))
-        comp = np.unique(rows.column("comp").to_numpy()[order], return_inverse=True)[1]
-        regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), "<u2").reshape(rows.num_rows, -1)[order]
-        raw = rows.column("shingles").to_pylist()
-        sets = [np.frombuffer(raw[o], np.uint64) for o in order]
-        band = rows.column("band")[0].as_py()
-        split = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
-        for x in range(len(rep) - 1):
-            ok = (comp[x + 1 :] != comp[x]) & (100 * np.minimum(n[x + 1 :], n[x]) >= per_hundred * np.maximum(n[x + 1 :], n[x]))
-            if split:
-                ok &= block[x + 1 :] != block[x]
-            ys = np.flatnonzero(ok) + x + 1
-            if not len(ys):
-                continue
-            alike = regs[ys] == regs[x]
-            same = alike.sum(1)
-            first = alike.reshape(len(ys), BANDS, BAND_ROWS).all(2).argmax(1) == band
-            near = first & (same >= (t - 0.2) * setsketch.M)  # far below what may_reach lets pass
-            ys, same = ys[near], same[near]
-            if not len(ys):
-                continue
-            more = (regs[x] > regs[ys]).sum(1)
-            fit = setsketch.may_reach(more, setsketch.M - same - more, np.full(len(ys), float(n[x])), n[ys].astype(float), t)
-            ys = ys[fit][np.argsort(-same[fit], kind="stable")]
-            for y in ys.tolist():
+        part = _Part(rows, per_hundred)
+        column = rows.column("shingles").combine_chunks() if rows.num_rows else None
+        sets = [np.frombuffer(column[int(o)].as_buffer(), np.uint64) for o in part.order]
+        comp = part.comp
+        for x in range(len(sets) - 1):
+            for y in part.partners(x).tolist():
                 if comp[y] == comp[x]:
                     continue
                 a, b = (sets[x], sets[y]) if len(sets[x]) <= len(sets[y]) else (sets[y], sets[x])
                 common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
                 if 100 * common >= per_hundred * (len(a) + len(b) - common):
                     comp[comp == comp[y]] = comp[x]
-                    yield int(rep[x]), int(rep[y])
+                    yield int(part.rep[x]), int(part.rep[y])
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def flush():
-            if held:
-                found = list(links(pa.Table.from_batches(held)))
-                held.clear()
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
-
-        last = None
-        for batch in batches:
-            part = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
-            cuts = [0, *(np.flatnonzero((part[:, 1:] != part[:, :-1]).any(axis=0)) + 1), batch.num_rows]
-            for s, e in zip(cuts, cuts[1:]):
-                if e > s:
-                    if last != (now := tuple(part[:, s])):
-                        yield from flush()
-                        last = now
-                    held.append(batch.slice(s, e - s))
-        yield from flush()
-
-    return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(trimmed(run), "a long, b long").distinct()
+        for rows in _in_parts(batches):
+            found = list(links(rows))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    cols = ["key", "i", "j", "band", "block", "comp", "rep", "n", "regs", "shingles"]
+    return _together(_dealt(members).join(sets, ["rep", "set_hash"]).select(cols), run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, per_hundred: int = 80, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -247,17 +297,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, per_hundred: int = 80, broadcas
     if more.limit(1).count():
         links = materialize(links.unionByName(more), "links12")
         comps = components(links)
-    # buckets that still hold several components, whole; a pair is looked at in the first band that it shares
+    # buckets that still hold several components: by registers first, then the sets of the rows that these leave
     placed = component_of(buckets.select("key", "band", "rep"), "rep", comps).withColumnRenamed("rep_comp", "comp")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 < c1").select("key", "size")
-    inside = materialize(placed.join(mixed, "key"), "mixed")
-    sets = _sets(inside.select("rep").distinct(), docs, k, broadcast_ids)
-    # a large bucket is split into blocks; each pair of blocks is a part of its own
-    blocks = F.ceil(F.col("size") / BUCKET_ROWS).cast("long")
-    members = inside.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    members = members.join(reps.select("rep", "set_hash", "n", "regs"), "rep").join(sets, ["rep", "set_hash"])
-    members = members.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "comp", "rep", "n", "regs", "shingles")
-    rest = materialize(_across(members, per_hundred), "links3")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
+    inside = materialize(placed.join(mixed, "key"), "mixed").join(reps.select("rep", "set_hash", "n", "regs"), "rep")
+    left = materialize(_open(inside, per_hundred), "open")
+    sets = _sets(left.select("rep").distinct(), docs, k, broadcast_ids)
+    rest = materialize(_across(inside.join(left, ["key", "rep"], "left_semi"), sets, per_hundred), "links3")
     if rest.limit(1).count():
         links = materialize(links.unionByName(rest), "links123")
         comps = components(links)
