@@ -145,3 +145,15 @@ def test_only_the_newest_patterns_are_known(spark):
     assert sorted(got) == [(1, x) for x in sorted([4, 9, 14, 19, 24, 29, 3, 8])]
     first = [r.pattern_id for r in matching.match_patterns(cases, p, limit=2, newest=500).collect()]
     assert sorted(first) == [4, 9]
+
+
+def test_location_phrase_folds_case_as_its_sql_does(spark):
+    import duckdb
+
+    from vinctum.demo.texts import _LOC
+    from vinctum.functions.text import location_phrase
+
+    texts = ["vive en la ciudad última de todas", "COLONIA ÁLAMOS DEL ÑANDÚ, sur", "el eſtado de Puebla", "barrio ſan Karl ÉXITO.", "fracc\x0bLomas verdes", "en\x0bToledo", "colonia Roma\x0bNorte", "en París , Lyon", "municipio de élite", "colonia  ab", "estado dede E", None, ""]
+    want = [duckdb.execute(f"SELECT {_LOC} FROM (SELECT ?::VARCHAR AS text)", [t]).fetchone()[0] for t in texts]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", location_phrase("text").alias("x")).orderBy("i").collect()
+    assert [r["x"] for r in got] == want
