@@ -986,3 +986,14 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/b/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/b/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_long_lists_are_counted_from_all_postings(spark, monkeypatch):
+    from vinctum.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "COUNT_ROWS", 10, raising=False)  # beyond so many postings a part of them was counted, once
+    rows = [(c, [7] * (c % 3 > 0) + [9] + [100 + c]) for c in range(300)]
+    classes = spark.createDataFrame(rows, "c long, prefix array<int>")
+    shared = spark.sparkContext.broadcast(np.full(1 << 10, 255, np.uint8))
+    words, blocks = line_dedup._long_lists(classes, shared, list_rows=30)
+    assert words.tolist() == [7, 9] and blocks.tolist() == [7, 10]
