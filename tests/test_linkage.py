@@ -348,3 +348,34 @@ def test_blocked_pairs_against_every_pair(spark):
         if (m[5] is None or u[5] is None or (m[5], u[5]) in near) and (not m[1] or not u[1] or m[1] == u[1]) and (None in (m[2], m[3], u[2], u[3]) or (m[3] >= u[2] - 3 and m[2] <= u[3] + 3)) and (None in (m[6], u[6]) or m[6] <= u[6])
     }
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_pairs_of_one_record_are_made_from_it_alone(spark, tmp_path, monkeypatch):
+    from vinctum import registry
+    from vinctum.operators import records as A
+
+    asked = []
+    whole = A.block_pairs
+    monkeypatch.setattr(A, "block_pairs", lambda m, u, *a, **k: asked.append((m.count(), u.count())) or whole(m, u, *a, **k))
+    registry.QUERIES["alerts"](spark, "/root/testdata/sf0.001").collect()
+    registry.QUERIES["candidates_for"](spark, "/root/testdata/sf0.001").collect()
+    assert all(min(n) <= 1 for n in asked) and len(asked) == 3
+
+
+def test_pairs_are_joined_again_with_small_tables_only(spark):
+    """What scores or shows pairs moves the records, never the pairs."""
+    from vinctum import registry
+
+    for name in ("score_features", "review_view", "priority_context"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        joins = [x for x in plan.splitlines() if "Join LeftOuter" in x and ("persona" in x or "cuerpo" in x)]
+        assert not joins, name
+
+
+def test_dealt_joins_lose_and_repeat_nothing(spark):
+    from vinctum.operators.dealt import dealt_join
+
+    a = spark.range(300).selectExpr("id AS i", "id % 3 AS k")
+    b = spark.range(70).selectExpr("id AS j", "CASE WHEN id % 7 > 0 THEN id % 4 END AS k")
+    got = sorted((r.i, r.j) for r in dealt_join(a, b, ["k"], "i").collect())
+    assert got == sorted((r.i, r.j) for r in a.join(b, "k").collect())
