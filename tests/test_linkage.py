@@ -1,6 +1,7 @@
 """Cases and properties of both matchers, reviews, governance and clusters."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -379,3 +380,51 @@ def test_dealt_joins_lose_and_repeat_nothing(spark):
     b = spark.range(70).selectExpr("id AS j", "CASE WHEN id % 7 > 0 THEN id % 4 END AS k")
     got = sorted((r.i, r.j) for r in dealt_join(a, b, ["k"], "i").collect())
     assert got == sorted((r.i, r.j) for r in a.join(b, "k").collect())
+
+
+@pytest.mark.parametrize("rank_all", [True, False])
+def test_ranks_from_counts_against_a_sort_of_each_group(spark, rank_all):
+    from vinctum.operators.ranking import rank_with_rejected
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", "c", None]), f"p{i}", rng.choice([0.2, 0.2, 0.1, 0.5, 0.9, None]), int(rng.random() < 0.2)) for i in range(300)] + [("d", "p1", 0.2, 1)]
+    df = spark.createDataFrame(rows, "b_id string, p_id string, score double, n_contradictions int")
+    out = rank_with_rejected(df, 8, rank_all=rank_all)
+    assert "Window [row_number" not in "".join(x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "windowspecdefinition(b_id" in x and "_s" not in x)
+    want = set()
+    for g in ("a", "b", "c", "d", None):
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (-(r[2] if r[2] is not None else -9), r[1]))
+        want |= {(g, r[1], n if rank_all or n <= 8 else None) for n, r in enumerate(mine, 1) if n <= 8 or r[3]}
+    got = [(r.b_id, r.p_id, r["rank"]) for r in out.collect()]
+    # of the scores that hold the eighth, all contradicted rows are numbered
+    assert len(got) == len(want) and {(g, p, n if rank_all or (n or 9) <= 8 else None) for g, p, n in got} == want
+
+
+def test_an_event_gets_the_newest_of_many_equal_spans(spark):
+    import datetime as dt
+
+    from vinctum.operators import intervals
+
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    v = spark.createDataFrame([("s", i, day(i % 3), day(9) if i % 2 else None) for i in range(500)], "source string, policy int, a date, b date")
+    e = spark.createDataFrame([(i, "s" if i % 5 else None, day(i % 12) if i % 7 else None) for i in range(100)], "id int, source string, day date")
+    spans = []
+    whole = intervals.in_force_at
+    try:
+        intervals.in_force_at = lambda events, at, versions, *a, **k: spans.append((events.count(), versions.count())) or whole(events, at, versions, *a, **k)
+        got = {r.id: r.policy for r in intervals.policy_at(e, "day", v, ["source"], "a", "b").collect()}
+    finally:
+        intervals.in_force_at = whole
+    assert spans == [(12, 6)] and len(got) == 100
+    for i in range(100):
+        held = [(k % 3, k) for k in range(500) if i % 5 and i % 7 and k % 3 <= i % 12 and (k % 2 == 0 or i % 12 < 9)]
+        assert got[i] == (max(held)[1] if held else None)
+
+
+def test_similar_names_compare_classes_of_names(spark):
+    from vinctum.operators import search
+
+    names = [None, "Ana Luna", "ANA luna", "Ana Lunas", "Berta", "", "Ana Luna"]
+    df = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    got = {(r.query_id, r.id): round(r.similarity, 6) for r in search.similar_pairs(df, "id", "name", "id in (1, 4)", 0.7).collect()}
+    assert {k for k, s in got.items() if s == 1} == {(1, 1), (1, 2), (1, 6), (4, 4)} and set(got) == {(1, 1), (1, 2), (1, 3), (1, 6), (4, 4)}
