@@ -209,6 +209,35 @@ def test_retrieval_in_blocks_is_the_whole_search(spark):
     assert vector_index.search(vector_index.build_index(df.limit(0)), df, 5).count() == 0 and vectors.retrieve(df, df.limit(0), 5).count() == vectors.retrieve(df.limit(0), df, 5).count() == 0
 
 
+def test_a_task_of_the_search_holds_pieces_of_the_product_only():
+    """4,000 queries and batches of 10,000 rows: their product alone is 320 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    q, v = (vectors.unit_rows(rng.integers(-2, 3, (n, 4)).astype(float)) for n in (4_000, 20_000))
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(at, at + 10_000)), pa.array(v[at : at + 10_000].tolist())], names=["id", "vec"]) for at in (10_000, 0)]
+    tracemalloc.start()
+    got = list(vectors.nearest_rows(iter(batches), pa.array(range(4_000)), q, 3))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 160 << 20
+    rows = [r for b in got for r in b.to_pylist()]
+    assert len(rows) == 12_000
+    for i in range(0, 4_000, 397):
+        assert [r["id"] for r in rows if r["query_id"] == i] == np.lexsort((np.arange(20_000), -np.round(v @ q[i], 12)))[:3].tolist()
+
+
+def test_queries_of_equal_vectors_have_equal_neighbours(spark):
+    q = spark.createDataFrame([(f"q{i:02d}", [1.0, float(i % 2)]) for i in range(20)], "id string, vec array<double>")
+    rows = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(12)], "id int, vec array<double>")
+    got = {}
+    for r in vectors.retrieve(q, rows, 2).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id))
+    assert len(got) == 20 and all(sorted(x) == ([(1, 0), (2, 1)] if int(i[1:]) % 2 == 0 else [(1, 10), (2, 11)]) for i, x in got.items())
+
+
 def test_zero_vectors_are_in_no_cluster(spark):
     rows = [("a", i, [0.0, 0.0]) for i in range(3)] + [("a", 7, [1.0, 0.0]), ("a", 8, [1.0, 0.01])]
     got = vectors.greedy_duplicates(spark.createDataFrame(rows, "block string, id long, vec array<double>"), "block").collect()
