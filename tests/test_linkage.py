@@ -392,6 +392,38 @@ def test_pairs_of_one_record_are_made_from_it_alone(spark, tmp_path, monkeypatch
     assert all(min(n) <= 1 for n in asked) and len(asked) == 3
 
 
+@pytest.mark.parametrize("spread", [1, 2, 3])
+def test_the_best_pairs_are_found_without_all_pairs(spark, monkeypatch, spread):
+    """spread 1: many equal records; 2: few of the best; 3: none alike, so that all pairs are made."""
+    rng = np.random.default_rng(spread)
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    marks = ["tatuaje de ancla en mano izquierda", "cicatriz en espalda", "lunar en cuello", "tatuaje de rosa en mano; lunar en cuello", ""]
+    rows = []
+    for i in range(120):
+        age, kind = pick([20, 24, 30]), "missing" if i % 2 else "unidentified"
+        text = pick(marks) if spread < 3 else ("cicatriz en espalda" if i % 2 else "tatuaje de ancla en mano")
+        rows.append((f"{'MU'[i % 2 == 0]}{i}", kind, pick(["M", "F", None]), age, age + 2, pick([170, 173, 190, None, 0]), pick(["A", "B", None]) if spread < 2 else "AB"[i % 2], D(2020, 1, 1) if i % 2 else pick([D(2019, 1, 1), D(2021, 1, 1), None]), text))
+    df, near = records(spark, *rows), spark.createDataFrame([("A", "B")], "a string, b string")
+    want = [(r.m_id, r.u_id, r.overall_score) for r in link.rate_records(df, near).orderBy(F.desc("overall_score"), "m_id", "u_id").limit(12).collect()]
+    asked, whole = [], A.score_fields
+    monkeypatch.setattr(A, "score_fields", lambda pairs, *a, **k: asked.append(pairs) or whole(pairs, *a, **k))
+    got = [(r.m_id, r.u_id, r.overall_score) for r in link.link_records(df, near, top=12).collect()]
+    assert got == want
+    n = A.block_pairs(df.where("record_type = 'missing'"), df.where("record_type = 'unidentified'"), A.adjacency_closure(near)).count()
+    assert len(asked) == 3 if spread == 3 else asked[0].count() < n
+    cands = link.candidates(link.score_records(df, near)).orderBy(F.desc("score"), "id").limit(6).collect()
+    assert [(r.id, r.score) for r in link.best_candidates(df, near, 6).collect()] == [(r.id, r.score) for r in cands]
+
+
+def test_features_are_made_of_the_chosen_records_only(spark, nowhere, monkeypatch):
+    """The pairs of one missing record need no marks of the others."""
+    row = lambda i, kind: (i, kind, "M", 20, 24, 170, "A", D(2020, 1, 1), "lunar en cuello")
+    df = records(spark, *[row(f"M{i}", "missing") for i in range(9)], row("U1", "unidentified"))
+    seen, whole = [], link.build_features
+    monkeypatch.setattr(link, "build_features", lambda r: seen.append(r.count()) or whole(r))
+    assert [r.id for r in link.candidates_of(df, nowhere, "M3").collect()] == ["M3-U1"] and seen == [2]
+
+
 def test_pairs_are_joined_again_with_small_tables_only(spark):
     """What scores or shows pairs moves the records, never the pairs."""
     from vinctum import registry
