@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -466,6 +467,15 @@ def _strange(n=1500, seed=3):
     return ["".join(rng.choice([rng.choice(pools), rng.choice(rng.choice(pools))]) for _ in range(rng.randint(0, 60))) for _ in range(n)] + ["a" * 1000, "ab" * 700, "the" * 500 + "*" * 900, ""]
 
 
+def test_words_of_common_characters_are_those_of_the_whole_pattern():
+    """All characters of the fast pattern, each beside letters, digits, signs and apostrophes; other characters take the slow one."""
+    w = bpe.WordTokenizer(WORD)
+    for c in (*w.COMMON, "\u0307", "\u3000", "\u4e00", "\u2153"):
+        text = f"a{c}b1{c}{c}2'{c}s don't{c}'re?{c}!\u0130"
+        assert w.words(text) == w.find(unicodedata.normalize("NFC", text).lower())
+    assert w.find_common("a'sé 12\u2019\u2002b") == w.find("a'sé 12\u2019\u2002b") and w.uncommon("\u4e00") and not w.uncommon(w.COMMON)
+
+
 def test_bpe_is_the_library(texts):
     import tokenizers
 

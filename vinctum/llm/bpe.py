@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from functools import lru_cache
 from hashlib import sha256
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from .arrow import Memo, map_texts
 
 LONG_WORD = 400
-MEMO_WORDS = 100_000
+MEMO_WORDS = 300_000
 _NONE = 1 << 60
 
 
@@ -47,31 +48,35 @@ class RankBpe:
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self.pairs[self.vocab[a], self.vocab[b]] = rank, self.vocab[a + b]
-        self.chars = byte_chars()
+        #: The same by left << 32 | right, with rank << 32 | merged: plain numbers are made, hashed and compared faster than tuples.
+        self.packed = {a << 32 | b: rank << 32 | new for (a, b), (rank, new) in self.pairs.items()}
+        self.chars = chars = byte_chars()
+        self.unit = {b: self.vocab[x] for b, x in enumerate(chars) if x in self.vocab}
+        self.last = {b: self.vocab[x + self.suffix] for b, x in enumerate(chars) if x + self.suffix in self.vocab}
 
     def parts(self, word: str) -> list[int]:
-        units = [self.chars[b] for b in word.encode("utf-8")]
-        units[-1] += self.suffix
-        return [self.vocab[u] for u in units]
+        data, unit = word.encode("utf-8"), self.unit
+        out = [unit[b] for b in data[:-1]]
+        out.append(self.last[data[-1]])
+        return out
 
     def word_ids(self, word: str) -> list[int]:
         parts = self.parts(word)
         if len(parts) > LONG_WORD:
             return self._by_heap(parts)
-        pairs = self.pairs
-        absent = (_NONE, 0)
-        ranks = [pairs.get(p, absent)[0] for p in zip(parts, parts[1:])]
-        while ranks:
-            least = min(ranks)
+        get = self.packed.get
+        found = [get(a << 32 | b, _NONE) for a, b in zip(parts, parts[1:])]
+        while found:
+            least = min(found)
             if least == _NONE:
                 break
-            at = ranks.index(least)
-            parts[at] = pairs[parts[at], parts[at + 1]][1]
-            del parts[at + 1], ranks[at]
+            at = found.index(least)
+            parts[at] = new = least & 0xFFFFFFFF
+            del parts[at + 1], found[at]
             if at:
-                ranks[at - 1] = pairs.get((parts[at - 1], parts[at]), absent)[0]
-            if at < len(ranks):
-                ranks[at] = pairs.get((parts[at], parts[at + 1]), absent)[0]
+                found[at - 1] = get(parts[at - 1] << 32 | new, _NONE)
+            if at < len(found):
+                found[at] = get(new << 32 | parts[at + 1], _NONE)
         return parts
 
     def _by_heap(self, parts: list[int]) -> list[int]:
@@ -112,11 +117,19 @@ class WordTokenizer:
     #: Fixed value: what the file's pre-tokenizer keeps.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+    #: Latin letters, punctuation.
+    COMMON = "".join(map(chr, (*range(0x250), *range(0x2000, 0x2070))))
+
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         import regex
 
         self.bpe = rank_bpe(path)
         self.find = regex.compile(self.PATTERN).findall
+        # the same pattern with its classes spelled out for the commoner characters, for the standard library's faster matcher; texts with other characters take the one above
+        listed = lambda p: "".join(map(re.escape, filter(regex.compile(p).match, self.COMMON)))
+        letters, numbers, spaces = listed(r"\p{L}"), listed(r"\p{N}"), listed(r"\s")
+        self.find_common = re.compile(f"{self.PATTERN.split('|[', 1)[0]}|[{letters}]+|[{numbers}]|[^{letters}{numbers}{spaces}]+").findall
+        self.uncommon = re.compile("[^" + "".join(map(re.escape, self.COMMON)) + "]").search
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.bpe.special)) + ")").split if self.bpe.special else lambda t: [t]
         self.memo = Memo(self._word, memo_words)
 
@@ -127,20 +140,21 @@ class WordTokenizer:
     def words(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # each letter is lowered on its own, without a final form of sigma
-        return self.find(text.lower())
+        low = text.lower()
+        return self.find(low) if self.uncommon(low) else self.find_common(low)
 
     def entries(self, text: str) -> list[tuple[int, str, str]]:
         """Per word: number of tokens, ids and token strings, both joined by spaces."""
         memo = self.memo
         if "<|" not in text:
-            return [memo[w] for w in self.words(text)]
+            return list(map(memo.__getitem__, self.words(text)))
         out = []
         for k, piece in enumerate(self.split(text)):
             if k % 2:
                 i = self.bpe.special[piece]
                 out.append((1, str(i), piece))
             else:
-                out += [memo[w] for w in self.words(piece)]
+                out += map(memo.__getitem__, self.words(piece))
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -160,7 +174,7 @@ def encode_digests(docs: DataFrame, path: str, memo_words: int = MEMO_WORDS) ->
         def of(text: str):
             e = tok.entries(text)
             ids, words = " ".join([x[1] for x in e]), " ".join([x[2] for x in e])
-            return sum([x[0] for x in e]), sha256(ids.encode()).hexdigest(), sha256(words.encode()).hexdigest()
+            return ids.count(" ") + 1 if e else 0, sha256(ids.encode()).hexdigest(), sha256(words.encode()).hexdigest()
 
         return of
 
