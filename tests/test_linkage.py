@@ -138,6 +138,15 @@ def test_staleness_orders_reviews(spark):
     assert sorted(r.queue_priority for r in got.values()) == [1, 2, 3, 4] and got["a"].queue_priority == 4
 
 
+def test_a_countdown_moves_what_is_asked_for_only(spark, monkeypatch):
+    from vinctum import registry
+
+    asked, whole = [], ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda df, name: asked.append(set(df.columns)) or whole(df, name))
+    registry.QUERIES["priority_staleness"](spark, "/root/testdata/sf0.001").count()
+    assert asked == [{"id", "urgency", "_range", "_r"}]
+
+
 def test_revoking_twice_changes_nothing_more(spark):
     d = D(2024, 1, 1)
     con = spark.createDataFrame([("c1", None)], "id string, revoked date")
