@@ -106,6 +106,7 @@ s AS (SELECT c.doc_id AS case_id, p.doc_id AS pattern_id, len(list_intersect(c.k
 SELECT case_id, pattern_id, round(score, 6) AS score FROM s WHERE round(score, 9) >= 0.3 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY round(score, 9) DESC, (pattern_id * 7919) % 1000 DESC, pattern_id) <= 5""")
 def match_patterns(p):
     """The newest 500 patterns are the feature's own limit."""
-    patterns = p.select(F.col("doc_id").alias("pattern_id"), T.tone_keywords("text").alias("keywords"), (F.col("doc_id") * 7919 % 1000).alias("scraped_at"))
-    out = matching.match_patterns(p.select(F.col("doc_id").alias("case_id"), "text"), patterns)
+    tones = matching.case_tones(p.select(F.col("doc_id").alias("case_id"), "text"))
+    patterns = tones.select(F.col("case_id").alias("pattern_id"), "keywords", (F.col("case_id") * 7919 % 1000).alias("scraped_at"))
+    out = matching.match_patterns(tones, patterns)
     return out.select("case_id", "pattern_id", F.round("score", 6).alias("score"))

@@ -31,13 +31,76 @@ def required_literal(p: str) -> str:
     return max(bare.split("\0"), key=len)
 
 
+_TOKEN = re.compile(r"\(\?:|\(|\||(?:\\.|\[[^\]]*\]|.)(?:[+*?]\+?|\{[^}]*\})?", re.S)
+_PLAIN = re.compile(r"[^\W_]|[ '-]")
+
+
+def alternatives(p: str) -> list[str]:
+    """What `|` parts a pattern into; a group that is the whole pattern is opened."""
+    parts, depth, closed = [""], 0, False
+    for token in _TOKEN.findall(p):
+        if token == "|" and not depth:
+            parts.append("")
+            continue
+        closed = closed or (not depth and parts[-1] != "")  # something stands beside the first group
+        depth += token.startswith("(") - token.startswith(")")
+        parts[-1] += token
+    whole = len(parts) == 1 and not closed and p.endswith(")") and p.startswith("(") and p[1:2] != "?"
+    return alternatives(p[1:-1]) if whole else parts
+
+
+def _spelled(tokens: list[str], most: int = 4) -> list[str] | None:
+    """The texts that plain characters and classes of them stand for; None if other tokens are there, or more texts than `most`."""
+    out = [""]
+    for token in tokens:
+        letters = token if _PLAIN.fullmatch(token) else token[1:-1] if re.fullmatch(r"\[\w+\]", token) else token[1:] if re.fullmatch(r"\\\W", token) else ""
+        if not letters or len(out) * len(letters) > most:
+            return None
+        out = [x + y for x in out for y in letters]
+    return out
+
+
+def needed(p: str) -> tuple[list[str], bool]:
+    """Texts of which every match of the pattern (without `|` outside of groups) holds one, and whether each of them is a match; [""] if none is certain.
+
+    A run of four characters that is spelled one way goes before those that are spelled in several ways or are shorter.
+    """
+    tokens = _TOKEN.findall(p)
+    if exact := _spelled(tokens):
+        return exact, True
+    flat, depth = [], 0
+    for token in tokens:
+        inside = depth
+        depth += token.startswith("(") - token.startswith(")")
+        flat.append(None if inside or depth or token.startswith(")") else token)
+    runs = [[""]]
+    for i in range(len(flat)):
+        for j in range(i + 1, len(flat) + 1):
+            if None in flat[i:j] or (texts := _spelled(flat[i:j])) is None:
+                break
+            runs.append(texts)
+    best = max(runs, key=lambda r: (len(r[0]) >= 4, -len(r) if len(r[0]) >= 4 else 0, len(r[0]), -len(r)))
+    if best == [""] and (group := re.match(r"\(([^()?]*)\)(?![*?{])", p)):  # one of the texts of a first group
+        inner = [needed(a) for a in alternatives(group[1])]
+        best = [x for texts, _ in inner for x in texts] if all(exact for _, exact in inner) else best
+    return best, False
+
+
+def _regex(p: str) -> str:
+    """The pattern as Java reads it; an edge before a first letter is looked for where that letter is."""
+    p = re.sub(r"^\\b([a-z])(?![+*?{])", lambda m: f"{m[1]}(?<!{_WORD}{m[1]})", p)
+    return p.replace(r"\b", _EDGE)
+
+
 def matches(low: Column, p: str) -> Column:
-    """Whether lower-cased text has a match; the pattern runs only where its literal occurs."""
-    found = low.rlike(p.replace(r"\b", _EDGE))
-    literal = required_literal(p)
-    if literal == p:
-        return F.contains(low, F.lit(p))
-    return F.contains(low, F.lit(literal)) & found if literal else found
+    """Whether lower-cased text has a match. Each alternative runs as a pattern only where a text that it needs occurs, and those that are plain texts are looked up as such."""
+    holds = lambda x: F.contains(low, F.lit(x))
+    some = lambda tests: reduce(lambda a, b: a | b, tests)
+    needs = {a: needed(a) for a in alternatives(p)}
+    texts = list(dict.fromkeys(x for found, exact in needs.values() if exact for x in found))
+    plain = [x for x in texts if not any(y != x and y in x for y in texts)]
+    rest = [some([holds(x) for x in found]) & low.rlike(_regex(a)) if found != [""] else low.rlike(_regex(a)) for a, (found, exact) in needs.items() if not exact]
+    return some([holds(x) for x in plain] + rest)
 
 
 def first_found(x: Column, low: Column, patterns: list[str]) -> Column:
