@@ -12,7 +12,10 @@ from . import vocab as V
 from .clean import blank_to_null, c
 
 #: The first number of a text with what surrounds it.
-SALARY = r"(?i)(\$|mxn|pesos)?\s*(\d[\d.,]*)\s*(mil)?\s*(semanal|quincenal|mensual|al mes|por semana)?"
+#: The look ahead only tells where a match can begin, so that most places of a text cost one comparison.
+SALARY = r"(?i)(?=[\s\d$mp])(\$|mxn|pesos)?\s*+(\d[\d.,]*)\s*(mil)?\s*(semanal|quincenal|mensual|al mes|por semana)?"
+#: The same from its first digit on: a match holds the text's first digit, so what is before it is looked for only where it is shown.
+AMOUNT = r"(?i)(\d[\d.,]*)\s*(mil)?\s*(semanal|quincenal|mensual|al mes|por semana)?"
 #: Where an offer says that it is.
 LOCATION = r"(?i)(?:en|ubicaci[oóÓ]n|zona)\s+([A-ZÁÉÍÓÚÑáéíóúñ][\wÁÉÍÓÚÑáéíóúñ\s.,-]{2,80})"
 _WORD = "[A-Za-z0-9_]"
@@ -112,10 +115,10 @@ def first_found(x: Column, low: Column, patterns: list[str]) -> Column:
     return out
 
 
-def _salary(t: Column, low: Column, found: Column) -> Column:
-    part = lambda i: F.regexp_extract(found, SALARY, i)
-    number = F.regexp_replace(part(2), "[,.]", "").try_cast("double") * F.when(part(3) != "", 1000).otherwise(1)
-    any_number = found != ""
+def _salary(t: Column, low: Column, amount: Column) -> Column:
+    part = lambda i: F.regexp_extract(amount, AMOUNT, i)
+    number = F.regexp_replace(part(1), "[,.]", "").try_cast("double") * F.when(part(2) != "", 1000).otherwise(1)
+    any_number, found = amount != "", F.regexp_extract(t, SALARY, 0)
     return F.when(any_number & matches(low, r"gana\s+(lo\s+que|cuanto|lo q)"), "gana lo que quieras (vago)").when(any_number & F.contains(low, F.lit("semanal")) & (number >= 15000), F.concat(found, F.lit(" (semanal muy alto)"))).when(number >= 60000, F.concat(found, F.lit(" (inusual)")))
 
 
@@ -126,8 +129,9 @@ def offer_signals(df: DataFrame, text: str, area: str | None = None, state: str
     """
     t = F.coalesce(c(text), F.lit(""))
     place = F.concat_ws(" ", blank_to_null(interview), t) if interview else t
-    df = df.withColumns({"_t": t, "_low": F.lower(t), "_place": place, "_number": F.regexp_extract(t, SALARY, 0)})
-    df = df.withColumn("_low_place", F.lower("_place"))
+    df = df.withColumns({"_t": t, "_low": F.lower(t), "_place": place, "_number": F.regexp_extract(t, AMOUNT, 0)})
+    # the text is lower-cased once
+    df = df.withColumn("_low_place", F.concat_ws(" ", F.lower(blank_to_null(interview)), "_low") if interview else F.col("_low"))
     t, low = F.col("_t"), F.col("_low")
     listed = F.when(matches(low, V.BENEFITS), F.regexp_count(low, F.lit(V.BENEFITS))).otherwise(0)
     none = F.lit(None).cast("string")
