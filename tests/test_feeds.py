@@ -1,5 +1,7 @@
 """Feeds over tables of more files than one batch takes."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from vinctum.streaming import feeds
@@ -66,3 +68,18 @@ def test_notifications_of_three_streams_once_each(spark, tmp_path):
     got = sorted((r.kind, r.event, r.user_id) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     want = sorted((k, f"{k}|e{i}", u) for k, n in (("match", 4), ("evidencia", 6), ("mensaje", 3)) for i in range(n) for c, u in ((1, 10), (1, 11), (2, 12)) if c == 1 + i % 3)
     assert got == want
+
+
+def test_rows_written_once_give_the_notifications_and_their_counts(spark, tmp_path):
+    links = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (2, None), (7, 1), (None, 3)], "case_id long, user_id long")
+    sources = {}
+    for kind, n in (("match", 5), ("mensaje", 40)):
+        for part in range(2):  # the second part is a replay
+            spark.createDataFrame([(1 + i % 3, f"e{i}", "2024-01-01 00:00:00") for i in range(n)], "case_id long, event_id string, at string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/{kind}.parquet")
+        sources[kind] = (feeds.read_table_stream(spark, str(tmp_path), kind, 1), kind)
+    feeds.notify(sources, links, f"{tmp_path}/out", f"{tmp_path}/state", keep_days=30, expand=False).awaitTermination()
+    rows = spark.read.parquet(f"{tmp_path}/out").select("case_id", "kind", "text", "event")
+    assert rows.count() == 45  # not one per row and user
+    all_of = [(1 + i % 3, k, u) for k, n in (("match", 5), ("mensaje", 40)) for i in range(n) for c, u in ((1, 10), (1, 11), (2, 12), (2, None)) if c == 1 + i % 3]
+    assert sorted(((r.case_id, r.kind, r.user_id) for r in feeds.notified(rows, links).collect()), key=repr) == sorted(all_of, key=repr)
+    assert {(r.case_id, r.kind): r.n for r in feeds.count_notified(rows, links).collect()} == Counter(x[:2] for x in all_of)
