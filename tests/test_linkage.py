@@ -389,6 +389,22 @@ def test_blocked_pairs_against_every_pair(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_only_records_of_fitting_ages_meet(spark, monkeypatch):
+    """What the join makes is what is returned, where no dates are; a key of many pairs is dealt, and each of its missing records is in one part."""
+    rng = np.random.default_rng(9)
+    row = lambda i, kind, age: (f"{kind[0]}{i}", kind, "M", age, age + 4, 170, "A", None, "x")
+    rows = [row(i, "missing", int(rng.integers(20, 60)) if i % 3 else 33) for i in range(120)] + [row(i, "unidentified", int(rng.integers(20, 60)) if i % 3 else 33) for i in range(60)]
+    df, near = records(spark, *rows), A.adjacency_closure(spark.createDataFrame([("A", "B")], "a string, b string"))
+    sides, made, whole = [], [], A.meet
+    monkeypatch.setattr(A, "_PAIRS", 100)
+    monkeypatch.setattr(A, "meet", lambda m, u, on: sides.append((m, u)) or made.append(whole(m, u, on)) or made[0])
+    got = A.block_pairs(df.where("record_type = 'missing'"), df.where("record_type = 'unidentified'"), near).select("m_id", "u_id").collect()
+    want = {(m[0], u[0]) for m in rows for u in rows if m[1] == "missing" and u[1] == "unidentified" and m[4] >= u[3] - 3 and m[3] <= u[4] + 3}
+    assert len(got) == len(want) == made[0].count() and {tuple(r) for r in got} == want
+    hot = sides[0][0].where("k_age = 33").groupBy("k_part").agg(F.count("*").alias("n"), F.countDistinct("m_id").alias("ids")).collect()
+    assert len(hot) > 3 and all(r.n == r.ids for r in hot)
+
+
 def test_pairs_of_one_record_are_made_from_it_alone(spark, tmp_path, monkeypatch):
     from vinctum import registry
     from vinctum.operators import records as A
