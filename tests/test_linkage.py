@@ -405,6 +405,24 @@ def test_only_records_of_fitting_ages_meet(spark, monkeypatch):
     assert len(hot) > 3 and all(r.n == r.ids for r in hot)
 
 
+def test_sets_of_marks_are_joined_by_one_number(spark, monkeypatch):
+    """The scores are those of the join by the sets' names, which stays for sets too many to number; records without marks have no number."""
+    rng = np.random.default_rng(10)
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    marks = ["tatuaje de ancla en mano izquierda", "tatuaje de ancla en mano derecha", "cicatriz en espalda", "lunar en cuello", "tatuaje de rosa en mano; lunar en cuello", ""]
+    rows = [(f"{'MU'[i % 2]}{i}", ("missing", "unidentified")[i % 2], "M", 30, 34, pick([170, 175, None]), pick(["A", "B", None]), pick([D(2020, 1, 1), None]), pick(marks)) for i in range(80)]
+    df, near = records(spark, *rows), spark.createDataFrame([("A", "B")], "a string, b string")
+    asked, whole = [], A.score_fields
+    monkeypatch.setattr(A, "score_fields", lambda pairs, marks, on: asked.append(on) or whole(pairs, marks, on))
+    columns = ["m_id", "u_id", "s_marks", "best", "opposite", "overall_score", "tier"]
+    one = sorted(map(tuple, link.score_records(df, near).select(*columns).collect()))
+    short = sorted(map(tuple, link.marks_of_pairs(df, near).collect()))
+    monkeypatch.setattr(A, "coded_sets", lambda *a, **k: None)
+    assert one == sorted(map(tuple, link.score_records(df, near).select(*columns).collect())) and len(one) > 1000
+    assert short == sorted(map(tuple, link.marks_of_pairs(df, near).collect())) and 0 < len(short) < len(one)
+    assert asked == [("sets",), ("m_marks_of", "u_marks_of")]
+
+
 def test_pairs_of_one_record_are_made_from_it_alone(spark, tmp_path, monkeypatch):
     from vinctum import registry
     from vinctum.operators import records as A
